@@ -33,19 +33,28 @@ def _is_number(value: Any) -> bool:
     return isinstance(value, (int, float)) and not isinstance(value, bool)
 
 
-def _comparable(schema: T.StructType, name: str, bound: Any) -> Column:
-    """The column, read as a number when text meets a numeric bound."""
-    col = quoted(name)
-    if isinstance(column_type(schema, name), T.StringType) and _is_number(bound):
-        return col.try_cast("double")
-    return col
+def _sides(schema: T.StructType, name: str, value: Any) -> tuple[Column, Column]:
+    """Column and literal in a common type; what cannot be read becomes null, not an error."""
+    col, lit = quoted(name), F.lit(value)
+    dtype = column_type(schema, name)
+    if isinstance(dtype, T.StringType):
+        if isinstance(value, bool):
+            return col.try_cast("boolean"), lit
+        if _is_number(value):
+            return col.try_cast("double"), lit
+    elif isinstance(value, str):
+        return col, lit.try_cast(dtype)
+    return col, lit
 
 
 def _members(schema: T.StructType, name: str, values: list[Any]) -> Column:
-    """Membership test; literals take text form on text columns, nulls are ignored."""
+    """Membership test; compared as text when either side is text, nulls are ignored."""
     present = [v for v in values if v is not None]
-    if isinstance(column_type(schema, name), T.StringType):
-        present = [v if isinstance(v, str) else _text(v) for v in present]
+    if not present:
+        return F.lit(False)
+    is_text = isinstance(column_type(schema, name), T.StringType)
+    if is_text or any(isinstance(v, str) for v in present):
+        return quoted(name).cast("string").isin([_text(v) for v in present])
     return quoted(name).isin(present)
 
 
@@ -81,10 +90,12 @@ def range_check(schema: T.StructType, column: str, params: Params) -> Column:
     column_type(schema, column)
     outside = F.lit(False)
     if low is not None:
-        outside = outside | (_comparable(schema, column, low) < F.lit(low))
+        value, bound = _sides(schema, column, low)
+        outside = outside | flag(value < bound)
     if high is not None:
-        outside = outside | (_comparable(schema, column, high) > F.lit(high))
-    return flag(outside)
+        value, bound = _sides(schema, column, high)
+        outside = outside | flag(value > bound)
+    return outside
 
 
 def domain_check(schema: T.StructType, column: str, params: Params) -> Column:
@@ -119,14 +130,14 @@ def _condition(schema: T.StructType, params: Params) -> Column | None:
     operator = params.get("condition_operator", "equals")
     if operator == "in":
         return _members(schema, name, value if isinstance(value, list) else [value])
-    left = _comparable(schema, name, value)
+    left, right = _sides(schema, name, value)
     if operator == "not_equals":
-        return left != F.lit(value)
+        return left != right
     if operator == "greater_than":
-        return left > F.lit(value)
+        return left > right
     if operator == "less_than":
-        return left < F.lit(value)
-    return left == F.lit(value)
+        return left < right
+    return left == right
 
 
 def conditional(schema: T.StructType, column: str, params: Params) -> Column:
