@@ -100,10 +100,14 @@ def replace_slice(new: DataFrame, table: str, match: Column) -> None:
 
 def replace_partitions(df: DataFrame, table: str) -> None:
     """Overwrite just the partitions that ``df`` has rows for."""
-    target = df.sparkSession.table(table).schema.fieldNames()
-    df.select(*[quoted(c) for c in target]).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).insertInto(table)
+    spark = df.sparkSession
+    parts = partition_columns(spark, table)
+    ordered = df.select(*[quoted(c) for c in spark.table(table).columns])
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        *parts
+    ).parquet(table_location(spark, table))
+    spark.sql(f"MSCK REPAIR TABLE {table}")
+    spark.catalog.refreshTable(table)
 
 
 def append_evolving(df: DataFrame, table: str) -> None:
