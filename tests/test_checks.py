@@ -266,3 +266,17 @@ def test_reports(spark, employees):
     document = report_document(summary, results, found).first()
     assert document["total_anomalies"] == 5 and set(document["column_summary"]) == {
         "employee_id", "age", "department", "role", "email"}
+
+
+@pytest.mark.parametrize("target", ["int", "bigint", "double", "date", "timestamp"])
+def test_reading_text_agrees_with_try_cast(spark, target):
+    from pyspark.sql import types as T
+    from verisift.functions.expressions import read_as
+    texts = ["1", " 12 ", "\t-3\n", "+4", "1.5", ".5", "5.", "1e3", "1E-2", "1d", "2f", "NaN", "nan", "Infinity", "-inf",
+             "+Infinity", "0x1p3", "", "  ", "x", "n/a", "99999999999", "99999999999999999999", "2020-01-02", " 2020-1-2 ",
+             "2020", "2020-13-01", "2020-01-02 03:04:05", "2020-01-02T03:04:05.123Z", "T12:30", "12:30:00", "-0001-01-01",
+             "+12345-01-01", "today", "epoch", "1,000", "\u0001 7 \u007f", " 7", "--1", "1 2", "true"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    both = df.select("s", F.col("s").try_cast(target).alias("a"), read_as(F.col("s"), T.StringType(), target).alias("b"))
+    wrong = both.filter("not (cast(a as string) <=> cast(b as string))").collect()
+    assert wrong == []

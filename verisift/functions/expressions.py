@@ -42,6 +42,28 @@ def month_key(as_of: datetime | str | None) -> Column:
     return F.date_format(stamp(as_of), "yyyyMM").cast("int")
 
 
+# Text that might be a value of the type.  A failing try_cast costs an exception per row, so
+# text that cannot be a value is turned away by its first characters; the cast decides on
+# the rest.  Leading and trailing blanks and control characters are ignored, as by casts.
+_PAD = r"[\x00-\x20\x7f]*"
+CANDIDATES = {
+    "int": rf"^{_PAD}[+-]?[0-9]+{_PAD}$",
+    "bigint": rf"^{_PAD}[+-]?[0-9]+{_PAD}$",
+    "double": rf"^{_PAD}[+-]?([0-9.]|(?i:inf|nan))",
+    "date": rf"^{_PAD}[+-]?[0-9]",
+    "timestamp": rf"^{_PAD}([+-]?[0-9]|T)",
+    "timestamp_ntz": rf"^{_PAD}([+-]?[0-9]|T)",
+}
+
+
+def read_as(col: Column, source: T.DataType, target: str) -> Column:
+    """The column as the target type; what cannot be read becomes null."""
+    cast = col.try_cast(target)
+    if isinstance(source, T.StringType) and target in CANDIDATES:
+        return F.when(col.rlike(CANDIDATES[target]), cast)
+    return cast
+
+
 def row_json(columns: list[str], keep_nulls: bool = False, as_text: bool = False) -> Column:
     """The named columns as one JSON object."""
     fields = [

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import constants as C
-from .expressions import flag, quoted
+from .expressions import flag, quoted, read_as
 
 Params = dict[str, Any]
 
@@ -41,7 +41,7 @@ def _sides(schema: T.StructType, name: str, value: Any) -> tuple[Column, Column]
         if isinstance(value, bool):
             return col.try_cast("boolean"), lit
         if _is_number(value):
-            return col.try_cast("double"), lit
+            return read_as(col, dtype, "double"), lit
     elif isinstance(value, str):
         return col, lit.try_cast(dtype)
     return col, lit
@@ -116,11 +116,11 @@ def regex_check(schema: T.StructType, column: str, params: Params) -> Column:
 def data_type(schema: T.StructType, column: str, params: Params) -> Column:
     """Value that cannot be read as the expected type; null passes."""
     target = C.CASTABLE_TYPES.get(params.get("expected_type", "string"))
-    column_type(schema, column)
+    dtype = column_type(schema, column)
     if target is None:
         return F.lit(False)
     col = quoted(column)
-    return col.isNotNull() & col.try_cast(target).isNull()
+    return col.isNotNull() & read_as(col, dtype, target).isNull()
 
 
 def _condition(schema: T.StructType, params: Params) -> Column | None:

@@ -60,6 +60,7 @@ def plan_rules(
     and does not disturb the others."""
     plan = RulePlan([r for r in rule_list(rules) if r.active])
     view: str | None = None
+    patterns_hold = _valid_patterns(df, [p for r in plan.rules for p in _patterns(r)])
     for seq, rule in enumerate(plan.rules):
         try:
             if rule.rule_type == C.UNIQUENESS:
@@ -84,21 +85,54 @@ def plan_rules(
             elif rule.rule_type == C.FRESHNESS:
                 plan.freshness[seq] = _stale(df.schema, rule, as_of)
             else:
-                _require_valid_patterns(df, rule)
-                failing = ROW_RULES[rule.rule_type](df.schema, rule.column, rule.params)
-                df.select(failing).schema  # analysis happens here, per rule
-                plan.rows[seq] = failing
+                if not patterns_hold and not _valid_patterns(df, _patterns(rule)):
+                    raise RuleProblem(f"invalid pattern: {_patterns(rule)}")
+                plan.rows[seq] = ROW_RULES[rule.rule_type](df.schema, rule.column, rule.params)
         except (PySparkException, RuleProblem, TypeError, KeyError, ValueError) as problem:
             plan.errors[seq] = str(problem).splitlines()[0]
+    _drop_unanalysable(df, plan)
     return plan
 
 
-def _require_valid_patterns(df: DataFrame, rule: Rule) -> None:
-    """A malformed pattern would only surface while rows are read; find it now.  The
-    query has no table, so it is folded on the driver and starts no job."""
-    for params in (rule.params, rule.params.get("then_params") or {}):
-        if "pattern" in params:
-            df.sparkSession.sql("SELECT '' RLIKE :p AS ok", args={"p": params["pattern"]}).collect()
+def _analysed(df: DataFrame, columns: list[Column]) -> str | None:
+    """The error Spark's analysis reports for the columns, if any.  Starts no job."""
+    try:
+        df.select(*columns).schema
+    except PySparkException as problem:
+        return str(problem).splitlines()[0]
+    return None
+
+
+def _drop_unanalysable(df: DataFrame, plan: RulePlan) -> None:
+    """Turn conditions that do not type-check into errors: all at once, and one by one
+    only if some are broken."""
+    if plan.rows and _analysed(df, list(plan.rows.values())):
+        for seq, failing in list(plan.rows.items()):
+            problem = _analysed(df, [failing])
+            if problem:
+                plan.errors[seq] = problem
+                del plan.rows[seq]
+
+
+def _patterns(rule: Rule) -> list[str]:
+    return [
+        params["pattern"]
+        for params in (rule.params, rule.params.get("then_params") or {})
+        if "pattern" in params
+    ]
+
+
+def _valid_patterns(df: DataFrame, patterns: list[str]) -> bool:
+    """Whether all patterns compile.  A malformed one would only surface while rows are
+    read.  The query has no table, so it is folded on the driver and starts no job."""
+    if not patterns:
+        return True
+    tests = ", ".join(f"'' RLIKE :p{i}" for i in range(len(patterns)))
+    try:
+        df.sparkSession.sql(f"SELECT {tests}", args={f"p{i}": p for i, p in enumerate(patterns)}).collect()
+    except PySparkException:
+        return False
+    return True
 
 
 def _reference_keys(rule: Rule, refs: Mapping[str, DataFrame]) -> DataFrame:

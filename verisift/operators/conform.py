@@ -10,17 +10,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verisift.functions import constants as C
-from verisift.functions.expressions import quoted, stamp
+from verisift.functions.expressions import quoted, read_as, stamp
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """The schema's columns in its order: existing ones cast (null where the value cannot
     be read), missing ones null, others dropped."""
-    return df.select(*[
-        (quoted(f.name).try_cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType))
-        .alias(f.name)
-        for f in schema.fields
-    ])
+    given = {f.name: f.dataType for f in df.schema.fields}
+
+    def column(f: T.StructField) -> Column:
+        if f.name not in given:
+            return F.lit(None).cast(f.dataType).alias(f.name)
+        if given[f.name] == f.dataType:
+            return quoted(f.name)
+        return read_as(quoted(f.name), given[f.name], f.dataType.simpleString()).alias(f.name)
+
+    return df.select(*[column(f) for f in schema.fields])
 
 
 def rename_by_position(df: DataFrame, source: T.StructType, target: T.StructType | None) -> DataFrame:

@@ -19,7 +19,7 @@ from verisift.functions.constraints import IS_ONE, Assertion, Call, ConstraintPr
 from verisift.functions.expressions import flag, quoted
 from verisift.functions.predicates import column_type
 
-from .profile import class_counts, declared_class, value_class
+from .profile import CLASSES, class_counts, declared_class, value_class
 
 METRICS_PER_SCAN = 100
 
@@ -67,10 +67,8 @@ def _type_share(schema: T.StructType, column: str, wanted: str | None) -> Column
     declared = declared_class(column_type(schema, column))
     if declared is not None:
         return F.max(F.lit(1.0 if wanted in (None, declared) else 0.0))
-    position = schema.fieldNames().index(column)
-    counts = class_counts(schema.fields[position], position)
-    classes = ("Integral", "Fractional", "Boolean", "String")
-    best = F.greatest(*counts) if wanted is None else counts[classes.index(wanted)]
+    counts = class_counts(value_class(quoted(column)))
+    best = F.greatest(*counts) if wanted is None else counts[CLASSES.index(wanted)]
     return best / F.nullif(F.count(quoted(column)), F.lit(0))
 
 

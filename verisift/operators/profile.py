@@ -1,10 +1,10 @@
 """Dataset and column profiles.
 
-One aggregate computes every scalar statistic.  Value frequencies of all columns come
-from one grouping of ``(column, value)`` pairs, which yields exact distinct counts and the
-most frequent values together; partial counts are combined before the shuffle, so a
-frequent value costs one row per task.  ``exact=False`` replaces distinct counts by
-sketches inside the first aggregate and groups only the text columns.
+One aggregate computes every scalar statistic.  Exact distinct counts and the most frequent
+values come from groupings of ``(column, value)`` pairs, one per value type; partial counts
+are combined before the shuffle, so a frequent value costs one row per task.
+``exact=False`` replaces distinct counts by sketches inside the first aggregate and groups
+only the text columns.
 """
 
 from __future__ import annotations
@@ -90,25 +90,66 @@ def _scalar_rows(df: DataFrame, exact: bool) -> DataFrame:
     return wide.select(F.inline(F.array(*rows)))
 
 
-def value_frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``position, value, n`` for every distinct non-null value of the columns.
+def _group_type(dtype: T.DataType) -> T.DataType:
+    """Type in which values are counted: integers share one, types that cannot be grouped
+    are counted by their text, all others as they are."""
+    if isinstance(dtype, T.IntegralType):
+        return T.LongType()
+    if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType, T.VariantType, T.BinaryType)):
+        return T.StringType()
+    return dtype
+
 
-    ``position`` is the column's place in the table; values are in text form."""
-    pairs = [
-        F.struct(F.lit(i).alias("position"), distinct_key(f).alias("value"))
-        for i, f in enumerate(df.schema.fields)
-        if columns is None or f.name in columns
+def _value_counts(df: DataFrame, fields: list[tuple[int, T.StructField]], dtype: T.DataType) -> DataFrame:
+    """``position, value, n`` of columns that are counted in one type."""
+    text = isinstance(dtype, T.StringType)
+    named = [
+        (distinct_key(f) if text else quoted(f.name).cast(dtype)).alias(str(i)) for i, f in fields
     ]
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "position int, value string, n bigint")
     return (
-        df.select(F.inline(F.array(*pairs)))
+        df.select(*named)
+        .unpivot([], [str(i) for i, _ in fields], "place", "value")
         .filter(F.col("value").isNotNull())
-        .groupBy("position", "value")
+        .groupBy("place", "value")
         .agg(F.count(F.lit(1)).alias("n"))
+        .select(F.col("place").cast("int").alias("position"), "value", "n")
     )
 
 
+def _by_type(df: DataFrame) -> dict[T.DataType, list[tuple[int, T.StructField]]]:
+    groups: dict[T.DataType, list[tuple[int, T.StructField]]] = {}
+    for i, f in enumerate(df.schema.fields):
+        groups.setdefault(_group_type(f.dataType), []).append((i, f))
+    return groups
+
+
+def _text_fields(df: DataFrame) -> list[tuple[int, T.StructField]]:
+    return [(i, f) for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, T.StringType)]
+
+
+def text_frequencies(df: DataFrame) -> DataFrame:
+    """``position, value, n`` for every distinct non-null value of the text columns."""
+    fields = _text_fields(df)
+    if not fields:
+        return df.sparkSession.createDataFrame([], "position int, value string, n bigint")
+    return _value_counts(df, fields, T.StringType())
+
+
+def distinct_counts(df: DataFrame) -> DataFrame:
+    """``position, exact_distinct`` of every column that has a value.
+
+    Columns of one type are counted together: each branch scans only its own columns, and
+    values are shuffled in their own type after partial counting."""
+    branches = [
+        _value_counts(df, fields, dtype).groupBy("position").agg(F.count(F.lit(1)).alias("exact_distinct"))
+        for dtype, fields in _by_type(df).items()
+    ]
+    result = branches[0]
+    for branch in branches[1:]:
+        result = result.unionByName(branch)
+    return result
+
+
 def top_values(frequencies: DataFrame, n: int) -> DataFrame:
     """The ``n`` most frequent values per column, ties broken by value."""
     return first_per_group(frequencies, "position", [F.col("n").desc(), F.col("value").asc()], n)
@@ -129,12 +170,14 @@ def profile(df: DataFrame, *, exact: bool = True) -> DataFrame:
     ``top_values`` holds the ten most frequent values of text columns; ``domain_values``
     all values of a text column that has at most twenty.
     """
-    scalars = _scalar_rows(df, exact)
-    text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    frequencies = value_frequencies(df, None if exact else text)
-    distinct = frequencies.groupBy("position").agg(F.count(F.lit(1)).alias("exact_distinct"))
-    joined = scalars.join(distinct, "position", "left").join(
-        _top_lists(frequencies), "position", "left"
+    frequencies = text_frequencies(df)
+    if exact:
+        distinct = distinct_counts(df)
+    else:
+        distinct = frequencies.groupBy("position").agg(F.count(F.lit(1)).alias("exact_distinct"))
+    # All three have one row per column of the table.
+    joined = _scalar_rows(df, exact).join(F.broadcast(distinct), "position", "left").join(
+        F.broadcast(_top_lists(frequencies)), "position", "left"
     )
     known = F.coalesce(F.col("exact_distinct"), F.col("approx_distinct"), F.lit(0).cast("bigint"))
     is_text = F.col("data_type") == "string"
@@ -182,10 +225,20 @@ def dataset_listing(documents: DataFrame) -> DataFrame:
 
 # --- value classes ------------------------------------------------------------------
 
+CLASSES = ("Integral", "Fractional", "Boolean", "String")
+
+# First characters a value of another class than String can have
+CLASS_STARTS = tuple("0123456789+- .tf")
+
+
 def value_class(value: Column) -> Column:
-    """Integral, Fractional, Boolean or String for a text value; null stays null."""
+    """Integral, Fractional, Boolean or String for a text value; null stays null.
+
+    Most text is settled by its first character; an anchored pattern would still be tried
+    at every position of a long text."""
     return (
         F.when(value.isNull(), F.lit(None).cast("string"))
+        .when(~F.substring(value, 1, 1).isin(*CLASS_STARTS), "String")
         .when(value.rlike(C.INTEGRAL_PATTERN), "Integral")
         .when(value.rlike(C.FRACTIONAL_PATTERN), "Fractional")
         .when(value.rlike(C.BOOLEAN_PATTERN), "Boolean")
@@ -193,13 +246,9 @@ def value_class(value: Column) -> Column:
     )
 
 
-def class_counts(field: T.StructField, i: int) -> list[Column]:
-    """Aggregates counting each value class of one column (text columns only)."""
-    cls = value_class(quoted(field.name))
-    return [
-        tally(cls == name).alias(f"{name.lower()}{i}")
-        for name in ("Integral", "Fractional", "Boolean", "String")
-    ]
+def class_counts(cls: Column) -> list[Column]:
+    """Aggregates counting each value class."""
+    return [tally(cls == name) for name in CLASSES]
 
 
 def widest_class(integral: Column, fractional: Column, boolean: Column, string: Column) -> Column:
@@ -231,18 +280,28 @@ def column_stats(df: DataFrame) -> DataFrame:
     """``position, column_name, rows, completeness, data_type, approx distinct, minimum``
     per column, from one aggregate with no shuffle of values."""
     fields = df.schema.fields
+    # The class of a text value is used several times below, so it is computed first.
+    classed = df.select(
+        *[quoted(f.name).alias(f"c{i}") for i, f in enumerate(fields)],
+        *[distinct_key(f).alias(f"key{i}") for i, f in enumerate(fields)],
+        *[value_class(quoted(f.name)).alias(f"cls{i}")
+          for i, f in enumerate(fields) if declared_class(f.dataType) is None],
+    )
     aggregates = [F.count(F.lit(1)).alias("rows")]
     for i, f in enumerate(fields):
-        aggregates.append(F.count(quoted(f.name)).alias(f"nn{i}"))
-        aggregates.append(F.approx_count_distinct(distinct_key(f)).alias(f"ad{i}"))
+        col = F.col(f"c{i}")
+        aggregates.append(F.count(col).alias(f"nn{i}"))
+        aggregates.append(F.approx_count_distinct(f"key{i}").alias(f"ad{i}"))
         if declared_class(f.dataType) is None:
-            aggregates += class_counts(f, i)
-            aggregates.append(F.min(quoted(f.name).try_cast("double")).alias(f"lo{i}"))
+            cls = F.col(f"cls{i}")
+            aggregates += [c.alias(f"{n.lower()}{i}") for n, c in zip(CLASSES, class_counts(cls))]
+            number = F.when(cls.isin("Integral", "Fractional"), col.try_cast("double"))
+            aggregates.append(F.min(number).alias(f"lo{i}"))
         elif _is_numeric(f.dataType):
-            aggregates.append(F.min(quoted(f.name)).cast("double").alias(f"lo{i}"))
+            aggregates.append(F.min(col).cast("double").alias(f"lo{i}"))
         else:
-            aggregates.append(F.lit(None).cast("double").alias(f"lo{i}"))
-    wide = df.agg(*aggregates)
+            aggregates.append(F.max(F.lit(None).cast("double")).alias(f"lo{i}"))
+    wide = classed.agg(*aggregates)
     rows = []
     for i, f in enumerate(fields):
         declared = declared_class(f.dataType)

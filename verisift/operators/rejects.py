@@ -26,14 +26,26 @@ from .skew import first_per_group, rows_with_values
 MAX_BROADCAST_KEYS = 100_000
 
 
+def _missing_beyond_share(df: DataFrame, column: str, min_ratio: float) -> Column:
+    """Null rows of a column whose share of present values is too low."""
+    missing = quoted(column).isNull()
+    share = df.agg(F.avg((~missing).cast("double"))).scalar()
+    return flag(missing & (share < min_ratio))
+
+
 def failing_rules(df: DataFrame, plan: RulePlan) -> Column:
-    """Positions of the row rules that a row fails."""
+    """One entry per row rule: its position where the row fails it, else null.
+
+    Nulls are dropped after exploding; compacting the array here would take the rule
+    conditions out of generated code."""
     failing = dict(plan.rows)
     for seq, min_ratio in plan.completeness.items():
-        missing = quoted(plan.rules[seq].column).isNull()
-        share = df.agg(F.avg((~missing).cast("double"))).scalar()
-        failing[seq] = flag(missing & (share < min_ratio))
-    return F.array_compact(F.array(*[F.when(fails, F.lit(seq)) for seq, fails in failing.items()]))
+        failing[seq] = _missing_beyond_share(df, plan.rules[seq].column, min_ratio)
+    return F.array(*[F.when(fails, F.lit(seq)) for seq, fails in failing.items()])
+
+
+def _exploded(rows: DataFrame, marks: Column, *kept) -> DataFrame:
+    return rows.select(*kept, F.explode(marks).alias("__seq")).filter(F.col("__seq").isNotNull())
 
 
 def _order(df: DataFrame, keys: list[str] | None) -> list[Column]:
@@ -42,7 +54,7 @@ def _order(df: DataFrame, keys: list[str] | None) -> list[Column]:
 
 def _hits(df: DataFrame, plan: RulePlan) -> DataFrame:
     """One row per (row, failed row rule) with all columns of the table."""
-    return df.select("*", F.explode(failing_rules(df, plan)).alias("__seq"))
+    return _exploded(df, failing_rules(df, plan), "*")
 
 
 def _sampled_hits(df: DataFrame, plan: RulePlan, keys: list[str], n: int) -> DataFrame:
@@ -51,9 +63,8 @@ def _sampled_hits(df: DataFrame, plan: RulePlan, keys: list[str], n: int) -> Dat
     The ranking reads only the keys and the columns the rules use; whole rows are then
     fetched for the chosen keys, of which there are at most ``n`` per rule.
     """
-    narrow = df.select(
-        *[quoted(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-        F.explode(failing_rules(df, plan)).alias("__seq"),
+    narrow = _exploded(
+        df, failing_rules(df, plan), *[quoted(k).alias(f"__k{i}") for i, k in enumerate(keys)]
     )
     names = [f"__k{i}" for i in range(len(keys))]
     chosen = first_per_group(narrow, "__seq", [F.col(k) for k in names], n)
@@ -172,7 +183,7 @@ def failing_rows(
     if plan.rows:
         return df.filter(plan.rows[0])
     if plan.completeness:
-        return df.filter(F.size(failing_rules(df, plan)) > 0)
+        return df.filter(_missing_beyond_share(df, plan.rules[0].column, plan.completeness[0]))
     if plan.unique:
         columns = plan.unique[0]
         return rows_with_values(df, columns, value_counts(df, columns).filter(F.col("__n") > 1))

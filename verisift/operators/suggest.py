@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from verisift.functions import constants as C
 from verisift.functions.expressions import quoted, stamp
 
-from .profile import column_stats, declared_class, top_values, value_frequencies
+from .profile import column_stats, declared_class, text_frequencies, top_values
 
 # Thresholds of the suggested rules
 MAX_NULL_PERCENT = 5
@@ -197,7 +197,7 @@ def _category_lists(df: DataFrame, stats: DataFrame) -> DataFrame:
             "position", "column_name", F.lit(4).alias("order"),
             F.lit("").alias("constraint_rule"), F.lit("").alias("constraint_desc"),
         ).limit(0)
-    frequencies = value_frequencies(df, text)
+    frequencies = text_frequencies(df)
     size = frequencies.groupBy("position").agg(
         F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("present")
     )
