@@ -235,7 +235,20 @@ def test_rejects_capped_and_whole(spark, keys):
         "A": 5000, "B": 30, "U": 5000, "S": 4990}
     if keys == ["id"]:
         found = rejects(df, rules, **common).filter("rule_id = 'A'").collect()
-        assert {r["row_key"] for r in found} == {str(i) for i in range(100)}
+        order = df.select("id", F.shiftrightunsigned(F.xxhash64("id"), 1).alias("h")).orderBy("h", "id")
+        assert {r["row_key"] for r in found} == {str(r["id"]) for r in order.limit(100).collect()}
+
+
+def test_sample_bounds_are_tight_and_sufficient(spark):
+    from verisift.operators.skew import order_hash, sample_bounds, slice_of
+    rows = spark.range(50000).select((F.col("id") % 2).alias("g"), order_hash("id").alias("h"))
+    rows = rows.withColumn("s", slice_of(F.col("h")))
+    assert rows.agg(F.min("s"), F.max("s")).first()[:] == (0, 4095)
+    bounds = sample_bounds(rows, "g", "s", 100)
+    kept = rows.join(bounds, "g").filter("s <= __bound").groupBy("g").count().collect()
+    assert len(kept) == 2 and all(100 <= r["count"] < 150 for r in kept)
+    few = sample_bounds(rows.limit(10), "g", "s", 100)
+    assert rows.limit(10).join(few, "g").filter("s <= __bound").count() == 10
 
 
 def test_rejects_are_repeatable(spark, employees):

@@ -20,10 +20,7 @@ from verisift.functions.expressions import (
 )
 
 from .checks import RulePlan, Rules, plan_rules, rule_facts, unmatched_values, value_counts
-from .skew import first_per_group, rows_with_values
-
-# Sampled keys up to this number are sent to every executor; beyond it Spark picks the join.
-MAX_BROADCAST_KEYS = 100_000
+from .skew import first_per_group, order_hash, rows_with_values, sample_bounds, slice_of
 
 
 def _missing_beyond_share(df: DataFrame, column: str, min_ratio: float) -> Column:
@@ -48,34 +45,33 @@ def _exploded(rows: DataFrame, marks: Column, *kept) -> DataFrame:
     return rows.select(*kept, F.explode(marks).alias("__seq")).filter(F.col("__seq").isNotNull())
 
 
-def _order(df: DataFrame, keys: list[str] | None) -> list[Column]:
-    return [*[quoted(k) for k in keys or []], F.col("__hash")]
+def _hash(df: DataFrame, keys: list[str] | None) -> Column:
+    """What samples are ordered by: a hash of the key columns, or of the whole row."""
+    if keys:
+        return order_hash(*[quoted(k) for k in keys])
+    return F.shiftrightunsigned(content_hash(df), 1)
 
 
-def _hits(df: DataFrame, plan: RulePlan) -> DataFrame:
-    """One row per (row, failed row rule) with all columns of the table."""
-    return _exploded(df, failing_rules(df, plan), "*")
+def _order(keys: list[str] | None) -> list[Column]:
+    return [F.col("__hash"), *[quoted(k) for k in keys or []], F.col("__content")]
 
 
-def _sampled_hits(df: DataFrame, plan: RulePlan, keys: list[str], n: int) -> DataFrame:
-    """Rows that can be among the first ``n`` of a rule in key order.
+def _hits(df: DataFrame, plan: RulePlan, keys: list[str] | None, n: int | None) -> DataFrame:
+    """One row per (row, failed row rule) with all columns of the table; with ``n``, only
+    rows that can be among the first ``n`` of a rule.
 
-    The ranking reads only the keys and the columns the rules use; whole rows are then
-    fetched for the chosen keys, of which there are at most ``n`` per rule.
-    """
-    narrow = _exploded(
-        df, failing_rules(df, plan), *[quoted(k).alias(f"__k{i}") for i, k in enumerate(keys)]
-    )
-    names = [f"__k{i}" for i in range(len(keys))]
-    chosen = first_per_group(narrow, "__seq", [F.col(k) for k in names], n)
-    chosen = chosen.groupBy(*names).agg(F.collect_set("__seq").alias("__chosen"))
-    if len(plan.rules) * n <= MAX_BROADCAST_KEYS:
-        chosen = F.broadcast(chosen)
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        same = same & quoted(k).eqNullSafe(F.col(f"__k{i}"))
-    picked = F.array_intersect(failing_rules(df, plan), F.col("__chosen"))
-    return df.join(chosen, same).select("*", F.explode(picked).alias("__seq")).drop("__chosen", *names)
+    A first pass counts each rule's failing rows per slice of the hash range (it reads the
+    keys and the columns the rules use), so the second pass keeps little more than ``n``
+    rows per rule and nothing larger is ever sorted."""
+    hashed = df.withColumn("__hash", _hash(df, keys))
+    marks = failing_rules(df, plan)
+    hits = _exploded(hashed, marks, "*")
+    if n is None:
+        return hits
+    slices = _exploded(hashed, marks, slice_of(F.col("__hash")).alias("__slice"))
+    bounds = sample_bounds(slices, "__seq", "__slice", n)  # one row per rule
+    kept = hits.join(F.broadcast(bounds), "__seq").filter(slice_of(F.col("__hash")) <= F.col("__bound"))
+    return kept.drop("__bound")
 
 
 def _records(rows: DataFrame, plan: RulePlan, keys: list[str] | None, columns: list[str]) -> DataFrame:
@@ -110,26 +106,27 @@ def rejects(
 ) -> DataFrame:
     """One audit record per (failing row, rule).
 
-    ``sample`` caps the records of each rule to the first rows in key order; ``None``
-    keeps every failing row, without any ranking or shuffle for row rules.  ``keys`` name
-    the columns that identify a row; without them rows are ordered by a hash of their
-    content, which unlike a running row number survives re-computation.
+    ``sample`` caps the records of each rule to the first rows in the order of a hash of
+    the ``keys`` that identify a row, or of the row's content when no keys are given; unlike
+    a running row number this order survives re-computation, and it spreads the sample over
+    the table.  ``None`` keeps every failing row, without any ranking or shuffle for row
+    rules.
     """
     plan = plan_rules(df, rules, dataset_id=dataset_id, as_of=as_of, refs=refs)
     columns = df.columns
     parts: list[DataFrame] = []
 
     def add(rows: DataFrame, names: list[str], ranked_by: list[str] | None) -> None:
-        hashed = rows.withColumn("__hash", content_hash(rows.select(*[quoted(c) for c in names])))
+        if "__hash" not in rows.columns:
+            rows = rows.withColumn("__hash", _hash(rows.select(*[quoted(c) for c in names]), ranked_by))
         if sample is not None:
-            hashed = first_per_group(hashed, "__seq", _order(hashed, ranked_by), sample)
-        parts.append(_records(hashed, plan, ranked_by, names))
+            content = content_hash(rows.select(*[quoted(c) for c in names]))
+            ranked = rows.withColumn("__content", content)
+            rows = first_per_group(ranked, "__seq", _order(ranked_by), sample)
+        parts.append(_records(rows, plan, ranked_by, names))
 
     if plan.rows or plan.completeness:
-        if sample is not None and keys:
-            add(_sampled_hits(df, plan, keys, sample), columns, keys)
-        else:
-            add(_hits(df, plan), columns, keys)
+        add(_hits(df, plan, keys, sample), columns, keys)
     for seq, unique in plan.unique.items():
         repeated = value_counts(df, unique).filter(F.col("__n") > 1)
         add(rows_with_values(df, unique, repeated).withColumn("__seq", F.lit(seq)), columns, keys)

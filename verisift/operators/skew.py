@@ -15,6 +15,9 @@ HOT_ROWS = 1_000_000
 # Intermediate groups of a per-group top-n.
 SPREAD = 64
 
+# Slices of the hash range, as a power of two, from which a sample's bound is read.
+SLICE_BITS = 12
+
 
 def rows_with_values(
     df: DataFrame, columns: list[str], counts: DataFrame, hot_rows: int = HOT_ROWS
@@ -55,3 +58,25 @@ def first_per_group(df: DataFrame, group: str, order: list[Column], n: int) -> D
         .withColumn("__rank", F.row_number().over(whole))
         .filter(F.col("__rank") <= n)
     )
+
+
+def order_hash(*columns: Column) -> Column:
+    """Non-negative hash that orders the rows of a sample."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 1)
+
+
+def slice_of(order: Column) -> Column:
+    """Slice of the hash range a row falls into; grows with its hash."""
+    return F.shiftright(order, 63 - SLICE_BITS).cast("int")
+
+
+def sample_bounds(rows: DataFrame, group: str, slice_name: str, n: int) -> DataFrame:
+    """``group, __bound``: the slice up to which a group's first ``n`` rows in hash order
+    are certain to lie.
+
+    Rows are only counted per slice, which combines before the shuffle; the result has one
+    row per group."""
+    counts = rows.groupBy(group, slice_name).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(W.partitionBy(group).orderBy(slice_name)) - F.col("__n")
+    needed = counts.withColumn("__before", before).filter(F.col("__before") < n)
+    return needed.groupBy(group).agg(F.max(slice_name).alias("__bound"))

@@ -380,9 +380,12 @@ def rejects_by_rule(spark, sf_dir):
     return customer_rejects(spark, sf_dir, sample=None).select(*REJECT_COLUMNS)
 
 
-@_query("rejects_sample", REJECTS_SQL + f"\nSELECT {REJECT_SQL_COLUMNS} FROM ranked WHERE rn <= 100")
+@_query("rejects_sample", REJECTS_SQL + """
+SELECT rule_id, "column", severity, least(count(*), 100) AS records, least(count(*), 100) AS rows_sampled FROM ranked GROUP BY 1, 2, 3""")
 def rejects_sample(spark, sf_dir):
-    return customer_rejects(spark, sf_dir).select(*REJECT_COLUMNS)
+    found = customer_rejects(spark, sf_dir)
+    return found.groupBy("rule_id", "column", "severity").agg(
+        F.count(F.lit(1)).alias("records"), F.count_distinct("row_key").alias("rows_sampled"))
 
 
 LINEITEM_RULES = [
@@ -402,12 +405,11 @@ def rejects_without_keys(spark, sf_dir):
     return found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("records"))
 
 
-@_query("audit_for_run", REJECTS_SQL + f""",
-capped AS (SELECT * FROM ranked WHERE rn <= 100)
-SELECT {REJECT_SQL_COLUMNS}, '2024-03-05T00:00:00' AS detected_at, (SELECT count(*) FROM capped) AS total_anomalies
-FROM capped ORDER BY rule_id, row_key, anomaly_id LIMIT 50""")
+@_query("audit_for_run", REJECTS_SQL + f"""
+SELECT {REJECT_SQL_COLUMNS}, '2024-03-05T00:00:00' AS detected_at, (SELECT count(*) FROM found) AS total_anomalies
+FROM ranked ORDER BY rule_id, row_key, anomaly_id LIMIT 50""")
 def audit_for_run(spark, sf_dir):
-    trail = audit_trail(customer_rejects(spark, sf_dir), RUN_ID, first=50)
+    trail = audit_trail(customer_rejects(spark, sf_dir, sample=None), RUN_ID, first=50)
     return trail.select(*REJECT_COLUMNS, "detected_at", "total_anomalies")
 
 
