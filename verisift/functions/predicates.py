@@ -1,4 +1,7 @@
-"""Row-level rules as boolean columns that are true on failing rows, never null."""
+"""Row-level rules as boolean columns that are true on failing rows.
+
+They are used to filter and to count only, where null means not failing, so null is left as
+it is: a condition wrapped to be two-valued would no longer be pushed down to the scan."""
 
 from __future__ import annotations
 
@@ -69,7 +72,7 @@ def not_null(schema: T.StructType, column: str, params: Params) -> Column:
         raise RuleProblem(f"{C.NOT_NULL} cannot test {dtype.simpleString()} column {column}")
     col = quoted(column)
     if isinstance(dtype, T.StringType):
-        return flag(col.isNull() | (F.trim(col) == ""))
+        return col.isNull() | (F.trim(col) == "")
     return col.isNull()  # the text of a number, date or boolean is never blank
 
 
@@ -81,7 +84,7 @@ def length_check(schema: T.StructType, column: str, params: Params) -> Column:
     size = F.length(quoted(column))
     low = params.get("min_length", 0)
     high = params.get("max_length", C.DEFAULT_MAX_LENGTH)
-    return flag((size < low) | (size > high))
+    return (size < low) | (size > high)
 
 
 def range_check(schema: T.StructType, column: str, params: Params) -> Column:
@@ -91,10 +94,10 @@ def range_check(schema: T.StructType, column: str, params: Params) -> Column:
     outside = F.lit(False)
     if low is not None:
         value, bound = _sides(schema, column, low)
-        outside = outside | flag(value < bound)
+        outside = outside | (value < bound)
     if high is not None:
         value, bound = _sides(schema, column, high)
-        outside = outside | flag(value > bound)
+        outside = outside | (value > bound)
     return outside
 
 
@@ -104,13 +107,13 @@ def domain_check(schema: T.StructType, column: str, params: Params) -> Column:
     column_type(schema, column)
     if not allowed:
         return F.lit(False)
-    return flag(~_members(schema, column, allowed))
+    return ~_members(schema, column, allowed)
 
 
 def regex_check(schema: T.StructType, column: str, params: Params) -> Column:
     """Pattern not found anywhere in the value; null passes."""
     column_type(schema, column)
-    return flag(~quoted(column).cast("string").rlike(params.get("pattern", ".*")))
+    return ~quoted(column).cast("string").rlike(params.get("pattern", ".*"))
 
 
 def data_type(schema: T.StructType, column: str, params: Params) -> Column:
@@ -152,7 +155,7 @@ def conditional(schema: T.StructType, column: str, params: Params) -> Column:
     build = DEPENDENT.get(then_type)
     if build is None:
         return F.lit(False)
-    return flag(condition) & build(schema, column, params.get("then_params") or {})
+    return condition & build(schema, column, params.get("then_params") or {})
 
 
 # Checks a conditional rule may apply once its condition holds.

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verisift.functions import constants as C
-from verisift.functions.expressions import flag, percent, quoted, stamp, tally
+from verisift.functions.expressions import percent, quoted, stamp, tally
 from verisift.functions.predicates import ROW_RULES, RuleProblem, column_type
 from verisift.functions.rules import Rule, rule_list
 

@@ -13,7 +13,6 @@ from verisift.functions.expressions import (
     as_iso_text,
     content_hash,
     digest_id,
-    flag,
     quoted,
     row_json,
     stamp,
@@ -27,7 +26,7 @@ def _missing_beyond_share(df: DataFrame, column: str, min_ratio: float) -> Colum
     """Null rows of a column whose share of present values is too low."""
     missing = quoted(column).isNull()
     share = df.agg(F.avg((~missing).cast("double"))).scalar()
-    return flag(missing & (share < min_ratio))
+    return missing & (share < min_ratio)
 
 
 def failing_rules(df: DataFrame, plan: RulePlan) -> Column:

@@ -1,6 +1,8 @@
 """Roll-ups of check results: run summary, health per column, alerts, exports.
 
-Inputs here have one row per rule or per failing sample, not per row of data.
+Inputs here have one row per rule or per failing sample, not per row of data.  Store the
+results and the audit records before deriving several frames from them, as ``run_rules``
+does; each frame would otherwise scan the data again.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ def summarise(
     status = F.col("status")
     severe = (status == C.FAILED) & F.col("severity").isin("critical", "high")
     counted = results.agg(
+        # taken from the rows, so that joins on it stay joins on a column
+        F.coalesce(F.max("run_id"), F.lit(run_id)).alias("run_id"),
         F.count(F.lit(1)).alias("total_rules"),
         tally(status == C.PASSED).alias("passed_rules"),
         tally(status == C.FAILED).alias("failed_rules"),
@@ -40,7 +44,7 @@ def summarise(
         .otherwise(C.PASSED)
     )
     return counted.select(
-        F.lit(run_id).alias("run_id"),
+        "run_id",
         F.lit(dataset_id).alias("dataset_id"),
         overall.alias("overall_status"),
         score.alias("overall_score"),

@@ -110,9 +110,17 @@ def profile_batch(spark, sf_dir):
     return rows.drop("approx_num_distinct_values", "audit_create_date")
 
 
-@_query("profile_sketched")
+# Sketched distinct counts are estimates: the query says whether each is within a tenth of
+# the exact count.
+@_query("profile_sketched", _union([
+    f"SELECT '{c}' AS column_name, count(*) AS row_count, true AS close FROM lineitem" for c in LINEITEM_COLUMNS]))
 def profile_sketched(spark, sf_dir):
-    return profile(table(spark, sf_dir, "lineitem"), exact=False).select("column_name", "row_count", "distinct_count", "uniqueness_ratio")
+    df = table(spark, sf_dir, "lineitem")
+    sketched, exact = profile(df, exact=False), profile(df)
+    both = sketched.select("column_name", "row_count", F.col("distinct_count").alias("estimate")).join(
+        exact.select("column_name", "distinct_count"), "column_name")
+    error = F.abs(F.col("estimate") - F.col("distinct_count")) / F.col("distinct_count")
+    return both.select("column_name", "row_count", (error <= 0.1).alias("close"))
 
 
 @_query("profile_document", """
@@ -123,9 +131,10 @@ def profile_document_query(spark, sf_dir):
     return dataset_listing(document).withColumn("columns", F.array_join("columns", ","))
 
 
-@_query("sample_rows")
+@_query("sample_rows", """
+SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, user_id, event_type, value, props FROM events ORDER BY event_id LIMIT 10""")
 def sample_rows_query(spark, sf_dir):
-    return sample_rows(table(spark, sf_dir, "events"), 10)
+    return sample_rows(table(spark, sf_dir, "events").orderBy("event_id"), 10)
 
 
 # --- suggestions ---------------------------------------------------------------------------
@@ -135,31 +144,33 @@ SUGGESTED_TYPES = (
 )
 
 
-def _suggest_sql() -> str:
+def _suggest_sql(source: str, columns: tuple[tuple[str, str], ...]) -> str:
     stats = _union([
-        f"SELECT {i} AS pos, '{c}' AS col, '{kind}' AS kind, count(*) - count({c}) AS nulls, "
+        f"SELECT {i} AS pos, '{c}' AS col, '{kind}' AS kind, count(*) AS n, count(*) - count({c}) AS nulls, "
         f"round((count(*) - count({c})) * 100.0::DOUBLE / count(*), 2) AS null_pct, "
         f"round(count(DISTINCT {c}) * 100.0::DOUBLE / count(*), 2) AS uniq, count(DISTINCT {c}) AS nd, "
+        f"(SELECT coalesce(sum(k), 0) FROM (SELECT count(*) AS k FROM d GROUP BY {c}) AS g WHERE k > 1) AS repeated, "
         + (f"CAST(min({c}) AS DOUBLE) AS lo, CAST(max({c}) AS DOUBLE) AS hi, NULL AS minlen, NULL AS maxlen" if kind == "n"
            else f"NULL AS lo, NULL AS hi, min(length({c})) AS minlen, max(length({c})) AS maxlen")
         + " FROM d"
-        for i, (c, kind) in enumerate(SUGGESTED_TYPES)
+        for i, (c, kind) in enumerate(columns)
     ])
     return f"""
-WITH d AS ({DIRTY_CUSTOMER_SQL}),
+WITH d AS ({source}),
 s AS ({stats}),
 r AS (
   SELECT pos, 1 AS ord, col, 'not_null' AS rule_type, CASE WHEN nulls = 0 THEN 'high' ELSE 'medium' END AS severity,
-         NULL AS low, NULL AS high FROM s WHERE null_pct < 5
-  UNION ALL SELECT pos, 2, col, 'uniqueness', 'critical', NULL, NULL FROM s WHERE uniq > 95
-  UNION ALL SELECT pos, 3, col, 'domain_check', 'medium', NULL, NULL FROM s WHERE kind = 's' AND nd BETWEEN 1 AND 20
+         NULL AS low, NULL AS high, nulls AS failing, n FROM s WHERE null_pct < 5
+  UNION ALL SELECT pos, 2, col, 'uniqueness', 'critical', NULL, NULL, repeated, n FROM s WHERE uniq > 95
+  UNION ALL SELECT pos, 3, col, 'domain_check', 'medium', NULL, NULL, 0, n FROM s WHERE kind = 's' AND nd BETWEEN 1 AND 20
   UNION ALL SELECT pos, 4, col, 'range_check', 'medium', lo - CASE WHEN hi <> lo THEN abs(hi - lo) * 0.1 ELSE 1 END,
-         hi + CASE WHEN hi <> lo THEN abs(hi - lo) * 0.1 ELSE 1 END FROM s WHERE kind = 'n' AND lo IS NOT NULL
-  UNION ALL SELECT pos, 5, col, 'length_check', 'low', greatest(1, minlen), maxlen + 10 FROM s WHERE kind = 's' AND minlen IS NOT NULL)
+         hi + CASE WHEN hi <> lo THEN abs(hi - lo) * 0.1 ELSE 1 END, 0, n FROM s WHERE kind = 'n' AND lo IS NOT NULL
+  UNION ALL SELECT pos, 5, col, 'length_check', 'low', greatest(1, minlen), maxlen + 10, 0, n FROM s WHERE kind = 's' AND minlen IS NOT NULL)
 """
 
 
-SUGGEST_SQL = _suggest_sql()
+SUGGEST_SQL = _suggest_sql(DIRTY_CUSTOMER_SQL, SUGGESTED_TYPES)
+PART_COLUMNS = (("p_partkey", "n"), ("p_name", "s"), ("p_brand", "s"), ("p_type", "s"), ("p_size", "n"), ("p_retailprice", "n"))
 
 
 @_query("suggest_rules", SUGGEST_SQL + """
@@ -184,7 +195,15 @@ def suggest_domains(spark, sf_dir):
     return rules.filter("rule_type = 'domain_check'").select("column", F.explode(values).alias("value"))
 
 
-@_query("quick_check_summary")
+@_query("quick_check_summary", _suggest_sql("SELECT * FROM part", PART_COLUMNS) + f""",
+v AS (SELECT severity, CASE WHEN failing = 0 THEN 'passed' WHEN round((n - failing) * 100.0::DOUBLE / n, 2) >= 95 THEN 'warning' ELSE 'failed' END AS status FROM r),
+c AS (SELECT count(*) AS total_rules, count(*) FILTER (status = 'passed') AS passed_rules, count(*) FILTER (status = 'failed') AS failed_rules,
+  count(*) FILTER (status = 'warning') AS warning_rules, CAST(0 AS BIGINT) AS error_rules,
+  count(*) FILTER (status = 'failed' AND severity IN ('critical', 'high')) AS severe FROM v),
+w AS (SELECT *, round(passed_rules * 100.0::DOUBLE / total_rules, 2) AS overall_score FROM c)
+SELECT '{RUN_ID}' AS run_id, 'part' AS dataset_id,
+  CASE WHEN severe > 0 OR overall_score < 95 THEN 'failed' WHEN warning_rules > 0 THEN 'warning' ELSE 'passed' END AS overall_status,
+  overall_score, total_rules, passed_rules, failed_rules, warning_rules, error_rules FROM w""")
 def quick_check_summary(spark, sf_dir):
     df = table(spark, sf_dir, "part")
     rules = suggest(profile(df), max_rules=None)

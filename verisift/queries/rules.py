@@ -13,6 +13,8 @@ from verisift.operators.report import (
     supplier_style_report, supplier_style_samples, verdict,
 )
 
+from verisift.session import settle
+
 from .common import (
     AS_OF, DIRTY_CUSTOMER_SQL, DIRTY_ORDERS_SQL, EVENT_TEXT_SQL, RUN_ID, SUPPLIER_STYLE_SQL,
     dirty_customer, dirty_orders, event_text, supplier_style, table,
@@ -298,6 +300,11 @@ def customer_rejects(spark: SparkSession, sf_dir: str, sample: int | None = 100)
     )
 
 
+def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results as a run stores them; reports derive from these, not from the data."""
+    return settle(customer_results(spark, sf_dir))
+
+
 RESULTS_SQL = results_sql(DIRTY_CUSTOMER_SQL, CUSTOMER_RULES, (BROKEN_RULE,))
 SUMMARY_SQL = RESULTS_SQL + f""",
 c AS (SELECT count(*) AS total_rules,
@@ -316,7 +323,7 @@ def ruleset_results(spark, sf_dir):
 
 
 def _customer_summary(spark, sf_dir):
-    return summarise(customer_results(spark, sf_dir), dataset_id="customer", run_id=RUN_ID)
+    return summarise(stored_results(spark, sf_dir), dataset_id="customer", run_id=RUN_ID)
 
 
 @_query("ruleset_summary", SUMMARY_SQL + "\nSELECT * FROM summary")
@@ -340,7 +347,7 @@ SELECT "column", count(*) AS total_checks, count(*) FILTER (status = 'passed') A
 FROM results WHERE status <> 'error' GROUP BY "column\"""")
 def column_health_query(spark, sf_dir):
     listed = F.array_join(F.transform("checks", lambda c: F.concat(c["rule_id"], F.lit(":"), c["status"])), ",")
-    return column_health(customer_results(spark, sf_dir)).select(
+    return column_health(stored_results(spark, sf_dir)).select(
         "column", "total_checks", "passed", "failed", "health", listed.alias("checks"))
 
 
@@ -409,7 +416,7 @@ def rejects_without_keys(spark, sf_dir):
 SELECT {REJECT_SQL_COLUMNS}, '2024-03-05T00:00:00' AS detected_at, (SELECT count(*) FROM found) AS total_anomalies
 FROM ranked ORDER BY rule_id, row_key, anomaly_id LIMIT 50""")
 def audit_for_run(spark, sf_dir):
-    trail = audit_trail(customer_rejects(spark, sf_dir, sample=None), RUN_ID, first=50)
+    trail = audit_trail(settle(customer_rejects(spark, sf_dir, sample=None)), RUN_ID, first=50)
     return trail.select(*REJECT_COLUMNS, "detected_at", "total_anomalies")
 
 
@@ -434,7 +441,7 @@ payload AS (SELECT run_id, 'DQ Alert: Dataset ''' || dataset_id || ''' - ' || up
 
 
 def _payload(spark, sf_dir):
-    results = customer_results(spark, sf_dir)
+    results = stored_results(spark, sf_dir)
     return alert_payload(summarise(results, dataset_id="customer", run_id=RUN_ID), results, None, AS_OF)
 
 
@@ -458,9 +465,9 @@ def alert_history_query(spark, sf_dir):
 SELECT run_id, overall_status, overall_score, (SELECT count(DISTINCT "column") FROM results WHERE status <> 'error') AS columns,
   (SELECT CAST(sum(least(failed_records, 100)) AS BIGINT) FROM results) AS total_anomalies FROM summary""")
 def report_document_query(spark, sf_dir):
-    results = customer_results(spark, sf_dir)
+    results, found = stored_results(spark, sf_dir), settle(customer_rejects(spark, sf_dir))
     document = report_document(
-        summarise(results, dataset_id="customer", run_id=RUN_ID), results, customer_rejects(spark, sf_dir), AS_OF)
+        summarise(results, dataset_id="customer", run_id=RUN_ID), results, found, AS_OF)
     return document.select(
         "run_id", "overall_status", "overall_score",
         F.size("column_summary").cast("bigint").alias("columns"), "total_anomalies")
