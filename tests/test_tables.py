@@ -261,6 +261,30 @@ def test_stream_picks_up_new_files_only(spark, tmp_path):
         (1, "1", "f1.csv"), (2, "2", "f2.csv"), (3, "~", "f2.csv")]
 
 
+def test_append_reads_new_files_only(spark, db, tmp_path):
+    from verisift.plans.ingest import new_files
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "with space +1%20.csv").write_text("k|amount\n1|$1\n")
+    conf = conf_for(tmp_path, append_ind=True, table_name="spaced", location=str(tmp_path / "dqdb" / "spaced"))
+    assert ingest(spark, conf, as_of=NOW).first()["file_name"] == "with space +1%20.csv"
+    assert new_files(spark, conf, "dqdb.spaced") == []
+    (tmp_path / "in" / "b.csv").write_text("k|amount\n2|$2\n")
+    assert [p.split("/")[-1] for p in new_files(spark, conf, "dqdb.spaced")] == ["b.csv"]
+    assert ingest(spark, conf, as_of=NOW).count() == 2
+
+
+def test_stream_deletes_inputs_when_asked(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        (tmp_path / "in" / f"f{i}.csv").write_text(f"k|amount\n{i}|$1\n")
+    conf = conf_for(tmp_path, location=str(tmp_path / "out"), checkpoint=str(tmp_path / "cp"), filedel_ind="Y", max_files=1)
+    spark.conf.set("spark.sql.streaming.fileSource.cleaner.numThreads", "0")  # delete in line
+    ingest_stream(spark, conf).awaitTermination()
+    spark.conf.unset("spark.sql.streaming.fileSource.cleaner.numThreads")
+    assert spark.read.parquet(conf["location"]).count() == 3
+    assert len(list((tmp_path / "in").iterdir())) < 3
+
+
 def test_only_new_files(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "v int, file_name string")
     assert rows(only_new_files(df, df.filter("v = 1"))) == [(2, "b")]

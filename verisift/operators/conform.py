@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from verisift.functions import constants as C
 from verisift.functions.expressions import quoted, read_as, stamp
+from verisift.sources.files import file_name
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -42,7 +43,7 @@ def with_lineage(df: DataFrame, as_of: datetime | str | None = None) -> DataFram
 
     ``df`` must still be close to its file scan."""
     return df.select(
-        "*", F.col("_metadata.file_name").alias("file_name"), stamp(as_of).alias("incr_ingest_timestamp")
+        "*", file_name().alias("file_name"), stamp(as_of).alias("incr_ingest_timestamp")
     )
 
 

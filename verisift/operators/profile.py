@@ -9,6 +9,8 @@ only the text columns.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +20,19 @@ from verisift.functions.expressions import distinct_key, percent, quoted, row_js
 
 from .skew import first_per_group
 
-FLOATS = (T.DoubleType, T.FloatType)
+# Columns per aggregate; a very wide table is covered by several scans of disjoint columns.
+COLUMNS_PER_SCAN = 60
+
+Fields = list[tuple[int, T.StructField]]
+
+
+def _column_chunks(df: DataFrame) -> list[Fields]:
+    fields = list(enumerate(df.schema.fields))
+    return [fields[i:i + COLUMNS_PER_SCAN] for i in range(0, len(fields), COLUMNS_PER_SCAN)]
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b), frames)
 
 
 def _is_numeric(dtype: T.DataType) -> bool:
@@ -54,15 +68,14 @@ def _statistics(field: T.StructField, i: int, exact: bool) -> list[Column]:
     return out
 
 
-def _scalar_rows(df: DataFrame, exact: bool) -> DataFrame:
+def _scalar_rows(df: DataFrame, fields: Fields, exact: bool) -> DataFrame:
     """One row per column from one wide aggregate."""
-    fields = df.schema.fields
     wide = df.agg(
         F.count(F.lit(1)).alias("rows"),
-        *[s for i, f in enumerate(fields) for s in _statistics(f, i, exact)],
+        *[s for i, f in fields for s in _statistics(f, i, exact)],
     )
     rows = []
-    for i, f in enumerate(fields):
+    for i, f in fields:
         numeric = _is_numeric(f.dataType)
         text = isinstance(f.dataType, T.StringType)
 
@@ -100,7 +113,7 @@ def _group_type(dtype: T.DataType) -> T.DataType:
     return dtype
 
 
-def _value_counts(df: DataFrame, fields: list[tuple[int, T.StructField]], dtype: T.DataType) -> DataFrame:
+def _value_counts(df: DataFrame, fields: Fields, dtype: T.DataType) -> DataFrame:
     """``position, value, n`` of columns that are counted in one type."""
     text = isinstance(dtype, T.StringType)
     named = [
@@ -116,14 +129,14 @@ def _value_counts(df: DataFrame, fields: list[tuple[int, T.StructField]], dtype:
     )
 
 
-def _by_type(df: DataFrame) -> dict[T.DataType, list[tuple[int, T.StructField]]]:
-    groups: dict[T.DataType, list[tuple[int, T.StructField]]] = {}
+def _by_type(df: DataFrame) -> dict[T.DataType, Fields]:
+    groups: dict[T.DataType, Fields] = {}
     for i, f in enumerate(df.schema.fields):
         groups.setdefault(_group_type(f.dataType), []).append((i, f))
     return groups
 
 
-def _text_fields(df: DataFrame) -> list[tuple[int, T.StructField]]:
+def _text_fields(df: DataFrame) -> Fields:
     return [(i, f) for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, T.StringType)]
 
 
@@ -140,14 +153,10 @@ def distinct_counts(df: DataFrame) -> DataFrame:
 
     Columns of one type are counted together: each branch scans only its own columns, and
     values are shuffled in their own type after partial counting."""
-    branches = [
+    return _union([
         _value_counts(df, fields, dtype).groupBy("position").agg(F.count(F.lit(1)).alias("exact_distinct"))
         for dtype, fields in _by_type(df).items()
-    ]
-    result = branches[0]
-    for branch in branches[1:]:
-        result = result.unionByName(branch)
-    return result
+    ])
 
 
 def top_values(frequencies: DataFrame, n: int) -> DataFrame:
@@ -176,7 +185,8 @@ def profile(df: DataFrame, *, exact: bool = True) -> DataFrame:
     else:
         distinct = frequencies.groupBy("position").agg(F.count(F.lit(1)).alias("exact_distinct"))
     # All three have one row per column of the table.
-    joined = _scalar_rows(df, exact).join(F.broadcast(distinct), "position", "left").join(
+    scalars = _union([_scalar_rows(df, chunk, exact) for chunk in _column_chunks(df)])
+    joined = scalars.join(F.broadcast(distinct), "position", "left").join(
         F.broadcast(_top_lists(frequencies)), "position", "left"
     )
     known = F.coalesce(F.col("exact_distinct"), F.col("approx_distinct"), F.lit(0).cast("bigint"))
@@ -278,17 +288,20 @@ def declared_class(dtype: T.DataType) -> str | None:
 
 def column_stats(df: DataFrame) -> DataFrame:
     """``position, column_name, rows, completeness, data_type, approx distinct, minimum``
-    per column, from one aggregate with no shuffle of values."""
-    fields = df.schema.fields
+    per column, from aggregates with no shuffle of values."""
+    return _union([_stats_rows(df, chunk) for chunk in _column_chunks(df)])
+
+
+def _stats_rows(df: DataFrame, fields: Fields) -> DataFrame:
     # The class of a text value is used several times below, so it is computed first.
     classed = df.select(
-        *[quoted(f.name).alias(f"c{i}") for i, f in enumerate(fields)],
-        *[distinct_key(f).alias(f"key{i}") for i, f in enumerate(fields)],
+        *[quoted(f.name).alias(f"c{i}") for i, f in fields],
+        *[distinct_key(f).alias(f"key{i}") for i, f in fields],
         *[value_class(quoted(f.name)).alias(f"cls{i}")
-          for i, f in enumerate(fields) if declared_class(f.dataType) is None],
+          for i, f in fields if declared_class(f.dataType) is None],
     )
     aggregates = [F.count(F.lit(1)).alias("rows")]
-    for i, f in enumerate(fields):
+    for i, f in fields:
         col = F.col(f"c{i}")
         aggregates.append(F.count(col).alias(f"nn{i}"))
         aggregates.append(F.approx_count_distinct(f"key{i}").alias(f"ad{i}"))
@@ -303,7 +316,7 @@ def column_stats(df: DataFrame) -> DataFrame:
             aggregates.append(F.max(F.lit(None).cast("double")).alias(f"lo{i}"))
     wide = classed.agg(*aggregates)
     rows = []
-    for i, f in enumerate(fields):
+    for i, f in fields:
         declared = declared_class(f.dataType)
         inferred = F.lit(declared) if declared else widest_class(
             *[F.col(f"{name}{i}") for name in ("integral", "fractional", "boolean", "string")]

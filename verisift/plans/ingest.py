@@ -8,12 +8,11 @@ from typing import Any, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from verisift.functions.expressions import quoted
 from verisift.functions.schemas import parse_schema
 from verisift.operators.conform import (
     clean_columns, conform, mask_columns, only_new_files, rename_by_position, with_lineage,
 )
-from verisift.sources.files import read_delimited, read_text, require_rows
+from verisift.sources.files import list_files, read_delimited, read_text, require_rows
 from verisift.sources.sinks import append_by_name, create_table_from
 
 TEXT_SCHEMA = T.StructType([T.StructField("value", T.StringType(), True)])
@@ -31,14 +30,24 @@ def source_schema(conf: Mapping[str, Any]) -> T.StructType:
     return parse_schema(conf["schema"]) if conf["type"] == "csv" else TEXT_SCHEMA
 
 
-def scan(spark: SparkSession, conf: Mapping[str, Any]) -> DataFrame:
-    """All input files as one scan."""
+def scan(spark: SparkSession, conf: Mapping[str, Any], paths: list[str] | None = None) -> DataFrame:
+    """All input files, or the given ones, as one scan."""
+    where = conf["file_path"] if paths is None else paths
     if conf["type"] == "csv":
         return read_delimited(
-            spark, conf["file_path"], source_schema(conf),
+            spark, where, source_schema(conf),
             header=conf.get("include_header") == "Y", delimiter=conf.get("delimiter", ","),
         )
-    return read_text(spark, conf["file_path"])
+    return read_text(spark, where)
+
+
+def new_files(spark: SparkSession, conf: Mapping[str, Any], table: str) -> list[str]:
+    """Paths of input files the table holds no rows of.
+
+    The driver lists the input folder for any scan, so the result is never larger than
+    what it already handles; only the table's file names are read."""
+    fresh = only_new_files(list_files(spark, conf["file_path"]), spark.table(table))
+    return [r["path"] for r in fresh.select("path").collect()]
 
 
 def shape(df: DataFrame, conf: Mapping[str, Any], as_of: datetime | str | None = None) -> DataFrame:
@@ -59,15 +68,18 @@ def ingest(
 ) -> DataFrame:
     """Load the configured files; returns the table.
 
-    An existing table with ``append_ind`` set receives only files it does not hold yet;
-    otherwise the table is created or replaced.  Every input file is read once.  Input
-    files are left in place; the streaming job can be told to delete them."""
+    An existing table with ``append_ind`` set receives only files it does not hold yet, and
+    only those are read; otherwise the table is created or replaced.  Every input file is
+    read once.  Input files are left in place; the streaming job can be told to delete
+    them."""
     table = f"{conf['table_schema']}.{conf['table_name']}"
-    rows = shape(require_rows(scan(spark, conf)), conf, as_of)
     if spark.catalog.tableExists(table) and conf.get("append_ind"):
-        fresh = only_new_files(rows, spark.table(table))
-        append_by_name(fresh, table)
+        paths = new_files(spark, conf, table)
+        if paths:
+            fresh = shape(require_rows(scan(spark, conf, paths)), conf, as_of)
+            append_by_name(fresh, table)
     else:
+        rows = shape(require_rows(scan(spark, conf)), conf, as_of)
         create_table_from(rows, conf["table_schema"], conf["table_name"], conf["location"])
     spark.catalog.refreshTable(table)
-    return spark.table(table).select(*[quoted(c) for c in rows.columns])
+    return spark.table(table)

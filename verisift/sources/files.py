@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verisift.functions import constants as C
 
 
+def file_name() -> Column:
+    """Base name of the file a row comes from.  The scan reports it in URL form, in which a
+    plus sign stands for itself."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
 def text_fields(names: tuple[str, ...]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType(), True) for n in names])
 
@@ -94,6 +100,12 @@ def read_documents(spark: SparkSession, path: str, schema: T.StructType | str |
     return reader.json(path)
 
 
+def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``path, file_name`` of the input files, without reading their content."""
+    listed = spark.read.format("binaryFile").load(path)
+    return listed.select("path", file_name().alias("file_name"))
+
+
 def require_rows(df: DataFrame, message: str = "File is empty") -> DataFrame:
     """The same frame; raises when it has no rows.  Reads until the first row only."""
     if df.isEmpty():
@@ -103,7 +115,7 @@ def require_rows(df: DataFrame, message: str = "File is empty") -> DataFrame:
 
 def with_file_name(df: DataFrame, name: str = "file_name") -> DataFrame:
     """Adds the base name of the file each row came from."""
-    return df.select("*", F.col("_metadata.file_name").alias(name))
+    return df.select("*", file_name().alias(name))
 
 
 RULES_FILE_SCHEMA = text_fields(C.RULE_COLUMNS + C.NOTIFY_COLUMNS)
