@@ -104,20 +104,20 @@ def _scalar_rows(df: DataFrame, fields: Fields, exact: bool) -> DataFrame:
 
 
 def _group_type(dtype: T.DataType) -> T.DataType:
-    """Type in which values are counted: integers share one, types that cannot be grouped
-    are counted by their text, all others as they are."""
+    """Type in which values are counted: integers share one, nested types are counted by
+    the bytes of their text form, all others as they are."""
     if isinstance(dtype, T.IntegralType):
         return T.LongType()
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType, T.VariantType, T.BinaryType)):
-        return T.StringType()
+        return T.BinaryType()
     return dtype
 
 
 def _value_counts(df: DataFrame, fields: Fields, dtype: T.DataType) -> DataFrame:
     """``position, value, n`` of columns that are counted in one type."""
-    text = isinstance(dtype, T.StringType)
+    nested = isinstance(dtype, T.BinaryType)
     named = [
-        (distinct_key(f) if text else quoted(f.name).cast(dtype)).alias(str(i)) for i, f in fields
+        (distinct_key(f) if nested else quoted(f.name)).cast(dtype).alias(str(i)) for i, f in fields
     ]
     return (
         df.select(*named)
@@ -153,8 +153,11 @@ def distinct_counts(df: DataFrame) -> DataFrame:
 
     Columns of one type are counted together: each branch scans only its own columns, and
     values are shuffled in their own type after partial counting."""
+    # Counting n > 0 keeps n in the plan, so that the branch of the text columns is the same
+    # as text_frequencies and both share one shuffle.
+    present = F.count(F.when(F.col("n") > 0, 1)).alias("exact_distinct")
     return _union([
-        _value_counts(df, fields, dtype).groupBy("position").agg(F.count(F.lit(1)).alias("exact_distinct"))
+        _value_counts(df, fields, dtype).groupBy("position").agg(present)
         for dtype, fields in _by_type(df).items()
     ])
 

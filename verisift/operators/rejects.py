@@ -73,6 +73,23 @@ def _hits(df: DataFrame, plan: RulePlan, keys: list[str] | None, n: int | None)
     return kept.drop("__bound")
 
 
+def _value_hits(
+    df: DataFrame, seq: int, columns: list[str], counts: DataFrame, keys: list[str] | None, n: int | None
+) -> DataFrame:
+    """Rows whose values are listed in ``counts``; with ``n``, only rows that can be among
+    the first ``n``.
+
+    The bound comes from a pass over just the tested columns and the hash, so the pass that
+    carries whole rows drops nearly all of them before they are joined."""
+    hashed = df.withColumn("__hash", _hash(df, keys))
+    if n is not None:
+        narrow = hashed.select(*[quoted(c) for c in columns], slice_of(F.col("__hash")).alias("__slice"))
+        failing = rows_with_values(narrow, columns, counts).select(F.lit(seq).alias("__seq"), "__slice")
+        bound = sample_bounds(failing, "__seq", "__slice", n).agg(F.max("__bound")).scalar()
+        hashed = hashed.filter(slice_of(F.col("__hash")) <= bound)
+    return rows_with_values(hashed, columns, counts).withColumn("__seq", F.lit(seq))
+
+
 def _records(rows: DataFrame, plan: RulePlan, keys: list[str] | None, columns: list[str]) -> DataFrame:
     """Common shape: position, rank order, key text, tested value, whole row."""
     present = [k for k in keys or [] if k in columns]
@@ -128,12 +145,12 @@ def rejects(
         add(_hits(df, plan, keys, sample), columns, keys)
     for seq, unique in plan.unique.items():
         repeated = value_counts(df, unique).filter(F.col("__n") > 1)
-        add(rows_with_values(df, unique, repeated).withColumn("__seq", F.lit(seq)), columns, keys)
+        add(_value_hits(df, seq, unique, repeated, keys, sample), columns, keys)
     for seq, reference in plan.referential.items():
         column = plan.rules[seq].column
         missing = unmatched_values(df, column, reference).filter("__missing")
         missing = missing.select(F.col("__value").alias(column), "__n")
-        add(rows_with_values(df, [column], missing).withColumn("__seq", F.lit(seq)), columns, keys)
+        add(_value_hits(df, seq, [column], missing, keys, sample), columns, keys)
     for seq, failing in plan.sql.items():
         usable = keys if keys and set(keys) <= set(failing.columns) else None
         add(failing.withColumn("__seq", F.lit(seq)), failing.columns, usable)
