@@ -84,6 +84,13 @@ def test_profile_scans(spark, sf_dir):
     assert "Expand" in plan_of(profile(df))
 
 
+def test_text_values_of_a_profile_are_shuffled_once(spark, sf_dir):
+    df = profile(lineitem(spark, sf_dir).select("l_returnflag", "l_linestatus"))
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in final
+
+
 def test_counts_agree_between_hot_and_cold_paths(spark, sf_dir):
     from verisift.operators.checks import value_counts
     from verisift.operators.skew import rows_with_values

@@ -116,6 +116,8 @@ def _group_type(dtype: T.DataType) -> T.DataType:
 def _value_counts(df: DataFrame, fields: Fields, dtype: T.DataType) -> DataFrame:
     """``position, value, n`` of columns that are counted in one type."""
     nested = isinstance(dtype, T.BinaryType)
+    # Never null, so no join on it adds a null filter that would keep plans from being shared
+    position = F.coalesce(F.col("place").cast("int"), F.lit(-1))
     named = [
         (distinct_key(f) if nested else quoted(f.name)).cast(dtype).alias(str(i)) for i, f in fields
     ]
@@ -125,7 +127,7 @@ def _value_counts(df: DataFrame, fields: Fields, dtype: T.DataType) -> DataFrame
         .filter(F.col("value").isNotNull())
         .groupBy("place", "value")
         .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.col("place").cast("int").alias("position"), "value", "n")
+        .select(position.alias("position"), "value", "n")
     )
 
 
