@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from verisift.functions.expressions import quoted
 
-# Tables whose name contains this text are not listed
+# Fixed value: tables whose name contains this text are not listed
 LISTING_EXCLUDED = "athena"
 
 
