@@ -18,7 +18,8 @@ import __spark_entry__ as entry  # noqa: E402
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
 TABOO = re.compile(r"CartesianProduct|BroadcastNestedLoopJoin|BatchEvalPython|ArrowEvalPython")
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES = {n: f for m in entry.CORE for n, f in m.QUERIES.items()}
+ORACLE = {n: q for m in entry.CORE for n, q in m.ORACLE.items()}
 
 
 @pytest.fixture(scope="module")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,23 +12,24 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by the session.
 
-    Only a session that names none (tests, a single machine) gets a temporary folder."""
+    A session that names none gets one below its warehouse, which executors share too."""
     named = spark.conf.get(CHECKPOINT_SETTING, None)
     if named:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder shared by the cluster")
-    fallback = tempfile.mkdtemp(prefix="verisift-")
-    spark.sparkContext.setCheckpointDir(fallback)
-    return fallback
+    own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    spark.sparkContext.setCheckpointDir(own)
+    return spark.sparkContext.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/verisift/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, removed when the session ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/verisift/{name}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
 
 
 def settle(df: DataFrame) -> DataFrame:
