@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verisift.llm import divergence
+from verisift.llm import divergence, pii, simhash
 from verisift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,3 +22,13 @@ def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
 def op8_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = divergence.quality(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", *divergence.BASE, "base_failed", "kept")
+
+
+@_query
+def op4_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_deobfuscated_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents")).drop("n_added")
