@@ -43,9 +43,7 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     found = text.encode("utf-8", "surrogatepass").lower().split()
     if not found:
         return 0
-    hashes = []
-    joined, at = b" ".join(found), 0
-    starts = []
+    joined, at, starts = b" ".join(found), 0, []
     for w in found:
         starts.append(at)
         at += len(w) + 1
@@ -103,7 +101,7 @@ def _link(x: np.ndarray, left: np.ndarray, free: int, radius: int) -> Iterator[t
             yield from _link(x[own], rest[own], int(step), radius)
         return
     owners, variants = _spell(x, left, free)
-    order = np.lexsort((x[owners], variants)) if len(variants) < 2 else np.argsort(variants, kind="stable")
+    order = np.argsort(variants, kind="stable")
     owners, variants = owners[order], variants[order]
     met = np.flatnonzero(variants[1:] == variants[:-1])
     if len(met) == 0:
