@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verisift.llm import chat, divergence, pii, simhash, warc
+from verisift.llm import chat, divergence, pii, simhash, toxicity, warc
 from verisift.llm.common import table
 from verisift.session import scratch_path
 
@@ -49,3 +49,8 @@ def op7_incremental_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(added)
     return chat.read_back(chat.format_conversations(turns))
+
+
+@_query
+def op6_weak_supervision_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
