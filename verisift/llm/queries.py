@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verisift.llm import chat, divergence, pii, simhash, toxicity, warc
+from verisift.llm import chat, divergence, lines, pii, simhash, toxicity, warc
 from verisift.llm.common import table
 from verisift.session import scratch_path
 
@@ -54,3 +54,9 @@ def op7_incremental_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op6_weak_supervision_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(documents).select("doc_id", "n_lines", "n_removed", "text")
