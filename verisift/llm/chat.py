@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import groupby
 from os.path import commonprefix
 
@@ -47,9 +48,15 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
+@lru_cache(maxsize=4096)
+def _turn(turn: Turn) -> str:
+    role, text = turn
+    return f"{TURN}{escape(role).replace(chr(10), chr(92) + chr(10))}\n{escape(text)}{END}\n"
+
+
 def marked(turns: list[Turn]) -> str:
-    """The library's own template."""
-    return "".join(f"{TURN}{escape(role).replace(chr(10), chr(92) + chr(10))}\n{escape(text)}{END}\n" for role, text in turns)
+    """The library's own template.  Turns are kept rendered, as successive prefixes repeat them."""
+    return "".join(map(_turn, turns))
 
 
 def parse(formatted: str) -> list[Turn]:
