@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verisift.llm import chat, divergence, lines, pii, simhash, toxicity, warc
+from verisift.llm import chat, decontaminate, divergence, lines, packing, pii, simhash, toxicity, warc
 from verisift.llm.common import table
 from verisift.session import scratch_path
 
@@ -60,3 +60,14 @@ def op6_weak_supervision_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame
 def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.dedup_lines(documents).select("doc_id", "n_lines", "n_removed", "text")
+
+
+@_query
+def op2_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op3_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.decontaminate(documents, table(spark, sf_dir, "benchmark")).drop("text")
