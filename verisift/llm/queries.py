@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verisift.llm import chat, decontaminate, divergence, lines, packing, pii, simhash, toxicity, warc
+from verisift.llm import chat, decontaminate, divergence, language, lines, packing, pii, simhash, toxicity, warc
 from verisift.llm.common import table
 from verisift.session import scratch_path
 
@@ -71,3 +71,8 @@ def op2_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.decontaminate(documents, table(spark, sf_dir, "benchmark")).drop("text")
+
+
+@_query
+def op1_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
