@@ -39,13 +39,16 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def null_safe(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    """Equality on several columns where null equals null."""
-    condition = F.lit(True)
-    for n in names:
-        condition = condition & left[n].eqNullSafe(right[n])
-    return condition
+def wrapped(df: DataFrame, **keys: Column) -> DataFrame:
+    """The rows as one struct column `row` beside key columns, so that no name can clash."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[k.alias(n) for n, k in keys.items()])
 
 
-__all__ = ["BROADCAST_ROWS", "NOT_WHITE", "WHITE", "WHITE_RUN", "broadcast_if_small", "null_safe",
-           "settle", "table", "text_of", "words_of"]
+def unwrapped(columns: Sequence[str], **changed: Column) -> list[Column]:
+    """The columns of wrapped rows in their order; `changed` ones are replaced or added."""
+    kept = [changed[c].alias(c) if c in changed else F.col(f"row.`{c}`").alias(c) for c in columns]
+    return kept + [v.alias(n) for n, v in changed.items() if n not in columns]
+
+
+__all__ = ["BROADCAST_ROWS", "NOT_WHITE", "WHITE", "WHITE_RUN", "broadcast_if_small", "settle", "table",
+           "text_of", "unwrapped", "words_of", "wrapped"]

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verisift.llm.common import broadcast_if_small, settle, text_of
+from verisift.llm.common import broadcast_if_small, settle, text_of, unwrapped, wrapped
 
 WINDOW = 8
 SHORTEST = 4
@@ -141,8 +141,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     found = matches(documents, benchmark, window).groupBy(F.col("doc_id").alias("_mid"), F.col("_th").alias("_mth")).agg(
         F.sort_array(F.collect_set("item_id")).alias("_items"))
     found = broadcast_if_small(settle(found))
-    keyed = documents.withColumn("_th", F.xxhash64(text_of()))
-    joined = keyed.join(found, keyed["doc_id"].eqNullSafe(found["_mid"]) & (keyed["_th"] == found["_mth"]), "left")
-    names = [c for c in documents.columns if c not in ("contaminated", "item_ids")]
-    return joined.select(*[keyed[c] for c in names], F.col("_items").isNotNull().alias("contaminated"),
-                         F.coalesce("_items", F.array().cast("array<long>")).alias("item_ids"))
+    keyed = wrapped(documents, _did=F.col("doc_id"), _dth=F.xxhash64(text_of()))
+    joined = keyed.join(found, keyed["_did"].eqNullSafe(found["_mid"]) & (keyed["_dth"] == found["_mth"]), "left")
+    return joined.select(*unwrapped(
+        documents.columns, contaminated=F.col("_items").isNotNull(),
+        item_ids=F.coalesce("_items", F.array().cast("array<long>"))))

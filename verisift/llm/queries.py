@@ -53,7 +53,8 @@ def op7_incremental_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op6_weak_supervision_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.classify(documents, table(spark, sf_dir, "labels")).drop("text")
 
 
 @_query
@@ -76,3 +77,10 @@ def op3_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op1_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
+
+
+@_query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

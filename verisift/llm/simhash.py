@@ -29,8 +29,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verisift.llm.common import text_of
-from verisift.llm.components import components, forest, settle
+from verisift.llm.common import broadcast_if_small, settle, text_of, unwrapped, wrapped
+from verisift.llm.components import components, forest
 
 WORDS = 4
 SEED = 42
@@ -56,13 +56,13 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(df: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id and the fingerprint as a signed long."""
+def fingerprint_of(text: Column, words: int = WORDS) -> Column:
+    """The fingerprint of a text column as a signed long."""
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64))
 
-    return df.select("doc_id", of(text_of()).alias("fp"))
+    return of(text)
 
 
 def _flips(bits: int, most: int) -> list[list[int]]:
@@ -175,16 +175,40 @@ def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFr
     return dealt.mapInArrow(_linker(radius, block), "u long, v long").distinct()
 
 
-def near_duplicates(df: DataFrame, words: int = WORDS, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """doc_id, fingerprint (hexadecimal) and component_id, the smallest doc_id reachable by links."""
+def classes_of(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """root, the smallest fingerprint of its component, for every distinct fingerprint (column fp)."""
     if radius % 2:
         raise ValueError("the radius must be even")
-    prints = settle(fingerprints(df, words))
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(prints, radius, block))
-    placed = least.join(roots, least["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
+    distinct = prints.select("fp").distinct()
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(df: DataFrame, words: int = WORDS, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """doc_id, fingerprint (hexadecimal) and component_id, the smallest doc_id reachable by links."""
+    prints = settle(df.select("doc_id", fingerprint_of(text_of(), words).alias("fp")))
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    placed = settle(least.join(classes_of(prints, radius, block), "fp"))
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = settle(placed.select("fp", "root").join(smallest, "root").select(F.col("fp").alias("of"), "component_id"))
     return prints.join(classes, F.col("fp") == F.col("of")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(df: DataFrame, words: int = WORDS, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """The documents of which no near-duplicate with a smaller doc_id exists (a null doc_id comes
+    last); one of rows that repeat doc_id and text stays."""
+    keys = {"_a": F.xxhash64("doc_id", text_of()), "_b": F.xxhash64(text_of(), "doc_id")}
+
+    prints = settle(df.select("doc_id", *[k.alias(n) for n, k in keys.items()], fingerprint_of(text_of(), words).alias("fp")))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_a", "_b")
+    first = prints.groupBy("fp").agg(F.min(place).alias("place"))
+    placed = settle(first.join(classes_of(prints, radius, block), "fp").select("fp", "root", "place"))
+    winners = placed.groupBy("root").agg(F.min("place").alias("winner"))
+    classes = settle(placed.join(winners, "root").select(F.col("fp").alias("of"), "winner"))
+    judged = prints.join(classes, F.col("fp") == F.col("of"))
+    losers = judged.where((F.col("_a") != F.col("winner._a")) | (F.col("_b") != F.col("winner._b"))).select("_a", "_b").distinct()
+    kept = wrapped(df, **keys).join(broadcast_if_small(settle(losers)), ["_a", "_b"], "left_anti")
+    if not prints.groupBy("_a", "_b").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["_a", "_b"])
+    return kept.select(*unwrapped(df.columns))

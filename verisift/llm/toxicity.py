@@ -34,8 +34,9 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
-from verisift.llm.common import settle, text_of
+from verisift.llm.common import settle, text_of, unwrapped, wrapped
 
 LABELLED = 12_000
 UNLABELLED = 4_000
@@ -55,6 +56,7 @@ LEXICONS = {
     "mockery": "clown joke freak weirdo crybaby".split(),
     "hostility": "hate kill die shut hurt destroy".split(),
 }
+_SCORED = [StructField("held_out", BooleanType()), StructField("score", DoubleType()), StructField("predicted", IntegerType())]
 PATTERNS = ("shouting", "exclamation", "masked")
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -339,21 +341,21 @@ def fit_classifier(sample: DataFrame, voted: DataFrame, model: LabelModel, vocab
 
 
 def score(documents: DataFrame, intercept: float, weights: dict[str, float]) -> DataFrame:
-    """doc_id, held_out, score and predicted for every document, from its text alone."""
+    """The documents with their columns, and held_out, score and predicted from the text alone."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = sorted(weights)
         linear, values = Features(names), [weights[n] for n in names]
         for b in batches:
-            ids = b.column(0)
             scores = [1 / (1 + math.exp(-max(-500.0, min(500.0, intercept + math.fsum(values[k] for k in linear.of(words_in(t.as_py())))))))
-                      for t in b.column(1)]
-            held = [zlib.crc32(("" if (v := i.as_py()) is None else str(v)).encode()) % FOLDS == 0 for i in ids]
+                      for t in b.column(2)]
+            held = [zlib.crc32(("" if (v := i.as_py()) is None else str(v)).encode()) % FOLDS == 0 for i in b.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(held, pa.bool_()), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())],
-                names=["doc_id", "held_out", "score", "predicted"])
+                [b.column(0), pa.array(held, pa.bool_()), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())],
+                names=["row", "held_out", "score", "predicted"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(
-        run, "doc_id long, held_out boolean, score double, predicted int")
+    rows = wrapped(documents, _id=F.col("doc_id").cast("string"), _text=text_of())
+    schema = StructType([rows.schema["row"], *_SCORED])
+    return rows.mapInArrow(run, schema).select(*unwrapped(documents.columns, **{f.name: F.col(f.name) for f in _SCORED}))
 
 
 def fixed_weights() -> tuple[float, dict[str, float]]:
@@ -363,7 +365,7 @@ def fixed_weights() -> tuple[float, dict[str, float]]:
 
 def classify(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED,
              mined: int = MINED, vocabulary: int = VOCABULARY) -> DataFrame:
-    """doc_id, held_out, score (0 to 1) and predicted (score of at least 0.5) per document."""
+    """The documents with their columns, and held_out, score (0 to 1) and predicted (score of at least 0.5)."""
     sample = settle(draw(documents, labels, labelled, unlabelled))
     voters, listed = mine(sample, min(mined, 50), vocabulary)
     if not listed:
