@@ -109,7 +109,7 @@ def main() -> None:
         "profile_lineitem": lambda: run(profile(lineitem)),
         "profile_documents": lambda: run(profile(documents)),
         "suggest_rules": lambda: run(suggest(profile(orders))),
-        "suggest_constraints": lambda: run(suggest_constraints(orders)),
+        "suggest_constraints": lambda: run(suggest_constraints(orders, max_categories=100)),
         "verify_10_constraints": lambda: run(verify(lineitem, constraints, db_name="db", table_name="lineitem")),
         "ingest_50_files": lambda: run(shape(scan(spark, conf), conf, DATASET["as_of"])),
         "upsert_orders": lambda: run(upserted(orders, changes, ["o_orderkey"])),

@@ -52,7 +52,7 @@ def test_whole_rejects_of_row_rules_do_not_shuffle(spark, sf_dir):
 
 
 def test_sampled_rejects_count_on_keys_only(spark, sf_dir):
-    plan = plan_of(rejects(lineitem(spark, sf_dir), ROW_RULES[30:33], dataset_id="d", run_id="r", keys=["l_orderkey"]))
+    plan = plan_of(rejects(lineitem(spark, sf_dir), ROW_RULES[30:33], dataset_id="d", run_id="r", sample=100, keys=["l_orderkey"]))
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
 
 
@@ -91,10 +91,46 @@ def test_text_values_of_a_profile_are_shuffled_once(spark, sf_dir):
     assert "ReusedExchange" in final
 
 
-def test_counts_agree_between_hot_and_cold_paths(spark, sf_dir):
+def test_rows_of_values_do_not_depend_on_the_salts(spark, sf_dir):
     from verisift.operators.checks import value_counts
     from verisift.operators.skew import rows_with_values
     df = lineitem(spark, sf_dir)
     counts = value_counts(df, ["l_partkey"]).filter(F.col("__n") > 1)
-    sizes = {rows_with_values(df, ["l_partkey"], counts, hot_rows=h).count() for h in (2, 10, 30, 10**9)}
+    sizes = {rows_with_values(df, ["l_partkey"], counts, salts=s).count() for s in (1, 7, 16)}
     assert len(sizes) == 1
+
+
+def test_one_value_in_half_of_the_rows_is_spread(spark):
+    from verisift.operators.checks import value_counts
+    from verisift.operators.skew import rows_with_values
+    df = spark.range(0, 40_000, 1, 8).selectExpr("CASE WHEN id % 2 = 0 THEN -1 ELSE id END AS k", "id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        found = rows_with_values(df, ["k"], value_counts(df, ["k"]).filter("__n > 1"))
+        sizes = [r["n"] for r in found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sum(sizes) == 20_000 and max(sizes) < 10_000
+
+
+def test_rows_without_failures_are_filtered_before_anything_else(spark, sf_dir):
+    from verisift.functions.rules import Rule
+    from verisift.operators.rejects import rejects
+    rules = [Rule("R1", "range_check", "l_quantity", params={"min_value": -1}), Rule("R2", "range_check", "l_tax", params={"max_value": 9})]
+    plan = rejects(lineitem(spark, sf_dir), rules, dataset_id="d", run_id="r")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Filter") > plan.index("Generate")
+    assert rejects(lineitem(spark, sf_dir), rules, dataset_id="d", run_id="r").count() == 0
+
+
+def test_sql_rules_are_counted_without_a_range(spark, sf_dir):
+    from verisift.functions.rules import Rule
+    from verisift.operators.checks import check
+    rules = [Rule(f"R{k}", "custom_sql", "l_tax", params={"sql_expression": f"SELECT * FROM {{table}} WHERE l_quantity < {k}"}) for k in (3, 9)]
+    df = check(lineitem(spark, sf_dir), rules, dataset_id="d", run_id="r", isolate_sql=True)
+    assert "Range" not in df._jdf.queryExecution().optimizedPlan().toString()
+    want = [lineitem(spark, sf_dir).filter(f"l_quantity < {k}").count() for k in (3, 9)]
+    assert [r["failed_records"] for r in df.orderBy("rule_order").collect()] == want

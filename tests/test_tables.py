@@ -34,7 +34,7 @@ def rows(df):
 
 def test_csv_with_quotes_and_line_breaks(spark, tmp_path):
     (tmp_path / "a.csv").write_text('id,name\n1,"two\nlines"\n2,"with ""quotes"""\n')
-    df = files.read_csv(spark, str(tmp_path / "a.csv"))
+    df = files.read_csv(spark, str(tmp_path / "a.csv"), multi_line=True)
     assert df.schema["id"].dataType.simpleString() == "int"
     assert rows(df) == [(1, "two\nlines"), (2, 'with "quotes"')]
 
@@ -135,6 +135,23 @@ def test_replace_slice_of_partitioned_table(spark, db):
     assert rows(spark.table(name)) == [(5, "a"), (7, "b"), (8, "c")]
 
 
+def test_untouched_partitions_keep_their_files(spark, db):
+    name = f"{db}.stamped"
+    df = spark.sql("SELECT id, timestamp'2024-03-05 10:20:30' + make_interval(0, 0, 0, 0, cast(id % 3 AS int)) AS p FROM range(30)")
+    df.write.mode("overwrite").partitionBy("p").saveAsTable(name)
+    files_of = lambda: {f for f in spark.table(name).inputFiles()}
+    before = files_of()
+    change = df.filter("id = 4").selectExpr("id", "p")
+    sinks.upsert(change, name, ["id"])
+    kept = before & files_of()
+    assert spark.table(name).count() == 30 and kept and all("11%3A20" not in f for f in kept) and any("11%3A20" in f for f in before - kept)
+    sinks.replace_slice(df.filter("id < 0"), name, F.col("p") == F.expr("timestamp'2024-03-05 12:20:30'"))
+    assert spark.table(name).count() == 20
+    assert {f for f in kept if "10%3A20" in f} <= files_of()
+    sinks.compact(spark, name)
+    assert spark.table(name).count() == 20
+
+
 def test_append_with_new_column(spark, db):
     name = f"{db}.evolve"
     spark.createDataFrame([(1,)], "a int").write.mode("overwrite").saveAsTable(name)
@@ -287,7 +304,7 @@ def test_stream_deletes_inputs_when_asked(spark, tmp_path):
 
 def test_only_new_files(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "v int, file_name string")
-    assert rows(only_new_files(df, df.filter("v = 1"))) == [(2, "b")]
+    assert rows(only_new_files(df, df.filter("v = 1"), "file_name")) == [(2, "b")]
 
 
 def test_view_chain(spark, db):

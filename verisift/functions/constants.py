@@ -33,21 +33,14 @@ SEVERITIES = ("critical", "high", "medium", "low", "info")
 PASSED = "passed"
 FAILED = "failed"
 WARNING = "warning"
-SKIPPED = "skipped"
 ERROR = "error"
 
 # Thresholds
 PASS_THRESHOLD = 95.0
-SAMPLE_ROWS = 100
-DEFAULT_MAX_LENGTH = 99999
 DOMAIN_MAX_DISTINCT = 20
 TOP_VALUES = 10
 PROFILE_SAMPLE_ROWS = 5
 
-# A run whose share of passing rows rounds to 100.00 but is not exactly 100 is a
-# warning, not a pass.  Set to False to judge the rounded figure instead.
-STRICT_STATUS = True
-
 # Column cleaning for money-like text
 NA_TOKEN = "-"
 MONEY_NOISE = r"(#?N/A|#VALUE!)|[$, ]"

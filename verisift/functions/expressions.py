@@ -79,8 +79,14 @@ def as_iso_text(value: Column) -> Column:
 
 
 def digest_id(prefix: str, *parts: Column) -> Column:
-    """Stable record id: prefix plus eight hex digits of a digest of the parts."""
-    return F.concat(F.lit(prefix), F.left(F.sha2(F.concat_ws("|", *parts), 256), F.lit(8)))
+    """Stable record id: prefix plus 32 hex digits of a digest of the parts."""
+    return F.concat(F.lit(prefix), F.left(F.sha2(F.concat_ws("|", *parts), 256), F.lit(32)))
+
+
+def record_id(digest: Column) -> Column:
+    """A digest followed by the number of the record within the computation, which tells
+    records with equal parts (such as repeated rows) apart."""
+    return F.concat(digest, F.lit("-"), F.lower(F.hex(F.monotonically_increasing_id())))
 
 
 def distinct_key(field: T.StructField) -> Column:

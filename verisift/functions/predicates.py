@@ -77,14 +77,18 @@ def not_null(schema: T.StructType, column: str, params: Params) -> Column:
 
 
 def length_check(schema: T.StructType, column: str, params: Params) -> Column:
-    """Text length outside the closed interval; null passes."""
+    """Text length outside the closed interval; null passes, an open side is not tested."""
     dtype = column_type(schema, column)
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
         raise RuleProblem(f"{C.LENGTH_CHECK} cannot test {dtype.simpleString()} column {column}")
     size = F.length(quoted(column))
-    low = params.get("min_length", 0)
-    high = params.get("max_length", C.DEFAULT_MAX_LENGTH)
-    return (size < low) | (size > high)
+    low, high = params.get("min_length"), params.get("max_length")
+    outside = F.lit(False)
+    if low is not None:
+        outside = outside | (size < low)
+    if high is not None:
+        outside = outside | (size > high)
+    return outside
 
 
 def range_check(schema: T.StructType, column: str, params: Params) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from verisift.functions import constants as C
 from verisift.functions.expressions import quoted, read_as, stamp
-from verisift.sources.files import file_name
+from verisift.sources.files import file_name, file_path
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -39,11 +39,11 @@ def rename_by_position(df: DataFrame, source: T.StructType, target: T.StructType
 
 
 def with_lineage(df: DataFrame, as_of: datetime | str | None = None) -> DataFrame:
-    """Adds the name of the file a row came from and the ingest time.
+    """Adds name and full path of the file a row came from and the ingest time.
 
     ``df`` must still be close to its file scan."""
     return df.select(
-        "*", file_name().alias("file_name"), stamp(as_of).alias("incr_ingest_timestamp")
+        "*", file_name().alias("file_name"), file_path().alias("file_path"), stamp(as_of).alias("incr_ingest_timestamp")
     )
 
 
@@ -83,6 +83,7 @@ def mask_columns(df: DataFrame, rules: Mapping[str, Mapping[str, Any]]) -> DataF
     return df.withColumns({c: _mask(quoted(c), r) for c, r in rules.items()}) if rules else df
 
 
-def only_new_files(df: DataFrame, loaded: DataFrame, name: str = "file_name") -> DataFrame:
-    """Rows of files that the target does not contain yet."""
+def only_new_files(df: DataFrame, loaded: DataFrame, name: str = "file_path") -> DataFrame:
+    """Rows (of a file listing: one per file) of files that the target does not contain yet.
+    Files are told apart by their full path."""
     return df.join(loaded.select(name).distinct(), name, "left_anti").select(*df.columns)

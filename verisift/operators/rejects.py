@@ -14,6 +14,7 @@ from verisift.functions.expressions import (
     content_hash,
     digest_id,
     quoted,
+    record_id,
     row_json,
     stamp,
 )
@@ -29,19 +30,39 @@ def _missing_beyond_share(df: DataFrame, column: str, min_ratio: float) -> Colum
     return missing & (share < min_ratio)
 
 
-def failing_rules(df: DataFrame, plan: RulePlan) -> Column:
-    """One entry per row rule: its position where the row fails it, else null.
-
-    Nulls are dropped after exploding; compacting the array here would take the rule
-    conditions out of generated code."""
+def failing_rules(df: DataFrame, plan: RulePlan) -> dict[int, Column]:
+    """Per row rule, by its position: whether a row fails it."""
     failing = dict(plan.rows)
     for seq, min_ratio in plan.completeness.items():
         failing[seq] = _missing_beyond_share(df, plan.rules[seq].column, min_ratio)
-    return F.array(*[F.when(fails, F.lit(seq)) for seq, fails in failing.items()])
+    return failing
+
+
+def _any(conditions: list[Column]) -> Column:
+    found = F.lit(False)
+    for fails in conditions:
+        found = found | F.coalesce(fails, F.lit(False))
+    return found
+
+
+def _exploded(rows: DataFrame, failing: dict[int, Column], values: dict[int, Column], *kept) -> DataFrame:
+    """One row per failing (row, rule).  Rows that fail nothing are filtered out first; the
+    tested value is built with its rule, only where the rule fails."""
+    marks = F.array(*[
+        F.when(fails, F.struct(F.lit(seq).alias("__seq"), values[seq].alias("__value")))
+        for seq, fails in failing.items()
+    ])
+    hits = rows.filter(_any(list(failing.values()))).select(*kept, F.explode(marks).alias("__hit"))
+    return hits.filter(F.col("__hit").isNotNull()).select("*", "__hit.__seq", "__hit.__value").drop("__hit")
 
 
-def _exploded(rows: DataFrame, marks: Column, *kept) -> DataFrame:
-    return rows.select(*kept, F.explode(marks).alias("__seq")).filter(F.col("__seq").isNotNull())
+def _values(plan: RulePlan, seqs, columns: list[str]) -> dict[int, Column]:
+    """Text of the value each rule tests."""
+    none = F.lit(None).cast("string")
+    return {
+        seq: as_iso_text(quoted(plan.rules[seq].column)) if plan.rules[seq].column in columns else none
+        for seq in seqs
+    }
 
 
 def _hash(df: DataFrame, keys: list[str] | None) -> Column:
@@ -62,12 +83,13 @@ def _hits(df: DataFrame, plan: RulePlan, keys: list[str] | None, n: int | None)
     A first pass counts each rule's failing rows per slice of the hash range (it reads the
     keys and the columns the rules use), so the second pass keeps little more than ``n``
     rows per rule and nothing larger is ever sorted."""
+    failing = failing_rules(df, plan)
+    values = _values(plan, failing, df.columns)
     hashed = df.withColumn("__hash", _hash(df, keys))
-    marks = failing_rules(df, plan)
-    hits = _exploded(hashed, marks, "*")
+    hits = _exploded(hashed, failing, values, "*")
     if n is None:
         return hits
-    slices = _exploded(hashed, marks, slice_of(F.col("__hash")).alias("__slice"))
+    slices = _exploded(hashed, failing, values, slice_of(F.col("__hash")).alias("__slice"))
     bounds = sample_bounds(slices, "__seq", "__slice", n)  # one row per rule
     kept = hits.join(F.broadcast(bounds), "__seq").filter(slice_of(F.col("__hash")) <= F.col("__bound"))
     return kept.drop("__bound")
@@ -97,14 +119,10 @@ def _records(rows: DataFrame, plan: RulePlan, keys: list[str] | None, columns: l
         F.concat_ws("|", *[as_iso_text(quoted(k)) for k in present])
         if present else F.lower(F.hex(F.col("__hash")))
     )
-    value = F.lit(None).cast("string")
-    for seq, rule in enumerate(plan.rules):
-        if rule.column in columns:
-            value = F.when(F.col("__seq") == seq, as_iso_text(quoted(rule.column))).otherwise(value)
     return rows.select(
         F.col("__seq").alias("seq"),
         key.alias("row_key"),
-        value.alias("actual_value"),
+        F.col("__value").alias("actual_value"),
         row_json(columns, keep_nulls=True, as_text=True).alias("row_data"),
     )
 
@@ -117,7 +135,7 @@ def rejects(
     run_id: str,
     as_of: datetime | str | None = None,
     keys: list[str] | None = None,
-    sample: int | None = C.SAMPLE_ROWS,
+    sample: int | None = None,
     refs: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame:
     """One audit record per (failing row, rule).
@@ -132,7 +150,9 @@ def rejects(
     columns = df.columns
     parts: list[DataFrame] = []
 
-    def add(rows: DataFrame, names: list[str], ranked_by: list[str] | None) -> None:
+    def add(rows: DataFrame, names: list[str], ranked_by: list[str] | None, *rules_of: int) -> None:
+        if "__value" not in rows.columns:  # rows of one rule
+            rows = rows.withColumn("__value", _values(plan, rules_of, names)[rules_of[0]])
         if "__hash" not in rows.columns:
             rows = rows.withColumn("__hash", _hash(rows.select(*[quoted(c) for c in names]), ranked_by))
         if sample is not None:
@@ -145,15 +165,15 @@ def rejects(
         add(_hits(df, plan, keys, sample), columns, keys)
     for seq, unique in plan.unique.items():
         repeated = value_counts(df, unique).filter(F.col("__n") > 1)
-        add(_value_hits(df, seq, unique, repeated, keys, sample), columns, keys)
+        add(_value_hits(df, seq, unique, repeated, keys, sample), columns, keys, seq)
     for seq, reference in plan.referential.items():
         column = plan.rules[seq].column
         missing = unmatched_values(df, column, reference).filter("__missing")
         missing = missing.select(F.col("__value").alias(column), "__n")
-        add(_value_hits(df, seq, [column], missing, keys, sample), columns, keys)
+        add(_value_hits(df, seq, [column], missing, keys, sample), columns, keys, seq)
     for seq, failing in plan.sql.items():
         usable = keys if keys and set(keys) <= set(failing.columns) else None
-        add(failing.withColumn("__seq", F.lit(seq)), failing.columns, usable)
+        add(failing.withColumn("__seq", F.lit(seq)), failing.columns, usable, seq)
 
     if not parts:
         empty = "seq int, row_key string, actual_value string, row_data string"
@@ -165,7 +185,7 @@ def rejects(
     named = found.select("*", facts.alias("r"))
     return named.select(
         F.lit(run_id).alias("run_id"),
-        digest_id("ANO_", F.lit(run_id), F.col("r.rule_id"), F.col("row_key")).alias("anomaly_id"),
+        record_id(digest_id("ANO_", F.lit(run_id), F.col("r.rule_id"), F.col("row_key"))).alias("anomaly_id"),
         F.lit(dataset_id).alias("dataset_id"),
         F.col("r.rule_id").alias("rule_id"),
         F.col("r.rule_type").alias("rule_type"),

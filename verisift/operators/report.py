@@ -82,9 +82,11 @@ def column_health(results: DataFrame) -> DataFrame:
     )
 
 
-def anomaly_counts(found: DataFrame, by: str) -> DataFrame:
-    """Audit records per severity or per column."""
-    return found.groupBy("run_id", by).agg(F.count(F.lit(1)).alias("anomalies"))
+def anomaly_counts(results: DataFrame, by: str) -> DataFrame:
+    """Failing rows per severity or per column, from the results: exact whatever part of the
+    audit records is kept."""
+    counted = results.filter((F.col("status") != C.ERROR) & (F.col("failed_records") > 0))
+    return counted.groupBy("run_id", by).agg(F.sum("failed_records").alias("anomalies"))
 
 
 def needs_alert(summary: DataFrame) -> DataFrame:
@@ -102,7 +104,6 @@ def _detail_line() -> Column:
 def alert_payload(
     summary: DataFrame,
     results: DataFrame,
-    found: DataFrame | None = None,
     as_of: datetime | str | None = None,
 ) -> DataFrame:
     """Subject, detail lines and counts for every run that needs an alert."""
@@ -113,11 +114,8 @@ def alert_payload(
         ).alias("failure_details")
     )
     payload = needs_alert(summary).join(lines, "run_id", "left")
-    if found is None:
-        payload = payload.withColumn("anomaly_count", F.lit(0).cast("bigint"))
-    else:
-        totals = found.groupBy("run_id").agg(F.count(F.lit(1)).alias("anomaly_count"))
-        payload = payload.join(totals, "run_id", "left")
+    totals = results.filter(F.col("status") != C.ERROR).groupBy("run_id").agg(F.sum("failed_records").alias("anomaly_count"))
+    payload = payload.join(totals, "run_id", "left")
     subject = F.format_string(
         "DQ Alert: Dataset '%s' - %s", F.col("dataset_id"), F.upper("overall_status")
     )
@@ -154,12 +152,12 @@ def alert_history(
 
 
 def report_document(
-    summary: DataFrame, results: DataFrame, found: DataFrame, as_of: datetime | str | None = None
+    summary: DataFrame, results: DataFrame, as_of: datetime | str | None = None
 ) -> DataFrame:
     """One nested row per run, ready to be written as JSON.
 
-    Column blocks are a map from column to checks; the audit records are the capped
-    sample of the run (at most the cap times the number of rules)."""
+    Column blocks are a map from column to checks.  The audit records are a table of their
+    own (``write_audit``), as a run can have any number of them."""
     blocks = column_health(results).groupBy("run_id").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct(
             "column",
@@ -168,24 +166,18 @@ def report_document(
     )
 
     def tallies(by: str, name: str) -> DataFrame:
-        return anomaly_counts(found, by).groupBy("run_id").agg(
+        return anomaly_counts(results, by).groupBy("run_id").agg(
             F.map_from_entries(F.sort_array(F.collect_list(F.struct(by, "anomalies")))).alias(name)
         )
 
-    trail = found.groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("total_anomalies"),
-        F.sort_array(F.collect_list(F.struct(
-            "rule_id", "row_key", "anomaly_id", "rule_type", "column", "actual_value",
-            "expected_constraint", "severity", "row_data",
-        ))).alias("audit_trail"),
-    )
+    total = results.filter(F.col("status") != C.ERROR).groupBy("run_id").agg(F.sum("failed_records").alias("total_anomalies"))
     return (
         verdict(summary)
         .withColumn("generated_at", stamp(as_of))
         .join(blocks, "run_id", "left")
         .join(tallies("severity", "by_severity"), "run_id", "left")
         .join(tallies("column", "by_column"), "run_id", "left")
-        .join(trail, "run_id", "left")
+        .join(total, "run_id", "left")
         .fillna({"total_anomalies": 0})
     )
 

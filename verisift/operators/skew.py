@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 
 from verisift.functions.expressions import quoted
 
-# A value with at least this many rows is handled without shuffling its rows.  A table of
-# N rows has at most N / HOT_ROWS such values, which bounds what is broadcast.
-HOT_ROWS = 1_000_000
-
 # Intermediate groups of a per-group top-n.
 SPREAD = 64
 
@@ -19,25 +15,23 @@ SPREAD = 64
 SLICE_BITS = 12
 
 
-def rows_with_values(
-    df: DataFrame, columns: list[str], counts: DataFrame, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Rows of ``df`` whose values appear in ``counts`` (same columns plus ``__n``), nulls
-    matching nulls.
+# Parts that the rows of one value are dealt to.
+SALTS = 16
 
-    Rows of hot values are kept by a map-side join with the short list of hot values; only
-    rows of the remaining values are shuffled, so no partition receives more than
-    ``hot_rows`` rows of one value.
-    """
-    keys = counts.select(*[quoted(c).alias(f"__k{i}") for i, c in enumerate(columns)], "__n")
-    hot = F.broadcast(keys.filter(F.col("__n") >= hot_rows).drop("__n"))
-    cold = keys.filter(F.col("__n") < hot_rows).drop("__n")
-    same = F.lit(True)
+
+def rows_with_values(df: DataFrame, columns: list[str], counts: DataFrame, salts: int = SALTS) -> DataFrame:
+    """Rows of ``df`` whose values appear in ``counts`` (same columns), nulls matching nulls.
+
+    Rows are dealt by value and salt, whatever their number; the listed values are repeated
+    for every salt.  So no task receives more than a part of one value's rows."""
+    keys = counts.select(
+        *[quoted(c).alias(f"__k{i}") for i, c in enumerate(columns)],
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("__k_salt"))
+    same = F.col("__salt") == F.col("__k_salt")
     for i, c in enumerate(columns):
         same = same & quoted(c).eqNullSafe(F.col(f"__k{i}"))
-    hot_part = df.join(hot, same, "left_semi")
-    cold_part = df.join(hot, same, "left_anti").join(cold, same, "left_semi")
-    return hot_part.unionByName(cold_part)
+    salted = df.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+    return salted.join(keys, same, "left_semi").drop("__salt")
 
 
 def first_per_group(df: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:

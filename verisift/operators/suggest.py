@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from verisift.functions import constants as C
 from verisift.functions.expressions import quoted, stamp
+from verisift.session import settle
 
 from .profile import column_stats, declared_class, text_frequencies, top_values
 
@@ -34,7 +35,7 @@ def _proposal(order: int, when: Column, rule_type: str, severity: Column, text:
     ))
 
 
-def suggest(columns: DataFrame, max_rules: int | None = 50) -> DataFrame:
+def suggest(columns: DataFrame, max_rules: int | None = None) -> DataFrame:
     """Rules in the rules-table form, numbered in column order.
 
     Works on a profile, so its input has one row per column of the profiled table.
@@ -104,17 +105,19 @@ def rule_set(rules: DataFrame, *, dataset_id: str, generated_by: str = "heuristi
 RAW_RULES = T.StructType([T.StructField("rules", T.ArrayType(T.StringType()))])
 
 
-def import_rules(responses: DataFrame, text: str, max_rules: int) -> DataFrame:
+def import_rules(responses: DataFrame, text: str, max_rules: int | None = None) -> DataFrame:
     """Rules from JSON documents of the form ``{"rules": [{...}, ...]}``.
 
-    Every document contributes its first ``max_rules`` entries; entries without a known
+    Every document contributes all its entries, or its first ``max_rules``; entries without a known
     rule type, a column and a known severity are dropped.  Other columns of ``responses``
     are carried along.
     """
     carried = [c for c in responses.columns if c != text]
     parsed = responses.select(
         *[quoted(c) for c in carried], F.posexplode(F.from_json(quoted(text), RAW_RULES)["rules"]).alias("n", "raw")
-    ).filter(F.col("n") < max_rules)
+    )
+    if max_rules is not None:
+        parsed = parsed.filter(F.col("n") < max_rules)
     field = lambda name: F.get_json_object("raw", f"$.{name}")
     rules = parsed.select(
         *[quoted(c) for c in carried],
@@ -141,23 +144,27 @@ MIN_COMPLETENESS = 0.2
 INTERVAL_Z = 1.96
 # Text columns with at most this share of distinct values are categories
 MAX_CATEGORY_SHARE = 0.1
-# Longest value list written into a rule
-MAX_CATEGORIES = 100
 
 
-def suggest_constraints(df: DataFrame) -> DataFrame:
+def suggest_constraints(
+    df: DataFrame, *, max_categories: int, min_completeness: float = MIN_COMPLETENESS,
+    max_category_share: float = MAX_CATEGORY_SHARE,
+) -> DataFrame:
     """``column_name, constraint_rule, constraint_desc`` proposals for one table.
 
-    Complete columns stay complete; partly filled ones keep the lower end of the 95%
-    interval of their completeness; text that reads as numbers or booleans keeps its type;
-    text with few distinct values keeps its value list; numbers that are never negative
+    Complete columns stay complete; partly filled ones, above a share of
+    ``min_completeness``, keep the lower end of the 95% interval of their completeness; text
+    that reads as numbers or booleans keeps its type; text with few distinct values, at most
+    ``max_categories`` and a share of ``max_category_share``, keeps its value list (the rule
+    spells it out, so the caller says how long it may get); numbers that are never negative
     stay so.
     """
-    stats = column_stats(df)
+    # one row per column of the profiled table, used by both kinds of proposal
+    stats = settle(column_stats(df))
     share, rows = F.col("completeness"), F.col("row_count")
     bound = F.floor((share - INTERVAL_Z * F.sqrt(share * (1 - share) / rows)) * 100) / 100
     col = F.col("column_name")
-    partly = (share < 1) & (share > MIN_COMPLETENESS) & (bound > 0)
+    partly = (share < 1) & (share > min_completeness) & (bound > 0)
     missing = F.round((1 - bound) * 100).cast("int")
 
     def proposal(order: int, when: Column, rule: Column, text: Column) -> Column:
@@ -186,10 +193,10 @@ def suggest_constraints(df: DataFrame) -> DataFrame:
         ),
     ))
     fixed = stats.select("position", "column_name", F.inline(proposals))
-    return fixed.unionByName(_category_lists(df, stats)).drop("order_key")
+    return fixed.unionByName(_category_lists(df, stats, max_categories, max_category_share)).drop("order_key")
 
 
-def _category_lists(df: DataFrame, stats: DataFrame) -> DataFrame:
+def _category_lists(df: DataFrame, stats: DataFrame, longest: int, most_share: float) -> DataFrame:
     """Value-list proposals for text columns that take few values."""
     text = [f.name for f in df.schema.fields if declared_class(f.dataType) is None]
     if not text:
@@ -197,19 +204,19 @@ def _category_lists(df: DataFrame, stats: DataFrame) -> DataFrame:
             "position", "column_name", F.lit(4).alias("order"),
             F.lit("").alias("constraint_rule"), F.lit("").alias("constraint_desc"),
         ).limit(0)
-    frequencies = text_frequencies(df)
+    frequencies = settle(text_frequencies(df))
     size = frequencies.groupBy("position").agg(
         F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("present")
     )
     entry = F.struct(F.col("__rank").alias("rank"), F.col("value").alias("value"))
-    lists = top_values(frequencies, MAX_CATEGORIES).groupBy("position").agg(
+    lists = top_values(frequencies, longest).groupBy("position").agg(
         F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["value"]).alias("values")
     )
     few = size.join(lists, "position").join(
         stats.select("position", "column_name", "data_type"), "position"
     ).filter(
-        (F.col("distinct") <= F.col("present") * MAX_CATEGORY_SHARE)
-        & (F.col("distinct") <= MAX_CATEGORIES)
+        (F.col("distinct") <= F.col("present") * most_share)
+        & (F.col("distinct") <= longest)
         & (F.col("data_type") == "String")
     )
     literals = F.transform("values", lambda v: F.to_json(F.array(v)))

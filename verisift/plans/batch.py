@@ -132,6 +132,7 @@ def suggest_for_tables(
     columns: list[str] | None = None,
     where: str | None = None,
     as_of: datetime | str | None = None,
+    max_categories: int,
 ) -> DataFrame:
     """Rules table after suggesting for each table: its inactive verify rules are replaced
     by the proposals that are not already among the remaining rules."""
@@ -139,7 +140,8 @@ def suggest_for_tables(
     proposals = _all([
         constraint_rules(
             suggest_constraints(
-                source_frame(spark, db_name=db_name, table_name=t, where=where, columns=columns)
+                source_frame(spark, db_name=db_name, table_name=t, where=where, columns=columns),
+                max_categories=max_categories,
             ),
             db_name=db_name, table_name=t, as_of=as_of,
         )

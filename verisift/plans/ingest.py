@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime
 from typing import Any, Mapping
 
@@ -15,6 +16,8 @@ from verisift.operators.conform import (
 from verisift.sources.files import list_files, read_delimited, read_text, require_rows
 from verisift.sources.sinks import append_by_name, create_table_from
 
+NO_FILES = "no input files at the configured path"
+LINEAGE = 3  # columns that with_lineage adds
 TEXT_SCHEMA = T.StructType([T.StructField("value", T.StringType(), True)])
 
 
@@ -22,8 +25,16 @@ def _dollar_columns(conf: Mapping[str, Any]) -> list[str]:
     return str(conf.get("columnsWithDollar") or "").split(",")
 
 
+def _yes(value: Any) -> bool:
+    """A flag given as a boolean or as text (Y, yes, true, 1 in any case)."""
+    return value is True or str(value).strip().lower() in ("y", "yes", "true", "1")
+
+
 def _masking(conf: Mapping[str, Any]) -> Mapping[str, Any]:
-    return conf.get("maskingRules") or {} if conf.get("dataMasking", "N") == "Y" else {}
+    """Masking rules, given as a mapping or as JSON text (``maskingRulesStr``)."""
+    if not _yes(conf.get("dataMasking")):
+        return {}
+    return conf.get("maskingRules") or json.loads(conf.get("maskingRulesStr") or "{}")
 
 
 def source_schema(conf: Mapping[str, Any]) -> T.StructType:
@@ -31,12 +42,13 @@ def source_schema(conf: Mapping[str, Any]) -> T.StructType:
 
 
 def scan(spark: SparkSession, conf: Mapping[str, Any], paths: list[str] | None = None) -> DataFrame:
-    """All input files, or the given ones, as one scan."""
+    """All input files, or the given ones, as one scan (with ``pick_all_files`` or without:
+    file by file, the same rows come together)."""
     where = conf["file_path"] if paths is None else paths
     if conf["type"] == "csv":
         return read_delimited(
             spark, where, source_schema(conf),
-            header=conf.get("include_header") == "Y", delimiter=conf.get("delimiter", ","),
+            header=_yes(conf.get("include_header")), delimiter=conf.get("delimiter", ","),
         )
     return read_text(spark, where)
 
@@ -47,7 +59,7 @@ def new_files(spark: SparkSession, conf: Mapping[str, Any], table: str) -> list[
     The driver lists the input folder for any scan, so the result is never larger than
     what it already handles; only the table's file names are read."""
     fresh = only_new_files(list_files(spark, conf["file_path"]), spark.table(table))
-    return [r["path"] for r in fresh.select("path").collect()]
+    return [r["file_path"] for r in fresh.select("file_path").collect()]
 
 
 def shape(df: DataFrame, conf: Mapping[str, Any], as_of: datetime | str | None = None) -> DataFrame:
@@ -58,7 +70,7 @@ def shape(df: DataFrame, conf: Mapping[str, Any], as_of: datetime | str | None =
     schema = source_schema(conf)
     target = parse_schema(conf["target_schema"]) if conf.get("target_schema") else None
     stamped = with_lineage(df, as_of)
-    typed = conform(stamped, T.StructType([*schema.fields, *stamped.schema.fields[-2:]]))
+    typed = conform(stamped, T.StructType([*schema.fields, *stamped.schema.fields[-LINEAGE:]]))
     renamed = rename_by_position(typed, schema, target)
     return mask_columns(clean_columns(renamed, _dollar_columns(conf)), _masking(conf))
 
@@ -73,7 +85,8 @@ def ingest(
     read once.  Input files are left in place; the streaming job can be told to delete
     them."""
     table = f"{conf['table_schema']}.{conf['table_name']}"
-    if spark.catalog.tableExists(table) and conf.get("append_ind"):
+    require_rows(list_files(spark, conf["file_path"]), NO_FILES)
+    if spark.catalog.tableExists(table) and _yes(conf.get("append_ind")):
         paths = new_files(spark, conf, table)
         if paths:
             fresh = shape(require_rows(scan(spark, conf, paths)), conf, as_of)

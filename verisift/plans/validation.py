@@ -20,10 +20,6 @@ from verisift.operators.report import (
 from verisift.operators.suggest import suggest
 from verisift.session import settle
 
-# Audit records shown in replies
-VALIDATION_RECORDS = 50
-QUICK_CHECK_RECORDS = 20
-
 
 @dataclass(frozen=True)
 class Validation:
@@ -40,7 +36,7 @@ class Validation:
     alert_log: DataFrame
     document: DataFrame
 
-    def records(self, first: int = VALIDATION_RECORDS) -> DataFrame:
+    def records(self, first: int | None = None) -> DataFrame:
         return audit_trail(self.rejects, self.run_id, first)
 
 
@@ -52,7 +48,7 @@ def run_rules(
     run_id: str,
     as_of: datetime | str | None = None,
     fail_threshold: float | None = None,
-    sample: int | None = C.SAMPLE_ROWS,
+    sample: int | None = None,
     keys: list[str] | None = None,
     refs: Mapping[str, DataFrame] | None = None,
     isolate_sql: bool = True,
@@ -70,10 +66,10 @@ def run_rules(
     }
     found = settle(rejects(df, [r for i, r in enumerate(active) if i in failing], keys=keys, sample=sample, **common))
     summary = summarise(results, dataset_id=dataset_id, run_id=run_id, fail_threshold=fail_threshold)
-    alerts = alert_payload(summary, results, found, as_of)
+    alerts = alert_payload(summary, results, as_of)
     return Validation(
         run_id, results, found, summary, verdict(summary), column_health(results), alerts,
-        alert_history(alerts), report_document(summary, results, found, as_of),
+        alert_history(alerts), report_document(summary, results, as_of),
     )
 
 
@@ -87,7 +83,7 @@ def quick_check(
     exact: bool = True,
 ) -> Validation:
     """Profile a table, suggest rules from the profile and run them."""
-    rules = suggest(profile(df, exact=exact), max_rules=None)
+    rules = suggest(profile(df, exact=exact))
     return run_rules(df, rules, dataset_id=dataset_id, run_id=run_id, as_of=as_of, keys=keys)
 
 

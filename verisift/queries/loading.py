@@ -218,13 +218,13 @@ def batch_suggest(spark, sf_dir):
     _register(spark, sf_dir)
     columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"]
     proposals = batch.constraint_rules(
-        batch.suggest_constraints(source_frame(spark, db_name=BATCH_DB, table_name="dq_orders", columns=columns)),
+        batch.suggest_constraints(source_frame(spark, db_name=BATCH_DB, table_name="dq_orders", columns=columns), max_categories=100),
         db_name=BATCH_DB, table_name="dq_orders", as_of=AS_OF)
     # the price rule was accepted earlier, the others are stale proposals to be replaced
     existing = proposals.withColumn(
         "is_active", F.when(F.col("constraint_rule") == '.isComplete("o_totalprice")', "Y").otherwise("N"))
     found = batch.suggest_for_tables(
-        spark, existing, db_name=BATCH_DB, tables="dq_orders", columns=columns, as_of=AS_OF)
+        spark, existing, db_name=BATCH_DB, tables="dq_orders", columns=columns, as_of=AS_OF, max_categories=100)
     return found.filter(F.col("constraint_rule").contains("isComplete")).select("table_name", "constraint_rule", "is_active")
 
 
@@ -235,7 +235,7 @@ def scan_csv(spark, sf_dir):
     path = scratch_path(spark, "csv")
     rows = table(spark, sf_dir, "orders").drop("o_orderdate")
     rows.write.option("header", True).csv(path)
-    back = files.read_csv(spark, path, multi_line=False)
+    back = files.read_csv(spark, path)
     return back.select(*[F.col(f.name).cast(f.dataType) for f in rows.schema.fields])
 
 
@@ -245,7 +245,7 @@ def scan_csv_multiline(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     plain = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     rows.write.options(header=True, escape='"', quoteAll=True, **plain).csv(path)
-    back = files.read_csv(spark, path, schema=rows.schema)
+    back = files.read_csv(spark, path, schema=rows.schema, multi_line=True)
     return back
 
 
@@ -363,7 +363,7 @@ def ingest_skip_loaded(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(
         "o_orderkey", F.concat(F.lit("file_"), (F.col("o_custkey") % 7).cast("string")).alias("file_name"))
     loaded = rows.filter("file_name < 'file_3'")
-    return only_new_files(rows, loaded)
+    return only_new_files(rows, loaded, "file_name")
 
 
 def _feed_conf(spark: SparkSession, sf_dir: str) -> dict:
@@ -386,7 +386,7 @@ SELECT CAST(s_suppkey AS BIGINT) AS id, sha256(s_name) AS label, {CONFORMED_KEY_
 @_query("ingest_files", INGESTED_SQL)
 def ingest_files(spark, sf_dir):
     conf = _feed_conf(spark, sf_dir)
-    return shape(scan(spark, conf), conf, AS_OF).drop("file_name", "incr_ingest_timestamp")
+    return shape(scan(spark, conf), conf, AS_OF).drop("file_name", "file_path", "incr_ingest_timestamp")
 
 
 @_query("ingest_stream", INGESTED_SQL)
@@ -394,7 +394,7 @@ def ingest_stream_query(spark, sf_dir):
     conf = _feed_conf(spark, sf_dir)
     for _ in range(2):  # the second run finds nothing new
         ingest_stream(spark, conf).awaitTermination()
-    return spark.read.parquet(conf["location"]).drop("file_name", "incr_ingest_timestamp")
+    return spark.read.parquet(conf["location"]).drop("file_name", "file_path", "incr_ingest_timestamp")
 
 
 # --- transforms and loads ----------------------------------------------------------------------

@@ -206,7 +206,7 @@ SELECT '{RUN_ID}' AS run_id, 'part' AS dataset_id,
   overall_score, total_rules, passed_rules, failed_rules, warning_rules, error_rules FROM w""")
 def quick_check_summary(spark, sf_dir):
     df = table(spark, sf_dir, "part")
-    rules = suggest(profile(df), max_rules=None)
+    rules = suggest(profile(df))
     results = check(df, rules, dataset_id="part", run_id=RUN_ID, as_of=AS_OF)
     return summarise(results, dataset_id="part", run_id=RUN_ID)
 
@@ -231,7 +231,7 @@ UNION ALL SELECT c, '.isNonNegative("' || c || '")' FROM (SELECT 'c_custkey' AS
 
 @_query("suggest_constraints", _constraints_sql())
 def suggest_constraints_query(spark, sf_dir):
-    return suggest_constraints(dirty_customer(spark, sf_dir)).select("column_name", "constraint_rule")
+    return suggest_constraints(dirty_customer(spark, sf_dir), max_categories=100).select("column_name", "constraint_rule")
 
 
 @_query("suggest_new_only", f"""
@@ -267,8 +267,11 @@ def import_rules_json(spark, sf_dir):
     return import_rules(responses, "response", 3).drop("active")
 
 
-@_query("constraint_rule_rows", f"SELECT count(*) AS proposals, count(*) FILTER (is_active = 'N') AS inactive FROM (SELECT 'N' AS is_active FROM ({_constraints_sql()}) AS c) AS q")
+@_query("constraint_rule_rows", f"""
+SELECT 'sales' AS db_name, 'customer' AS table_name, column_name, constraint_rule, 'N' AS is_active, 'N' AS reject_capture,
+       'verify' AS rule_type, 'Error' AS check_level FROM ({_constraints_sql()}) AS c""")
 def constraint_rule_rows(spark, sf_dir):
     rows = constraint_rules(
-        suggest_constraints(dirty_customer(spark, sf_dir)), db_name="sales", table_name="customer", as_of=AS_OF)
-    return rows.agg(F.count(F.lit(1)).alias("proposals"), F.count(F.when(F.col("is_active") == "N", 1)).alias("inactive"))
+        suggest_constraints(dirty_customer(spark, sf_dir), max_categories=100), db_name="sales", table_name="customer", as_of=AS_OF)
+    return rows.select("db_name", "table_name", "column_name", "constraint_rule", "is_active", "reject_capture",
+                       "rule_type", "check_level")

@@ -15,6 +15,13 @@ def file_name() -> Column:
     return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
 
 
+def file_path() -> Column:
+    """Full path of the file a row comes from, with one slash after the scheme however the
+    scan writes it."""
+    decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, r"^([A-Za-z][\w+.-]*):/+", "$1:/")
+
+
 def text_fields(names: tuple[str, ...]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType(), True) for n in names])
 
@@ -25,13 +32,13 @@ def read_csv(
     *,
     infer_schema: bool = True,
     header: bool = True,
-    multi_line: bool = True,
+    multi_line: bool = False,
     schema: T.StructType | None = None,
 ) -> DataFrame:
-    """CSV with a header, quotes escaped by doubling, and quoted line breaks.
+    """CSV with a header and quotes escaped by doubling.
 
-    A multi-line file cannot be split, so pass ``multi_line=False`` for large files whose
-    values hold no line breaks, and a schema to save the inference pass."""
+    ``multi_line`` reads quoted line breaks, but then a file cannot be split and one task reads
+    it.  A schema saves the inference pass over the data."""
     reader = (
         spark.read.option("header", header)
         .option("multiLine", multi_line)
@@ -101,12 +108,12 @@ def read_documents(spark: SparkSession, path: str, schema: T.StructType | str |
 
 
 def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``path, file_name`` of the input files, without reading their content."""
+    """``file_path, file_name`` of the input files, without reading their content."""
     listed = spark.read.format("binaryFile").load(path)
-    return listed.select("path", file_name().alias("file_name"))
+    return listed.select(file_path().alias("file_path"), file_name().alias("file_name"))
 
 
-def require_rows(df: DataFrame, message: str = "File is empty") -> DataFrame:
+def require_rows(df: DataFrame, message: str = "the input has no rows") -> DataFrame:
     """The same frame; raises when it has no rows.  Reads until the first row only."""
     if df.isEmpty():
         raise ValueError(message)

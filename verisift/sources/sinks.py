@@ -1,33 +1,40 @@
 """Table writes on plain files: append, replace a slice, upsert, compact.
 
-A table that is rewritten gets a new snapshot folder first; the catalog entry is switched
-to it only after the write has succeeded.  Nothing is written over files being read, and a
-job that dies half-way leaves the old snapshot in place.
+Of a partitioned table only the partitions that a change touches are rewritten, by Spark's
+dynamic partition overwrite; the files of all others stay.  A table without partitions is
+rewritten as a whole, from a stored copy of its new rows.
 """
 
 from __future__ import annotations
 
-import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verisift.functions.expressions import quoted
+from verisift.session import settle
 
+DYNAMIC = "spark.sql.sources.partitionOverwriteMode"
 
-def append_by_name(df: DataFrame, table: str) -> None:
-    """Append with columns matched by name; columns the rows lack become null."""
-    spark = df.sparkSession
-    target = spark.table(table).schema
-    unknown = set(df.columns) - set(target.fieldNames())
+
+def aligned(df: DataFrame, table: str) -> DataFrame:
+    """The table's columns in its order, matched by name without case; columns the rows lack
+    are null."""
+    given = {c.lower(): c for c in df.columns}
+    target = df.sparkSession.table(table).schema
+    unknown = set(given) - {n.lower() for n in target.fieldNames()}
     if unknown:
-        raise ValueError(f"{table} has no columns {sorted(unknown)}; use append_evolving")
-    aligned = df.select(*[
-        quoted(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns
-        else F.lit(None).cast(f.dataType).alias(f.name)
+        raise ValueError(f"{table} lacks the columns {sorted(unknown)}; append_evolving adds them")
+    return df.select(*[
+        (quoted(given[f.name.lower()]) if f.name.lower() in given else F.lit(None)).cast(f.dataType).alias(f.name)
         for f in target.fields
     ])
-    aligned.write.mode("append").insertInto(table)
+
+
+def append_by_name(df: DataFrame, table: str) -> None:
+    """Append with columns matched by name; columns the rows lack become null."""
+    aligned(df, table).write.mode("append").insertInto(table)
 
 
 def create_if_absent(spark: SparkSession, table: str, columns: str, location: str | None = None,
@@ -47,42 +54,76 @@ def partition_columns(spark: SparkSession, table: str) -> list[str]:
     return [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
 
 
-def _snapshot_root(location: str) -> str:
-    return location.rstrip("/").split("__snapshot_")[0]
+@contextmanager
+def _dynamic_overwrite(spark: SparkSession):
+    before = spark.conf.get(DYNAMIC, None)
+    spark.conf.set(DYNAMIC, "dynamic")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(DYNAMIC)
+        else:
+            spark.conf.set(DYNAMIC, before)
+
+
+def _add_columns(df: DataFrame, table: str) -> None:
+    """Adds the columns that only ``df`` has to the table."""
+    known = {n.lower() for n in df.sparkSession.table(table).schema.fieldNames()}
+    new = [f for f in df.schema.fields if f.name.lower() not in known]
+    if new:
+        listed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new)
+        df.sparkSession.sql(f"ALTER TABLE {table} ADD COLUMNS ({listed})")
+
+
+def overwrite_table(df: DataFrame, table: str) -> None:
+    """Replace all rows of a table without partitions; ``df`` may read the table itself."""
+    settle(aligned(df, table)).write.mode("overwrite").insertInto(table)
 
 
-def write_snapshot(df: DataFrame, table: str) -> None:
-    """Replace the content of a table by ``df``, which may read the table itself."""
+def replace_partitions(df: DataFrame, table: str) -> None:
+    """Overwrite just the partitions that ``df`` has rows for; ``df`` may read the table itself.
+
+    One partition value may hold most rows: rebalancing splits it over many tasks."""
     spark = df.sparkSession
-    parts = partition_columns(spark, table)
-    current = spark.table(table).schema
-    path = f"{_snapshot_root(table_location(spark, table))}__snapshot_{uuid.uuid4().hex}"
-    # Keep the declared column order; columns new to the table come last.
-    known = [f.name for f in current.fields if f.name in df.columns]
-    added = [f for f in df.schema.fields if f.name not in current.fieldNames()]
-    ordered = df.select(*[quoted(n) for n in known], *[quoted(f.name) for f in added])
-    writer = ordered.write
-    if parts:
-        # One partition value may hold most rows: rebalancing splits it over many tasks.
-        ordered = ordered.hint("rebalance", *[quoted(p) for p in parts])
-        writer = ordered.write.partitionBy(*parts)
-    writer.parquet(path)
-    if added:
-        listed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in added)
-        spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({listed})")
-    spark.sql(f"ALTER TABLE {table} SET LOCATION '{path}'")
-    if parts:
-        _register_partitions(spark, table)
+    parts = [quoted(c) for c in partition_columns(spark, table)]
+    with _dynamic_overwrite(spark):
+        aligned(df, table).hint("rebalance", *parts).write.mode("overwrite").insertInto(table)
     spark.catalog.refreshTable(table)
 
 
-def _register_partitions(spark: SparkSession, table: str) -> None:
-    """Point the table's partitions at the snapshot folder."""
-    listed = spark.sql(f"SHOW PARTITIONS {table}").collect()
-    for row in listed:
-        spec = ", ".join("{}='{}'".format(*p.split("=", 1)) for p in row["partition"].split("/"))
-        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({spec})")
-    spark.sql(f"MSCK REPAIR TABLE {table}")
+def partitions_of(df: DataFrame, parts: list[str]) -> list[tuple]:
+    """The partition values that rows have: as many as the change touches partitions."""
+    return [tuple(r) for r in df.select(*[quoted(p) for p in parts]).distinct().collect()]
+
+
+def in_partitions(parts: list[str], values: list[tuple]) -> Column:
+    """A filter on partition columns, by which the scan leaves other partitions out."""
+    found = F.lit(False)
+    for value in values:
+        same = F.lit(True)
+        for p, v in zip(parts, value):
+            same = same & (quoted(p).isNull() if v is None else quoted(p) == F.lit(v))
+        found = found | same
+    return found
+
+
+def _rewrite(rows: DataFrame, table: str, parts: list[str], touched: list[tuple]) -> None:
+    """``rows`` become the content of the touched partitions."""
+    spark = rows.sparkSession
+    stored = settle(aligned(rows, table))
+    emptied = set(touched) - set(partitions_of(stored, parts))
+    replace_partitions(stored, table)
+    if emptied:  # an overwrite leaves partitions without rows as they are
+        kinds = {f.name: f.dataType.simpleString() for f in spark.table(table).schema.fields}
+        text = spark.range(1).select(F.array(*[
+            F.array(*[F.lit(v).cast(kinds[p]).cast("string") for p, v in zip(parts, value)]) for value in emptied
+        ]).alias("texts")).first()["texts"]
+        specs = ", ".join(
+            "PARTITION (" + ", ".join(f"`{p}` = " + ("NULL" if v is None else "'" + v.replace("'", "\\'") + "'") for p, v in zip(parts, value)) + ")"
+            for value in text)
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {specs}")
+    spark.catalog.refreshTable(table)
 
 
 def replaced_slice(existing: DataFrame, new: DataFrame, match: Column) -> DataFrame:
@@ -94,30 +135,23 @@ def replaced_slice(existing: DataFrame, new: DataFrame, match: Column) -> DataFr
 
 
 def replace_slice(new: DataFrame, table: str, match: Column) -> None:
-    """Delete the matching rows of a table and append ``new`` in one switch."""
-    write_snapshot(replaced_slice(new.sparkSession.table(table), new, match), table)
-
-
-def replace_partitions(df: DataFrame, table: str) -> None:
-    """Overwrite just the partitions that ``df`` has rows for."""
-    spark = df.sparkSession
-    parts = partition_columns(spark, table)
-    ordered = df.select(*[quoted(c) for c in spark.table(table).columns])
-    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        *parts
-    ).parquet(table_location(spark, table))
-    spark.sql(f"MSCK REPAIR TABLE {table}")
-    spark.catalog.refreshTable(table)
+    """Delete the matching rows of a table and add ``new``.  Of a partitioned table the
+    partitions with matching or new rows are rewritten."""
+    spark = new.sparkSession
+    _add_columns(new, table)
+    existing, parts = spark.table(table), partition_columns(spark, table)
+    new = aligned(new, table)
+    if not parts:
+        overwrite_table(replaced_slice(existing, new, match), table)
+        return
+    touched = sorted({*partitions_of(existing.filter(match), parts), *partitions_of(new, parts)}, key=repr)
+    if touched:
+        _rewrite(replaced_slice(existing.filter(in_partitions(parts, touched)), new, match), table, parts, touched)
 
 
 def append_evolving(df: DataFrame, table: str) -> None:
     """Append rows that may bring new columns; older rows read null there."""
-    spark = df.sparkSession
-    known = {n.lower() for n in spark.table(table).schema.fieldNames()}
-    new = [f for f in df.schema.fields if f.name.lower() not in known]
-    if new:
-        listed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new)
-        spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({listed})")
+    _add_columns(df, table)
     append_by_name(df, table)
 
 
@@ -127,7 +161,7 @@ def create_table_from(df: DataFrame, schema: str, table: str, location: str,
 
     Refuses a location whose path does not contain both the schema and the table name."""
     if schema.lower() not in location.lower() or table.lower() not in location.lower():
-        raise ValueError("Invalid table location")
+        raise ValueError(f"the location must name both {schema} and {table}")
     df.write.mode("overwrite").format("parquet").partitionBy(*partition_by).option(
         "path", location
     ).saveAsTable(f"{schema}.{table}")
@@ -162,33 +196,47 @@ def upserted(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame
     Null keys match nothing, so such target rows stay and such source rows are added.  Only
     the key columns of the source are shuffled to find the matches."""
     if not keys:
-        raise ValueError("mergeKey required for merge load")
+        raise ValueError("a merge needs key columns (mergeKey)")
     source_keys = source.select(*[quoted(k) for k in keys]).filter(~_any_null(keys))
-    kept = target.join(source_keys, keys, "left_anti").select(*[quoted(c) for c in target.columns])
-    return kept.unionByName(source.select(*[quoted(c) for c in target.columns]))
+    columns = [quoted(c) for c in target.columns]
+    keyed = target.filter(~_any_null(keys)).join(source_keys, keys, "left_anti").select(*columns)
+    # rows without a full key match nothing: they stay out of the join, where they would meet in one task
+    return keyed.unionByName(target.filter(_any_null(keys))).unionByName(source.select(*columns))
 
 
 def upsert(source: DataFrame, table: str, keys: list[str]) -> None:
-    """Merge ``source`` into a table: matched rows are replaced, others inserted."""
+    """Merge ``source`` into a table: matched rows are replaced, others inserted.  Of a
+    partitioned table the partitions with matched or new rows are rewritten."""
     if not keys:
-        raise ValueError("mergeKey required for merge load")
+        raise ValueError("a merge needs key columns (mergeKey)")
+    spark = source.sparkSession
     require_unique_keys(source, keys)
-    write_snapshot(upserted(source.sparkSession.table(table), source, keys), table)
+    source, target, parts = aligned(source, table), spark.table(table), partition_columns(spark, table)
+    if not parts:
+        overwrite_table(upserted(target, source, keys), table)
+        return
+    matched = target.filter(~_any_null(keys)).join(source.select(*[quoted(k) for k in keys]), keys, "left_semi")
+    touched = sorted({*partitions_of(matched, parts), *partitions_of(source, parts)}, key=repr)
+    if touched:
+        _rewrite(upserted(target.filter(in_partitions(parts, touched)), source, keys), table, parts, touched)
 
 
 def compact(spark: SparkSession, table: str) -> None:
     """Rewrite a table into few, evenly sized files (sizes follow the session's advisory
     partition size)."""
     df = spark.table(table)
-    parts = partition_columns(spark, table)
-    write_snapshot(df if parts else df.hint("rebalance"), table)
+    if partition_columns(spark, table):
+        replace_partitions(df, table)
+    else:
+        overwrite_table(df.hint("rebalance"), table)
 
 
 def append_files(df: DataFrame, path: str) -> bool:
-    """Append to a parquet folder unless there is nothing to write."""
-    if df.isEmpty():
+    """Append to a parquet folder unless there is nothing to write; the rows are computed once."""
+    stored = settle(df)
+    if stored.isEmpty():
         return False
-    df.write.mode("append").parquet(path)
+    stored.write.mode("append").parquet(path)
     return True
 
 
@@ -197,6 +245,11 @@ def write_json(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_audit(found: DataFrame, path: str) -> None:
+    """The audit records as JSON lines, in as many files as there are tasks."""
+    found.write.mode("overwrite").json(path)
+
+
 def report_path(root: str, run_id: str, dataset_id: str) -> str:
     return f"{root.rstrip('/')}/{run_id}_{dataset_id}.json"
 
