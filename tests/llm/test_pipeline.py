@@ -13,7 +13,7 @@ import corpus_pipeline  # noqa: E402
 
 def test_registered():
     names = entry.queries()
-    assert [n for k in range(1, 11) for n in names if n.startswith(f"op{k}_")].__len__() == 10 and "pipeline" in names
+    assert sum(n.startswith(f"op{k}_") for k in range(1, 11) for n in names) == 10 and "pipeline" in names
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "simhash_near_dedup", "decontamination", "packing"]
 
 
@@ -49,3 +49,16 @@ def test_stages(spark, sf_dir, planted):
 def test_run(spark, sf_dir):
     pieces = corpus_pipeline.run(spark, sf_dir)
     assert pieces.columns[:2] == ["doc_id", "start"] and pieces.count() > 10
+
+
+@pytest.mark.parametrize("name", [n for n in entry.oracle_sql() if n.startswith("op")])
+def test_against_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    sf = "/root/testdata/sf0.01"
+    db = duckdb.connect()
+    for t in ("documents", "pages"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    found = entry.queries()[name](spark, sf)
+    cursor = db.execute(entry.oracle_sql()[name])
+    assert [c[0] for c in cursor.description] == found.columns
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(cursor.fetchall(), key=repr)

@@ -7,12 +7,15 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from verisift.llm import chat, decontaminate, divergence, language, lines, packing, pii, simhash, toxicity, warc
+from verisift.llm import chat, decontaminate, divergence, language, lines, oracles, packing, pii, simhash, toxicity, warc
 from verisift.llm.common import table
 from verisift.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_content_addressed_warc": oracles.WARC_SQL,
+    "op8_distribution_divergence": oracles.DIVERGENCE_SQL,
+}
 
 
 def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
