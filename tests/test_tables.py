@@ -139,7 +139,7 @@ def test_untouched_partitions_keep_their_files(spark, db):
     name = f"{db}.stamped"
     df = spark.sql("SELECT id, timestamp'2024-03-05 10:20:30' + make_interval(0, 0, 0, 0, cast(id % 3 AS int)) AS p FROM range(30)")
     df.write.mode("overwrite").partitionBy("p").saveAsTable(name)
-    files_of = lambda: {f for f in spark.table(name).inputFiles()}
+    files_of = lambda: {f.replace("%25", "%") for f in spark.table(name).inputFiles()}
     before = files_of()
     change = df.filter("id = 4").selectExpr("id", "p")
     sinks.upsert(change, name, ["id"])
@@ -346,15 +346,15 @@ def test_rule_file_checks(spark, tmp_path):
     good = files.read_rules_file(spark, write_rules(tmp_path / "r.csv", [RULE_1, RULE_2]))
     assert good.schema.fields[0].dataType.simpleString() == "string" and len(good.columns) == 13
     assert rulebook.validated_rules(good, "dqdb").count() == 2
-    with pytest.raises(ValueError, match="mismatch"):
+    with pytest.raises(ValueError, match="no rules for"):
         rulebook.validated_rules(good, "other")
-    with pytest.raises(ValueError, match="reject_capture"):
+    with pytest.raises(ValueError, match="rejects are captured"):
         rulebook.validated_rules(good, "dqdb", "Y")
-    with pytest.raises(ValueError, match="unique"):
+    with pytest.raises(ValueError, match="twice"):
         rulebook.validated_rules(good.unionByName(good), "dqdb")
-    with pytest.raises(ValueError, match="Schema"):
+    with pytest.raises(ValueError, match="rules file"):
         rulebook.validated_rules(good.withColumnRenamed("sql", "query"), "dqdb")
-    with pytest.raises(ValueError, match="Schema"):
+    with pytest.raises(ValueError, match="rules file"):
         rulebook.validated_rules(good.drop("sql"), "dqdb")
     wide = good.withColumn("notify_capture", F.lit("Y")).withColumn("notify_topic", F.lit("t"))
     stored = rulebook.load_rules(existing_rules(spark, str(tmp_path / "r.csv")), wide, "dqdb", as_of=NOW)
@@ -399,7 +399,7 @@ def test_batch_verification_and_capture(spark, battery_table, tmp_path):
     nothing = failed.filter("1 = 0")
     assert batch.capture_rejects(spark, rules, db_name="dqdb", failed=nothing, as_of=NOW).count() == 0
     assert batch.capture_rejects(spark, rules, db_name="dqdb", failed=nothing, capture_all=True).count() == 1
-    with pytest.raises(ValueError, match="Configuration"):
+    with pytest.raises(ValueError, match="no rule is active"):
         batch.verify_tables(spark, rules, db_name="none")
     metric = rules.withColumn("rule_type", F.lit("metrics"))
     values = batch.verify_tables(spark, metric, db_name="dqdb", mode="metrics", as_of=NOW)
@@ -418,10 +418,10 @@ def test_batch_profile_and_suggestions(spark, battery_table):
         "is_active string, reject_capture string, rule_type string, check_level string, check_message string, "
         "audit_create_date timestamp")
     existing = spark.table("dqdb.rulestable")
-    once = settle(batch.suggest_for_tables(spark, existing, db_name="dqdb", tables="battery", as_of=NOW))
+    once = settle(batch.suggest_for_tables(spark, existing, db_name="dqdb", tables="battery", as_of=NOW, max_categories=100))
     assert once.filter("constraint_rule = '.isComplete(\"id\")'").count() == 1
     activated = once.withColumn("is_active", F.when(F.col("column_name") == "id", "Y").otherwise(F.col("is_active")))
-    twice = batch.suggest_for_tables(spark, activated, db_name="dqdb", tables="battery", as_of=NOW)
+    twice = batch.suggest_for_tables(spark, activated, db_name="dqdb", tables="battery", as_of=NOW, max_categories=100)
     assert twice.count() == once.count()
     assert twice.groupBy("column_name", "constraint_rule").count().filter("count > 1").count() == 0
 

@@ -23,6 +23,6 @@ def parse_schema(text: str) -> T.StructType:
             raise ValueError(f"expected 'name type', got {entry.strip()!r}")
         name, dtype = words
         if dtype.lower() not in INGEST_SPARK_TYPES:
-            raise ValueError(f"Unsupported datatype: {dtype.lower()}")
+            raise ValueError(f"ingest knows no type {dtype.lower()}")
         fields.append(T.StructField(name, INGEST_SPARK_TYPES[dtype.lower()], True))
     return T.StructType(fields)

@@ -14,7 +14,7 @@ SORT_FIELDS = ("height", "weight", "bmi")
 def sort_by(df: DataFrame, field: str, order: str = "asc", allowed: tuple[str, ...] = SORT_FIELDS) -> DataFrame:
     """Whole table in order of a permitted field; a missing value sorts as 0."""
     if field not in allowed:
-        raise ValueError(f"Invalid field, select from {list(allowed)}")
+        raise ValueError(f"records are sorted by one of {list(allowed)}, not {field}")
     if order not in ("asc", "desc"):
         raise ValueError("Invalid order, select between asc and desc")
     key = F.coalesce(quoted(field), F.lit(0))
