@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verisift.llm import decontaminate, lines, packing, simhash, toxicity
+from verisift.llm.common import importable
 from verisift.session import settle
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -49,12 +50,20 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
+def _stage(run: Stage) -> Stage:
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        importable(spark)
+        return run(spark, docs, sf_dir)
+
+    return stage
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("toxicity", drop_toxic),
-    ("line_dedup", drop_repeated_lines),
-    ("simhash_near_dedup", drop_near_duplicates),
-    ("decontamination", drop_contaminated),
-    ("packing", pack),
+    ("toxicity", _stage(drop_toxic)),
+    ("line_dedup", _stage(drop_repeated_lines)),
+    ("simhash_near_dedup", _stage(drop_near_duplicates)),
+    ("decontamination", _stage(drop_contaminated)),
+    ("packing", _stage(pack)),
 ]
 
 

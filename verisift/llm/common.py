@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,15 @@ NOT_WHITE = r"[^\x20\x09-\x0D]"
 BROADCAST_ROWS = 50_000
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import the library from where the driver has it.
+    Other machines get it the usual way (installed, or with --py-files)."""
+    root, known = str(Path(__file__).parents[2]), spark.sparkContext.environment
+    paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,5 +61,5 @@ def unwrapped(columns: Sequence[str], **changed: Column) -> list[Column]:
     return kept + [v.alias(n) for n, v in changed.items() if n not in columns]
 
 
-__all__ = ["BROADCAST_ROWS", "NOT_WHITE", "WHITE", "WHITE_RUN", "broadcast_if_small", "settle", "table",
+__all__ = ["BROADCAST_ROWS", "NOT_WHITE", "WHITE", "WHITE_RUN", "broadcast_if_small", "importable", "settle", "table",
            "text_of", "unwrapped", "words_of", "wrapped"]
