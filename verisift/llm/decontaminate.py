@@ -40,24 +40,37 @@ NUMBER, UNIT, NAME = "<num>", "<unit>", "<name>"
 MARK = "\u0001"  # stands before a word that begins a sentence
 
 
-def raw_tokens(text: Column) -> Column:
-    """Runs of letters and digits; a decimal or grouped number is one token; words that begin a
-    sentence carry a mark."""
-    joined = F.regexp_replace(F.translate(text, MARK, " "), r"(?<=\p{N})[.,](?=\p{N})", "")
+def _any_word(words: list[str]) -> str:
+    """A pattern for one of the words, as alternatives by first letter, so that a token is tried
+    against few of them."""
+    groups: dict[str, list[str]] = {}
+    for w in words:
+        groups.setdefault(w[0], []).append(w[1:])
+    return "(?:" + "|".join(f"{c}(?:{'|'.join(sorted(rest))})" for c, rest in sorted(groups.items())) + ")"
+
+
+def spaced(text: Column) -> Column:
+    """The tokens of a text between single blanks: runs of letters and digits; a decimal or
+    grouped number is one token; words that begin a sentence carry a mark."""
+    joined = F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(" ")), r"(?<=\p{N})[.,](?=\p{N})", "")
     begun = F.regexp_replace(joined, r"(?:^|[.!?:;\n])[^\p{L}\p{N}]*(?=\p{Lu})", " " + MARK)
-    spaced = F.trim(F.regexp_replace(begun, rf"[^\p{{L}}\p{{N}}{MARK}]+", " "))
-    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
+    return F.trim(F.regexp_replace(begun, rf"[^\p{{L}}\p{{N}}{MARK}]+", " "))
+
+
+def split_tokens(between_blanks: Column) -> Column:
+    return F.when(between_blanks == "", F.array().cast("array<string>")).otherwise(F.split(between_blanks, " "))
 
 
 def plain(raw: Column) -> Column:
-    return F.lower(F.translate(raw, MARK, ""))
+    return F.lower(F.replace(raw, F.lit(MARK), F.lit("")))
 
 
-def canonical(raw: Column) -> Column:
-    low = plain(raw)
-    return (F.when(raw.rlike(r"^\x{1}?\p{N}"), NUMBER)
-            .when(low.isin(UNITS), UNIT).when(low.isin(NUMBER_WORDS), NUMBER)
-            .when(raw.rlike(r"^\p{Lu}\p{Ll}"), NAME).otherwise(low))
+def canonical(between_blanks: Column) -> Column:
+    """The same tokens with placeholders, lower-cased; whole texts are rewritten at once."""
+    numbered = F.regexp_replace(between_blanks, rf"(?<![^ ]){MARK}?\p{{N}}[^ ]*", NUMBER)
+    named = F.regexp_replace(numbered, r"(?<![^ ])\p{Lu}\p{Ll}[^ ]*", NAME)
+    measured = F.regexp_replace(plain(named), rf"(?<![^ ]){_any_word(UNITS)}(?![^ ])", UNIT)
+    return F.regexp_replace(measured, rf"(?<![^ ]){_any_word(NUMBER_WORDS)}(?![^ ])", NUMBER)
 
 
 def _windows(size: int) -> Column:
@@ -70,8 +83,9 @@ def _windows(size: int) -> Column:
 
 
 def _tokens(df: DataFrame, *names: str) -> DataFrame:
-    return df.select(*names, raw_tokens(text_of()).alias("raw")).select(
-        *names, "raw", F.transform("raw", canonical).alias("canon"))
+    """The named columns, canon (template tokens) and raw (tokens as they stand)."""
+    return df.select(*names, spaced(text_of()).alias("spaced")).select(
+        *names, split_tokens(canonical(F.col("spaced"))).alias("canon"), split_tokens(F.col("spaced")).alias("raw"))
 
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -113,14 +127,14 @@ def matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
         F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("covered"))
     strong = settle(found.where((F.col("best.n") >= LEAST_RUN) | (F.col("covered") >= LEAST_SHARE * F.col("windows"))).select(
         "doc_id", "_th", "item_id", (-F.col("best.back")).alias("at")))
-    return _consistent(tokens, items, strong)
+    return _consistent(keyed, items, strong)
 
 
-def _consistent(tokens: DataFrame, items: DataFrame, strong: DataFrame) -> DataFrame:
+def _consistent(keyed: DataFrame, items: DataFrame, strong: DataFrame) -> DataFrame:
     """Candidates whose slots agree, by the tokens along the best alignment."""
     chosen = broadcast_if_small(settle(strong.select(F.col("doc_id").alias("_did"), F.col("_th").alias("_dth")).distinct()))
-    texts = tokens.join(chosen, tokens["doc_id"].eqNullSafe(chosen["_did"]) & (tokens["_th"] == chosen["_dth"]), "left_semi")
-    texts = texts.dropDuplicates(["doc_id", "_th"]).select(
+    same = keyed["doc_id"].eqNullSafe(chosen["_did"]) & (keyed["_th"] == chosen["_dth"])
+    texts = _tokens(keyed.join(chosen, same, "left_semi"), "doc_id", "_th").dropDuplicates(["doc_id", "_th"]).select(
         F.col("doc_id").alias("_did"), F.col("_th").alias("_dth"), F.col("raw").alias("draw"), F.col("canon").alias("dcanon"))
     both = strong.join(texts, strong["doc_id"].eqNullSafe(texts["_did"]) & (strong["_th"] == texts["_dth"])).join(
         items.select("item_id", F.col("raw").alias("iraw"), F.col("canon").alias("icanon")), "item_id")
