@@ -18,7 +18,6 @@ from verisift.session import settle
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 ORACLE_SQL = None
-NEAR_WORDS = 5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +34,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.keep_one(docs, words=NEAR_WORDS)
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8)."""
+    return simhash.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,6 +36,12 @@ WORDS = 4
 SEED = 42
 RADIUS = 4
 BLOCK = 16
+# Stages on similar texts: word shingles, their Jaccard similarity, leading bits (two fingerprints
+# per text, so shorter blocks than for one)
+SIMILAR_WORDS = 5
+SIMILARITY = 0.8
+SIMILAR_BLOCK = 12
+BROADCAST_TEXTS = 1_000_000  # text hashes (8 bytes each) that a semi-join may broadcast
 HELD = 4_000_000  # variants that a task spells out at a time
 
 
@@ -195,20 +201,99 @@ def near_duplicates(df: DataFrame, words: int = WORDS, radius: int = RADIUS, blo
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, words: int = WORDS, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """The documents of which no near-duplicate with a smaller doc_id exists (a null doc_id comes
-    last); one of rows that repeat doc_id and text stays."""
-    keys = {"_a": F.xxhash64("doc_id", text_of()), "_b": F.xxhash64(text_of(), "doc_id")}
+def word_fingerprints(text: str) -> tuple[int, int]:
+    """Two independent fingerprints of the set of words of a text, as signed longs.
 
-    prints = settle(df.select("doc_id", *[k.alias(n) for n, k in keys.items()], fingerprint_of(text_of(), words).alias("fp")))
+    A changed word leaves all other words of the set alone, where it spoils several shingles, so
+    copies with many edits stay within the radius."""
+    found = set(text.encode("utf-8", "surrogatepass").lower().split())
+    if not found:
+        return 0, 0
+    ones, count = np.zeros(128, np.int64), 0
+    digests = b"".join(map(xxhash.xxh128_digest, found))
+    for k in range(0, len(digests), 16 * 65_536):
+        rows = np.frombuffer(digests[k:k + 16 * 65_536], np.uint8).reshape(-1, 16)
+        ones += np.unpackbits(rows, axis=1).sum(0, np.int64)
+        count += len(rows)
+    one, two = np.packbits(2 * ones > count).view(np.int64)
+    return int(one), int(two)
+
+
+def shingles(text: str, words: int) -> set[tuple[str, ...]]:
+    found = text.lower().split()
+    return {tuple(found[k:k + words]) for k in range(max(1, len(found) - words + 1))}
+
+
+def _verifier(words: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, left = None, set()
+        for b in batches:
+            u, v = [], []
+            for x, y, s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                if x != last:
+                    last, left = x, shingles(s.as_py(), words)
+                right = shingles(t.as_py(), words)
+                common = len(left & right)
+                if common >= similarity * (len(left) + len(right) - common):
+                    u.append(x)
+                    v.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def similar_texts(texts: DataFrame, prints: DataFrame, words: int, similarity: float, radius: int, block: int) -> DataFrame:
+    """Verified links (u, v) between distinct texts, by their hash th.  prints: th and the array
+    fps, a row per text; texts: th and text, repeats allowed."""
+    pairs = []
+    for k in (0, 1):
+        own = prints.select(F.get("fps", F.lit(k)).alias("fp"), "th")
+        first = settle(own.groupBy("fp").agg(F.min("th").alias("first")))
+        pairs.append(own.join(first, "fp").select(F.col("first").alias("a"), F.col("th").alias("b")))
+        near = links(own, radius, block)
+        ends = [first.select(F.col("fp").alias(e), F.col("first").alias(n)) for e, n in (("u", "a"), ("v", "b"))]
+        pairs.append(near.join(ends[0], "u").join(ends[1], "v").select("a", "b"))
+    found = pairs[0]
+    for more in pairs[1:]:
+        found = found.union(more)
+    found = settle(found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    nodes = settle(found.select(F.col("a").alias("node")).union(found.select("b")).distinct())
+    known = broadcast_if_small(nodes, BROADCAST_TEXTS)
+    wanted = settle(texts.join(known, F.col("th") == F.col("node"), "left_semi").groupBy("th").agg(F.min("text").alias("text")))
+    left = wanted.select(F.col("th").alias("a"), F.col("text").alias("s"))
+    right = wanted.select(F.col("th").alias("b"), F.col("text").alias("t"))
+    both = found.join(right, "b").join(left, "a").select("a", "b", "s", "t")
+    return both.mapInArrow(_verifier(words, similarity), "u long, v long")
+
+
+def keep_one(df: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, radius: int = RADIUS,
+             block: int = SIMILAR_BLOCK) -> DataFrame:
+    """One document of each group of texts whose word shingles have the similarity: the one with
+    the smallest doc_id (a null one comes last).
+
+    Candidates are texts of which one of two word-set fingerprints lies within the radius; they
+    are verified by their shingles.  Equal texts are one text until the end, so copies cost
+    nothing; of rows that repeat doc_id and text one stays."""
+    if radius % 2:
+        raise ValueError("the radius must be even")
+
+    @F.pandas_udf("array<long>")
+    def fingerprints(texts: pd.Series) -> pd.Series:
+        return pd.Series([list(word_fingerprints(t)) for t in texts])
+
+    keys = {"_a": F.xxhash64("doc_id", text_of()), "_b": F.xxhash64(text_of(), "doc_id")}
+    rows = settle(df.select("doc_id", *[k.alias(n) for n, k in keys.items()], F.xxhash64(text_of()).alias("th"),
+                            fingerprints(text_of()).alias("fps")))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_a", "_b")
-    first = prints.groupBy("fp").agg(F.min(place).alias("place"))
-    placed = settle(first.join(classes_of(prints, radius, block), "fp").select("fp", "root", "place"))
+    classes = settle(rows.groupBy("th").agg(F.min(place).alias("place"), F.min("fps").alias("fps")))
+    texts = df.select(F.xxhash64(text_of()).alias("th"), text_of().alias("text"))
+    roots = components(similar_texts(texts, classes.select("th", "fps"), words, similarity, radius, block))
+    placed = settle(classes.select("th", "place").join(roots, F.col("th") == F.col("node"), "left").select(
+        "th", "place", F.coalesce("root", "th").alias("root")))
     winners = placed.groupBy("root").agg(F.min("place").alias("winner"))
-    classes = settle(placed.join(winners, "root").select(F.col("fp").alias("of"), "winner"))
-    judged = prints.join(classes, F.col("fp") == F.col("of"))
+    judged = rows.join(placed.join(winners, "root").select(F.col("th").alias("of"), "winner"), F.col("th") == F.col("of"))
     losers = judged.where((F.col("_a") != F.col("winner._a")) | (F.col("_b") != F.col("winner._b"))).select("_a", "_b").distinct()
     kept = wrapped(df, **keys).join(broadcast_if_small(settle(losers)), ["_a", "_b"], "left_anti")
-    if not prints.groupBy("_a", "_b").count().where("count > 1").isEmpty():
+    if not rows.groupBy("_a", "_b").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["_a", "_b"])
     return kept.select(*unwrapped(df.columns))
