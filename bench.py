@@ -69,6 +69,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-shared-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -104,8 +105,8 @@ def main() -> None:
         "uniqueness_count": lambda: run(check(lineitem, [pair], **DATASET)),
         "uniqueness_rows": lambda: run(failing_rows(lineitem, [pair])),
         "referential_count": lambda: run(check(lineitem, [orphans], refs={"o": orders}, **DATASET)),
-        "rejects_sample_20_rules": lambda: run(rejects(lineitem, TWENTY_RULES, keys=keys, **DATASET)),
-        "rejects_all_20_rules": lambda: run(rejects(lineitem, TWENTY_RULES, keys=keys, sample=None, **DATASET)),
+        "rejects_sample_20_rules": lambda: run(rejects(lineitem, TWENTY_RULES, keys=keys, sample=100, **DATASET)),
+        "rejects_all_20_rules": lambda: run(rejects(lineitem, TWENTY_RULES, keys=keys, **DATASET)),
         "profile_lineitem": lambda: run(profile(lineitem)),
         "profile_documents": lambda: run(profile(documents)),
         "suggest_rules": lambda: run(suggest(profile(orders))),
