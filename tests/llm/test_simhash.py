@@ -1,5 +1,7 @@
 """SimHash links and components against all pairs."""
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -84,6 +86,37 @@ def test_components_of_chains_stars_and_nothing(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_keep_one_against_all_pairs(docs):
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect())
+    sets, holders, parent = [simhash.shingles(t, 5) for _, t in rows], {}, list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, s in enumerate(sets):
+        for j, n in Counter(j for x in s for j in holders.get(x, ())).items():
+            if n >= 0.8 * (len(s) + len(sets[j]) - n):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    want = {rows[i][0] for i in range(len(rows)) if find(i) == i}
+    kept = {r["doc_id"] for r in simhash.keep_one(docs).select("doc_id").collect()}
+    assert want <= kept
+    assert len(kept - want) <= 0.1 * (len(rows) - len(want))
+
+
+def test_keep_one_of_an_edited_copy(spark, docs):
+    text = docs.where("lang = 'en' and n_chars between 3000 and 4000").first()["text"]
+    words = text.split(" ")
+    edited = " ".join("changed" if k % 60 == 30 else w for k, w in enumerate(words))
+    other = " ".join(sorted(words))
+    df = spark.createDataFrame([(3, text), (1, edited), (2, other), (4, text)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == [1, 2]
+
+
 def test_keep_one(odd):
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns

@@ -8,9 +8,9 @@ items asked again with other parameters.
 
 Defined results: null and empty texts and items have no windows; items with fewer than
 SHORTEST tokens, or whose windows hold too few literal tokens to tell anything, match nothing;
-an item shorter than a window is one window of its own length; ties go to the smaller item_id;
-rows repeating doc_id and text get equal results; a null doc_id is an id like any other; other
-columns are ignored.
+an item shorter than a window is one window of its own length; items without an item_id are
+ignored; all matching items are listed; rows repeating doc_id and text get equal results; a null
+doc_id is an id like any other; other columns pass through.
 """
 
 from __future__ import annotations
