@@ -20,9 +20,16 @@ NOT_WHITE = r"[^\x20\x09-\x0D]"
 BROADCAST_ROWS = 50_000
 
 
+# Arrow batches that a Python worker holds at a time; whole texts make large rows
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
 def importable(spark: SparkSession) -> None:
-    """Lets Python workers on this machine import the library from where the driver has it.
-    Other machines get it the usual way (installed, or with --py-files)."""
+    """Lets Python workers on this machine import the library from where the driver has it
+    (other machines get it the usual way, installed or with --py-files), and keeps the batches
+    they are given small."""
+    for name, value in ARROW_BATCH.items():
+        spark.conf.set(name, value)
     root, known = str(Path(__file__).parents[2]), spark.sparkContext.environment
     paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:

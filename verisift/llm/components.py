@@ -41,10 +41,10 @@ def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
         size += batch.num_rows
-        if size > 2_000_000:
+        if size > 500_000:
             held = [forest(*map(np.concatenate, zip(*held, strict=True)))]
             size = len(held[0][0])
-            if size > 1_000_000:
+            if size > 250_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], names=["u", "v"])
                 held, size = [], 0
     if held:

@@ -65,7 +65,7 @@ class Encoder:
             else:
                 known = array("H", self.plain(text)).tobytes()
             if len(text) <= 64:
-                if len(self.cache) > 500_000:
+                if len(self.cache) > 300_000:
                     self.cache.clear()
                 self.cache[text] = known
         return known

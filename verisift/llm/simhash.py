@@ -42,7 +42,7 @@ SIMILAR_WORDS = 5
 SIMILARITY = 0.8
 SIMILAR_BLOCK = 12
 BROADCAST_TEXTS = 1_000_000  # text hashes (8 bytes each) that a semi-join may broadcast
-HELD = 4_000_000  # variants that a task spells out at a time
+HELD = 1_000_000  # variants that a task spells out at a time
 
 
 def fingerprint(text: str, words: int = WORDS) -> int:
@@ -157,7 +157,7 @@ def _linker(radius: int, block: int):
             leads.append(batch.column(0).to_numpy().astype(np.uint64))
             xs.append(batch.column(1).to_numpy().view(np.uint64))
             size += batch.num_rows
-            if size >= 200_000:  # whole blocks so far; the last one may go on
+            if size >= 100_000:  # whole blocks so far; the last one may go on
                 lead, x = np.concatenate(leads), np.concatenate(xs)
                 cut = int(np.searchsorted(lead, lead[-1]))
                 if cut:
@@ -248,10 +248,12 @@ def similar_texts(texts: DataFrame, prints: DataFrame, words: int, similarity: f
     pairs = []
     for k in (0, 1):
         own = prints.select(F.get("fps", F.lit(k)).alias("fp"), "th")
-        first = settle(own.groupBy("fp").agg(F.min("th").alias("first")))
-        pairs.append(own.join(first, "fp").select(F.col("first").alias("a"), F.col("th").alias("b")))
+        # two texts stand for a fingerprint, as texts of the same words may differ in their order
+        least, most = F.min("th").alias("least"), F.max("th").alias("most")
+        shown = settle(own.groupBy("fp").agg(least, most).withColumn("shown", F.array_distinct(F.array("least", "most"))))
+        pairs.append(own.join(shown, "fp").select(F.explode("shown").alias("a"), F.col("th").alias("b")))
         near = links(own, radius, block)
-        ends = [first.select(F.col("fp").alias(e), F.col("first").alias(n)) for e, n in (("u", "a"), ("v", "b"))]
+        ends = [shown.select(F.col("fp").alias(e), F.explode("shown").alias(n)) for e, n in (("u", "a"), ("v", "b"))]
         pairs.append(near.join(ends[0], "u").join(ends[1], "v").select("a", "b"))
     found = pairs[0]
     for more in pairs[1:]:

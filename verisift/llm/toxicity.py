@@ -98,7 +98,7 @@ class Features:
         for w in words:
             hit = known.get(w)
             if hit is None:
-                if len(known) > 500_000:
+                if len(known) > 200_000:
                     known.clear()
                 hit = known[w] = tuple(f for f in stems_of(w) if f in self.wanted)
             for f in hit:
@@ -139,7 +139,7 @@ def count_features(sample: DataFrame) -> DataFrame:
                     c = counted.setdefault(f, [0, 0])
                     c[0] += toxic
                     c[1] += 1
-                if len(counted) > 1_000_000:
+                if len(counted) > 500_000:
                     yield out()
                     counted.clear()
         if counted:
