@@ -1,5 +1,6 @@
 """SimHash links and components against all pairs."""
 
+import random
 from collections import Counter
 
 import numpy as np
@@ -7,7 +8,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
-from verisift.llm import simhash
+from verisift.llm import prefix, simhash
 from verisift.llm.components import components, forest
 
 
@@ -123,6 +124,52 @@ def test_keep_one_of_edited_copies(spark, docs):
     assert len(want - kept) <= 8  # some of the documents are copies of each other, and so are their sorted words
 
 
+def test_copies_that_only_resemble_their_base(spark):
+    rng, rows = random.Random(5), []
+    for family in range(4):
+        words = [f"w{family}x{k}" for k in range(400)]
+        rows.append((1000 * family + 500, " ".join(words)))
+        for copy in range(60):
+            edited = list(words)
+            for part in range(6):
+                edited[part * 66 + rng.randrange(5, 60)] = f"e{family}x{copy}x{part}"
+            rows.append((1000 * family + copy, " ".join(edited)))
+    sets = {k: simhash.shingles(t, 5) for k, t in rows}
+    alike = [len(sets[k] & sets[500]) / len(sets[k] | sets[500]) for k in range(60)]
+    assert min(alike) >= 0.8 and len(sets[0] & sets[1]) < 0.8 * len(sets[0] | sets[1])
+    kept = [r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()]
+    assert sorted(kept) == [0, 1000, 2000, 3000]
+
+
+def test_unlinked_pairs_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(prefix, "SALTED", 3)
+    rng = random.Random(6)
+    frame = [f"f{k}" for k in range(60)]  # shared by families that differ in their other words
+    texts = {}
+    for node in range(120):
+        words = frame + [f"n{node % 12}x{k}" for k in range(24)]
+        words[rng.randrange(len(words))] = f"e{node}"
+        texts[node] = " ".join(words)
+    digests, sets = simhash.digests_of(5), {k: simhash.shingles(t, 5) for k, t in texts.items()}
+
+    def similar(a, b):
+        return len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+
+    def verify(pairs, given):
+        found = [(r["a"], r["b"]) for r in pairs.collect() if similar(r["a"], r["b"])]
+        return spark.createDataFrame(found, "u long, v long")
+
+    star = [(0, k) for k in range(1, 120)]
+    tried = spark.createDataFrame(star, "a long, b long")
+    linked = spark.createDataFrame([p for p in star if similar(*p)], "u long, v long")
+    given = spark.createDataFrame(list(texts.items()), "h long, text string")
+    done = prefix.finished(tried, linked, given, digests, 0.8, verify)
+    roots = dict(map(tuple, components(done).collect()))
+    pairs = [(a, b) for a in texts for b in texts if a < b and similar(a, b)]
+    want = dict(map(tuple, components(spark.createDataFrame(pairs, "a long, b long")).collect()))
+    assert roots == want and len(want) > 80
+
+
 def test_keep_one(odd):
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns

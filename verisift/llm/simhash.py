@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from verisift.llm.common import broadcast_if_small, settle, text_of, unwrapped, wrapped
 from verisift.llm.components import components, forest
+from verisift.llm.prefix import finished
 
 WORDS = 4
 SEED = 42
@@ -242,13 +243,25 @@ def _verifier(words: int, similarity: float):
     return run
 
 
+def digests_of(words: int):
+    """The function that gives the distinct shingle hashes of a text."""
+    def digests(text: str) -> np.ndarray:
+        joined = {" ".join(s).encode("utf-8", "surrogatepass") for s in shingles(text, words)}
+        return np.array(sorted({xxhash.xxh64_intdigest(s, SEED) for s in joined}), np.uint64).view(np.int64)
+
+    return digests
+
+
 def similar_texts(texts: DataFrame, prints: DataFrame, words: int, similarity: float, radius: int, block: int) -> DataFrame:
     """Verified links (u, v) between distinct texts, by their hash th.  prints: th and the array
-    fps, a row per text; texts: th and text, repeats allowed."""
+    fps, a row per text; texts: th and text, repeats allowed.
+
+    Representatives of fingerprints, and fingerprints along a spanning tree of their links, are
+    compared first.  Where one of these pairs isn't similar, it stood for others that may be:
+    `prefix.finished` compares all texts that such pairs join."""
     pairs = []
     for k in (0, 1):
         own = prints.select(F.get("fps", F.lit(k)).alias("fp"), "th")
-        # two texts stand for a fingerprint, as texts of the same words may differ in their order
         least, most = F.min("th").alias("least"), F.max("th").alias("most")
         shown = settle(own.groupBy("fp").agg(least, most).withColumn("shown", F.array_distinct(F.array("least", "most"))))
         pairs.append(own.join(shown, "fp").select(F.explode("shown").alias("a"), F.col("th").alias("b")))
@@ -261,11 +274,15 @@ def similar_texts(texts: DataFrame, prints: DataFrame, words: int, similarity: f
     found = settle(found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     nodes = settle(found.select(F.col("a").alias("node")).union(found.select("b")).distinct())
     known = broadcast_if_small(nodes, BROADCAST_TEXTS)
-    wanted = settle(texts.join(known, F.col("th") == F.col("node"), "left_semi").groupBy("th").agg(F.min("text").alias("text")))
-    left = wanted.select(F.col("th").alias("a"), F.col("text").alias("s"))
-    right = wanted.select(F.col("th").alias("b"), F.col("text").alias("t"))
-    both = found.join(right, "b").join(left, "a").select("a", "b", "s", "t")
-    return both.mapInArrow(_verifier(words, similarity), "u long, v long")
+    wanted = settle(texts.join(known, F.col("th") == F.col("node"), "left_semi").groupBy(F.col("th").alias("h")).agg(F.min("text").alias("text")))
+
+    def verify(tried: DataFrame, given: DataFrame) -> DataFrame:
+        left = given.select(F.col("h").alias("a"), F.col("text").alias("s"))
+        right = given.select(F.col("h").alias("b"), F.col("text").alias("t"))
+        both = tried.join(right, "b").join(left, "a").select("a", "b", "s", "t")
+        return both.mapInArrow(_verifier(words, similarity), "u long, v long")
+
+    return finished(found, settle(verify(found, wanted)), wanted, digests_of(words), similarity, verify)
 
 
 def keep_one(df: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, radius: int = RADIUS,
@@ -273,8 +290,8 @@ def keep_one(df: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMI
     """One document of each group of texts whose word shingles have the similarity: the one with
     the smallest doc_id (a null one comes last).
 
-    Candidates are texts of which one of two word-set fingerprints lies within the radius; they
-    are verified by their shingles.  Equal texts are one text until the end, so copies cost
+    Candidates are texts that a chain of fingerprints within the radius joins, by one of two
+    word-set fingerprints; all of them are compared, by their shingles.  Equal texts are one text until the end, so copies cost
     nothing; of rows that repeat doc_id and text one stays."""
     if radius % 2:
         raise ValueError("the radius must be even")
