@@ -67,6 +67,32 @@ def test_prose_is_left_alone(text):
     assert pii.find(text) == ([], [])
 
 
+@pytest.mark.parametrize(("text", "cut", "whole", "kind"), [
+    ("it is jоhn.doe@example.com there", "hn.doe@example.com", "jоhn.doe@example.com", "email"),
+    ("it is john@mail.exаmple.com there", "john@mail.ex", "john@mail.exаmple.com", "email"),
+    ("it is john dot doe@example.com there", "doe@example.com", "john dot doe@example.com", "email"),
+    ("it is john underscore doe@example.com there", "doe@example.com", "john underscore doe@example.com", "email"),
+    ("it is john plus tag@example.com there", "tag@example.com", "john plus tag@example.com", "email"),
+    ("it is jоhn dot doe@example.com there", "doe@example.com", "jоhn dot doe@example.com", "email"),
+])
+def test_partly_disguised_spans_stay_beside_base_spans(text, cut, whole, kind):
+    base, every = pii.find(text)
+    assert [(text[a:b], k) for a, b, k in base] == [(cut, kind)]
+    assert set(base) <= set(every) and {(text[a:b], k) for a, b, k in every} == {(cut, kind), (whole, kind)}
+
+
+def test_plus_before_a_number():
+    text = "visit us at example.com or call plus 49 30 1234567 now"
+    base, every = pii.find(text)
+    assert base == [] and [(text[a:b], k) for a, b, k in every] == [("plus 49 30 1234567", "phone")]
+
+
+@pytest.mark.parametrize("text", ["c'est plus grand", "two plus two at five", "a dash of salt at home", "john@example.com", "+49 30 1234567"])
+def test_nothing_is_added_without_a_disguise(text):
+    base, every = pii.find(text)
+    assert base == every
+
+
 def test_odd_rows(odd, no_docs):
     assert pii.scan(odd).count() == odd.count()
     assert {r["spans"] for r in pii.scan(odd).collect()} == {""}

@@ -7,8 +7,9 @@ become signs.  Every normalised character keeps the source range it came from, s
 in the normalised text are mapped back.
 
 Defined results: null reads as empty and has no spans; repeated rows give repeated results;
-other columns are ignored.  Base spans always stay; an added span must differ from and not
-overlap a base span.  All scans are linear in the length of the text.
+other columns are ignored.  Base spans always stay, also those that a disguise cuts short; an
+added span may contain or overlap them, but doesn't equal one or lie inside one of its own kind,
+nor inside another added span of its kind.  All scans are linear in the length of the text.
 """
 
 from __future__ import annotations
@@ -44,6 +45,9 @@ _SPELLED = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 # Signs of a disguise: two spelled digits in a row, a boxed sign, a bare "at" followed by a bare "dot"
 _SPELLED_RUN = re.compile(rf"(?:{_SPELLED})[\s-]+(?:(?:{_SPELLED}|dot)\b|[0-9])|[0-9][\s-]+(?:{_SPELLED})\b")
 _BOXED = re.compile(r"[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]")
+# A "plus" before a number, or inside the local part of an address
+_PLUS_NUMBER = re.compile(rf"plus[\s(]*(?:[0-9]|(?:{_SPELLED})\b)", re.IGNORECASE)
+_PLUS_TAG = re.compile(r"plus[ \t]+[a-z0-9._%-]+(?:@|[ \t]+at[ \t]|[ \t]*[\[({<][ \t]*(?:at|@))", re.IGNORECASE)
 # A spelled-out address must end in one of these; without a sign, prose reads alike
 TOP_LEVEL = frozenset("com org net edu gov info io biz de fr es it uk eu us ch at nl be pl ru cn jp br in ca au".split())
 _BARE_AT = re.compile(r"\sat\s", re.IGNORECASE)
@@ -137,6 +141,7 @@ def unspell(tape: Tape) -> None:
     A bare "at" or "dot" is a sign only if the same stretch holds the other one or a real sign;
     a gap closes only next to a rewritten word."""
     text, edits, last = tape.text, [], 0
+    signed = _signed(text.lower())
     for m in _TOKEN.finditer(text):
         start, stop = m.span()
         if m.group("boxed"):
@@ -151,8 +156,10 @@ def unspell(tape: Tape) -> None:
                     before -= 1
                 while after < len(text) and text[after] in " \t":
                     after += 1
-                if word in ("plus",):
+                if word == "plus" and _PLUS_NUMBER.match(text, start):
                     stop = after
+                elif word == "plus" and not _PLUS_TAG.match(text, start) or word == "at" and not signed:
+                    continue
                 elif before == start or after == stop:
                     continue
                 else:
@@ -171,19 +178,27 @@ def unspell(tape: Tape) -> None:
     tape.rewrite(edits)
 
 
-def suspicious(text: str) -> bool:
-    """Whether a text may hold a spelled or boxed disguise; cheap tests come first."""
-    lower = text.lower()
+def _signed(lower: str) -> bool:
+    """Whether a lower-cased text holds signs of a disguise with which a bare "at" counts."""
     words = set(lower.replace("-", " ").split())
     if "dot" in words and not words.isdisjoint(("at", *DIGIT_WORDS)):
         return True
     if "dot" in lower and "@" in lower:
         return True
+    if not words.isdisjoint(("dash", "hyphen", "underscore")) or "plus" in words and any(
+            _PLUS_TAG.match(lower, m.start()) for m in re.finditer(r"\bplus\b", lower)):
+        return True
     if not words.isdisjoint(DIGIT_WORDS) and _SPELLED_RUN.search(lower):
         return True
     return any(c in lower for c in "[({<") and bool(_BOXED.search(lower))
 
 
+def suspicious(text: str) -> bool:
+    """Whether a text may hold a spelled or boxed disguise; cheap tests come first."""
+    lower = text.lower()
+    return _signed(lower) or "plus" in lower and any(_PLUS_NUMBER.match(lower, m.start()) for m in re.finditer(r"\bplus\b", lower))
+
+
 def disguised(text: str) -> list[Span]:
     """Spans found only after normalisation, in source offsets."""
     found: set[Span] = set()
@@ -208,21 +223,21 @@ def disguised(text: str) -> list[Span]:
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:
-    """(base spans, all spans); added spans lie apart from base spans and from each other."""
+    """(base spans, all spans); a span isn't added inside a base or added span of its own kind."""
     base = detect(text)
     added = disguised(text)
     if not added:
         return base, base
-    kept, ends = [], [0]
-    starts = sorted((s[0], s[1]) for s in base)
-    reach = [0, *accumulate((stop for _, stop in starts), max)]
-    for start, stop, kind in added:
-        k = bisect_right(starts, (start, stop))
-        apart = reach[k] <= start and (k == len(starts) or stop <= starts[k][0])
-        if apart and ends[-1] <= start:
-            kept.append((start, stop, kind))
-            ends.append(stop)
-    return base, sorted(base + kept, key=lambda s: (s[0], KINDS.index(s[2])))
+    kept = []
+    for kind in KINDS:
+        spans = sorted((s[0], s[1]) for s in base if s[2] == kind)
+        starts, reach = [s for s, _ in spans], [0, *accumulate((stop for _, stop in spans), max)]
+        end = 0
+        for start, stop, _ in sorted((s for s in added if s[2] == kind), key=lambda s: (s[0], -s[1])):
+            if max(end, reach[bisect_right(starts, start)]) < stop:
+                kept.append((start, stop, kind))
+                end = stop
+    return base, sorted(base + kept, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
 def joined(spans: Iterable[Span]) -> str:
