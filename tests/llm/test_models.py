@@ -70,3 +70,13 @@ def test_language_of_odd_rows(odd, no_docs, tables):
     assert found.count() == odd.count()
     assert language.identify(no_docs, tables["pages"].limit(0)).count() == 0
     assert {r["lang"] for r in language.identify(no_docs, tables["pages"].limit(2)).collect()} == {None}
+
+
+def test_languages_of_few_documents(spark):
+    english = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("the people of the town went to the market that day").alias("text"), F.lit("en").alias("lang"))
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto "
+    rows = [(40_000 + k, finnish * 10, "fi") for k in range(2)] + [(50_000, "qwx zzyqx kwyjx zzq xwyqz", "zz")]
+    documents = english.union(spark.createDataFrame(rows, "doc_id long, text string, lang string")).withColumn("source", F.lit(None).cast("string"))
+    pages = spark.createDataFrame([(1, None, f"<html><body>{finnish}</body></html>")], "page_id long, url string, html string")
+    found = {r["doc_id"] or r["page_id"]: r["lang"] for r in language.identify(documents, pages).where("doc_id >= 40000 or page_id is not null").collect()}
+    assert found == {40_000: "fi", 40_001: "fi", 50_000: language.UNKNOWN, 1: "fi"}

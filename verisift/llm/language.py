@@ -12,7 +12,10 @@ counts.
 Defined results: null and empty texts have no text evidence; a missing declaration, suffix or
 host adds nothing; without labelled documents there are no languages and lang is null; ties go
 to the alphabetically first language; repeated rows give equal results; other columns are
-ignored.
+ignored.  A language is known if its documents hold LEAST_TRIGRAMS trigrams, whatever the size
+of the table; the documents of all other labels train one class, `unknown`, which exists only
+beside known languages and if there are such labels (without known languages, all labels are
+known).  The model takes 256 KB a language on the driver and half of that in each Python worker.
 """
 
 from __future__ import annotations
@@ -30,7 +33,8 @@ from verisift.llm.common import broadcast_if_small, settle, text_of
 BUCKETS = 1 << 15
 TEMPER = 60.0  # trigrams of a text beyond this many add nothing but weight to their mean
 PRIOR_STRENGTH = 5.0  # records that a wider level counts for at the next narrower one
-LEAST_SHARE = 1e-4  # of the labelled documents, for a language to be known
+LEAST_TRIGRAMS = 1000  # of a language's documents, for it to be known
+UNKNOWN = "unknown"  # the class of all other labels
 
 _HIDDEN = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", re.DOTALL | re.IGNORECASE)
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -62,29 +66,41 @@ def _parts(texts: list[str], most: int = 2_000_000) -> Iterator[tuple[int, list[
         at = stop
 
 
+def _counted(held: dict[int, np.ndarray]) -> pa.RecordBatch:
+    """The counts of some languages that aren't zero, by slot."""
+    filled = [(k * BUCKETS + (at := np.flatnonzero(n)), n[at]) for k, n in held.items()]
+    columns = [np.concatenate([f[c] for f in filled] or [np.empty(0, np.int64)]).astype(np.int64) for c in (0, 1)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["slot", "n"])
+
+
 def train(documents: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages, log probability of each bucket by language) from all labelled documents."""
-    labelled = documents.where(F.col("lang").isNotNull())
-    shares = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc()).limit(1000).collect()
-    total = sum(r["n"] for r in shares)
-    langs = sorted(r["lang"] for r in shares if r["n"] >= LEAST_SHARE * total)
+    labelled = documents.where(F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), text_of().alias("text"))
+    evidence = settle(labelled.groupBy("lang").agg(F.sum(F.char_length("text")).alias("n")))  # a trigram per character
+    known = [r["lang"] for r in evidence.where(F.col("n") >= LEAST_TRIGRAMS).select("lang").collect()]
+    if known and not evidence.where(F.col("n") < LEAST_TRIGRAMS).isEmpty():
+        known.append(UNKNOWN)
+    langs = sorted(set(known or (r["lang"] for r in evidence.select("lang").collect())))
     place = {lang: k for k, lang in enumerate(langs)}
+    other = place.get(UNKNOWN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(langs) * BUCKETS, np.int64)
+        held: dict[int, np.ndarray] = {}
         for b in batches:
-            rows = [(place[x], t) for x, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if x in place]
-            for at, texts in _parts([t for _, t in rows]):
-                bucket, owner = trigrams(texts)
-                lang = np.array([k for k, _ in rows[at:at + len(texts)]])
-                counts += np.bincount(lang[owner] * BUCKETS + bucket, minlength=len(counts))
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["slot", "n"])
+            rows: dict[int, list[str]] = {}
+            for x, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows.setdefault(place.get(x, other), []).append(t)
+            for k, own in rows.items():
+                for _, texts in _parts(own):
+                    held[k] = held.get(k, 0) + np.bincount(trigrams(texts)[0], minlength=BUCKETS)
+                if len(held) > 64:
+                    yield _counted(held)
+                    held = {}
+        yield _counted(held)
 
     if not langs:
         return [], np.zeros((0, BUCKETS))
-    summed = labelled.select(F.col("lang").cast("string").alias("lang"), text_of().alias("text")).mapInArrow(
-        run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    summed = labelled.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     counts = np.full(len(langs) * BUCKETS, 0.5)
     for r in summed.toLocalIterator():  # a row per language and bucket at most
         counts[r["slot"]] += r["n"]
