@@ -51,3 +51,28 @@ apart AS (SELECT rid, long.kind AS kind, sqrt(greatest(sum(CASE WHEN p > 0 THEN
 strange AS (SELECT DISTINCT rid FROM apart WHERE (kind = 'class' AND far > {d.MAX_CLASS_DISTANCE}) OR (kind = 'word' AND far > {d.MAX_WORD_DISTANCE}))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT EXISTS (SELECT 1 FROM strange WHERE strange.rid = m.rid) AS kept FROM m"""
+
+
+SOURCE_AUDIT_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT rid, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+n AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL),
+k AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS total FROM w GROUP BY lang, term HAVING count(DISTINCT rid) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT g.lang, g.source, k.term, k.total, CAST(coalesce(n.n, 0) AS HUGEINT) AS n
+      FROM g JOIN k ON g.lang = k.lang LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+p AS (SELECT *, 1 + 1000000000 * (n + 2) // (sum(n) OVER s + 2 * count(*) OVER s) AS p,
+             1 + 1000000000 * (total + 2) // (sum(total) OVER s + 2 * count(*) OVER s) AS q
+      FROM c WINDOW s AS (PARTITION BY lang, source)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+          FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0) AS value
+  FROM g AS x JOIN g AS y ON x.lang = y.lang AND x.source <> y.source
+  LEFT JOIN pairs ON pairs.lang = x.lang AND pairs.source = x.source AND pairs.item = y.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM every)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM r WHERE part = 'pair' OR rank <= 10"""

@@ -7,7 +7,8 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from verisift.llm import chat, decontaminate, divergence, language, lines, oracles, packing, pii, simhash, toxicity, warc
+from verisift.llm import (chat, decontaminate, divergence, language, lines, oracles, packing, pii, simhash, source_audit,
+                          toxicity, warc)
 from verisift.llm.common import importable, table
 from verisift.session import scratch_path
 
@@ -15,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {
     "op5_content_addressed_warc": oracles.WARC_SQL,
     "op8_distribution_divergence": oracles.DIVERGENCE_SQL,
+    "op11_source_divergence": oracles.SOURCE_AUDIT_SQL,
 }
 
 
@@ -87,6 +89,11 @@ def op1_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
 
 
+@_query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
