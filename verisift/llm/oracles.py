@@ -76,3 +76,29 @@ every AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM every)
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
 FROM r WHERE part = 'pair' OR rank <= 10"""
+
+
+TRIE_SQL = r"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos,
+             {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS turn FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list(turn ORDER BY pos) AS turns FROM t GROUP BY conv_id),
+bits AS (SELECT conv_id, flatten(list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1),
+             lambda i: [CAST(ord(CAST(conv_id AS VARCHAR)[i]) AS UBIGINT), 0, 0, 0, 0, 0, 0, 0])) AS b FROM c),
+h AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295::UBIGINT, b), lambda x, y:
+             xor(xor(x, y) >> 1, 3988292384::UBIGINT * (xor(x, y) & 1))), 4294967295::UBIGINT) % 4 AS h FROM bits),
+r AS (SELECT c.conv_id, list_concat(coalesce(o.turns[1:h], []), c.turns[h + 1:]) AS turns
+      FROM c JOIN h ON h.conv_id = c.conv_id LEFT JOIN c AS o ON o.conv_id = c.conv_id - c.conv_id % 20),
+m AS (SELECT conv_id, len(turns) AS size, d AS depth, CASE WHEN d > 0 THEN turns[1:d] ELSE [] END AS path,
+             CASE WHEN d > 1 THEN turns[1:d - 1] ELSE [] END AS above FROM r, unnest(range(0, len(turns) + 1)) AS u(d)),
+n AS (SELECT path, any_value(above) AS above, min(conv_id) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE size = depth), '')) AS ends_sha256
+      FROM m GROUP BY path),
+k AS (SELECT above AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY above),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth = 0 THEN 0 ELSE
+             (n_convs - 1) * len(regexp_extract_all(n.path[depth].text, '[^\x20\x09-\x0D]+')) END AS own
+      FROM n LEFT JOIN k ON k.path = n.path),
+s AS (SELECT CASE WHEN d > 0 THEN path[1:d] ELSE [] END AS path, sum(own) AS saved, count(*) FILTER (WHERE n_children = 0) AS leaves
+      FROM f, unnest(range(0, depth + 1)) AS u(d) GROUP BY 1)
+SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.leaves AS n_leaves,
+       CAST(s.saved AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM f JOIN s ON s.path = f.path LEFT JOIN n AS p ON f.depth > 0 AND p.path = f.above"""

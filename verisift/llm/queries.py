@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from verisift.llm import (chat, decontaminate, divergence, language, lines, oracles, packing, pii, simhash, source_audit,
-                          toxicity, warc)
+                          toxicity, trie, warc)
 from verisift.llm.common import importable, table
 from verisift.session import scratch_path
 
@@ -17,6 +17,7 @@ ORACLE: dict[str, str] = {
     "op5_content_addressed_warc": oracles.WARC_SQL,
     "op8_distribution_divergence": oracles.DIVERGENCE_SQL,
     "op11_source_divergence": oracles.SOURCE_AUDIT_SQL,
+    "op12_prefix_trie": oracles.TRIE_SQL,
 }
 
 
@@ -94,6 +95,12 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = trie.paths_of(trie.turns_of(table(spark, sf_dir, "conversations")))
+    return trie.nodes_of(trie.rebuilt(paths))
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
