@@ -18,6 +18,9 @@ NOT_WHITE = r"[^\x20\x09-\x0D]"
 
 # A side of a join is broadcast only if a count shows that it has no more rows than this
 BROADCAST_ROWS = 50_000
+# Rows of one key that a join leaves together, and the number of larger keys that are broadcast
+HOT_ROWS = 200
+HOT_KEYS = 200_000
 
 
 # Arrow batches that a Python worker holds at a time; whole texts make large rows
@@ -57,6 +60,21 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def join_hot(rows: DataFrame, keys: Sequence[str], right: DataFrame, by: Sequence[str], unit: int = HOT_ROWS) -> DataFrame:
+    """Inner join of rows with a table that has each key once, so that no key's rows land in one task.
+
+    `right` is stored and its column `size` says how many of the rows have the key.  Rows of a key
+    beyond the unit are dealt to salts by a hash of the `by` columns, and the key's row on the right is
+    repeated for each salt; other keys are joined as they are."""
+    salts = F.ceil(F.col("size") / unit)
+    hot = right.where(F.col("size") > unit).select(*[F.col(k).alias(f"_hot_{k}") for k in keys], salts.alias("_salts"))
+    marked = rows.join(broadcast_if_small(hot, HOT_KEYS), [F.col(k) == F.col(f"_hot_{k}") for k in keys], "left")
+    dealt = marked.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*by), "_salts"), F.lit(0))).drop("_salts", *[f"_hot_{k}" for k in keys])
+    spread = right.drop("size").withColumn("_salt", F.lit(0).cast("long")).union(
+        right.where(F.col("size") > unit).withColumn("_salt", F.explode(F.sequence(F.lit(1).cast("long"), salts - 1))).drop("size"))
+    return dealt.join(spread, [*keys, "_salt"]).drop("_salt")
+
+
 def wrapped(df: DataFrame, **keys: Column) -> DataFrame:
     """The rows as one struct column `row` beside key columns, so that no name can clash."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[k.alias(n) for n, k in keys.items()])
@@ -68,5 +86,5 @@ def unwrapped(columns: Sequence[str], **changed: Column) -> list[Column]:
     return kept + [v.alias(n) for n, v in changed.items() if n not in columns]
 
 
-__all__ = ["BROADCAST_ROWS", "NOT_WHITE", "WHITE", "WHITE_RUN", "broadcast_if_small", "importable", "settle", "table",
+__all__ = ["BROADCAST_ROWS", "NOT_WHITE", "WHITE", "WHITE_RUN", "broadcast_if_small", "importable", "join_hot", "settle", "table",
            "text_of", "unwrapped", "words_of", "wrapped"]

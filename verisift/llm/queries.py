@@ -7,8 +7,8 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from verisift.llm import (chat, decontaminate, divergence, language, lines, oracles, packing, pii, simhash, source_audit,
-                          toxicity, trie, warc)
+from verisift.llm import (bbit, chat, decontaminate, divergence, language, lines, oracles, packing, pii, simhash,
+                          source_audit, toxicity, trie, warc)
 from verisift.llm.common import importable, table
 from verisift.session import scratch_path
 
@@ -18,6 +18,7 @@ ORACLE: dict[str, str] = {
     "op8_distribution_divergence": oracles.DIVERGENCE_SQL,
     "op11_source_divergence": oracles.SOURCE_AUDIT_SQL,
     "op12_prefix_trie": oracles.TRIE_SQL,
+    "op13_bbit_minhash": oracles.NEAR_DUPLICATES_SQL,
 }
 
 
@@ -101,6 +102,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.nodes_of(trie.rebuilt(paths))
 
 
+@_query
+def op13_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bbit.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
