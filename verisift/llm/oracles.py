@@ -110,8 +110,8 @@ WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_
 s AS (SELECT DISTINCT rid, sh FROM (SELECT rid, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
         ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS sh FROM d)),
 n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
-p AS (SELECT a.rid AS a, b.rid AS b, count(*) AS both FROM s AS a JOIN s AS b ON a.sh = b.sh AND a.rid <> b.rid GROUP BY ALL),
-e AS (SELECT a, b FROM p JOIN n AS x ON x.rid = a JOIN n AS y ON y.rid = b WHERE 100 * both >= 80 * (x.n + y.n - both)),
+p AS (SELECT a.rid AS a, b.rid AS b, count(*) AS common FROM s AS a JOIN s AS b ON a.sh = b.sh AND a.rid <> b.rid GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n AS x ON x.rid = a JOIN n AS y ON y.rid = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
 r(rid, other) AS (SELECT rid, rid FROM d UNION SELECT r.rid, e.b FROM r JOIN e ON e.a = r.other),
 c AS (SELECT r.rid, min(d.doc_id) AS component_id FROM r JOIN d ON d.rid = r.other GROUP BY r.rid)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
