@@ -1,6 +1,7 @@
 """Constraint strings such as ``.isComplete("c")`` read into records, without evaluating
 them: one chain of calls with literal arguments is accepted, and comparisons written as
-``lambda x: x >= 0.9`` or as text (``">= 0.9"``)."""
+``lambda x: x >= 0.9`` or as text (``">= 0.9"``).  Metrics and detectors are named by calls of
+their own: ``.hasNoAnomalies(Mean("price"), MedianDeviation(days=7))``."""
 
 from __future__ import annotations
 
@@ -89,7 +90,19 @@ class Call:
     text: str
 
 
+@dataclass(frozen=True)
+class Named:
+    """A metric or detector named (with a capital) inside a constraint, with its arguments."""
+
+    name: str
+    args: tuple[Any, ...]
+    kwargs: tuple[tuple[str, Any], ...] = ()
+
+
 def _argument(node: ast.expr) -> Any:
+    if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id[:1].isupper():
+        given = tuple((k.arg, _argument(k.value)) for k in node.keywords if k.arg)
+        return Named(node.func.id, tuple(_argument(a) for a in node.args), given)
     if isinstance(node, ast.Lambda):
         text = ast.unparse(node)
         Assertion(text)(F.lit(0.0))

@@ -15,10 +15,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verisift.functions.constraints import IS_ONE, Assertion, Call, ConstraintProblem
+from verisift.functions.constraints import IS_ONE, Assertion, Call, ConstraintProblem, Named
 from verisift.functions.expressions import flag, quoted
 from verisift.functions.predicates import column_type
 
+from .anomalies import History, WithinBounds, read_detector
 from .profile import CLASSES, class_counts, declared_class, value_class
 
 METRICS_PER_SCAN = 100
@@ -37,7 +38,7 @@ class Measure:
 @dataclass(frozen=True)
 class Constraint:
     measure: Measure
-    assertion: Assertion
+    assertion: Assertion | WithinBounds
     text: str
 
 
@@ -191,8 +192,31 @@ VOCABULARY: dict[str, tuple[Reader, bool]] = {
 }
 
 
-def bind(df: DataFrame, call: Call) -> Constraint:
+# Constraints whose metric goes by another name
+_METRIC_CALLS = {"Minimum": "hasMin", "Maximum": "hasMax"}
+
+
+def _bind_anomalies(df: DataFrame, call: Call, history: History | None) -> Constraint:
+    """``hasNoAnomalies(metric, detector)``: the metric's value lies where its history lets expect it."""
+    if history is None:
+        raise ConstraintProblem("hasNoAnomalies needs the stored metrics")
+    if len(call.args) < 2 or not isinstance(call.args[0], Named):
+        raise ConstraintProblem("hasNoAnomalies needs a metric and a detector")
+    metric = call.args[0]
+    name = _METRIC_CALLS.get(metric.name, f"has{metric.name}")
+    if name not in VOCABULARY or metric.kwargs:
+        raise ConstraintProblem(f"unknown metric: {metric.name}")
+    measure = VOCABULARY[name][0](df.schema, list(metric.args))
+    if measure.scan is not None:
+        df.agg(measure.scan).schema
+    within = WithinBounds(history, measure.metric, measure.columns, read_detector(call.args[1]))
+    return Constraint(measure, within, call.text)
+
+
+def bind(df: DataFrame, call: Call, history: History | None = None) -> Constraint:
     """Attach a constraint to a table; raises when it does not fit."""
+    if call.name == "hasNoAnomalies":
+        return _bind_anomalies(df, call, history)
     if call.name not in VOCABULARY:
         raise ConstraintProblem(f"unknown constraint: {call.name}")
     reader, needs_assertion = VOCABULARY[call.name]

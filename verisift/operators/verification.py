@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from datetime import datetime
 from typing import Iterable
@@ -15,6 +16,7 @@ from verisift.functions.constraints import ConstraintProblem, read_constraint
 from verisift.functions.expressions import month_key, quoted, stamp
 from verisift.functions.predicates import RuleProblem
 
+from .anomalies import History
 from .metrics import Constraint, Measure, bind, measure_values
 
 SUCCESS, FAILURE, PROBLEM = "Success", "Failure", "Error"
@@ -54,7 +56,26 @@ class Bound:
     errors: dict[int, str]
 
 
-def bind_rules(df: DataFrame, rules: list[ConstraintRule]) -> Bound:
+def named_columns(rules: list[ConstraintRule], columns: list[str]) -> list[str]:
+    """The columns that rules name: in their column lists, as arguments, or anywhere in a
+    predicate.  A name that merely appears in a text keeps its column too, so no predicate loses
+    one; rules that name no column keep all."""
+    listed = {c.strip().lower() for r in rules for c in (r.column_name or "").split(",")}
+    texts = "\n".join(r.constraint_rule or "" for r in rules)
+    kept = [
+        c for c in columns
+        if c.lower() in listed or re.search(rf"(?<!\w){re.escape(c)}(?!\w)", texts, re.IGNORECASE)
+    ]
+    return kept or columns
+
+
+def checked_rows(df: DataFrame, rules: list[ConstraintRule], where: str | None) -> DataFrame:
+    """The rows and columns that are checked: filtered first, then reduced to what rules name."""
+    rows = df.filter(F.expr(where)) if where else df
+    return rows.select(*[quoted(c) for c in named_columns(rules, df.columns)])
+
+
+def bind_rules(df: DataFrame, rules: list[ConstraintRule], history: History | None = None) -> Bound:
     bound = Bound([], {}, {})
     for rule in rules:
         try:
@@ -67,7 +88,7 @@ def bind_rules(df: DataFrame, rules: list[ConstraintRule]) -> Bound:
             seq = len(bound.rules)
             bound.rules.append((rule, call.text))
             try:
-                bound.constraints[seq] = bind(df, call)
+                bound.constraints[seq] = bind(df, call, history)
             except (ConstraintProblem, RuleProblem, PySparkException, TypeError, ValueError) as problem:
                 bound.errors[seq] = str(problem).splitlines()[0]
     return bound
@@ -94,15 +115,18 @@ def verify(
     table_name: str,
     as_of: datetime | str | None = None,
     where: str | None = None,
+    history: DataFrame | None = None,
 ) -> DataFrame:
     """One row per constraint with its status and message.
 
-    ``where`` restricts the rows that are checked.  A constraint that cannot be evaluated
-    appears with status ``Error`` and leaves the others alone.
+    ``where`` restricts the rows that are checked; of the columns only those that rules name are
+    read.  ``history`` holds stored metrics, for ``hasNoAnomalies``.  A constraint that cannot be
+    evaluated appears with status ``Error`` and leaves the others alone.
     """
-    if where:
-        df = df.filter(F.expr(where))
-    bound = bind_rules(df, constraint_rule_list(rules))
+    listed = constraint_rule_list(rules)
+    df = checked_rows(df, listed, where)
+    stored = None if history is None else History(history, db_name, table_name, as_of)
+    bound = bind_rules(df, listed, stored)
     measures = {seq: c.measure for seq, c in bound.constraints.items()}
 
     def outcome(seq: int, value: Column) -> list[Column]:
@@ -174,9 +198,9 @@ def metric_rows(
     where: str | None = None,
 ) -> DataFrame:
     """Values of the rules' metrics without judging them, one row per distinct metric."""
-    if where:
-        df = df.filter(F.expr(where))
-    bound = bind_rules(df, constraint_rule_list(rules))
+    listed = constraint_rule_list(rules)
+    df = checked_rows(df, listed, where)
+    bound = bind_rules(df, listed)
     distinct: dict[Measure, int] = {}
     for seq, constraint in bound.constraints.items():
         distinct.setdefault(constraint.measure, seq)

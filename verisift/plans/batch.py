@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,15 +38,17 @@ def verify_tables(
     where: str | None = None,
     data: DataFrame | None = None,
     as_of: datetime | str | None = None,
+    history: DataFrame | None = None,
 ) -> DataFrame:
     """Results (or metric values, ``mode="metrics"``) of all active rules of a database.
 
-    Rules are grouped by table and source query, and each group is evaluated once."""
+    Rules are grouped by table and source query, and each group is evaluated once, on the
+    columns that its rules name.  ``history`` holds stored metrics, for ``hasNoAnomalies``."""
     chosen = constraint_rule_list(require_rules(active_rules(rules, db_name, mode, tables)))
     groups: dict[tuple[str, str | None], list] = {}
     for rule in chosen:
         groups.setdefault((rule.table_name, rule.sql), []).append(rule)
-    run = metric_rows if mode == "metrics" else verify
+    run = metric_rows if mode == "metrics" else partial(verify, history=history)
     return _all([
         run(
             source_frame(spark, db_name=db_name, table_name=table, sql=sql, where=where, data=data),

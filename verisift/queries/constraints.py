@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verisift.operators.anomalies import median_deviation, metric_anomalies, normal_deviation, relative_change
 from verisift.operators.metrics import histogram, metric_changes, type_histogram
-from verisift.operators.verification import ConstraintRule, failures, metric_rows, notify_rollup, verify
+from verisift.operators.verification import ConstraintRule, failures, metric_rows, named_columns, notify_rollup, verify
 
 from .common import (
     AS_OF, DIRTY_CUSTOMER_SQL, DIRTY_ORDERS_SQL, EVENT_TEXT_SQL, PART_RULES_SQL, dirty_customer,
@@ -245,6 +246,108 @@ def metric_history_anomaly(spark, sf_dir):
         F.round("previous_value", 2).alias("previous_value"), F.round("change_ratio", 4).alias("change_ratio"), "is_anomaly")
 
 
+# Daily metrics of the events as a table of stored metrics.  One day's count is tripled (a jump).
+JUMP_DAY = "2024-01-18"
+METRICS_SQL = f"""
+SELECT event_type, CAST(ts AS DATE) AS day,
+       CAST(count(*) * CASE WHEN CAST(ts AS DATE) = DATE '{JUMP_DAY}' THEN 3 ELSE 1 END AS DOUBLE) AS size, avg(value) AS mean
+FROM events GROUP BY event_type, CAST(ts AS DATE)"""
+
+
+def _daily_metrics(spark: SparkSession, sf_dir: str, table_name: str | None = None) -> DataFrame:
+    daily = spark.sql(METRICS_SQL.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
+    named = F.concat(F.lit("events_"), "event_type") if table_name is None else F.lit(table_name)
+    points = F.array(
+        F.struct(F.lit("*").alias("column_name"), F.lit("Size").alias("metric"), F.col("size").alias("value")),
+        F.struct(F.lit("value").alias("column_name"), F.lit("Mean").alias("metric"), F.col("mean").alias("value")))
+    return daily.select(F.lit("DB").alias("db_name"), named.alias("table_name"), "event_type", "day", F.explode(points).alias("p")).select(
+        "db_name", "table_name", "event_type", "p.column_name", "p.metric", "p.value", F.col("day").cast("timestamp").alias("audit_create_date"))
+
+
+@_query("metric_anomalies", f"""
+WITH m AS ({METRICS_SQL}),
+p AS (SELECT event_type, day, 'Size' AS metric, size AS value FROM m UNION ALL SELECT event_type, day, 'Mean', mean FROM m),
+w AS (SELECT *, lag(value, 7) OVER s AS season, avg(value) OVER d AS centre, stddev_pop(value) OVER d AS spread, count(value) OVER d AS n,
+             median(value) OVER d AS middle, list(value) OVER d AS past
+      FROM p WINDOW s AS (PARTITION BY event_type, metric ORDER BY day),
+      d AS (PARTITION BY event_type, metric ORDER BY day RANGE BETWEEN INTERVAL 10 DAYS PRECEDING AND INTERVAL 1 DAY PRECEDING)),
+b AS (SELECT *, list_aggregate(list_transform(past, lambda v: abs(v - middle)), 'median') AS mad FROM w)
+SELECT 'median' AS detector, event_type, metric, day, CASE WHEN n >= 3 THEN round(middle - 4 * mad, 6) END AS lower,
+       n >= 3 AND (value < middle - 4 * mad OR value > middle + 4 * mad) AS is_anomaly FROM b
+UNION ALL SELECT 'normal', event_type, metric, day, CASE WHEN n >= 5 THEN round(centre - 3 * spread, 6) END,
+       n >= 5 AND (value < centre - 3 * spread OR value > centre + 3 * spread) FROM b
+UNION ALL SELECT 'season', event_type, metric, day, round(season * 0.5, 6), season IS NOT NULL AND (value < season * 0.5 OR value > season * 2) FROM b""")
+def metric_anomalies_query(spark, sf_dir):
+    """Every point of the history by three detectors; the jump is planted."""
+    history = _daily_metrics(spark, sf_dir)
+    detectors = {"median": median_deviation(days=10, factor=4), "normal": normal_deviation(days=10, factor=3, least=5),
+                 "season": relative_change(max_increase=2.0, max_decrease=0.5, lag=7)}
+    found = [
+        metric_anomalies(history, d).select(
+            F.lit(name).alias("detector"), "event_type", "metric", F.to_date("audit_create_date").alias("day"),
+            F.round("lower", 6).alias("lower"), "is_anomaly")
+        for name, d in detectors.items()
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+ANOMALY_RULES = [
+    ("size_median", ".hasNoAnomalies(Size(), MedianDeviation(days=10, factor=6, floor=1))"),
+    ("size_drop", ".hasNoAnomalies(Size(), RelativeRateOfChange(max_decrease=0.2))"),
+    ("size_cap", ".hasNoAnomalies(Size(), SimpleThreshold(upper=1.0))"),
+    ("mean_normal", ".hasNoAnomalies(Mean('value'), NormalDeviation(days=10, factor=8))"),
+]
+
+
+@_query("k_no_anomalies", f"""
+WITH m AS (SELECT * FROM ({METRICS_SQL}) AS x WHERE event_type = 'click'),
+past AS (SELECT * FROM m WHERE day < DATE '2024-01-30'),
+near AS (SELECT * FROM past WHERE day >= DATE '2024-01-20'),
+mid AS (SELECT median(size) AS middle, avg(mean) AS centre, stddev_pop(mean) AS spread FROM near),
+mad AS (SELECT greatest(median(abs(size - middle)), 1) AS mad FROM near, mid),
+last AS (SELECT arg_max(size, day) AS size FROM past),
+runs AS (SELECT 'plain' AS run, size, mean FROM m WHERE day = DATE '2024-01-30' UNION ALL SELECT 'tripled', size * 3, mean FROM m WHERE day = DATE '2024-01-30')
+SELECT run, name AS constraint_name, CASE WHEN holds THEN 'Success' ELSE 'Failure' END AS constraint_status FROM (
+  SELECT run, 'size_median' AS name, runs.size BETWEEN middle - 6 * mad AND middle + 6 * mad AS holds FROM runs, mid, mad
+  UNION ALL SELECT run, 'size_drop', runs.size >= last.size * 0.2 FROM runs, last
+  UNION ALL SELECT run, 'size_cap', size <= 1 FROM runs
+  UNION ALL SELECT run, 'mean_normal', mean BETWEEN centre - 8 * spread AND centre + 8 * spread FROM runs, mid) AS h""")
+def k_no_anomalies(spark, sf_dir):
+    """A day's clicks against the stored metrics of the days before, as they are and tripled."""
+    history = _daily_metrics(spark, sf_dir, "clicks").filter("event_type = 'click'")
+    today = table(spark, sf_dir, "events").filter("event_type = 'click' AND CAST(ts AS DATE) = DATE '2024-01-30'")
+    rules = spark.createDataFrame(
+        [("clicks", name, rule, "Error", None, None) for name, rule in ANOMALY_RULES],
+        "table_name string, constraint_name string, constraint_rule string, check_level string, check_message string, column_name string")
+    found = [
+        verify(rows, rules, db_name="db", table_name="clicks", as_of="2024-01-30 00:00:00", history=history).select(
+            F.lit(run).alias("run"), "constraint_name", "constraint_status")
+        for run, rows in (("plain", today), ("tripled", today.unionByName(today).unionByName(today)))
+    ]
+    return found[0].unionByName(found[1])
+
+
+NAMED_RULES = [
+    ConstraintRule(".isComplete('l_orderkey')", constraint_name="keys", column_name=" L_ORDERKEY , l_linenumber"),
+    ConstraintRule('.satisfies("l_discount <= 0.1 and l_tax < 0.09", "cap")', constraint_name="cap", column_name="l_discount"),
+    ConstraintRule(".hasEntropy('l_returnflag', '> 0')", constraint_name="flags"),
+]
+
+
+@_query("verify_named_columns", """
+WITH c AS (SELECT 'l_orderkey,l_linenumber,l_discount,l_tax,l_returnflag' AS columns),
+f AS (SELECT count(DISTINCT l_returnflag) AS n FROM lineitem)
+SELECT columns, 'keys' AS constraint_name, CASE WHEN (SELECT count(*) = count(l_orderkey) FROM lineitem) THEN 'Success' ELSE 'Failure' END AS constraint_status FROM c
+UNION ALL SELECT columns, 'cap', CASE WHEN (SELECT count(*) FILTER (NOT (l_discount <= 0.1 AND l_tax < 0.09)) = 0 FROM lineitem) THEN 'Success' ELSE 'Failure' END FROM c
+UNION ALL SELECT columns, 'flags', CASE WHEN n > 1 THEN 'Success' ELSE 'Failure' END FROM c, f""")
+def verify_named_columns(spark, sf_dir):
+    """Checks on just the columns that the rules name, predicates included."""
+    df = table(spark, sf_dir, "lineitem")
+    names = ",".join(named_columns(NAMED_RULES, df.columns))
+    found = verify(df, NAMED_RULES, db_name="db", table_name="lineitem", as_of=AS_OF)
+    return found.select(F.lit(names).alias("columns"), "constraint_name", "constraint_status")
+
+
 @_query("notify_rollup", f"""
 WITH r AS ({PART_RULES_SQL}),
 f AS (SELECT DISTINCT lower(db_name) AS db_name, table_name FROM r WHERE is_active = 'N'),
