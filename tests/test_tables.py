@@ -460,3 +460,56 @@ def test_run_without_rules(employees):
     run = run_rules(employees, [], dataset_id="demo", run_id="r", as_of=NOW)
     assert run.summary.first()["overall_status"] == "failed" and run.rejects.count() == 0
     assert run.document.first()["total_anomalies"] == 0
+
+
+def test_append_run_reads_the_manifest_only(spark, db, tmp_path, monkeypatch):
+    """New files are told from the manifest: the target's files could be gone."""
+    from verisift.plans import ingest as plan
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("k|amount\n1|$1\n")
+    conf = conf_for(tmp_path, append_ind="y", table_name="listed", location=str(tmp_path / "dqdb" / "listed"))
+    ingest(spark, conf, as_of=NOW)
+    for part in (tmp_path / "dqdb" / "listed").glob("*/part-*"):
+        part.rename(tmp_path / part.name)
+    assert plan.new_files(spark, conf, "dqdb.listed") == []
+    (tmp_path / "in" / "b[1].csv").write_text("k|amount\n2|$2\n")
+    (tmp_path / "in" / "b1.csv").write_text("k|amount\n3|$2\n")
+    assert sorted(p.split("/")[-1] for p in plan.new_files(spark, conf, "dqdb.listed")) == ["b1.csv", "b[1].csv"]
+
+
+def test_interrupted_load_is_settled(spark, db, tmp_path, monkeypatch):
+    """A driver lost before the rows were written loads the file again, one lost after them does not."""
+    from verisift.plans import ingest as plan
+    from verisift.sources import manifest
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("k|amount\n1|$1\n")
+    conf = conf_for(tmp_path, append_ind="Y", table_name="cut", location=str(tmp_path / "dqdb" / "cut"))
+    ingest(spark, conf, as_of=NOW)
+    for name, day, step in (("b.csv", "2024-04-01", "append_by_name"), ("c.csv", "2024-04-02", "finish")):
+        (tmp_path / "in" / name).write_text("k|amount\n2|$2\n")
+        with monkeypatch.context() as patch:
+            def lost(*_):
+                raise RuntimeError("lost")
+            patch.setattr(plan if step == "append_by_name" else manifest, step, lost)
+            with pytest.raises(RuntimeError):
+                ingest(spark, conf, as_of=day)
+        want = {"append_by_name": 2, "finish": 3}[step]
+        assert ingest(spark, conf, as_of=f"{day} 01:00:00").count() == want
+        assert ingest(spark, conf, as_of=f"{day} 02:00:00").count() == want
+    assert manifest.loaded_files(spark, "dqdb.cut").count() == 3
+
+
+def test_manifest_of_an_older_table_and_whole_folders(spark, db, tmp_path):
+    from verisift.sources import manifest
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("one\n")
+    conf = conf_for(tmp_path, type="text", table_name="old", location=str(tmp_path / "dqdb" / "old"), target_schema=None,
+                    columnsWithDollar="", append_ind="Y")
+    ingest(spark, conf, as_of=NOW)
+    spark.sql(f"DROP TABLE {manifest.manifest_name('dqdb.old')}")
+    assert ingest(spark, conf, as_of=NOW).count() == 1
+    (tmp_path / "in" / "b.txt").write_text("two\n")
+    assert ingest(spark, conf, as_of="2024-04-01").count() == 2
+    (tmp_path / "in" / "c.txt").write_text("three\n")
+    assert rows(ingest(spark, {**conf, "pick_all_files": "Y"}, as_of="2024-04-02").groupBy("value").count()) == [
+        ("one", 2), ("three", 1), ("two", 2)]

@@ -12,7 +12,7 @@ from verisift.plans import transform
 from verisift.plans.ingest import ingest
 from verisift.plans.validation import get_report, quick_check, run_rules, store_report
 from verisift.session import scratch_path
-from verisift.sources import files, sinks
+from verisift.sources import files, manifest, sinks
 from verisift.sources.tables import list_tables, source_frame
 
 from .common import AS_OF, DIRTY_CUSTOMER_SQL, RUN_ID, SUPPLIER_FEED_SQL, dirty_customer, supplier_feed, table, view
@@ -151,6 +151,38 @@ def ingest_append_new_files(spark, sf_dir):
     return landed.select("id", "label", "nation", "balance", F.date_format("incr_ingest_timestamp", "yyyy-MM-dd HH:mm:ss").alias("loaded"))
 
 
+@_query("ingest_pattern_names", f"""WITH d AS ({SUPPLIER_FEED_SQL}),
+n AS (SELECT CASE WHEN CAST(s_suppkey AS BIGINT) % 3 = 0 THEN 'a*[1].csv' ELSE 'b[1]{{2}}?.csv' END AS file_name, count(*) AS rows FROM d GROUP BY 1)
+SELECT file_name, rows, CAST(1 AS BIGINT) AS loads, true AS sized FROM n""")
+def ingest_pattern_names(spark, sf_dir):
+    """Files whose names look like patterns, each loaded once, as the manifest tells."""
+    root = scratch_path(spark, "feed")
+    conf = _landing(spark, root, append_ind="Y", file_path=f"{root}/in")
+    name = f"{conf['table_schema']}.{conf['table_name']}"
+    for folder, file, condition in (("d1", "a*[1].csv", "s_suppkey % 3 = 0"), ("d2", "b[1]{2}?.csv", "s_suppkey % 3 <> 0")):
+        _feed(spark, sf_dir, f"{root}/parts", folder, condition)
+        files.move_file(spark, f"{root}/parts/in/{folder}", f"{root}/in/{file}")
+        for _ in range(2):  # the second run finds nothing new
+            landed = ingest(spark, conf, as_of=AS_OF)
+    listed = manifest.loaded_files(spark, name).groupBy(F.element_at(F.split("file_path", "/"), -1).alias("listed")).agg(
+        F.count("*").alias("loads"), F.bool_and(F.col("file_size") > 0).alias("sized"))
+    rows = landed.groupBy("file_name").agg(F.count("*").alias("rows"))
+    return rows.join(listed, F.col("file_name") == F.col("listed")).drop("listed")
+
+
+@_query("ingest_deletes_inputs", f"""WITH d AS ({SUPPLIER_FEED_SQL}) {LANDED_SQL}, CAST(1 AS BIGINT) AS inputs_left FROM d""")
+def ingest_deletes_inputs(spark, sf_dir):
+    """A job that deletes what it has loaded; a file that came meanwhile stays for the next run."""
+    root = scratch_path(spark, "feed")
+    conf = _landing(spark, root, append_ind="Y", filedel_ind="Y")
+    for folder, condition in (("d1", "s_suppkey % 3 = 0"), ("d2", "s_suppkey % 3 <> 0")):
+        _feed(spark, sf_dir, root, folder, condition)
+        landed = ingest(spark, conf, as_of=AS_OF)
+    _feed(spark, sf_dir, root, "d3", "true")
+    left = files.list_files(spark, f"{root}/in/*/*.csv").agg(F.count("*")).scalar()
+    return landed.select("id", "label", "nation", "balance", left.alias("inputs_left"))
+
+
 @_query("ingest_lineage", f"""WITH d AS ({SUPPLIER_FEED_SQL})
 SELECT CASE WHEN CAST(s_suppkey AS BIGINT) % 3 = 0 THEN 'd1' ELSE 'd2' END AS folder, count(*) AS n, true AS name_in_path, true AS csv_name FROM d GROUP BY 1""")
 def ingest_lineage(spark, sf_dir):

@@ -391,12 +391,28 @@ def ingest_files(spark, sf_dir):
 
 @_query("ingest_stream", INGESTED_SQL)
 def ingest_stream_query(spark, sf_dir):
-    conf = _feed_conf(spark, sf_dir)
+    conf = {**_feed_conf(spark, sf_dir), "include_header": "y"}
     for _ in range(2):  # the second run finds nothing new
         ingest_stream(spark, conf).awaitTermination()
     return spark.read.parquet(conf["location"]).drop("file_name", "file_path", "incr_ingest_timestamp")
 
 
+@_query("ingest_stream_deletes", f"""WITH d AS ({SUPPLIER_FEED_SQL})
+SELECT CAST(count(*) AS BIGINT) AS rows, true AS at_most_the_last_left FROM d""")
+def ingest_stream_deletes(spark, sf_dir):
+    """A stream told to delete its inputs: a file goes when the batch after its own is done."""
+    conf = {**_feed_conf(spark, sf_dir), "include_header": "1", "filedel_ind": "yes", "max_files": 1}
+    setting = "spark.sql.streaming.fileSource.cleaner.numThreads"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "0")  # delete within the stream's own batches
+    try:
+        ingest_stream(spark, conf).awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
+    left = files.list_files(spark, conf["file_path"]).agg(F.count("*")).scalar()
+    return spark.read.parquet(conf["location"]).agg(F.count("*").alias("rows")).select("rows", (left <= 1).alias("at_most_the_last_left"))
+
+
 # --- transforms and loads ----------------------------------------------------------------------
 
 CHAIN = {

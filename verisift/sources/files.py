@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,9 +110,38 @@ def read_documents(spark: SparkSession, path: str, schema: T.StructType | str |
 
 
 def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``file_path, file_name`` of the input files, without reading their content."""
+    """``file_path, file_name, file_size, file_modified`` of the input files, without reading
+    their content."""
     listed = spark.read.format("binaryFile").load(path)
-    return listed.select(file_path().alias("file_path"), file_name().alias("file_name"))
+    return listed.select(
+        file_path().alias("file_path"), file_name().alias("file_name"), F.col("_metadata.file_size").alias("file_size"),
+        F.col("_metadata.file_modification_time").alias("file_modified"))
+
+
+def literal_path(path: str) -> str:
+    """A listed path as a reader takes it: characters that would make it a pattern are escaped."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
+def move_file(spark: SparkSession, folder: str, target: str) -> None:
+    """Give the one data file of a written folder a path of its own."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    where = hadoop.Path(folder)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = [s.getPath() for s in store.listStatus(where) if s.getPath().getName().startswith("part-")]
+    if len(parts) != 1:
+        raise ValueError(f"{folder} holds {len(parts)} data files, not one")
+    goal = hadoop.Path(target)
+    store.mkdirs(goal.getParent())
+    if not store.rename(parts[0], goal):
+        raise OSError(f"cannot move {parts[0]} to {target}")
+
+
+def delete_files(spark: SparkSession, paths: list[str]) -> None:
+    """Remove files by their listed paths; those that are gone already are no error."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, False)
 
 
 def require_rows(df: DataFrame, message: str = "the input has no rows") -> DataFrame:

@@ -7,20 +7,20 @@ from typing import Any, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from verisift.plans.ingest import shape, source_schema
+from verisift.plans.ingest import is_set, shape, source_schema
 
 
 def stream_scan(spark: SparkSession, conf: Mapping[str, Any]) -> DataFrame:
-    """Input folder as a stream.  With ``filedel_ind`` set to ``Y`` files are deleted once
+    """Input folder as a stream.  With ``filedel_ind`` set files are deleted once
     the batch after theirs is done; the default keeps them."""
     reader = spark.readStream
-    if conf.get("filedel_ind", "N") == "Y":
+    if is_set(conf.get("filedel_ind")):
         reader = reader.option("cleanSource", "delete")
     if conf.get("max_files"):
         reader = reader.option("maxFilesPerTrigger", int(conf["max_files"]))
     if conf["type"] == "csv":
         return (
-            reader.option("header", conf.get("include_header") == "Y")
+            reader.option("header", is_set(conf.get("include_header")))
             .option("delimiter", conf.get("delimiter", ","))
             .schema(source_schema(conf))
             .csv(conf["file_path"])
