@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from verisift.functions.rules import Rule
 from verisift.operators.checks import check
-from verisift.operators.profile import column_stats, profile
+from verisift.operators.profile import _nearest, column_stats, profile, value_digests
 from verisift.operators.rejects import failing_rows, rejects
 from verisift.operators.verification import ConstraintRule, verify
 
@@ -79,15 +79,22 @@ def test_constraints_share_one_scan(spark, sf_dir):
 def test_profile_scans(spark, sf_dir):
     df = lineitem(spark, sf_dir)
     assert plan_of(column_stats(df)).count("FileScan") == 1
-    # one aggregate, one grouping per value type, one for the frequent text values
-    assert plan_of(profile(df)).count("FileScan") == 6
-    assert "Expand" in plan_of(profile(df))
-
-
-def test_text_values_of_a_profile_are_shuffled_once(spark, sf_dir):
-    df = profile(lineitem(spark, sf_dir).select("l_returnflag", "l_linestatus"))
-    df.collect()
-    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    # the table is scanned by one aggregate and by one grouping of all columns (stored before)
+    assert plan_of(profile(df)).count("l_shipdate") and plan_of(profile(df)).count("sf0.001/lineitem") == 1
+    counts = value_digests(df, list(enumerate(df.schema.fields)))
+    assert plan_of(counts).count("FileScan") == 1
+    assert "Expand" in plan_of(counts)
+
+
+def test_texts_of_a_profile_travel_as_digests(spark, sf_dir):
+    """Whole texts are in no exchange, and both uses of the counts share one."""
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    counts = value_digests(df, [(1, df.schema["text"])])
+    exchanges = [line for line in plan_of(counts).splitlines() if "Exchange" in line]
+    assert len(exchanges) == 1 and all(c in exchanges[0] for c in ("k1", "k2", "head")) and "text" not in exchanges[0]
+    both = counts.groupBy("position").agg(F.sum("n").alias("n")).select("n").union(_nearest(counts, 20).select("n"))
+    both.collect()
+    final = both._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "ReusedExchange" in final
 
 

@@ -120,3 +120,32 @@ def test_constraint_suggestions(spark):
     new = constraint_rules(rows, db_name="db", table_name="t", as_of="2024-01-01")
     assert new.filter("is_active = 'N' and rule_type = 'verify'").count() == 8
     assert only_new(new, new.filter("column_name = 'id'")).count() == 6
+
+
+def test_long_texts_with_equal_heads(spark):
+    """Frequent values that differ only beyond the part that travels, ties among them, and a column of near-unique texts."""
+    head = "h" * 40
+    rows = [(head + str(k % 30), f"{head}{k:04d}", "x" * (30 + k % 5)) for k in range(300)] + [(head + "0", None, "")] * 3
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    got = by_column(profile(df))
+
+    def top(values):
+        counts = {}
+        for v in values:
+            if v is not None:
+                counts[v] = counts.get(v, 0) + 1
+        return sorted(counts.items(), key=lambda e: (-e[1], e[0]))[:10], len(counts)
+
+    for k, name in enumerate("abc"):
+        want, distinct = top([r[k] for r in rows])
+        assert [(e["value"], e["count"]) for e in got[name]["top_values"]] == want
+        assert got[name]["distinct_count"] == distinct
+    assert got["c"]["domain_values"] == [v for v, _ in top([r[2] for r in rows])[0]]
+
+
+def test_more_ties_than_a_broadcast_takes(spark, monkeypatch):
+    from verisift.operators import profile as module
+    monkeypatch.setattr(module, "BROADCAST_DIGESTS", 5)
+    df = spark.range(100).selectExpr("concat(repeat('t', 40), lpad(cast(id as string), 3, '0')) as s")
+    got = by_column(profile(df))["s"]
+    assert [e["value"][-3:] for e in got["top_values"]] == [f"{k:03d}" for k in range(10)]

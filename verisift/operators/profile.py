@@ -1,10 +1,12 @@
 """Dataset and column profiles.
 
 One aggregate computes every scalar statistic.  Exact distinct counts and the most frequent
-values come from groupings of ``(column, value)`` pairs, one per value type; partial counts
-are combined before the shuffle, so a frequent value costs one row per task.
-``exact=False`` replaces distinct counts by sketches inside the first aggregate and groups
-only the text columns.
+values come from one grouping of ``(column, digest)`` pairs of all columns: a value travels as
+its 128-bit digest, a text with its first ``HEAD`` characters.  Partial counts are combined
+before the shuffle, so a frequent value costs one row per task.  The counts yield the texts that
+can be among the most frequent (all that tie at the boundary included); only the longer ones of
+these are fetched by a second pass.  ``exact=False`` replaces distinct counts by sketches inside
+the first aggregate and groups only the text columns.
 """
 
 from __future__ import annotations
@@ -12,16 +14,22 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verisift.functions import constants as C
 from verisift.functions.expressions import distinct_key, percent, quoted, row_json, tally
+from verisift.session import settle
 
 from .skew import first_per_group
 
 # Columns per aggregate; a very wide table is covered by several scans of disjoint columns.
 COLUMNS_PER_SCAN = 60
+# Characters of a text that travel with its digest
+HEAD = 32
+# Texts (by digest) to be fetched that a join may broadcast, 20 bytes each
+BROADCAST_DIGESTS = 200_000
 
 Fields = list[tuple[int, T.StructField]]
 
@@ -103,75 +111,96 @@ def _scalar_rows(df: DataFrame, fields: Fields, exact: bool) -> DataFrame:
     return wide.select(F.inline(F.array(*rows)))
 
 
-def _group_type(dtype: T.DataType) -> T.DataType:
-    """Type in which values are counted: integers share one, nested types are counted by
-    the bytes of their text form, all others as they are."""
-    if isinstance(dtype, T.IntegralType):
-        return T.LongType()
-    if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType, T.VariantType, T.BinaryType)):
-        return T.BinaryType()
-    return dtype
-
-
-def _value_counts(df: DataFrame, fields: Fields, dtype: T.DataType) -> DataFrame:
-    """``position, value, n`` of columns that are counted in one type."""
-    nested = isinstance(dtype, T.BinaryType)
-    # Never null, so no join on it adds a null filter that would keep plans from being shared
-    position = F.coalesce(F.col("place").cast("int"), F.lit(-1))
-    named = [
-        (distinct_key(f) if nested else quoted(f.name)).cast(dtype).alias(str(i)) for i, f in fields
-    ]
-    return (
-        df.select(*named)
-        .unpivot([], [str(i) for i, _ in fields], "place", "value")
-        .filter(F.col("value").isNotNull())
-        .groupBy("place", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(position.alias("position"), "value", "n")
-    )
-
-
-def _by_type(df: DataFrame) -> dict[T.DataType, Fields]:
-    groups: dict[T.DataType, Fields] = {}
-    for i, f in enumerate(df.schema.fields):
-        groups.setdefault(_group_type(f.dataType), []).append((i, f))
-    return groups
-
-
 def _text_fields(df: DataFrame) -> Fields:
     return [(i, f) for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, T.StringType)]
 
 
-def text_frequencies(df: DataFrame) -> DataFrame:
-    """``position, value, n`` for every distinct non-null value of the text columns."""
-    fields = _text_fields(df)
-    if not fields:
-        return df.sparkSession.createDataFrame([], "position int, value string, n bigint")
-    return _value_counts(df, fields, T.StringType())
-
-
-def distinct_counts(df: DataFrame) -> DataFrame:
-    """``position, exact_distinct`` of every column that has a value.
-
-    Columns of one type are counted together: each branch scans only its own columns, and
-    values are shuffled in their own type after partial counting."""
-    # Counting n > 0 keeps n in the plan, so that the branch of the text columns is the same
-    # as text_frequencies and both share one shuffle.
-    present = F.count(F.when(F.col("n") > 0, 1)).alias("exact_distinct")
-    return _union([
-        _value_counts(df, fields, dtype).groupBy("position").agg(present)
-        for dtype, fields in _by_type(df).items()
-    ])
+def _hashed(field: T.StructField) -> Column:
+    """What is digested: equal for two values exactly when Spark groups them together."""
+    col = quoted(field.name)
+    if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+        return col + F.lit(0).cast(field.dataType)  # -0.0 groups with 0.0
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+        return distinct_key(field)
+    return col
+
+
+def _digests_of(fields: Fields) -> list[Column]:
+    """``k1_i, k2_i``: the digest of each column's value, null for null."""
+    return [
+        F.when(quoted(f.name).isNotNull(), digest).alias(f"{name}_{i}")
+        for i, f in fields
+        for name, digest in (("k1", F.xxhash64(_hashed(f))), ("k2", F.xxhash64(F.lit("second"), _hashed(f))))
+    ]
 
 
-def top_values(frequencies: DataFrame, n: int) -> DataFrame:
-    """The ``n`` most frequent values per column, ties broken by value."""
-    return first_per_group(frequencies, "position", [F.col("n").desc(), F.col("value").asc()], n)
+def _unpivoted(df: DataFrame, fields: Fields, names: str) -> DataFrame:
+    """``position`` and the columns of ``names`` (each present as ``name_position``), a row per
+    column and row of the table; rows that are null in all of them are left out."""
+    listed = names.split(", ")
+    blocks = ", ".join(f"({', '.join(f'{n}_{i}' for n in listed)}) AS `{i}`" for i, _ in fields)
+    text = f"SELECT CAST(place AS INT) AS position, {names} FROM {{given}} UNPIVOT (({names}) FOR place IN ({blocks}))"
+    return df.sparkSession.sql(text, given=df)
 
 
-def _top_lists(frequencies: DataFrame) -> DataFrame:
+def value_digests(df: DataFrame, fields: Fields) -> DataFrame:
+    """``position, k1, k2, head, n`` for every distinct non-null value of the columns."""
+    heads = [
+        (F.substring(quoted(f.name), 1, HEAD) if isinstance(f.dataType, T.StringType) else F.lit(None).cast("string")).alias(f"head_{i}")
+        for i, f in fields
+    ]
+    chosen = df.select(*_digests_of(fields), *heads)
+    # Never null, so no join on it adds a null filter that would keep plans from being shared
+    counts = _unpivoted(chosen, fields, "k1, k2, head").groupBy("position", "k1", "k2", "head").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("position", F.coalesce("position", F.lit(-1)))
+
+
+def _nearest(digests: DataFrame, n: int) -> DataFrame:
+    """The texts that can be among the ``n`` most frequent of their column: by count, then by
+    the first characters, with all that tie."""
+    order = [F.col("n").desc(), F.col("head").asc()]
+    # depends on n, so it stays above the grouping, which both uses of the counts can share then
+    texts = digests.filter(F.when(F.col("n") > 0, F.col("head")).isNotNull())
+    local = texts.withColumn(
+        "__place", F.rank().over(W.partitionBy("position", F.pmod("k1", F.lit(64))).orderBy(*order))).filter(F.col("__place") <= n)
+    return local.withColumn("__place", F.rank().over(W.partitionBy("position").orderBy(*order))).filter(F.col("__place") <= n).drop("__place")
+
+
+def _fetched(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``position, k1, k2, value`` of stored digests, read from the table; each task sends a text once."""
+    places = {r["position"] for r in wanted.select("position").distinct().collect()}
+    fields = [(i, f) for i, f in _text_fields(df) if i in places]
+    chosen = df.select(*_digests_of(fields), *[quoted(f.name).alias(f"value_{i}") for i, f in fields])
+    keys = wanted.select("position", "k1", "k2")
+    few = keys.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
+    found = _unpivoted(chosen, fields, "k1, k2, value").join(F.broadcast(keys) if few else keys, ["position", "k1", "k2"], "left_semi")
+    return found.groupBy("position", "k1", "k2").agg(F.min("value").alias("value"))
+
+
+def value_summary(df: DataFrame, fields: Fields, n: int) -> tuple[DataFrame, DataFrame]:
+    """``position, exact_distinct, present`` per column with values, and ``position, value, n,
+    __rank``: the ``n`` most frequent values of the text columns, ties broken by value.
+
+    Both come from one grouping; stored are one row per column and the frequent texts."""
+    digests = value_digests(df, fields)
+    counts = digests.groupBy("position").agg(
+        F.count(F.when(F.col("n") > 0, 1)).alias("exact_distinct"), F.sum("n").alias("present"))
+    both = settle(
+        counts.select("position", F.col("exact_distinct").alias("distinct"), F.col("present").alias("n"),
+                      *[F.lit(None).cast(t).alias(c) for c, t in (("k1", "bigint"), ("k2", "bigint"), ("head", "string"))])
+        .unionByName(_nearest(digests, n).withColumn("distinct", F.lit(None).cast("bigint"))))
+    distinct = both.filter("distinct IS NOT NULL").select("position", F.col("distinct").alias("exact_distinct"), F.col("n").alias("present"))
+    nearest = both.filter("distinct IS NULL")
+    short = nearest.filter(F.char_length("head") < HEAD).select("position", F.col("head").alias("value"), "n")
+    longer = nearest.filter(F.char_length("head") >= HEAD)
+    if not longer.isEmpty():
+        texts = settle(_fetched(df, longer))
+        short = short.unionByName(longer.join(texts, ["position", "k1", "k2"]).select("position", "value", "n"))
+    return distinct, first_per_group(short, "position", [F.col("n").desc(), F.col("value").asc()], n)
+
+
+def _top_lists(ranked: DataFrame) -> DataFrame:
     """Short ordered lists per column; at most ``DOMAIN_MAX_DISTINCT`` entries each."""
-    ranked = top_values(frequencies, C.DOMAIN_MAX_DISTINCT)
     entry = F.struct(F.col("__rank").alias("rank"), F.struct("value", F.col("n").alias("count")).alias("entry"))
     return ranked.groupBy("position").agg(
         F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["entry"]).alias("leading")
@@ -184,16 +213,16 @@ def profile(df: DataFrame, *, exact: bool = True) -> DataFrame:
     ``top_values`` holds the ten most frequent values of text columns; ``domain_values``
     all values of a text column that has at most twenty.
     """
-    frequencies = text_frequencies(df)
-    if exact:
-        distinct = distinct_counts(df)
-    else:
-        distinct = frequencies.groupBy("position").agg(F.count(F.lit(1)).alias("exact_distinct"))
+    fields = list(enumerate(df.schema.fields)) if exact else _text_fields(df)
     # All three have one row per column of the table.
     scalars = _union([_scalar_rows(df, chunk, exact) for chunk in _column_chunks(df)])
-    joined = scalars.join(F.broadcast(distinct), "position", "left").join(
-        F.broadcast(_top_lists(frequencies)), "position", "left"
-    )
+    if fields:
+        distinct, ranked = value_summary(df, fields, C.DOMAIN_MAX_DISTINCT)
+        joined = scalars.join(F.broadcast(distinct.drop("present")), "position", "left").join(
+            F.broadcast(_top_lists(ranked)), "position", "left")
+    else:
+        joined = scalars.withColumn("exact_distinct", F.lit(None).cast("bigint")).withColumn(
+            "leading", F.lit(None).cast("array<struct<value:string,count:bigint>>"))
     known = F.coalesce(F.col("exact_distinct"), F.col("approx_distinct"), F.lit(0).cast("bigint"))
     is_text = F.col("data_type") == "string"
     leading = F.coalesce(

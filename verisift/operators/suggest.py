@@ -11,7 +11,7 @@ from verisift.functions import constants as C
 from verisift.functions.expressions import quoted, stamp
 from verisift.session import settle
 
-from .profile import column_stats, declared_class, text_frequencies, top_values
+from .profile import column_stats, declared_class, value_summary
 
 # Thresholds of the suggested rules
 MAX_NULL_PERCENT = 5
@@ -204,12 +204,11 @@ def _category_lists(df: DataFrame, stats: DataFrame, longest: int, most_share: f
             "position", "column_name", F.lit(4).alias("order"),
             F.lit("").alias("constraint_rule"), F.lit("").alias("constraint_desc"),
         ).limit(0)
-    frequencies = settle(text_frequencies(df))
-    size = frequencies.groupBy("position").agg(
-        F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("present")
-    )
+    fields = [(i, f) for i, f in enumerate(df.schema.fields) if f.name in text]
+    size, ranked = value_summary(df, fields, longest)
+    size = size.withColumnRenamed("exact_distinct", "distinct")
     entry = F.struct(F.col("__rank").alias("rank"), F.col("value").alias("value"))
-    lists = top_values(frequencies, longest).groupBy("position").agg(
+    lists = ranked.groupBy("position").agg(
         F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["value"]).alias("values")
     )
     few = size.join(lists, "position").join(
