@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 from typing import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -19,8 +20,10 @@ from verisift.functions.expressions import (
     stamp,
 )
 
+from verisift.session import settle
+
 from .checks import RulePlan, Rules, plan_rules, rule_facts, unmatched_values, value_counts
-from .skew import first_per_group, order_hash, rows_with_values, sample_bounds, slice_of
+from .skew import bounds_of_counts, first_per_group, order_hash, rows_with_values, sample_bounds, slice_of
 
 
 def _missing_beyond_share(df: DataFrame, column: str, min_ratio: float) -> Column:
@@ -38,21 +41,34 @@ def failing_rules(df: DataFrame, plan: RulePlan) -> dict[int, Column]:
     return failing
 
 
-def _any(conditions: list[Column]) -> Column:
-    found = F.lit(False)
-    for fails in conditions:
-        found = found | F.coalesce(fails, F.lit(False))
-    return found
+FLAGS_TOGETHER = 62  # rules whose outcomes one long holds
 
 
 def _exploded(rows: DataFrame, failing: dict[int, Column], values: dict[int, Column], *kept) -> DataFrame:
-    """One row per failing (row, rule).  Rows that fail nothing are filtered out first; the
+    """One row per failing (row, rule).
+
+    Every condition is evaluated once, into a bit; rows without a bit are filtered out next, and
+    the bits of the others tell their rules.  (The bits hold a part that the optimiser takes for
+    not repeatable, as it would evaluate the conditions in the filter and again after it.)  The
     tested value is built with its rule, only where the rule fails."""
+    seqs = list(failing)
+    masks = []
+    for at in range(0, len(seqs), FLAGS_TOGETHER):
+        bits = F.monotonically_increasing_id().bitwiseAND(F.lit(0))
+        for k, seq in enumerate(seqs[at:at + FLAGS_TOGETHER]):
+            bits = bits.bitwiseOR(F.when(failing[seq], F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
+        masks.append(bits.alias(f"__failed{at // FLAGS_TOGETHER}"))
+    flagged = rows.select("*", *masks)
+    any_bit = F.col("__failed0")
+    for k in range(1, len(masks)):
+        any_bit = any_bit.bitwiseOR(F.col(f"__failed{k}"))
     marks = F.array(*[
-        F.when(fails, F.struct(F.lit(seq).alias("__seq"), values[seq].alias("__value")))
-        for seq, fails in failing.items()
+        F.when(
+            F.col(f"__failed{k // FLAGS_TOGETHER}").bitwiseAND(F.lit(1 << (k % FLAGS_TOGETHER)).cast("long")) != 0,
+            F.struct(F.lit(seq).alias("__seq"), values[seq].alias("__value")))
+        for k, seq in enumerate(seqs)
     ])
-    hits = rows.filter(_any(list(failing.values()))).select(*kept, F.explode(marks).alias("__hit"))
+    hits = flagged.filter(any_bit != 0).select(*kept, F.explode(marks).alias("__hit"))
     return hits.filter(F.col("__hit").isNotNull()).select("*", "__hit.__seq", "__hit.__value").drop("__hit")
 
 
@@ -86,13 +102,26 @@ def _hits(df: DataFrame, plan: RulePlan, keys: list[str] | None, n: int | None)
     failing = failing_rules(df, plan)
     values = _values(plan, failing, df.columns)
     hashed = df.withColumn("__hash", _hash(df, keys))
-    hits = _exploded(hashed, failing, values, "*")
-    if n is None:
-        return hits
-    slices = _exploded(hashed, failing, values, slice_of(F.col("__hash")).alias("__slice"))
-    bounds = sample_bounds(slices, "__seq", "__slice", n)  # one row per rule
-    kept = hits.join(F.broadcast(bounds), "__seq").filter(slice_of(F.col("__hash")) <= F.col("__bound"))
-    return kept.drop("__bound")
+    if n is None:  # what a record says of its row is built once a row, not once a record
+        told = hashed.select("*", *_told(keys, df.columns))
+        return _exploded(told, failing, values, "__hash", "__key", "__data")
+    own = slice_of(F.col("__hash"))
+    pairs = F.map_from_entries(F.collect_list(F.struct("__seq", "__bound")))
+    listed = F.transform(F.array(*[F.lit(seq) for seq in failing]), lambda seq: F.try_element_at(pairs, seq))
+    bounds = bounds_of_counts(_slice_counts(hashed, own, failing), "__seq", "__slice", n).agg(listed).scalar()
+    within = {seq: fails & (own <= F.get(bounds, F.lit(k))) for k, (seq, fails) in enumerate(failing.items())}
+    return _exploded(hashed.filter(own <= F.array_max(bounds)), within, values, *[quoted(c) for c in hashed.columns])
+
+
+def _slice_counts(rows: DataFrame, own: Column, failing: dict[int, Column]) -> DataFrame:
+    """``__seq, __slice, __n``: failing rows per rule and slice, of all rules by one grouping."""
+    frames, seqs = [], list(failing)
+    for at in range(0, len(seqs), FLAGS_TOGETHER):
+        some = seqs[at:at + FLAGS_TOGETHER]
+        wide = rows.groupBy(own.alias("__slice")).agg(*[F.count(F.when(failing[seq], 1)).alias(f"n{seq}") for seq in some])
+        entries = F.array(*[F.struct(F.lit(seq).alias("__seq"), F.col(f"n{seq}").alias("__n")) for seq in some])
+        frames.append(wide.select("__slice", F.inline(entries)).filter("__n > 0"))
+    return reduce(lambda a, b: a.unionByName(b), frames)
 
 
 def _value_hits(
@@ -104,6 +133,7 @@ def _value_hits(
     The bound comes from a pass over just the tested columns and the hash, so the pass that
     carries whole rows drops nearly all of them before they are joined."""
     hashed = df.withColumn("__hash", _hash(df, keys))
+    counts = settle(counts)
     if n is not None:
         narrow = hashed.select(*[quoted(c) for c in columns], slice_of(F.col("__hash")).alias("__slice"))
         failing = rows_with_values(narrow, columns, counts).select(F.lit(seq).alias("__seq"), "__slice")
@@ -112,19 +142,22 @@ def _value_hits(
     return rows_with_values(hashed, columns, counts).withColumn("__seq", F.lit(seq))
 
 
-def _records(rows: DataFrame, plan: RulePlan, keys: list[str] | None, columns: list[str]) -> DataFrame:
-    """Common shape: position, rank order, key text, tested value, whole row."""
+def _told(keys: list[str] | None, columns: list[str]) -> list[Column]:
+    """Key text and content of a row."""
     present = [k for k in keys or [] if k in columns]
     key = (
         F.concat_ws("|", *[as_iso_text(quoted(k)) for k in present])
         if present else F.lower(F.hex(F.col("__hash")))
     )
-    return rows.select(
-        F.col("__seq").alias("seq"),
-        key.alias("row_key"),
-        F.col("__value").alias("actual_value"),
-        row_json(columns, keep_nulls=True, as_text=True).alias("row_data"),
-    )
+    return [key.alias("__key"), row_json(columns, keep_nulls=True, as_text=True).alias("__data")]
+
+
+def _records(rows: DataFrame, keys: list[str] | None, columns: list[str]) -> DataFrame:
+    """Common shape: position, rank order, key text, tested value, whole row."""
+    told = rows if "__data" in rows.columns else rows.select("__seq", "__value", *_told(keys, columns))
+    return told.select(
+        F.col("__seq").alias("seq"), F.col("__key").alias("row_key"), F.col("__value").alias("actual_value"),
+        F.col("__data").alias("row_data"))
 
 
 def rejects(
@@ -159,7 +192,7 @@ def rejects(
             content = content_hash(rows.select(*[quoted(c) for c in names]))
             ranked = rows.withColumn("__content", content)
             rows = first_per_group(ranked, "__seq", _order(ranked_by), sample)
-        parts.append(_records(rows, plan, ranked_by, names))
+        parts.append(_records(rows, ranked_by, names))
 
     if plan.rows or plan.completeness:
         add(_hits(df, plan, keys, sample), columns, keys)

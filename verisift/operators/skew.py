@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from verisift.functions.expressions import quoted
+from verisift.session import settle
 
 # Intermediate groups of a per-group top-n.
 SPREAD = 64
@@ -15,23 +16,41 @@ SPREAD = 64
 SLICE_BITS = 12
 
 
-# Parts that the rows of one value are dealt to.
-SALTS = 16
+# Rows of one value that a join leaves together, parts that one value is dealt to at most, and
+# values with more rows that are broadcast (a value and a number each).
+ROWS_TOGETHER = 1024
+MOST_SALTS = 4096
+BROADCAST_VALUES = 100_000
 
 
-def rows_with_values(df: DataFrame, columns: list[str], counts: DataFrame, salts: int = SALTS) -> DataFrame:
-    """Rows of ``df`` whose values appear in ``counts`` (same columns), nulls matching nulls.
+def rows_with_values(df: DataFrame, columns: list[str], counts: DataFrame, salts: int = MOST_SALTS) -> DataFrame:
+    """Rows of ``df`` whose values appear in ``counts`` (same columns and ``__n``, the rows of each
+    value), nulls matching nulls.
 
-    Rows are dealt by value and salt, whatever their number; the listed values are repeated
-    for every salt.  So no task receives more than a part of one value's rows."""
-    keys = counts.select(
-        *[quoted(c).alias(f"__k{i}") for i, c in enumerate(columns)],
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("__k_salt"))
-    same = F.col("__salt") == F.col("__k_salt")
-    for i, c in enumerate(columns):
-        same = same & quoted(c).eqNullSafe(F.col(f"__k{i}"))
-    salted = df.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
-    return salted.join(keys, same, "left_semi").drop("__salt")
+    The counts are stored first.  A value with few rows is joined as it is; one with more is
+    dealt to as many salts as its rows need (``salts`` at most), and only such values are repeated
+    for their salts.  So no task receives more than a part of one value's rows."""
+    stored = settle(counts)
+    hot = stored.filter(F.col("__n") > ROWS_TOGETHER)
+    n_hot = hot.limit(BROADCAST_VALUES + 1).count()
+    keys = [quoted(c).alias(f"__k{i}") for i, c in enumerate(columns)]
+
+    def same(prefix: str) -> Column:
+        found = F.lit(True)
+        for i, c in enumerate(columns):
+            found = found & quoted(c).eqNullSafe(F.col(f"{prefix}{i}"))
+        return found
+
+    if n_hot == 0:
+        return df.join(stored.select(*keys), same("__k"), "left_semi")
+    parts = F.least(F.ceil(F.col("__n") / ROWS_TOGETHER), F.lit(salts)).cast("long")
+    listed = stored.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("__k_salt"))
+    dealt = hot.select(*[quoted(c).alias(f"__h{i}") for i, c in enumerate(columns)], parts.alias("__parts"))
+    marked = df.join(F.broadcast(dealt) if n_hot <= BROADCAST_VALUES else dealt, same("__h"), "left")
+    salted = marked.select(
+        *[quoted(c) for c in df.columns],
+        F.pmod(F.monotonically_increasing_id(), F.coalesce("__parts", F.lit(1).cast("long"))).alias("__salt"))
+    return salted.join(listed, same("__k") & (F.col("__salt") == F.col("__k_salt")), "left_semi").drop("__salt")
 
 
 def first_per_group(df: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
@@ -70,7 +89,11 @@ def sample_bounds(rows: DataFrame, group: str, slice_name: str, n: int) -> DataF
 
     Rows are only counted per slice, which combines before the shuffle; the result has one
     row per group."""
-    counts = rows.groupBy(group, slice_name).agg(F.count(F.lit(1)).alias("__n"))
+    return bounds_of_counts(rows.groupBy(group, slice_name).agg(F.count(F.lit(1)).alias("__n")), group, slice_name, n)
+
+
+def bounds_of_counts(counts: DataFrame, group: str, slice_name: str, n: int) -> DataFrame:
+    """The same from ``group, slice, __n``."""
     before = F.sum("__n").over(W.partitionBy(group).orderBy(slice_name)) - F.col("__n")
     needed = counts.withColumn("__before", before).filter(F.col("__before") < n)
     return needed.groupBy(group).agg(F.max(slice_name).alias("__bound"))
