@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verisift.llm.common import settle
+from verisift.llm.common import join_hot, settle
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,16 +55,16 @@ def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour larger than a node points to the smallest of the node's neighbourhood."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.where("v > u").join(least, F.col("u") == F.col("node")).select(
-        F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    least = settle(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("size")))
+    moved = join_hot(both.where("v > u"), ["u"], least, ["v"])
+    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, point to the smallest of them; edges have u > v."""
-    least = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
-    moved = edges.join(least, F.col("u") == F.col("node")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    own = least.select(F.col("node").alias("u"), F.col("m").alias("v"))
+    least = settle(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size")))
+    moved = join_hot(edges, ["u"], least, ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    own = least.select("u", F.col("m").alias("v"))
     return moved.union(own).where("u <> v").distinct()
 
 
