@@ -9,13 +9,15 @@ the bound go no further, all others are confirmed on their full sets.
 
 Texts with equal sets are one set from the start.  In each bucket the most central set (the one
 with the fullest buckets) is compared with all others, which settles groups of edited copies
-with one comparison per copy.  Sets that share a bucket but no component afterwards are compared
-by their signatures, bucket by bucket, in salted blocks; of the pairs that pass, the closest of
-each set are confirmed first, then all that still lie in different components.  So no pair of a
-bucket is left out, and sets that are linked already aren't compared.
+with one comparison per copy.  Sets that share a bucket but no component afterwards get a longer
+signature, the lowest bit of 4,096 minima, and are compared by it, bucket by bucket, in salted
+blocks: it tells pairs a little below the bound, which groups of heavily edited copies are full
+of, from pairs above it.  Of the pairs that pass, the closest of each set are confirmed first, then
+all that still lie in different components.  So no pair of a bucket that could reach the bound
+is left out, and sets that are linked already aren't compared.
 
 A pair at a similarity of 0.8 shares none of the 32 bands with a probability of 5e-8, and falls
-below the margin with one of 1e-7; at higher similarities both are smaller.
+below the margins of 0.25 and 0.05 with one of 1e-7 each; at higher similarities all are smaller.
 
 Defined results: ASCII letters are folded, words end at ASCII white space; a text of fewer words
 than a shingle is one shingle; texts without words are linked with nothing; repeated rows are
@@ -44,11 +46,14 @@ ROWS = 4
 MINIMA = BANDS * ROWS
 BITS = 2
 MARGIN = 0.25
+LONG_MINIMA = 4096
+LONG_BITS = 1
+LONG_MARGIN = 0.05
 BROADCAST_SETS = 1_000_000  # set keys (16 bytes each) that a semi-join may broadcast
 VOCABULARY = 300_000        # words whose hashes a task keeps
 
 _ODD, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_SALTS = np.random.default_rng(42).integers(0, 2**64, (2, MINIMA), np.uint64)
+_SALTS = np.random.default_rng(42).integers(0, 2**64, (2, LONG_MINIMA), np.uint64)
 _FACTORS, _SHIFTS = _SALTS[0] | np.uint64(1), _SALTS[1]
 
 
@@ -88,18 +93,19 @@ def shingle_set(found: list[bytes], hashes: WordHashes, words: int = WORDS) -> n
     return rolled[first]
 
 
-def minima(one: np.ndarray) -> np.ndarray:
+def minima(one: np.ndarray, count: int = MINIMA) -> np.ndarray:
     """The smallest value of each hash function over the shingles of a set."""
-    low = np.full(MINIMA, np.uint64(2**64 - 1))
-    for k in range(0, len(one), 2048):
-        low = np.minimum(low, (one[k:k + 2048, None] * _FACTORS + _SHIFTS).min(axis=0))
+    low = np.full(count, np.uint64(2**64 - 1))
+    step = (1 << 18) // count
+    for k in range(0, len(one), step):
+        low = np.minimum(low, (one[k:k + step, None] * _FACTORS[:count] + _SHIFTS[:count]).min(axis=0))
     return low
 
 
-def packed(low: np.ndarray) -> np.ndarray:
-    """The two low bits of the (mixed) minima: two longs of first bits, two of second bits."""
-    mixed = _mix(low + _SHIFTS)
-    planes = [np.packbits(((mixed >> np.uint64(b)) & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.int64) for b in range(BITS)]
+def packed(low: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """The low bits of the (mixed) minima: the longs of all first bits, then those of the second bits."""
+    mixed = _mix(low + _SHIFTS[:len(low)])
+    planes = [np.packbits(((mixed >> np.uint64(b)) & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.int64) for b in range(bits)]
     return np.concatenate(planes)
 
 
@@ -139,21 +145,22 @@ def _text_keys(text: Column) -> dict[str, Column]:
     return {"t1": F.xxhash64(text), "t2": F.xxhash64(F.lit(7), text)}
 
 
-def agreeing(x: Column, y: Column) -> Column:
+def agreeing(x: Column, y: Column, count: int = MINIMA, bits: int = BITS) -> Column:
     """The number of places in which two packed signatures agree."""
-    half = MINIMA // 64
-    other = [F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k))).bitwiseOR(F.get(x, F.lit(k + half)).bitwiseXOR(F.get(y, F.lit(k + half))))
-             for k in range(half)]
-    apart = F.bit_count(other[0])
-    for more in other[1:]:
-        apart = apart + F.bit_count(more)
-    return F.lit(MINIMA) - apart
+    longs, apart = count // 64, F.lit(0)
+    for k in range(longs):
+        other = F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))
+        for b in range(1, bits):
+            at = F.lit(k + b * longs)
+            other = other.bitwiseOR(F.get(x, at).bitwiseXOR(F.get(y, at)))
+        apart = apart + F.bit_count(other)
+    return F.lit(count) - apart
 
 
-def enough(similarity: int, margin: float = MARGIN) -> int:
+def enough(similarity: int, margin: float = MARGIN, count: int = MINIMA, bits: int = BITS) -> int:
     """The agreeing places of a pair whose collision-corrected estimate lies `margin` below the similarity."""
-    chance = 2.0 ** -BITS
-    return int(np.ceil(MINIMA * (chance + (1 - chance) * (similarity / 100 - margin))))
+    chance = 2.0 ** -bits
+    return int(np.ceil(count * (chance + (1 - chance) * (similarity / 100 - margin))))
 
 
 def _alike(s: list[bytes], t: list[bytes], words: int, similarity: int) -> bool:
@@ -189,17 +196,20 @@ def _verified(words: int, similarity: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, df: DataFrame, words: int, similarity: int) -> DataFrame:
-    """The pairs (a, b) of sets that reach the similarity on their full sets, stored."""
-    unit = 200
-    heads = settle(pairs.groupBy("a").agg(F.count("*").alias("met")))
-    nodes = heads.select("a").union(pairs.select("b")).distinct().toDF("node")
+def _texts(nodes: DataFrame, sets: DataFrame, df: DataFrame) -> DataFrame:
+    """sid and text of the sets of a column `node`, stored."""
     wanted = settle(nodes.join(sets.select("sid", "t1", "t2"), F.col("node") == F.col("sid")).select("sid", "t1", "t2"))
     keys = wanted.select(F.col("t1").alias("k1"), F.col("t2").alias("k2"))
     read = df.select(text_of().alias("text")).select("text", *[c.alias(k) for k, c in _text_keys(F.col("text")).items()])
     found = read.join(broadcast_if_small(keys, BROADCAST_SETS), (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2")), "left_semi")
     once = found.groupBy("t1", "t2").agg(F.min("text").alias("text"))
-    texts = settle(wanted.join(once, ["t1", "t2"]).select("sid", "text"))
+    return settle(wanted.join(once, ["t1", "t2"]).select("sid", "text"))
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: int) -> DataFrame:
+    """The pairs (a, b) of sets that reach the similarity on their full sets, stored.  texts: sid and text."""
+    unit = 200
+    heads = settle(pairs.groupBy("a").agg(F.count("*").alias("met")))
     salts = F.ceil(F.col("met") / unit)
     first = heads.join(texts, F.col("a") == F.col("sid")).select(
         "a", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("a").alias("b"), "text")
@@ -207,20 +217,32 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, df: DataFrame, words: int, sim
     dealt = pairs.join(broadcast_if_small(many), F.col("a") == F.col("hot"), "left").withColumn(
         "salt", F.coalesce(F.pmod(F.xxhash64("b"), "salts"), F.lit(0)))
     rest = dealt.join(texts, F.col("b") == F.col("sid")).select("a", "salt", F.lit(1).alias("kind"), "b", "text")
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = first.union(rest).repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "kind")
     return settle(ordered.mapInArrow(_verified(words, similarity), "u long, v long"))
 
 
+def _longer(words: int):
+    """sid, n and the long signature of the sets, from (sid, text)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            sets = [shingle_set(folded_words(text.as_py()), hashes, words)[:, 0] for text in batch.column(1)]
+            sigs = pa.array([packed(minima(one, LONG_MINIMA), LONG_BITS) for one in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(one) for one in sets], pa.int64()), sigs], names=["sid", "n", "sig"])
+
+    return run
+
+
 def _members(sets: DataFrame) -> DataFrame:
-    """key, size (of the bucket), sid, n, sig and weight (sum of the sizes of the set's buckets) of
+    """key, size (of the bucket), sid, sig and weight (sum of the sizes of the set's buckets) of
     all sets in buckets of two or more, stored."""
     every = sets.select("sid", F.explode("bands").alias("key"))
     sizes = settle(every.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     met = join_hot(every, ["key"], sizes.withColumn("met", F.col("size")), ["sid"])
     met = settle(met.select("key", F.col("met").alias("size"), "sid"))
     weights = met.groupBy(F.col("sid").alias("of")).agg(F.sum("size").alias("weight"))
-    known = sets.select("sid", "n", "sig").join(weights, F.col("sid") == F.col("of")).select("of", "n", "sig", "weight")
+    known = sets.select("sid", "sig").join(weights, F.col("sid") == F.col("of")).select("of", "sig", "weight")
     return settle(met.join(known, F.col("sid") == F.col("of")).drop("of"))
 
 
@@ -245,43 +267,57 @@ def _labelled(df: DataFrame, links: DataFrame, columns: dict[str, str]) -> DataF
     return df
 
 
-def _open_pairs(members: DataFrame, links: DataFrame, least: int, similarity: int) -> DataFrame:
-    """Pairs (a, b) of sets that share a bucket, lie in different components and agree, with the number of agreeing places."""
-    now = settle(_labelled(members.drop("weight"), links, {"sid": "label"}))
+def _open_rows(members: DataFrame, links: DataFrame) -> DataFrame:
+    """key, size, sid, label and salts of the members of buckets with several components, and whether
+    the label is that of most; stored."""
+    now = settle(_labelled(members.select("key", "sid"), links, {"sid": "label"}))
     sizes = now.groupBy("key", "label").agg(F.count("*").alias("met"))
-    several = settle(sizes.groupBy("key").agg(F.max(F.struct("met", "label")).alias("most"), F.count("*").alias("labels"),
-                                              F.sum("met").alias("size")).where("labels > 1"))
-    rows = settle(join_hot(now.drop("size"), ["key"], several.select("key", "size", F.col("most.label").alias("top"), F.col("size").alias("met")), ["sid"])
-                  .withColumn("salts", F.ceil(F.col("met") / 200)).withColumn("in_top", F.col("label") == F.col("top")))
+    several = settle(sizes.groupBy("key").agg(
+        F.max(F.struct("met", "label")).alias("most"), F.count("*").alias("labels"), F.sum("met").alias("size")).where("labels > 1"))
+    known = several.select("key", "size", F.col("most.label").alias("top"), F.ceil(F.col("size") / 200).alias("salts"))
+    rows = join_hot(now, ["key"], known, ["sid"])
+    return settle(rows.withColumn("in_top", F.col("label") == F.col("top")).drop("top"))
+
+
+def _open_pairs(rows: DataFrame, signed: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (a, b) of sets that share a bucket, lie in different components and agree by their long
+    signatures, with the number of agreeing places.  signed: sid, n and sig."""
+    least = enough(similarity, LONG_MARGIN, LONG_MINIMA, LONG_BITS)
+    known = rows.join(signed.withColumnRenamed("sid", "of"), F.col("sid") == F.col("of")).drop("of")
+    taken = ("sid", "n", "sig", "label")
     # of two sets with different labels one has another label than most sets of the bucket
-    left = rows.where("not in_top").select(
-        "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"),
-        *[F.col(c).alias(f"x_{c}") for c in ("sid", "n", "sig", "label")])
-    right = rows.select("key", F.pmod(F.xxhash64("sid"), F.col("salts")).alias("salt"), "sid", "n", "sig", "label", "in_top")
+    left = known.where("not in_top").select(
+        "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), *[F.col(c).alias(f"x_{c}") for c in taken])
+    right = known.select("key", F.pmod(F.xxhash64("sid"), F.col("salts")).alias("salt"), *taken, "in_top")
     fits = 100 * F.least("x_n", "n") >= similarity * F.greatest("x_n", "n")
-    places = agreeing(F.col("x_sig"), F.col("sig"))
+    places = agreeing(F.col("x_sig"), F.col("sig"), LONG_MINIMA, LONG_BITS)
     both = left.join(right, ["key", "salt"]).where(
         (F.col("x_label") != F.col("label")) & (F.col("in_top") | (F.col("x_sid") < F.col("sid"))) & fits & (places >= least))
     pair = both.select(F.least("x_sid", "sid").alias("a"), F.greatest("x_sid", "sid").alias("b"), places.alias("places"))
-    return settle(pair.distinct())
+    return pair.distinct()
 
 
 def links_of(sets: DataFrame, df: DataFrame, words: int, similarity: int) -> DataFrame:
     """Links (u, v) between sets that give the components of all similar pairs."""
-    least, members = enough(similarity), _members(sets)
-    tried = settle(_central(members, least))
-    links = _confirmed(tried, sets, df, words, similarity)
-    pairs = _open_pairs(members, links, least, similarity).join(
-        tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
-    pairs = settle(pairs)
+    members = _members(sets)
+    tried = settle(_central(members, enough(similarity)))
+    ends = tried.select(F.col("a").alias("node")).union(tried.select("b")).distinct()
+    links = _confirmed(tried, _texts(ends, sets, df), words, similarity)
+    rows = _open_rows(members, links)
+    if rows.isEmpty():
+        return links
+    texts = _texts(rows.select(F.col("sid").alias("node")).distinct(), sets, df)
+    signed = settle(texts.mapInArrow(_longer(words), "sid long, n long, sig array<long>"))
+    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = settle(_open_pairs(rows, signed, similarity).join(done, ["a", "b"], "left_anti"))
     if pairs.isEmpty():
         return links
-    best = pairs.groupBy("a").agg(F.max_by("b", "places").alias("b")).union(
-        pairs.groupBy("b").agg(F.max_by("a", "places").alias("a")).select("a", "b"))
-    links = settle(links.union(_confirmed(settle(best.distinct()), sets, df, words, similarity)))
-    rest = _labelled(pairs.join(best.distinct(), ["a", "b"], "left_anti"), links, {"a": "la", "b": "lb"})
+    best = settle(pairs.groupBy("a").agg(F.max_by("b", "places").alias("b")).union(
+        pairs.groupBy("b").agg(F.max_by("a", "places").alias("a")).select("a", "b")).distinct())
+    links = settle(links.union(_confirmed(best, texts, words, similarity)))
+    rest = _labelled(pairs.join(best, ["a", "b"], "left_anti"), links, {"a": "la", "b": "lb"})
     rest = settle(rest.where("la <> lb").select("a", "b"))
-    return links if rest.isEmpty() else links.union(_confirmed(rest, sets, df, words, similarity))
+    return links if rest.isEmpty() else links.union(_confirmed(rest, texts, words, similarity))
 
 
 def near_duplicates(df: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
