@@ -513,3 +513,98 @@ def test_manifest_of_an_older_table_and_whole_folders(spark, db, tmp_path):
     (tmp_path / "in" / "c.txt").write_text("three\n")
     assert rows(ingest(spark, {**conf, "pick_all_files": "Y"}, as_of="2024-04-02").groupBy("value").count()) == [
         ("one", 2), ("three", 1), ("two", 2)]
+
+
+def test_merge_leaves_the_files_of_other_buckets(spark, db, tmp_path):
+    name = f"{db}.bucketed"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    where = tmp_path / "bucketed"
+    sinks.create_bucketed(spark.range(100).selectExpr("id AS k", "'old' AS v"), name, ["k"], 8, str(where))
+
+    def files_of():
+        return {str(p): p.stat().st_mtime_ns for p in where.glob("hash_bucket=*/part-*")}
+
+    before = files_of()
+    sinks.upsert(spark.createDataFrame([(7, "new"), (700, "more")], "k long, v string"), name, ["k"])
+    after = files_of()
+    touched = {r[0] for r in spark.table(name).filter("v <> 'old'").select("hash_bucket").collect()}
+    kept = {p for p in before if not any(f"hash_bucket={b}/" in p for b in touched)}
+    assert kept and all(after.get(p) == before[p] for p in kept)
+    assert spark.table(name).filter("v = 'old'").count() == 99 and spark.table(name).count() == 101
+    sinks.replace_slice(spark.createDataFrame([(7, "again")], "k long, v string"), name, F.col("k") == 7)
+    assert rows(spark.table(name).filter("k = 7").select("v")) == [("again",)]
+    spark.range(3).write.mode("overwrite").saveAsTable(f"{db}.plain")
+    with pytest.raises(ValueError):
+        sinks.bucketing(spark, f"{db}.plain")
+
+
+def test_lost_rewrite_leaves_the_table(spark, db, monkeypatch):
+    """A job that breaks off while it writes the new rows: the table still holds the old ones."""
+    name = f"{db}.rewritten"
+    spark.range(10).selectExpr("id AS k", "'old' AS v").write.mode("overwrite").saveAsTable(name)
+    broken = spark.createDataFrame([(3, "new")], "k long, v string").withColumn("v", F.when(F.col("k") == 3, F.raise_error(F.lit("lost"))))
+    with pytest.raises(Exception, match="lost"):
+        sinks.upsert(broken.select("k", F.col("v").cast("string").alias("v")), name, ["k"])
+    spark.catalog.refreshTable(name)
+    assert spark.table(name).count() == 10
+    for k in range(3):
+        sinks.upsert(spark.createDataFrame([(3, f"new{k}")], "k long, v string"), name, ["k"])
+        assert rows(spark.table(name).filter("v <> 'old'")) == [(3, f"new{k}")]
+    assert spark.table(name).count() == 10
+
+
+def test_runs_are_written_once(spark, db):
+    name = f"{db}.runs"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    sinks.create_results(spark, name, "v int")
+    sinks.create_results(spark, name, "v int")
+    for run_id, values in (("it's", [1, 2]), ("b", [3]), ("it's", [4]), ("b", [])):
+        new = spark.createDataFrame([(v, 202401 + v % 2) for v in values], "v int, create_month_prtn int")
+        sinks.append_run(new, name, run_id)
+    assert rows(spark.table(name).select("v", "run_id")) == [(4, "it's")]
+
+
+def test_missing_values_are_sorted_in_several_tasks(spark):
+    df = spark.range(0, 20_000, 1, 8).selectExpr("id", "CASE WHEN id % 2 = 0 THEN NULL ELSE CAST(id AS DOUBLE) END AS bmi")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        ordered = collection.sort_by(df, "bmi")
+        sizes = [r[1] for r in ordered.groupBy(F.spark_partition_id()).count().collect()]
+        values = [r["bmi"] or 0.0 for r in ordered.collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert values == sorted(values) and len(sizes) == 8 and max(sizes) < 5_000
+
+
+def test_shared_view_is_stored_once(spark, sf_dir):
+    from verisift.plans.transform import references, shared_views
+    from verisift.queries.loading import CHAIN, DIAMOND, transform_diamond
+    assert shared_views(CHAIN) == set() and shared_views(DIAMOND) == {"dq_totals"}
+    assert references({"a": "x", "b": "SELECT a.v, 'a' FROM A a2"})["a"] == ["b", "b"]
+    text = transform_diamond(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_totalprice" not in text  # the orders aren't read again
+
+
+def test_states_merge_to_the_metrics_of_one_scan(spark, sf_dir):
+    from verisift.operators import states
+    rows_ = spark.createDataFrame(
+        [("a", 1.0, "x", None), ("a", 1e9 + 1, None, None), ("b", 1e9 + 2, "x", None), ("b", None, "y", None), (None, 1e9 + 3, "z", None)],
+        "s string, v double, t string, empty double")
+    found = states.column_states(rows_, F.col("s"))
+    assert found.schema.simpleString() == spark.createDataFrame([], states.STATE).schema.simpleString()
+    got = {(r["column_name"], r["metric"]): r["value"] for r in states.state_metrics(found, db_name="d", table_name="t").collect()}
+    exact = rows_.agg(F.avg("v"), F.stddev_pop("v"), F.sum("v")).first()
+    assert got["v", "Mean"] == pytest.approx(exact[0]) and got["v", "Sum"] == pytest.approx(exact[2])
+    assert got["v", "StandardDeviation"] == pytest.approx(exact[1])
+    assert (got["t", "Completeness"], got["t", "ApproxCountDistinct"], got["empty", "Completeness"]) == (0.8, 3, 0)
+    assert ("t", "Mean") not in got and ("empty", "Mean") not in got
+    assert states.new_slices(rows_, "s", found.filter("slice = 'a'")).count() == 3
+    assert states.new_slices(rows_, "s", found).count() == 0
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_extendedprice", "l_linenumber")
+    merged = states.state_metrics(states.column_states(df, F.col("l_linenumber")), db_name="d", table_name="t", quantiles=(0.1, 0.9))
+    by = {(r["column_name"], r["metric"]): r["value"] for r in merged.collect()}
+    for q in (0.1, 0.9):
+        share = df.agg(F.avg((F.col("l_extendedprice") <= by["l_extendedprice", f"ApproxQuantile({q})"]).cast("double"))).first()[0]
+        assert abs(share - q) < 0.02

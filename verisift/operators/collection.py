@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verisift.functions.expressions import quoted
+from verisift.functions.expressions import content_hash, quoted
 
 # Fields records may be sorted by
 SORT_FIELDS = ("height", "weight", "bmi")
 
 
 def sort_by(df: DataFrame, field: str, order: str = "asc", allowed: tuple[str, ...] = SORT_FIELDS) -> DataFrame:
-    """Whole table in order of a permitted field; a missing value sorts as 0."""
+    """Whole table in order of a permitted field; a missing value sorts as 0.
+
+    Rows with equal values are ordered by their content, which also lets the sort deal them to
+    several tasks, however many lack the value."""
     if field not in allowed:
         raise ValueError(f"records are sorted by one of {list(allowed)}, not {field}")
     if order not in ("asc", "desc"):
         raise ValueError("Invalid order, select between asc and desc")
     key = F.coalesce(quoted(field), F.lit(0))
-    return df.orderBy(key.asc() if order == "asc" else key.desc())
+    return df.orderBy(key.asc() if order == "asc" else key.desc(), content_hash(df))
 
 
 def lookup(df: DataFrame, value, id_column: str = "id") -> DataFrame:

@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verisift.functions.rules import Rule
+from verisift.operators import states
+from verisift.operators.rejects import rejects
+from verisift.operators.verification import ConstraintRule, verify
 from verisift.plans import transform
+from verisift.plans.batch import profile_rows
 from verisift.plans.ingest import ingest
 from verisift.plans.validation import get_report, quick_check, run_rules, store_report
 from verisift.session import scratch_path
@@ -88,6 +92,131 @@ def table_upsert(spark, sf_dir):
     return spark.table(name)
 
 
+ORDER_CHANGES = """
+SELECT o_orderkey, o_orderstatus, o_totalprice / 2 AS o_totalprice FROM {t} WHERE o_orderkey % 97 = 0
+UNION ALL SELECT o_orderkey + 100000000, o_orderstatus, o_totalprice FROM {t} WHERE o_totalprice > 450000
+UNION ALL SELECT CAST(NULL AS BIGINT), o_orderstatus, o_totalprice FROM {t} WHERE o_totalprice < 2000
+"""
+
+
+@_query("table_bucketed_upsert", f"""WITH s AS ({ORDER_CHANGES.replace("{t}", "orders")})
+SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM s WHERE o_orderkey IS NOT NULL)
+UNION ALL SELECT * FROM s
+UNION ALL SELECT o_orderkey + 200000000, 'X', 0 FROM orders WHERE o_orderstatus = 'P'""")
+def table_bucketed_upsert(spark, sf_dir):
+    """A table in hash buckets of its key: a merge, then rows appended without naming the bucket."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    name = f"{_database(spark)}.bucketed_{uuid.uuid4().hex}"
+    sinks.create_bucketed(orders, name, ["o_orderkey"], 16, scratch_path(spark, "bucketed"))
+    sinks.upsert(spark.sql(ORDER_CHANGES, t=orders), name, ["o_orderkey"])
+    more = orders.filter("o_orderstatus = 'P'").selectExpr("o_orderkey + 200000000 AS o_orderkey", "'X' AS o_orderstatus", "0 AS o_totalprice")
+    sinks.append_by_name(more, name)
+    return spark.table(name).drop(sinks.BUCKET)
+
+
+@_query("table_whole_rewrite", f"""WITH s AS ({ORDER_CHANGES.replace("{t}", "orders")})
+SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders
+WHERE o_orderstatus <> 'P' AND o_orderkey NOT IN (SELECT o_orderkey FROM s WHERE o_orderkey IS NOT NULL)
+UNION ALL SELECT * FROM s""")
+def table_whole_rewrite(spark, sf_dir):
+    """A table without partitions: a slice replaced by nothing, then a merge; each switches to new files."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    name = _new_table(spark, orders, "whole")
+    sinks.replace_slice(orders.limit(0), name, F.col("o_orderstatus") == "P")
+    sinks.upsert(spark.sql(ORDER_CHANGES, t=orders), name, ["o_orderkey"])
+    return spark.table(name)
+
+
+REGISTERED = [Rule("R1", "not_null", "c_name", "critical"), Rule("R2", "range_check", "c_acctbal", "high", params={"min_value": 0})]
+
+
+# --- result tables ---------------------------------------------------------------------------
+
+RESULT_COLUMNS = "db_name string, table_name string, constraint_name string, constraint_status string, metric_value double"
+RESULT_RULES = [
+    ConstraintRule(".isComplete('c_name')", constraint_name="names"), ConstraintRule(".isUnique('c_custkey')", constraint_name="keys"),
+    ConstraintRule(".hasCompleteness('c_acctbal', '> 0.9')", constraint_name="balances"),
+]
+
+
+@_query("results_written_twice", f"""WITH d AS ({DIRTY_CUSTOMER_SQL}),
+r AS (SELECT 'names' AS constraint_name, count(c_name) / count(*) AS v, count(c_name) = count(*) AS ok FROM d
+  UNION ALL SELECT 'keys', 1.0, true UNION ALL SELECT 'balances', count(c_acctbal) / count(*), count(c_acctbal) / count(*) > 0.9 FROM d)
+SELECT run_id, constraint_name, CASE WHEN ok THEN 'Success' ELSE 'Failure' END AS constraint_status, round(v, 6) AS metric_value, CAST(month AS INTEGER) AS month
+FROM r, (VALUES ('first', 202403), ('second', 202405)) AS runs(run_id, month)""")
+def results_written_twice(spark, sf_dir):
+    """Check results of two runs; one is written twice, the other again in a later month."""
+    name = f"{_database(spark)}.results_{uuid.uuid4().hex}"
+    sinks.create_results(spark, name, RESULT_COLUMNS, scratch_path(spark, "results"))
+    for run_id, as_of in (("first", AS_OF), ("second", "2024-04-01 00:00:00"), ("first", AS_OF), ("second", "2024-05-01 00:00:00")):
+        found = verify(dirty_customer(spark, sf_dir), RESULT_RULES, db_name="db", table_name="customer", as_of=as_of)
+        kept = found.select("db_name", "table_name", "constraint_name", "constraint_status", "metric_value", "create_month_prtn")
+        sinks.append_run(kept, name, run_id)
+    return spark.table(name).select("run_id", "constraint_name", "constraint_status", F.round("metric_value", 6).alias("metric_value"),
+                                    F.col("create_month_prtn").alias("month"))
+
+
+@_query("profile_written_twice", """
+SELECT 'p1' AS run_id, 'part' AS table_name, c AS column_name, 1.0::DOUBLE AS completeness, t AS data_type FROM (VALUES
+  ('p_partkey', 'Integral'), ('p_name', 'String'), ('p_brand', 'String'), ('p_type', 'String'), ('p_size', 'Integral'),
+  ('p_retailprice', 'Fractional')) AS v(c, t) WHERE EXISTS (SELECT 1 FROM part)""")
+def profile_written_twice(spark, sf_dir):
+    """Profile rows of a run, appended twice."""
+    name = f"{_database(spark)}.profiles_{uuid.uuid4().hex}"
+    columns = "db_name string, table_name string, column_name string, completeness double, data_type string, approx_num_distinct_values bigint, audit_create_date timestamp"
+    sinks.create_results(spark, name, columns, scratch_path(spark, "profiles"))
+    for _ in range(2):
+        sinks.append_run(profile_rows(table(spark, sf_dir, "part"), db_name="db", table_name="part", as_of=AS_OF), name, "p1")
+    return spark.table(name).select("run_id", "table_name", "column_name", "completeness", "data_type")
+
+
+@_query("rejects_written_twice", f"""WITH d AS ({DIRTY_CUSTOMER_SQL})
+SELECT 'r1' AS run_id, 'R1' AS rule_id, CAST(c_custkey AS VARCHAR) AS row_key FROM d WHERE c_name IS NULL OR trim(c_name) = ''
+UNION ALL SELECT 'r1', 'R2', CAST(c_custkey AS VARCHAR) FROM d WHERE c_acctbal < 0""")
+def rejects_written_twice(spark, sf_dir):
+    """A rejects table that is created when first needed; the run is captured twice, another one finds nothing any more."""
+    name = f"{_database(spark)}.rejects_{uuid.uuid4().hex}"
+    found = rejects(dirty_customer(spark, sf_dir), REGISTERED, dataset_id="customer", run_id="r1", as_of=AS_OF, keys=["c_custkey"])
+    kept = found.select("rule_id", "row_key", "row_data", F.lit(202403).alias("create_month_prtn"))
+    for rows, run_id in ((kept, "r1"), (kept, "r2"), (kept, "r1"), (kept.limit(0), "r2")):
+        sinks.create_results(spark, name, "rule_id string, row_key string, row_data string", scratch_path(spark, "rejects"))
+        sinks.append_run(rows, name, run_id)
+    return spark.table(name).select("run_id", "rule_id", "row_key")
+
+
+# --- metrics from states -------------------------------------------------------------------------
+
+def _within(estimate, exact, share: float):
+    """The exact number if the estimate lies near it, else the estimate."""
+    return F.when(F.abs(estimate - exact) <= share * exact, exact).otherwise(estimate)
+
+
+@_query("metric_states", """
+WITH v AS (SELECT 'l_quantity' AS column_name, l_quantity AS v FROM lineitem UNION ALL SELECT 'l_extendedprice', l_extendedprice FROM lineitem
+  UNION ALL SELECT 'l_partkey', l_partkey FROM lineitem)
+SELECT column_name, metric, round(value, 4) AS value FROM (SELECT column_name, unnest(['Size', 'Completeness', 'ApproxCountDistinct', 'Minimum', 'Maximum',
+  'Mean', 'Sum', 'StandardDeviation', 'ApproxQuantile(0.5)']) AS metric, unnest([count(*), count(v) / count(*), count(DISTINCT v), min(v), max(v), avg(v), sum(v),
+  stddev_pop(v), quantile_disc(v, 0.5)]) AS value FROM v GROUP BY column_name) AS m""")
+def metric_states(spark, sf_dir):
+    """Metrics of a table from the states of its slices: two are stored, the third comes later and is
+    the only one read then.  Estimates near the exact number count as it."""
+    columns = ["l_quantity", "l_extendedprice", "l_partkey"]
+    whole = table(spark, sf_dir, "lineitem").select(*columns, "l_returnflag")
+    early = whole.filter("l_returnflag <> 'R'")
+    path = scratch_path(spark, "states")
+    for rows in (early, whole):
+        stored = spark.read.parquet(path) if rows is whole else spark.createDataFrame([], states.STATE)
+        fresh = states.new_slices(rows, "l_returnflag", stored)
+        states.column_states(fresh, F.col("l_returnflag")).write.mode("append").parquet(path)
+    found = states.state_metrics(spark.read.parquet(path).filter(F.col("column_name").isin(columns)), db_name="db", table_name="lineitem",
+                                 as_of=AS_OF, quantiles=(0.5,))
+    exact = whole.unpivot([], [F.col(c).cast("double").alias(c) for c in columns], "of", "v").groupBy("of").agg(
+        F.count_distinct("v").alias("distinct"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY v)").alias("middle"))
+    value = F.when(F.col("metric") == "ApproxCountDistinct", _within(F.col("value"), F.col("distinct"), 0.03)).when(
+        F.col("metric") == "ApproxQuantile(0.5)", _within(F.col("value"), F.col("middle"), 0.03)).otherwise(F.col("value"))
+    return found.join(exact, F.col("column_name") == F.col("of")).select("column_name", "metric", F.round(value, 4).alias("value"))
+
+
 @_query("table_compact", STAMPED_SQL)
 def table_compact(spark, sf_dir):
     name = _new_table(spark, _stamped(spark, sf_dir).repartition(6), "scattered", "loaded_at")
@@ -240,11 +369,16 @@ def given_frame_wins(spark, sf_dir):
 
 @_query("keyed_json_file", "SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, c_acctbal AS balance FROM customer")
 def keyed_json_file(spark, sf_dir):
-    """Files of one JSON object from id to record, one per nation, read back."""
+    """Files of one JSON object from id to record, read back.  An object holds about 500 records of
+    a nation, however many customers the nation has."""
     path = scratch_path(spark, "keyed")
     entry = F.struct(F.col("c_custkey").cast("string"), F.struct(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance")))
-    groups = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
-    groups.select("value").repartition(25).write.option("maxRecordsPerFile", 1).text(path)
+    customers = table(spark, sf_dir, "customer")
+    sizes = customers.groupBy(F.col("c_nationkey").alias("nation")).agg(F.ceil(F.count("*") / 500).alias("objects"))
+    dealt = customers.join(F.broadcast(sizes), F.col("c_nationkey") == F.col("nation")).withColumn(
+        "object", F.pmod(F.xxhash64("c_custkey"), "objects"))  # one row per nation
+    groups = dealt.groupBy("nation", "object").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+    groups.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return files.read_keyed_json(spark, path, "name string, balance double").select("id", "name", "balance")
 
 
@@ -261,7 +395,6 @@ def insert_document(spark, sf_dir):
     return files.read_documents(spark, path, "event_id long, event_type string, isImportant boolean")
 
 
-REGISTERED = [Rule("R1", "not_null", "c_name", "critical"), Rule("R2", "range_check", "c_acctbal", "high", params={"min_value": 0})]
 
 
 @_query("report_registry", f"""WITH d AS ({DIRTY_CUSTOMER_SQL})

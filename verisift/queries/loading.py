@@ -210,6 +210,35 @@ def batch_profile(spark, sf_dir):
         "table_name", "column_name", "completeness", "data_type")
 
 
+@_query("batch_profile_scope", f"""WITH c AS ({DIRTY_CUSTOMER_SQL})
+SELECT 'dq_customer' AS table_name, 'c_name' AS column_name, round(count(c_name) / count(*), 2) AS completeness, 'String' AS data_type FROM c
+UNION ALL SELECT 'dq_customer', 'c_acctbal', round(count(c_acctbal) / count(*), 2), 'Fractional' FROM c
+UNION ALL SELECT 'dq_orders', 'o_orderkey', 1.0, 'Integral' UNION ALL SELECT 'dq_orders', 'o_custkey', round(count(*) FILTER (o_orderkey % 31 = 0 OR o_orderkey % 41 <> 0) / count(*), 2), 'Integral' FROM orders
+UNION ALL SELECT 'dq_orders', 'o_orderstatus', 1.0, 'String' UNION ALL SELECT 'dq_orders', 'o_totalprice', 1.0, 'Fractional'
+UNION ALL SELECT 'dq_orders', 'o_orderdate', 1.0, 'String'
+UNION ALL SELECT 'dq_orders', 'o_orderpriority', round(count(*) FILTER (o_orderkey % 37 <> 0) / count(*), 2), 'String' FROM orders""")
+def batch_profile_scope(spark, sf_dir):
+    """Profiles of what a scope table names: two columns of one table, all of another, nothing inactive."""
+    _register(spark, sf_dir)
+    scope = spark.createDataFrame(
+        [(BATCH_DB, "dq_customer", "c_name", "Y"), (BATCH_DB, "dq_customer", "c_acctbal", "Y"), (BATCH_DB, "dq_customer", "c_custkey", "N"),
+         (BATCH_DB, "dq_orders", None, "Y"), ("other", "dq_customer", "c_mktsegment", "Y")],
+        "db_name string, table_name string, column_name string, is_active string")
+    found = batch.profile_tables(spark, scope, db_name=BATCH_DB, as_of=AS_OF)
+    return found.select("table_name", "column_name", "completeness", "data_type")
+
+
+@_query("batch_profile_columns", f"""WITH c AS ({DIRTY_CUSTOMER_SQL})
+SELECT 'dq_customer' AS table_name, 'c_name' AS column_name, round(count(c_name) / count(*), 2) AS completeness, 'String' AS data_type FROM c WHERE c_nationkey < 10
+UNION ALL SELECT 'dq_customer', 'c_mktsegment', 1.0, 'String'""")
+def batch_profile_columns(spark, sf_dir):
+    """Given columns of a table, of the rows that a filter on another column keeps."""
+    _register(spark, sf_dir)
+    found = batch.profile_tables(
+        spark, None, db_name=BATCH_DB, tables="dq_customer", columns=["c_name", "c_mktsegment"], where="c_nationkey < 10", as_of=AS_OF)
+    return found.select("table_name", "column_name", "completeness", "data_type")
+
+
 @_query("batch_suggest", """
 SELECT 'dq_orders' AS table_name, '.isComplete("o_orderkey")' AS constraint_rule, 'N' AS is_active
 UNION ALL SELECT 'dq_orders', '.isComplete("o_orderstatus")', 'N' UNION ALL SELECT 'dq_orders', '.isComplete("o_totalprice")', 'Y'
@@ -434,6 +463,25 @@ def transform_chain(spark, sf_dir):
     return run_views(spark, CHAIN)[FINAL_VIEW]
 
 
+DIAMOND = {
+    "dq_totals": "SELECT o_custkey, count(*) AS orders, sum(o_totalprice) AS spent FROM dq_base_orders GROUP BY o_custkey",
+    "dq_rich": "SELECT o_custkey, spent FROM dq_totals WHERE spent > 500000",
+    "dq_busy": "SELECT o_custkey, orders FROM dq_totals WHERE orders >= 10",
+    FINAL_VIEW: "SELECT c.c_custkey, r.spent IS NOT NULL AS rich, b.orders IS NOT NULL AS busy FROM dq_base_customer c "
+                "LEFT JOIN dq_rich r ON r.o_custkey = c.c_custkey LEFT JOIN dq_busy b ON b.o_custkey = c.c_custkey",
+}
+
+
+@_query("transform_diamond", """
+WITH t AS (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS spent FROM orders GROUP BY o_custkey)
+SELECT c_custkey, coalesce(spent > 500000, false) AS rich, coalesce(n >= 10, false) AS busy FROM customer LEFT JOIN t ON o_custkey = c_custkey""")
+def transform_diamond(spark, sf_dir):
+    """A chain in which two views use a third one, which is stored once."""
+    for name in ("orders", "customer"):
+        table(spark, sf_dir, name).createOrReplaceTempView(f"dq_base_{name}")
+    return run_views(spark, DIAMOND)[FINAL_VIEW]
+
+
 @_query("load_append", "SELECT s_suppkey, s_acctbal FROM supplier UNION ALL SELECT s_suppkey + 1000000, s_acctbal FROM supplier WHERE s_acctbal < 0")
 def load_append(spark, sf_dir):
     path = scratch_path(spark, "append")

@@ -1,12 +1,18 @@
 """Table writes on plain files: append, replace a slice, upsert, compact.
 
 Of a partitioned table only the partitions that a change touches are rewritten, by Spark's
-dynamic partition overwrite; the files of all others stay.  A table without partitions is
-rewritten as a whole, from a stored copy of its new rows.
+dynamic partition overwrite; the files of all others stay.  A table that has no partitions of
+its own can be created in hash buckets of its key (``create_bucketed``), so that a merge rewrites
+the buckets of the changed keys only.  Any other table is rewritten as a whole, beside its old
+files, and switched to the new ones when they are complete: a job that is lost on the way leaves
+the table as it was.
 """
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,13 +22,18 @@ from verisift.functions.expressions import quoted
 from verisift.session import settle
 
 DYNAMIC = "spark.sql.sources.partitionOverwriteMode"
+BUCKET = "hash_bucket"
+BUCKET_KEYS = "verisift.bucket.keys"
+BUCKET_NUMBER = "verisift.bucket.number"
 
 
 def aligned(df: DataFrame, table: str) -> DataFrame:
     """The table's columns in its order, matched by name without case; columns the rows lack
     are null."""
-    given = {c.lower(): c for c in df.columns}
     target = df.sparkSession.table(table).schema
+    if BUCKET in target.fieldNames() and BUCKET not in df.columns:
+        df = in_buckets(df, *bucketing(df.sparkSession, table))
+    given = {c.lower(): c for c in df.columns}
     unknown = set(given) - {n.lower() for n in target.fieldNames()}
     if unknown:
         raise ValueError(f"{table} lacks the columns {sorted(unknown)}; append_evolving adds them")
@@ -76,9 +87,48 @@ def _add_columns(df: DataFrame, table: str) -> None:
         df.sparkSession.sql(f"ALTER TABLE {table} ADD COLUMNS ({listed})")
 
 
+def bucketing(spark: SparkSession, table: str) -> tuple[list[str], int]:
+    """Keys and number of a table's hash buckets."""
+    found = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {table}").collect()}
+    if BUCKET_KEYS not in found:
+        raise ValueError(f"{table} has a column {BUCKET} but was not created in buckets")
+    return json.loads(found[BUCKET_KEYS]), int(found[BUCKET_NUMBER])
+
+
+def in_buckets(df: DataFrame, keys: list[str], number: int) -> DataFrame:
+    """The rows with the bucket of their key (keys are hashed by their text, whatever their type)."""
+    return df.withColumn(BUCKET, F.pmod(F.xxhash64(*[quoted(k).cast("string") for k in keys]), F.lit(number)).cast("int"))
+
+
+def create_bucketed(df: DataFrame, table: str, keys: list[str], number: int, location: str | None = None) -> None:
+    """A table without partitions of its own, laid out in hash buckets of its key."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    kept = in_buckets(df.select(*[quoted(c).cast(kinds[c]).alias(c) for c in df.columns]), keys, number)
+    writer = kept.hint("rebalance", F.col(BUCKET)).write.format("parquet").partitionBy(BUCKET)
+    (writer.option("path", location) if location else writer).saveAsTable(table)
+    df.sparkSession.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{BUCKET_KEYS}' = '{json.dumps(keys)}', '{BUCKET_NUMBER}' = '{number}')")
+
+
+def _provider(spark: SparkSession, table: str) -> str:
+    return spark.sql(f"DESCRIBE TABLE EXTENDED {table}").filter("col_name = 'Provider'").first()["data_type"].lower()
+
+
 def overwrite_table(df: DataFrame, table: str) -> None:
-    """Replace all rows of a table without partitions; ``df`` may read the table itself."""
-    settle(aligned(df, table)).write.mode("overwrite").insertInto(table)
+    """Replace all rows of a table without partitions; ``df`` may read the table itself.
+
+    The new files are written beside the old ones, then the table is pointed at them and the old
+    ones go: until the switch the table holds its old rows, from then on the new ones."""
+    spark = df.sparkSession
+    if _provider(spark, table) != "parquet":
+        settle(aligned(df, table)).write.mode("overwrite").insertInto(table)
+        return
+    old = table_location(spark, table)
+    new = f"{re.sub(r'[.]v[0-9a-f]{32}$', '', old.rstrip('/'))}.v{uuid.uuid4().hex}"
+    aligned(df, table).write.parquet(new)
+    spark.sql(f"ALTER TABLE {table} SET LOCATION '{new}'")
+    spark.catalog.refreshTable(table)
+    gone = spark._jvm.org.apache.hadoop.fs.Path(old)
+    gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
 
 def replace_partitions(df: DataFrame, table: str) -> None:
@@ -99,6 +149,10 @@ def partitions_of(df: DataFrame, parts: list[str]) -> list[tuple]:
 
 def in_partitions(parts: list[str], values: list[tuple]) -> Column:
     """A filter on partition columns, by which the scan leaves other partitions out."""
+    if len(parts) == 1:
+        known = [value[0] for value in values if value[0] is not None]
+        listed = quoted(parts[0]).isin(known) if known else F.lit(False)
+        return listed | quoted(parts[0]).isNull() if len(known) < len(values) else listed
     found = F.lit(False)
     for value in values:
         same = F.lit(True)
@@ -167,6 +221,31 @@ def create_table_from(df: DataFrame, schema: str, table: str, location: str,
     ).saveAsTable(f"{schema}.{table}")
 
 
+def create_results(spark: SparkSession, table: str, columns: str, location: str | None = None) -> None:
+    """A table of results, if there is none: partitioned by month and run, so that a run can be
+    written again."""
+    create_if_absent(spark, table, f"{columns}, create_month_prtn int, run_id string", location, "create_month_prtn, run_id")
+
+
+def append_run(df: DataFrame, table: str, run_id: str) -> None:
+    """Add the results of a run; whatever the table holds of the same run is replaced, also if the
+    run now has other months or no results at all."""
+    spark = df.sparkSession
+    rows = settle(aligned(df.withColumn("run_id", F.lit(run_id)), table))
+    replace_partitions(rows, table)
+    months = {r[0] for r in rows.select("create_month_prtn").distinct().collect()}
+    held = spark.table(table).filter(F.col("run_id") == run_id).select("create_month_prtn").distinct()
+    for (month,) in held.collect():
+        if month not in months:
+            value = "NULL" if month is None else str(month)
+            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (create_month_prtn = {value}, run_id = '{_text(run_id)}')")
+    spark.catalog.refreshTable(table)
+
+
+def _text(value: str) -> str:
+    return value.replace("\\", "\\\\").replace("'", "\\'")
+
+
 def append_load(df: DataFrame, table: str) -> None:
     """Plain append; creates the table when it does not exist."""
     if df.sparkSession.catalog.tableExists(table):
@@ -215,6 +294,11 @@ def upsert(source: DataFrame, table: str, keys: list[str]) -> None:
     if not parts:
         overwrite_table(upserted(target, source, keys), table)
         return
+    if parts == [BUCKET] and bucketing(spark, table)[0] == list(keys):  # equal keys share a bucket
+        touched = sorted(partitions_of(source, parts))
+        if touched:
+            _rewrite(upserted(target.filter(in_partitions(parts, touched)), source, keys), table, parts, touched)
+        return
     matched = target.filter(~_any_null(keys)).join(source.select(*[quoted(k) for k in keys]), keys, "left_semi")
     touched = sorted({*partitions_of(matched, parts), *partitions_of(source, parts)}, key=repr)
     if touched:
