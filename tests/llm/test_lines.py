@@ -62,6 +62,30 @@ def test_large_family_of_near_copies_keeps_one(spark):
     assert [r["doc_id"] for r in kept] == [0]
 
 
+def test_families_of_one_template(spark):
+    """Many pairs that share most words with all others: every pair at the bound is linked, as by all pairs."""
+    for seed, families, shared, own in ((1, 100, 30, 12), (2, 150, 24, 8), (3, 60, 40, 14)):
+        rng = random.Random(seed)
+        template = [f"{rng.choice('abcdefgh')}{rng.randint(100, 999)}" for _ in range(shared)]
+        rows = []
+        for f in range(families):
+            mine = [f"q{rng.randint(10_000, 99_999)}" for _ in range(own)]
+            for k in range(2):
+                words = template + [*mine[:-1], f"z{f}{k}"]
+                rows.append((2 * f + k, " ".join(words)))
+        found = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert found == slow(rows)
+
+
+def test_rows_of_large_buckets():
+    key = np.array([1, 2, 2, 2] + [3] * 20 + [4] * 16 + [5] * 17)
+    sid = np.arange(len(key))
+    for step in (1, 7, 100):
+        batches = [lines.pa.RecordBatch.from_pydict({"key": key[k:k + step], "sid": sid[k:k + step]}) for k in range(0, len(key), step)]
+        out = [(a, b) for x in lines._large(iter(batches)) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True)]
+        assert sorted(out) == [(k, i) for k, i in zip(key.tolist(), sid.tolist(), strict=True) if k in (3, 5)]
+
+
 def test_pairs_of_buckets():
     key = np.array([1, 2, 2, 2] + [3] * 20)
     h = np.arange(len(key))
