@@ -30,6 +30,38 @@ def test_templates_and_slots(spark):
     assert got[2] == (True, [1]) and got[8] == (True, [4]) and got[5] == (False, [])
 
 
+RICH = "Paris 12 km 30 min Berlin 44 km 90 min Rome 15 km 70 min Oslo 88 km 20 min Wien 19 km"
+NAMED = "Natalia sold 48 clips to her friends in April. Natalia then sold half as many clips in May. How many did she sell altogether?"
+
+
+def test_items_of_placeholders_are_found_word_for_word(spark):
+    other = "Bonn 13 km 31 min Mainz 45 km 91 min Trier 16 km 71 min Ulm 89 km 21 min Köln 20 km"
+    got = found(spark, [(1, "See: " + RICH + " and so on", "a"), (2, other, "a"), (3, RICH.lower(), "a"), (4, "12 km 30 min", "a")], [(1, RICH)])
+    assert {d for d, (c, _) in got.items() if c} == {1, 3}
+
+
+def test_names_that_begin_sentences(spark):
+    docs = [(1, NAMED.replace("Natalia", "Maria").replace("48", "31"), "a"), (2, "So: " + NAMED.lower(), "a"), (3, NAMED, "a"),
+            (4, "Maria wrote 31 letters to the council in March. Nobody there read as many letters. Who would?", "a")]
+    got = found(spark, docs, [(7, NAMED)])
+    assert {d for d, (c, _) in got.items() if c} == {1, 2, 3} and got[1] == (True, [7])
+
+
+def test_several_texts_of_an_item_and_items_without_id(spark):
+    second = "The old lighthouse keeper counted exactly every passing ship until the winter storms began to rage along the coast."
+    third = "Nobody in the village remembered why the narrow bridge had been painted green before the great flood of spring."
+    docs = [(1, ITEM, "a"), (2, "x " + second, "a"), (3, third + " y", "a"), (4, "nothing of the kind", "a"), (3, third + " y", "a")]
+    got = found(spark, docs, [(5, ITEM), (5, second), (None, third), (5, ITEM)])
+    assert got == {1: (True, [5]), 2: (True, [5]), 3: (True, []), 4: (False, [])}
+
+
+def test_long_text_and_ties(spark):
+    long = "filler words go on here and there " * 4000
+    docs = [(1, long + ITEM + long, "a"), (2, ITEM + " " + ITEM, "a"), (3, long, "a")]
+    got = found(spark, docs, [(1, ITEM), (2, ITEM)])
+    assert got == {1: (True, [1, 2]), 2: (True, [1, 2]), 3: (False, [])}
+
+
 def test_empty_tables(spark):
     assert found(spark, [], [(1, ITEM)]) == {}
     assert found(spark, [(1, ITEM, "a"), (1, ITEM, "a")], []) == {1: (False, [])}
