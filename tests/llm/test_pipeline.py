@@ -46,6 +46,28 @@ def test_stages(spark, sf_dir, planted):
     assert stages["packing"](spark, planted, sf_dir).select("doc_id").distinct().count() == planted.count()
 
 
+def test_columns_named_like_an_operators_output(spark, sf_dir, planted):
+    from pyspark.sql import functions as F
+    names = ("score", "predicted", "held_out", "n_lines", "n_removed", "contaminated", "item_ids", "n_matched")
+    docs = planted.where("doc_id < 40").select("*", *[F.lit(777).alias(c) for c in names])
+    for stage in ("toxicity", "line_dedup", "simhash_near_dedup", "decontamination"):
+        kept = dict(corpus_pipeline.STAGES)[stage](spark, docs, sf_dir)
+        assert kept.columns == docs.columns
+        assert {tuple(r) for r in kept.select(*names).distinct().collect()} == {(777,) * len(names)}
+
+
+def test_stages_on_odd_rows(spark, sf_dir, planted):
+    """Nulls in any column, empty texts, repeated rows, and no rows at all."""
+    rows = [(None, None, None, None, None), (1, None, "en", "x", 3), (1, None, "en", "x", 3), (2, "", None, "", 0), (3, " \n\t", "de", None, None)]
+    odd = spark.createDataFrame(rows, planted.schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, odd, sf_dir)
+        assert kept.columns == odd.columns
+        assert name == "simhash_near_dedup" or kept.count() == len(rows)
+        assert stage(spark, odd.limit(0), sf_dir).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, odd.limit(0), sf_dir).count() == 0
+
+
 def test_run(spark, sf_dir):
     pieces = corpus_pipeline.run(spark, sf_dir)
     assert pieces.columns[:2] == ["doc_id", "start"] and pieces.count() > 10
@@ -56,7 +78,7 @@ def test_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     sf = "/root/testdata/sf0.01"
     db = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     found = entry.queries()[name](spark, sf)
     cursor = db.execute(entry.oracle_sql()[name])
