@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verisift.llm import decontaminate, lines, packing, simhash, toxicity
@@ -20,32 +20,54 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 ORACLE_SQL = None
 
 
+def _carried(docs: DataFrame) -> DataFrame:
+    """doc_id and text, with the whole row beside them, so that what an operator adds can't take
+    the place of a column of the documents."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("carried_row"))
+
+
+def _unpacked(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The documents' columns again, in their order; some with a new value."""
+    return rows.select(*[(changed[c] if c in changed else F.col(f"carried_row.`{c}`")).alias(c) for c in columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't call toxic."""
-    judged = toxicity.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judged.where("predicted = 0").select(*docs.columns)
+    """Documents that the classifier doesn't call toxic.
+
+    Null and empty texts are scored like any other; repeated rows stay or go together; all columns
+    come through as they are; no documents give none."""
+    judged = toxicity.classify(_carried(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _unpacked(judged.where("predicted = 0"), docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that repeat another; documents with nothing else go."""
-    done = lines.dedup_lines(docs)
+    """Texts without lines that repeat another; documents with nothing else go.
+
+    Null and empty texts stay; rows that repeat doc_id and text keep the same lines; n_chars is
+    counted anew (null text: null), all other columns come through as they are."""
+    done = lines.dedup_lines(_carried(docs))
     left = done.where((F.col("n_lines") == 0) | (F.col("n_removed") < F.col("n_lines")))
-    return left.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    return _unpacked(left, docs.columns, text=F.col("text"), n_chars=F.char_length("text").cast("long"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8)."""
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8).
+
+    The one with the smallest doc_id stays, a null one loses; texts without words are copies of
+    one another; all columns come through as they are."""
     return simhash.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of the benchmark, re-parameterised ones included."""
-    judged = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return judged.where(~F.col("contaminated")).select(*docs.columns)
+    """Documents without passages of the benchmark, re-parameterised ones included.
+
+    Null and empty texts stay; an empty benchmark keeps all; all columns come through as they are."""
+    judged = decontaminate.decontaminate(_carried(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _unpacked(judged.where(~F.col("contaminated")), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences; null text is empty, repeated rows are packed each."""
     return packing.pack(docs)
 
 
