@@ -229,7 +229,7 @@ def _longer(words: int):
         for batch in batches:
             sets = [shingle_set(folded_words(text.as_py()), hashes, words)[:, 0] for text in batch.column(1)]
             sigs = pa.array([packed(minima(one, LONG_MINIMA), LONG_BITS) for one in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(one) for one in sets], pa.int64()), sigs], names=["sid", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(one) for one in sets], pa.int64()), sigs], names=["of", "n", "sig"])
 
     return run
 
@@ -281,18 +281,21 @@ def _open_rows(members: DataFrame, links: DataFrame) -> DataFrame:
 
 def _open_pairs(rows: DataFrame, signed: DataFrame, similarity: int) -> DataFrame:
     """Pairs (a, b) of sets that share a bucket, lie in different components and agree by their long
-    signatures, with the number of agreeing places.  signed: sid, n and sig."""
+    signatures, with the number of agreeing places.  signed: sid, n, sig and bands (the buckets' keys)."""
     least = enough(similarity, LONG_MARGIN, LONG_MINIMA, LONG_BITS)
     known = rows.join(signed.withColumnRenamed("sid", "of"), F.col("sid") == F.col("of")).drop("of")
-    taken = ("sid", "n", "sig", "label")
+    taken = ("sid", "n", "sig", "label", "bands")
     # of two sets with different labels one has another label than most sets of the bucket
     left = known.where("not in_top").select(
         "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), *[F.col(c).alias(f"x_{c}") for c in taken])
     right = known.select("key", F.pmod(F.xxhash64("sid"), F.col("salts")).alias("salt"), *taken, "in_top")
     fits = 100 * F.least("x_n", "n") >= similarity * F.greatest("x_n", "n")
     places = agreeing(F.col("x_sig"), F.col("sig"), LONG_MINIMA, LONG_BITS)
+    # a pair that shares several buckets counts in the first of them
+    shared = F.array_position(F.zip_with("x_bands", "bands", lambda a, b: a == b), F.lit(True))
     both = left.join(right, ["key", "salt"]).where(
-        (F.col("x_label") != F.col("label")) & (F.col("in_top") | (F.col("x_sid") < F.col("sid"))) & fits & (places >= least))
+        (F.col("x_label") != F.col("label")) & (F.col("in_top") | (F.col("x_sid") < F.col("sid"))) & fits & (places >= least)
+        & (F.get("bands", (shared - 1).cast("int")) == F.col("key")))
     pair = both.select(F.least("x_sid", "sid").alias("a"), F.greatest("x_sid", "sid").alias("b"), places.alias("places"))
     return pair.distinct()
 
@@ -307,7 +310,8 @@ def links_of(sets: DataFrame, df: DataFrame, words: int, similarity: int) -> Dat
     if rows.isEmpty():
         return links
     texts = _texts(rows.select(F.col("sid").alias("node")).distinct(), sets, df)
-    signed = settle(texts.mapInArrow(_longer(words), "sid long, n long, sig array<long>"))
+    longer = texts.mapInArrow(_longer(words), "of long, n long, sig array<long>")
+    signed = settle(longer.join(sets.select("sid", "bands"), F.col("of") == F.col("sid")).drop("of"))
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = settle(_open_pairs(rows, signed, similarity).join(done, ["a", "b"], "left_anti"))
     if pairs.isEmpty():
