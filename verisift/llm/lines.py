@@ -192,15 +192,18 @@ def _large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(values))], names=["key", "sid"])
 
 
-def _signed(shingle: int):
-    """sid, n and the long signature of lines, from (sid, norm)."""
+def _signed(bands: int, rows: int, shingle: int):
+    """sid, n, the long signature and the keys of lines, from (sid, norm)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
             hashed, owner = shingle_hashes(texts, shingle)
             sets = [np.unique(h) for h in np.split(hashed, np.flatnonzero(np.diff(owner)) + 1)] if texts else []
             sigs = pa.array([bbit.packed(bbit.minima(h, bbit.LONG_MINIMA), bbit.LONG_BITS) for h in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in sets], pa.int64()), sigs], names=["sid", "n", "sig"])
+            keys = band_keys(signatures(texts, bands * rows, shingle), bands, rows).view(np.int64) if texts else []
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([len(h) for h in sets], pa.int64()), sigs, pa.array(list(keys), pa.list_(pa.int64()))],
+                names=["sid", "n", "sig", "bands"])
 
     return run
 
@@ -285,7 +288,7 @@ def links(texts: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
         return found
     listed = open_.select(F.col("sid").alias("node")).distinct()
     signed = settle(texts.join(listed, F.col("sid") == F.col("node")).select("sid", "norm").mapInArrow(
-        _signed(shingle), "sid long, n long, sig array<long>"))
+        _signed(bands, rows, shingle), "sid long, n long, sig array<long>, bands array<long>"))
     near = bbit._open_pairs(open_, signed, round(100 * similarity)).select("a", "b")
     rest = settle(near.join(pairs, ["a", "b"], "left_anti"))
     return found if rest.isEmpty() else found.union(_compared(rest, texts, similarity, shingle))
