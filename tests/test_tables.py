@@ -332,9 +332,9 @@ def write_rules(path, lines, header=HEADER):
     return str(path)
 
 
-RULE_1 = "dqdb|Battery|PART_NO||c1|.isComplete('PART_NO')|d|Y|Y|select * from dqdb.battery where PART_NO is null|verify|Error|m"
-RULE_2 = "dqdb|battery|id||c2|.isUnique('id')|d|Y|N||verify|warning|m"
-RULE_3 = "dqdb|battery|id|select * from dqdb.battery where id > 101|c3|.hasSize('== 2')|d|Y|N||verify|Error|m"
+RULE_1 = "dqdb|Parcels|kilos||weighed|.hasCompleteness('kilos', '> 0.9')|d|Y|Y|select parcel, depot from dqdb.parcels where kilos is null|verify|Error|m"
+RULE_2 = "dqdb|parcels|parcel||numbered|.isComplete('parcel')|d|Y|N||verify|warning|m"
+RULE_3 = "dqdb|parcels|kilos|select * from dqdb.parcels where kilos >= 1|heavy|.hasMax('kilos', '<= 10')|d|Y|N||verify|Error|m"
 
 
 def existing_rules(spark, path):
@@ -382,20 +382,21 @@ def test_scope_file_checks(spark, tmp_path):
 
 
 @pytest.fixture(scope="module")
-def battery_table(spark, db):
+def parcels(spark, db):
+    """Five parcels: one not weighed, one without a depot, one number given twice."""
     spark.createDataFrame(
-        [(101, "BATT-001", "SupplierA"), (102, None, "SupplierB"), (103, "BATT-002", "SupplierA")],
-        "id bigint, PART_NO string, SUPPLIER string").write.mode("overwrite").saveAsTable("dqdb.battery")
+        [(1, "north", 2.5), (2, "south", None), (3, "north", 0.5), (4, None, 7.0), (4, "west", 1.0)],
+        "parcel bigint, depot string, kilos double").write.mode("overwrite").saveAsTable("dqdb.parcels")
 
 
-def test_batch_verification_and_capture(spark, battery_table, tmp_path):
+def test_batch_verification_and_capture(spark, parcels, tmp_path):
     rules = files.read_rules_file(spark, write_rules(tmp_path / "r.csv", [RULE_1, RULE_2, RULE_3]))
     results = batch.verify_tables(spark, rules, db_name="dqdb", as_of=NOW)
     status = {r["constraint_name"]: r["constraint_status"] for r in results.collect()}
-    assert status == {"c1": "Failure", "c2": "Success", "c3": "Success"}
+    assert status == {"weighed": "Failure", "numbered": "Success", "heavy": "Success"}
     failed = results.filter("constraint_status <> 'Success'")
     found = batch.capture_rejects(spark, rules, db_name="dqdb", failed=failed, as_of=NOW).collect()
-    assert [r["query_result"] for r in found] == ['{"id":102,"SUPPLIER":"SupplierB"}']
+    assert [r["query_result"] for r in found] == ['{"parcel":2,"depot":"south"}']
     nothing = failed.filter("1 = 0")
     assert batch.capture_rejects(spark, rules, db_name="dqdb", failed=nothing, as_of=NOW).count() == 0
     assert batch.capture_rejects(spark, rules, db_name="dqdb", failed=nothing, capture_all=True).count() == 1
@@ -403,25 +404,26 @@ def test_batch_verification_and_capture(spark, battery_table, tmp_path):
         batch.verify_tables(spark, rules, db_name="none")
     metric = rules.withColumn("rule_type", F.lit("metrics"))
     values = batch.verify_tables(spark, metric, db_name="dqdb", mode="metrics", as_of=NOW)
-    assert values.filter("metric = 'Size'").first()["value"] == 2.0
-    given = batch.verify_tables(spark, rules, db_name="dqdb", tables="battery", data=spark.table("dqdb.battery").filter("id = 101"))
-    assert {r["constraint_name"]: r["constraint_status"] for r in given.collect()}["c1"] == "Success"
+    assert {(r["column_name"], r["metric"]): r["value"] for r in values.collect()} == {
+        ("kilos", "Completeness"): 0.8, ("parcel", "Completeness"): 1.0, ("kilos", "Maximum"): 7.0}
+    given = batch.verify_tables(spark, rules, db_name="dqdb", tables="parcels", data=spark.table("dqdb.parcels").filter("parcel = 1"))
+    assert {r["constraint_name"]: r["constraint_status"] for r in given.collect()}["weighed"] == "Success"
 
 
-def test_batch_profile_and_suggestions(spark, battery_table):
-    found = batch.profile_tables(spark, None, db_name="dqdb", tables="battery", as_of=NOW)
-    part = found.filter("column_name = 'PART_NO'").first()
-    assert (part["completeness"], part["data_type"], part["create_month_prtn"]) == (0.67, "String", 202403)
+def test_batch_profile_and_suggestions(spark, parcels):
+    found = batch.profile_tables(spark, None, db_name="dqdb", tables="parcels", as_of=NOW)
+    part = found.filter("column_name = 'depot'").first()
+    assert (part["completeness"], part["data_type"], part["create_month_prtn"]) == (0.8, "String", 202403)
     sinks.create_if_absent(
         spark, "dqdb.rulestable",
         "db_name string, table_name string, column_name string, constraint_rule string, constraint_desc string, "
         "is_active string, reject_capture string, rule_type string, check_level string, check_message string, "
         "audit_create_date timestamp")
     existing = spark.table("dqdb.rulestable")
-    once = settle(batch.suggest_for_tables(spark, existing, db_name="dqdb", tables="battery", as_of=NOW, max_categories=100))
-    assert once.filter("constraint_rule = '.isComplete(\"id\")'").count() == 1
-    activated = once.withColumn("is_active", F.when(F.col("column_name") == "id", "Y").otherwise(F.col("is_active")))
-    twice = batch.suggest_for_tables(spark, activated, db_name="dqdb", tables="battery", as_of=NOW, max_categories=100)
+    once = settle(batch.suggest_for_tables(spark, existing, db_name="dqdb", tables="parcels", as_of=NOW, max_categories=100))
+    assert once.filter("constraint_rule = '.isComplete(\"parcel\")'").count() == 1
+    activated = once.withColumn("is_active", F.when(F.col("column_name") == "parcel", "Y").otherwise(F.col("is_active")))
+    twice = batch.suggest_for_tables(spark, activated, db_name="dqdb", tables="parcels", as_of=NOW, max_categories=100)
     assert twice.count() == once.count()
     assert twice.groupBy("column_name", "constraint_rule").count().filter("count > 1").count() == 0
 

@@ -115,7 +115,7 @@ def profile_tables(
 ) -> DataFrame:
     """Column profiles of every table in scope."""
     if not db_name:
-        raise ValueError("DB Name parameter is required")
+        raise ValueError("a profile run needs the name of a database")
     return _all([
         profile_rows(
             source_frame(spark, db_name=db_name, table_name=table, where=where, columns=named),
