@@ -80,3 +80,20 @@ def test_languages_of_few_documents(spark):
     pages = spark.createDataFrame([(1, None, f"<html><body>{finnish}</body></html>")], "page_id long, url string, html string")
     found = {r["doc_id"] or r["page_id"]: r["lang"] for r in language.identify(documents, pages).where("doc_id >= 40000 or page_id is not null").collect()}
     assert found == {40_000: "fi", 40_001: "fi", 50_000: language.UNKNOWN, 1: "fi"}
+
+
+def test_visible_text_of_pages():
+    """As by one pattern, and in linear time whatever isn't closed."""
+    import random
+    import re
+    import time
+    pattern = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", re.DOTALL | re.IGNORECASE)
+    rng = random.Random(1)
+    bits = ["<", ">", "<script", "<SCRIPT>", "</script >", "<style a>", "</style>", "<!--", "-->", "&amp;", "&#12;", "&", " ", "a", "é\n", "<b>", "--", "/"]
+    for _ in range(20_000):
+        page = "".join(rng.choices(bits, k=rng.randint(0, 14)))
+        assert language.visible(page) == pattern.sub(" ", page), page
+    start = time.perf_counter()
+    for bit in ("<", "<script ", "<!--", "<style>", "&a", "&", "<!-- >"):
+        language.visible(bit * (1_000_000 // len(bit)))
+    assert time.perf_counter() - start < 30

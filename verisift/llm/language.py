@@ -36,10 +36,35 @@ PRIOR_STRENGTH = 5.0  # records that a wider level counts for at the next narrow
 LEAST_TRIGRAMS = 1000  # of a language's documents, for it to be known
 UNKNOWN = "unknown"  # the class of all other labels
 
-_HIDDEN = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", re.DOTALL | re.IGNORECASE)
+_MARKUP = re.compile(r"<(script|style)\b|<!--|<|&#?\w+;", re.IGNORECASE)
+_END = {kind: re.compile(end, re.IGNORECASE) for kind, end in (
+    ("script", r"</script\s*>"), ("style", r"</style\s*>"), ("<!--", "-->"), ("<", ">"))}
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
+def visible(html: str) -> str:
+    """A page with a blank for every script, style sheet, comment, tag and entity.
+
+    What isn't closed is sought once: no later end can be found either, so the time is linear."""
+    out, at, look, unclosed = [], 0, 0, set()
+    while found := _MARKUP.search(html, look):
+        end = found.end() if found[0][0] == "&" else None
+        if end is None:
+            kind = (found[1] or found[0]).lower()
+            for form, start in ((kind, found.end()), ("<", found.start() + 1)):
+                if form not in unclosed:
+                    if close := _END[form].search(html, start):
+                        end = close.end()
+                        break
+                    unclosed.add(form)
+        if end is None:
+            look = found.start() + 1
+            continue
+        out += [html[at:found.start()], " "]
+        at = look = end
+    return "".join([*out, html[at:]])
+
+
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, text number) of every character trigram of the lower-cased texts, set off by blanks."""
     padded = [f" {t.lower()} " for t in texts]
@@ -114,7 +139,7 @@ def text_evidence(records: DataFrame, model: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [_HIDDEN.sub(" ", t) if markup else t for t, markup in zip(b.column("text").to_pylist(), b.column("markup").to_pylist(), strict=True)]
+            texts = [visible(t) if markup else t for t, markup in zip(b.column("text").to_pylist(), b.column("markup").to_pylist(), strict=True)]
             sums, counts = np.zeros((len(texts), table.shape[1])), np.zeros(len(texts))
             for at, part in _parts(texts, 500_000):
                 bucket, owner = trigrams(part)
