@@ -365,9 +365,14 @@ def fixed_weights() -> tuple[float, dict[str, float]]:
 
 def classify(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED,
              mined: int = MINED, vocabulary: int = VOCABULARY) -> DataFrame:
-    """The documents with their columns, and held_out, score (0 to 1) and predicted (score of at least 0.5)."""
+    """The documents with their columns, and held_out, score (0 to 1) and predicted (score of at least 0.5).
+
+    More labelled documents, features (`vocabulary`) and mined voters fit finer models and cost the
+    driver memory in proportion; votes are bits of one long, so 50 voters can be mined at most."""
+    if mined > 50:
+        raise ValueError("at most 50 voters can be mined")
     sample = settle(draw(documents, labels, labelled, unlabelled))
-    voters, listed = mine(sample, min(mined, 50), vocabulary)
+    voters, listed = mine(sample, mined, vocabulary)
     if not listed:
         return score(documents, *fixed_weights())
     count = len(voters) + len(LEXICONS) + len(PATTERNS)
