@@ -81,8 +81,11 @@ def test_rows_of_large_buckets():
     key = np.array([1, 2, 2, 2] + [3] * 20 + [4] * 16 + [5] * 17)
     sid = np.arange(len(key))
     for step in (1, 7, 100):
-        batches = [lines.pa.RecordBatch.from_pydict({"key": key[k:k + step], "sid": sid[k:k + step]}) for k in range(0, len(key), step)]
-        out = [(a, b) for x in lines._large(iter(batches)) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True)]
+        batches = [lines.pa.RecordBatch.from_pydict({"key": key[k:k + step], "h": sid[k:k + step]}) for k in range(0, len(key), step)]
+        found = [r for x in lines._candidates(iter(batches)) for r in zip(*(c.to_pylist() for c in x.columns), strict=True)]
+        out = [(a, b) for large, a, b in found if large]
+        assert {(a, b) for large, a, b in found if not large} == {
+            (min(p), max(p)) for p in zip(*(c.tolist() for c in lines._pairs_of(key, sid)), strict=True)}
         assert sorted(out) == [(k, i) for k, i in zip(key.tolist(), sid.tolist(), strict=True) if k in (3, 5)]
 
 

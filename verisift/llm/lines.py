@@ -14,9 +14,6 @@ family of near-copies is linked without all its pairs.  Lines of such a bucket t
 different components are then compared with each other by long one-bit MinHash signatures, in
 salted blocks, and verified where these agree (`bbit`), so no pair of a bucket is left out.
 
-Distinct lines are told apart by 128 bits of hash and numbered, so lines never count as equal
-because a shorter hash says so.
-
 Defined results: lines without a word always stay and are not counted; lines shorter than a
 shingle only match equal ones; null text stays null; a null doc_id comes last; rows that repeat
 doc_id and text keep the same lines; other columns pass through; an empty table gives no rows.
@@ -34,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verisift.llm import bbit
-from verisift.llm.common import WHITE, join_hot, settle, text_of, unwrapped, wrapped
+from verisift.llm.common import WHITE, broadcast_if_small, join_hot, settle, text_of, unwrapped, wrapped
 from verisift.llm.components import components
 from verisift.session import scratch_path
 
@@ -44,6 +41,7 @@ ROWS = 4
 SIMILARITY = 0.8
 SMALL_BUCKET = 16
 PIVOTS = 3
+BROADCAST_LINES = 1_000_000  # line hashes (8 bytes each) that a semi-join may broadcast
 WHITE_BUT_BREAKS = r"[\x20\x09\x0B-\x0D]+"
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -108,8 +106,16 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _banded(bands: int, rows: int, shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # repeated lines of a task go out once
         for b in batches:
-            ids, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
+            ids, texts = [], []
+            for h, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if h not in seen:
+                    seen.add(h)
+                    ids.append(h)
+                    texts.append(t.as_py())
+            if len(seen) > 200_000:
+                seen.clear()
             at = 0
             while at < len(ids):  # a bounded number of characters at a time
                 stop, size = at, 0
@@ -117,7 +123,7 @@ def _banded(bands: int, rows: int, shingle: int):
                     size += len(texts[stop])
                     stop += 1
                 keys = band_keys(signatures(texts[at:stop], bands * rows, shingle), bands, rows)
-                h = np.repeat(ids[at:stop], bands)
+                h = np.repeat(np.array(ids[at:stop], np.int64), bands)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(h)], names=["key", "h"])
                 at = stop
 
@@ -170,26 +176,41 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield from out(key, h)
 
 
-def _large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows (key, sid) of buckets of more than SMALL_BUCKET lines, from rows sorted by key."""
-    held, count = None, 0
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs (large false, a, b) and the rows (large true, key, h) of buckets of more than
+    SMALL_BUCKET rows, from (key, h) sorted by key, in one pass."""
+    rows: list[pa.RecordBatch] = []
     start: list[int] = []
-    for batch in batches:
-        key, sid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        keys, values = [], []
-        edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
-        for at, stop in zip(edges, np.r_[edges[1:], len(key)], strict=True):
-            if key[at] != held:
-                held, count, start = key[at], 0, []
-            count += stop - at
-            if count > SMALL_BUCKET:
-                values += [np.array(start, np.int64), sid[at:stop]]
-                keys.append(np.full(len(start) + stop - at, key[at]))
-                start = []
-            else:
-                start += sid[at:stop].tolist()
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(values))], names=["key", "sid"])
+    held, count = None, 0
+
+    def tapped() -> Iterator[pa.RecordBatch]:
+        nonlocal held, count, start
+        for batch in batches:
+            key, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            keys, values = [], []
+            edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+            for at, stop in zip(edges, np.r_[edges[1:], len(key)], strict=True):
+                if key[at] != held:
+                    held, count, start = key[at], 0, []
+                count += stop - at
+                if count > SMALL_BUCKET:
+                    values += [np.array(start, np.int64), h[at:stop]]
+                    keys.append(np.full(len(start) + stop - at, key[at]))
+                    start = []
+                else:
+                    start += h[at:stop].tolist()
+            if keys:
+                rows.append(marked(True, np.concatenate(keys), np.concatenate(values)))
+            yield batch
+
+    def marked(large: bool, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), large)), pa.array(a), pa.array(b)], names=["large", "a", "b"])
+
+    for pairs in _bucket_pairs(tapped()):
+        yield marked(False, pairs.column(0).to_numpy(), pairs.column(1).to_numpy())
+        while rows:
+            yield rows.pop()
+    yield from rows
 
 
 def _signed(bands: int, rows: int, shingle: int):
@@ -255,13 +276,12 @@ def _verified(similarity: float, shingle: int):
 
 
 def lines_of(df: DataFrame) -> DataFrame:
-    """_id, _th, line (number), norm (normalised text), h and g (its hashes) of all lines with a word.
+    """_id, _th, line (number), norm (normalised text) and h (its hash) of all lines with a word.
 
     White space is collapsed and letters are folded once per text, before it is split."""
     folded = F.lower(F.regexp_replace(text_of(), WHITE_BUT_BREAKS, " "))
     split = df.select(F.col("doc_id").alias("_id"), F.xxhash64(text_of()).alias("_th"), F.posexplode(F.split(folded, "\n")).alias("line", "raw"))
-    lines = split.select("_id", "_th", "line", F.trim("raw").alias("norm")).where("norm <> ''")
-    return lines.withColumn("h", F.xxhash64("norm")).withColumn("g", F.xxhash64(F.lit(7), "norm"))
+    return split.select("_id", "_th", "line", F.trim("raw").alias("norm")).where("norm <> ''").withColumn("h", F.xxhash64("norm"))
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
@@ -273,22 +293,30 @@ def _compared(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: in
     return settle(both.mapInArrow(_verified(similarity, shingle), "a long, b long"))
 
 
-def links(texts: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
-    """Verified links (a, b) between distinct lines: sid and norm, each at least a shingle long, stored."""
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    banded = texts.select("sid", "norm").mapInArrow(_banded(bands, rows, shingle), "key long, h long")
+def _texts(lines: DataFrame, nodes: DataFrame) -> DataFrame:
+    """sid (hash) and norm of the lines whose hash is a node, stored."""
+    known = broadcast_if_small(settle(nodes.distinct()), BROADCAST_LINES)
+    found = lines.join(known, F.col("h") == F.col("node"), "left_semi")
+    return settle(found.groupBy(F.col("h").alias("sid")).agg(F.min("norm").alias("norm")))
+
+
+def links(lines: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
+    """Verified links (a, b) between hashes of distinct lines."""
+    long_enough = lines.where(F.char_length("norm") >= shingle).select("h", "norm")
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    banded = long_enough.mapInArrow(_banded(bands, rows, shingle), "key long, h long")
     dealt = banded.repartition(parts, "key").sortWithinPartitions("key", F.col("h").bitwiseXOR(F.col("key")))
-    pairs = settle(dealt.mapInArrow(_bucket_pairs, "a long, b long").where("a <> b").distinct())
-    found = _compared(pairs, texts, similarity, shingle)
-    large = settle(dealt.mapInArrow(_large, "key long, sid long"))
+    met = settle(dealt.mapInArrow(_candidates, "large boolean, a long, b long").where("large or a <> b").distinct())
+    pairs = met.where("not large").select("a", "b")
+    found = _compared(pairs, _texts(long_enough, pairs.select(F.col("a").alias("node")).union(pairs.select("b"))), similarity, shingle)
+    large = met.where("large").select(F.col("a").alias("key"), F.col("b").alias("sid"))
     if large.isEmpty():
         return found
     open_ = bbit._open_rows(large, found)
     if open_.isEmpty():
         return found
-    listed = open_.select(F.col("sid").alias("node")).distinct()
-    signed = settle(texts.join(listed, F.col("sid") == F.col("node")).select("sid", "norm").mapInArrow(
-        _signed(bands, rows, shingle), "sid long, n long, sig array<long>, bands array<long>"))
+    texts = _texts(long_enough, open_.select(F.col("sid").alias("node")))
+    signed = settle(texts.mapInArrow(_signed(bands, rows, shingle), "sid long, n long, sig array<long>, bands array<long>"))
     near = bbit._open_pairs(open_, signed, round(100 * similarity)).select("a", "b")
     rest = settle(near.join(pairs, ["a", "b"], "left_anti"))
     return found if rest.isEmpty() else found.union(_compared(rest, texts, similarity, shingle))
@@ -300,16 +328,11 @@ def dedup_lines(df: DataFrame, similarity: float = SIMILARITY, bands: int = BAND
     path = scratch_path(df.sparkSession, "lines")
     lines_of(df).write.option("compression", "zstd").parquet(path)
     lines = df.sparkSession.read.parquet(path)
-    distinct = lines.where(F.char_length("norm") >= shingle).select("h", "g", "norm").distinct()
-    texts = settle(distinct.withColumn("sid", F.monotonically_increasing_id()))
-    roots = components(links(texts, similarity, bands, rows, shingle))
+    roots = components(links(lines, similarity, bands, rows, shingle))
     place = F.struct(F.col("_id").isNull().alias("none"), "_id", "_th", "line")
-    classes = lines.groupBy("h", "g").agg(F.min(place).alias("place"))
-    numbered = texts.select("h", "g", "sid").join(roots, F.col("sid") == F.col("node"), "left").select(
-        "h", "g", F.coalesce("root", "sid").alias("root"))
-    placed = classes.join(numbered, ["h", "g"], "left").select("root", "place")
-    alike = placed.where("root is not null").groupBy("root").agg(F.min("place").alias("place")).select("place")
-    first = alike.union(placed.where("root is null").select("place")).select("place.*")
+    classes = lines.groupBy("h").agg(F.min(place).alias("place"))
+    placed = classes.join(roots, F.col("h") == F.col("node"), "left").select(F.coalesce("root", "h").alias("root"), "place")
+    first = placed.groupBy("root").agg(F.min("place").alias("place")).select("place.*")
     kept = first.groupBy(F.col("_id").alias("_kid"), F.col("_th").alias("_kth")).agg(F.collect_list("line").alias("_kept"))
 
     @F.pandas_udf("text string, n_lines long, n_removed long")
