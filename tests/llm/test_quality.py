@@ -1,5 +1,7 @@
 """Quality rules against a plain count, word by word."""
 
+import math
+import random
 import re
 from collections import Counter
 
@@ -45,6 +47,42 @@ def test_junk_goes_and_prose_stays(spark, docs):
     assert sum(judged[k] for k in sound) >= 0.9 * len(sound)
 
 
+def test_texts_without_the_words_of_their_language_go(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/../sf0.01/documents.parquet")
+    texts = {lang: [r["text"] for r in docs.where(f"lang = '{lang}' and n_chars between 2000 and 9000").orderBy("doc_id").limit(40).collect()]
+             for lang in ("en", "de")}
+    listed = "|".join(divergence.COMMON_WORDS["en"])
+    rng = random.Random(4)
+    stripped = [re.sub(rf"(?<!\S)({listed})(?!\S)", "", t) for t in texts["en"]]
+    salad = [" ".join("".join(rng.choices("abcdefghilmnoprstu", k=rng.randint(2, 9))) for _ in range(400)) for _ in range(10)]
+    odd = [(10**9 + k, t, "en") for k, t in enumerate([*stripped, *texts["de"], *salad])]
+    given = docs.select("doc_id", "text", "lang").union(spark.createDataFrame(odd, "doc_id long, text string, lang string"))
+    judged = {r["doc_id"]: r["kept"] for r in divergence.quality(given).collect()}
+    assert not any(judged[k] for k, t, _ in odd if len(t.split()) >= 256)
+    prose = {r["doc_id"]: r["text"] for r in docs.where("lang = 'en'").collect() if r["text"]}
+    common = re.compile(rf"(?<!\S)({listed})(?!\S)")
+    usual = [k for k, t in prose.items() if not base(t)[5] and len(common.findall(t)) > 0.12 * len(t.split()) and not re.search("[$%&|]", t)]
+    assert len(usual) > 300 and sum(judged[k] for k in usual) >= 0.99 * len(usual)
+
+
+def test_limits_are_the_quantiles_of_the_language(spark, docs):
+    found = divergence.quality(docs).join(docs.select("doc_id", "lang"), "doc_id").where("word_limit is not null").collect()
+    groups = {}
+    for r in found:
+        if not r["base_failed"]:
+            groups.setdefault((r["lang"], int(math.log2(r["n_words"]))), []).append(r)
+    checked = 0
+    for rows_ in groups.values():
+        if len(rows_) >= divergence.MIN_DOCUMENTS:
+            bins = sorted(math.floor(1000 * r["word_distance"]) for r in rows_)
+            middle, low = bins[(len(bins) + 1) // 2 - 1], bins[-(-len(bins) // 10) - 1]
+            limit = middle + divergence.SPREADS * max(middle - low, divergence.LEAST_STEP) + 1
+            assert all(abs(r["word_limit"] - limit / 1000) < 1e-9 for r in rows_)
+            assert all(r["kept"] <= (r["word_distance"] <= r["word_limit"]) for r in rows_)
+            checked += 1
+    assert checked
+
+
 def test_odd_rows(odd, no_docs):
     found = rows(divergence.quality(odd))
     texts = {r["doc_id"]: r["text"] for r in odd.collect()}

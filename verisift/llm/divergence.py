@@ -5,16 +5,24 @@ its language by the Jensen-Shannon distance.  References are the mean histograms
 documents of a language that pass the base rules, so copies and long texts weigh like any other
 document.
 
+Character classes have a fixed limit.  The distance of the common words depends on the share that
+they have in a language and on the length of the text (few words, much chance), so its limit comes
+from the sound documents of the same language and length class (words, doubling): the median and
+`SPREADS` times the step from the lowest tenth to the median.  These are taken from counts of
+distances in thousandths, which are small, exact at every size and, unlike a mean and
+deviation, aren't widened by the junk that they are to find.
+
 Defined results: a null or empty text has no words and fails the base rules; documents shorter
 than `min_words` are not judged by divergence; a language with fewer than `min_documents`
-judged documents, or no list of common words, is not judged by the missing histogram; a null
-language is a language of its own; repeated rows give repeated results; other columns are
+judged documents, or no list of common words, is not judged by the missing histogram; a length
+class with fewer takes the limit of the longest one below it that has enough (none: not judged); a
+null language is a language of its own; repeated rows give repeated results; other columns are
 ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verisift.llm.common import NOT_WHITE, WHITE, broadcast_if_small, settle, text_of, words_of
@@ -24,7 +32,8 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MIN_DOCUMENTS = 20
 MAX_CLASS_DISTANCE = 0.3
-MAX_WORD_DISTANCE = 0.5
+SPREADS = 4
+LEAST_STEP = 5  # thousandths: texts that hardly differ have no narrower spread than this
 
 # Frequent function words by language
 COMMON_WORDS = {
@@ -134,21 +143,42 @@ def distance(left: Column, right: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
 
 
+def limits(judged: DataFrame, min_documents: int = MIN_DOCUMENTS, spreads: int = SPREADS) -> DataFrame:
+    """One row per language with the limits of its length classes, in thousandths."""
+    counted = judged.where(~F.col("base_failed") & F.col("word_distance").isNotNull()).groupBy(
+        "lang", "length_class", F.floor(1000 * F.col("word_distance")).alias("bin")).agg(F.count("*").alias("n"))
+    of = Window.partitionBy("lang", "length_class")
+    ranked = counted.withColumns({"upto": F.sum("n").over(of.orderBy("bin")), "total": F.sum("n").over(of)})
+    middle = F.min(F.when(2 * F.col("upto") >= F.col("total"), F.col("bin")))
+    low = F.min(F.when(10 * F.col("upto") >= F.col("total"), F.col("bin")))
+    by_length = ranked.groupBy("lang", "length_class").agg(
+        F.max("total").alias("total"), (middle + spreads * F.greatest(middle - low, F.lit(LEAST_STEP)) + 1).alias("limit"))
+    return by_length.where(F.col("total") >= min_documents).groupBy(F.col("lang").alias("of")).agg(
+        F.collect_list(F.struct("length_class", "limit")).alias("limits"))
+
+
 def quality(
     df: DataFrame, min_words: int = MIN_WORDS, min_documents: int = MIN_DOCUMENTS,
-    max_class_distance: float = MAX_CLASS_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE,
+    max_class_distance: float = MAX_CLASS_DISTANCE, spreads: int = SPREADS,
 ) -> DataFrame:
-    """doc_id, the base counts, base_failed, both distances (null where not judged) and kept."""
+    """doc_id, the base counts, base_failed, both distances and the limit of the word distance (null
+    where not judged) and kept."""
     measured = settle(features(df))
     known = broadcast_if_small(settle(references(measured, min_words, min_documents)))
-    judged = measured.join(known, measured["lang"].eqNullSafe(known["of"]), "left")
+    compared = measured.join(known, measured["lang"].eqNullSafe(known["of"]), "left")
     long_enough = F.col("n_words") >= min_words
-    judged = judged.withColumns({
-        "class_distance": F.when(long_enough, distance(_shares(F.col("classes")), F.col("class_reference"))),
-        "word_distance": F.when(
+    judged = settle(compared.select(
+        "doc_id", "lang", *BASE, "base_failed", F.floor(F.log2("n_words")).alias("length_class"),
+        F.when(long_enough, distance(_shares(F.col("classes")), F.col("class_reference"))).alias("class_distance"),
+        F.when(
             long_enough & F.col("commons").isNotNull() & (F.size("word_reference") > 0),
-            distance(_shares(F.col("commons")), F.col("word_reference")))})
-    strange = (F.coalesce(F.col("class_distance"), F.lit(0.0)) > max_class_distance) | (
-        F.coalesce(F.col("word_distance"), F.lit(0.0)) > max_word_distance)
-    return judged.select("doc_id", *BASE, "base_failed", "class_distance", "word_distance",
+            distance(_shares(F.col("commons")), F.col("word_reference"))).alias("word_distance")))
+    allowed = broadcast_if_small(settle(limits(judged, min_documents, spreads)))
+    # the largest struct is that of the longest class
+    nearest = F.array_max(F.filter("limits", lambda x: x["length_class"] <= F.col("length_class")))["limit"]
+    judged = judged.join(allowed, judged["lang"].eqNullSafe(allowed["of"]), "left").withColumn(
+        "word_limit", F.when(F.col("word_distance").isNotNull(), nearest / 1000))
+    strange = (F.coalesce(F.col("class_distance"), F.lit(0.0)) > max_class_distance) | F.coalesce(
+        F.col("word_distance") > F.col("word_limit"), F.lit(False))
+    return judged.select("doc_id", *BASE, "base_failed", "class_distance", "word_distance", "word_limit",
                          (~F.col("base_failed") & ~strange).alias("kept"))

@@ -48,7 +48,16 @@ reference AS (SELECT lang, kind, i, avg(p) AS q FROM long WHERE NOT base_failed
 apart AS (SELECT rid, long.kind AS kind, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END
     + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)) AS far
   FROM long JOIN reference ON long.lang IS NOT DISTINCT FROM reference.lang AND long.kind = reference.kind AND long.i = reference.i GROUP BY rid, long.kind),
-strange AS (SELECT DISTINCT rid FROM apart WHERE (kind = 'class' AND far > {d.MAX_CLASS_DISTANCE}) OR (kind = 'word' AND far > {d.MAX_WORD_DISTANCE}))
+words AS (SELECT m.rid, lang, base_failed, far, floor(log2(n_words)) AS size FROM apart JOIN m USING (rid) WHERE kind = 'word'),
+bins AS (SELECT lang, size, floor(1000 * far) AS bin, count(*) AS n FROM words WHERE NOT base_failed GROUP BY ALL),
+ranked AS (SELECT *, sum(n) OVER (PARTITION BY lang, size ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lang, size) AS total FROM bins),
+middle AS (SELECT lang, size, min(bin) FILTER (WHERE 2 * upto >= total) AS mid, min(bin) FILTER (WHERE 10 * upto >= total) AS low
+  FROM ranked GROUP BY lang, size HAVING max(total) >= {d.MIN_DOCUMENTS}),
+limits AS (SELECT lang, size, mid + {d.SPREADS} * greatest(mid - low, {d.LEAST_STEP}) + 1 AS most FROM middle),
+nearest AS (SELECT rid, far, arg_max(most, limits.size) AS most
+  FROM words JOIN limits ON limits.lang IS NOT DISTINCT FROM words.lang AND limits.size <= words.size GROUP BY rid, far),
+strange AS (SELECT rid FROM apart WHERE kind = 'class' AND far > {d.MAX_CLASS_DISTANCE}
+  UNION SELECT rid FROM nearest WHERE far > most / 1000)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT EXISTS (SELECT 1 FROM strange WHERE strange.rid = m.rid) AS kept FROM m"""
 
