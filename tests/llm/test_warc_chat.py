@@ -11,6 +11,7 @@ from verisift.session import scratch_path
 def test_archive_round_trip(spark, sf_dir):
     page = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     extra = [(90_001, None, None), (90_002, "u", ""), (90_003, "v\r\nWARC-Type: x", "é" * 60), (90_004, "w", "é" * 60),
+             (90_009, "", "x" * 99), (90_010, " a\r", "x"), (90_011, "\n", "x" * 300), (90_012, "é%0A \u2028", "x" * 300),
              (None, "z", "é" * 60), (90_003, "v2", "é" * 60), (90_005, "c", "x" * 99), (90_006, "c", "x" * 99), (90_007, "d", "x" * 100), (90_008, "d", "x" * 100)]
     df = page.union(spark.createDataFrame(extra, page.schema))
     path = scratch_path(spark, "warc")
@@ -19,6 +20,7 @@ def test_archive_round_trip(spark, sf_dir):
     back = warc.read_archive(spark, path).collect()
     assert len(back) == len(rows)
     assert spark.read.parquet(f"{path}/payloads").count() == len({r["html"] or "" for r in rows})
+    assert sorted((r["page_id"] or 0, repr(r["url"])) for r in back) == sorted((r["page_id"] or 0, repr(r["url"])) for r in rows)
     first = {}
     for r in rows:
         if r["page_id"] is not None and len((r["html"] or "").encode()) >= 100:
@@ -30,7 +32,31 @@ def test_archive_round_trip(spark, sf_dir):
     for r in back:
         block = bytes(r["payload"]) if r["record_type"] == "response" else b""
         assert bytes(r["record"]) == bytes(r["header"]) + b"\r\n" + block + b"\r\n\r\n"
-        assert f"Content-Length: {len(block)}\r\n".encode() in bytes(r["header"])
+        fields = bytes(r["header"]).decode().split("\r\n")
+        assert fields[0] == "WARC/1.1" and fields[-1] == "" and all(": " in f and "\n" not in f for f in fields[1:-1])
+        assert {f"Content-Length: {len(block)}", f"WARC-Date: {warc.DATE}"} <= set(fields)
+
+
+def test_copied_page_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr("verisift.llm.common.HOT_ROWS", 50)
+    df = spark.range(3_000).selectExpr("id AS page_id", "concat('u', id) AS url", "repeat('x', if(id % 3 = 0, 500, 100 + id)) AS html",
+                                       "id AS digest", "id AS first", "id AS size", "'a' AS header")
+    path = scratch_path(spark, "warc")
+    warc.write_archive(df, path, date="2024-02-29T12:00:00Z")
+    back = {r["page_id"]: r for r in warc.read_archive(spark, path).collect()}
+    assert len(back) == 3_000 and all(r["url"] == f"u{k}" and b"\r\nWARC-Date: 2024-02-29T12:00:00Z\r\n" in bytes(r["header"]) for k, r in back.items())
+    for k, r in back.items():
+        want = 0 if k % 3 == 0 or k == 400 else k
+        assert (r["record_type"], r["refers_to"]) == (("response", None) if want == k else ("revisit", want))
+
+
+def test_very_long_page(spark):
+    df = spark.createDataFrame([(1, "u" * 10_000, "é\n" * 3_000_000), (2, "v", "é\n" * 3_000_000)], "page_id long, url string, html string")
+    path = scratch_path(spark, "warc")
+    warc.write_archive(df, path)
+    back = {r["page_id"]: r for r in warc.read_archive(spark, path).selectExpr("page_id", "refers_to", "url", "length(record) AS n", "payload_bytes").collect()}
+    assert back[1]["url"] == "u" * 10_000 and back[1]["n"] > back[1]["payload_bytes"] == 9_000_000
+    assert back[2]["refers_to"] == 1 and back[2]["n"] < 1_000
 
 
 def test_damaged_payload_is_noticed(spark):
