@@ -57,6 +57,50 @@ def test_every_id_lies_in_one_piece(docs, tokenizer):
     assert padding < 0.05 * packing.WINDOW * sequences
 
 
+def neighbour_share(spark, df, shard_docs):
+    """Shares of the five best BM25 neighbours that lie in the seed's shard, and of any two rests that do."""
+    blocks = packing.tokenize(df).where("ids is not null").select("ids").collect()
+    rests = [np.frombuffer(bytes(r["ids"]), "<u2") for r in blocks]
+    docs, mean, seen = packing.frequencies(packing.tokenize(df))
+    idf = np.log1p((docs - seen + 0.5) / (seen + 0.5))
+    times, index = packing.waiting_times(), packing.Index(rests, idf, mean)
+    order = np.argsort([packing.place(r, idf, mean, times) for r in rests], kind="stable")
+    shard = np.empty(len(rests), np.int64)
+    shard[order] = np.arange(len(rests)) // shard_docs
+    hits = []
+    for k in range(0, len(rests), max(1, len(rests) // 200)):
+        scores = index.scores(k)
+        scores[k] = -1
+        hits.append(np.mean(shard[np.argsort(-scores, kind="stable")[:5]] == shard[k]))
+    return np.mean(hits), shard_docs / len(rests)
+
+
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_neighbours_meet_more_often_than_by_chance(spark, sf_dir, scale):
+    df = spark.read.parquet(f"{sf_dir}/../{scale}/documents.parquet")
+    found, chance = neighbour_share(spark, df, df.count() // 10)
+    assert found > 2 * chance
+
+
+def test_neighbours_of_a_topic_share_a_shard(spark):
+    rng = random.Random(6)
+    topics = [["".join(rng.choices("abcdefghij", k=9)) for _ in range(12)] for _ in range(200)]
+    usual = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(rng.choices(usual, k=40) + rng.choices(topics[k % 200], k=40))) for k in range(2_000)]
+    rng.shuffle(rows)
+    found, chance = neighbour_share(spark, spark.createDataFrame(rows, "doc_id long, text string"), 100)
+    assert chance == 0.05 and found > 0.5
+
+
+def test_equal_documents_are_spread(spark):
+    df = spark.range(5_000).selectExpr("1L AS doc_id", "'the same words again' AS text")
+    pieces = packing.pack(df, shard_docs=500).collect()
+    shards = {}
+    for r in pieces:
+        shards[r["sequence_id"] >> 40] = shards.get(r["sequence_id"] >> 40, 0) + r["length"]
+    assert sum(shards.values()) == 5_000 * pieces[0]["doc_tokens"] and max(shards.values()) < 0.3 * sum(shards.values())
+
+
 def test_odd_rows(odd, no_docs, tokenizer):
     whole(odd.where("doc_id > 1 or doc_id is null"), tokenizer)
     assert sum(r["length"] for r in packing.pack(odd.where("doc_id = 1")).collect()) == 2 * packing.pack(odd.where("doc_id = 1")).first()["doc_tokens"]

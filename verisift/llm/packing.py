@@ -1,14 +1,19 @@
 """Lexical retrieval packing into token sequences of a fixed window.
 
-Documents are tokenized (plus one end id), whole windows are cut off from the front and the
-rest of each document is packed by retrieval: documents are dealt to shards of bounded size,
-every shard holds a BM25 inverted index of its rests with document frequencies counted over all
-documents, and each seed (longest first) asks the index for unused neighbours, which fill its
-window in rank order.  The neighbour that no longer fits is cut and its remainder stays in the
+Documents are tokenized (plus one end id), whole windows are cut off from the front and become
+sequences as they are, and the rest of each document is packed by retrieval: rests are dealt to shards
+by content, every shard holds a BM25 inverted index of its rests with document frequencies counted
+over all documents, and each seed (longest first) asks the index for unused neighbours, which fill
+its window in rank order.  The neighbour that no longer fits is cut and its remainder stays in the
 index, so that only the last sequence of a shard has padding.
 
-A shard takes about `shard_docs` documents; their number grows with the input, the work and
-memory of a shard do not.  Frequencies are one row per vocabulary entry (50,257 at most).
+A rest's place is given by terms drawn from it by consistent weighted sampling (weight: the term's part
+in a BM25 score), so rests with the same heavy terms are likely to draw the same ones.  Neighbours that
+draw others lie in other shards and are not found.
+Rests are range-partitioned by these terms and cut into shards of about `shard_docs`; equal ones, however
+many, are told apart by their row, so no term fills a shard or task by itself.  The number of shards
+grows with the input, the work and memory of a shard do not.  Frequencies are one row per vocabulary
+entry (50,257 at most).
 
 Defined results: null reads as empty, an empty document is its end id alone; rows repeating a
 doc_id are documents of their own; a null doc_id stays null; other columns are ignored; ties go
@@ -25,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +38,8 @@ from verisift.llm.common import settle, text_of
 
 WINDOW = 1024
 SHARD_DOCS = 1024
+DRAWS = 4  # terms of 16 bits that make up the place of a rest
+WHOLE_SEQUENCES = 1 << 62  # sequences that are whole windows are numbered from here
 END_ID = 0
 K1, B = 1.2, 0.75
 VOCABULARY = 50_257
@@ -144,6 +152,11 @@ def frequencies(blocks: DataFrame) -> tuple[int, float, np.ndarray]:
     return docs, size / max(docs, 1), df
 
 
+def weight(idf: np.ndarray, tf: np.ndarray, size: int, mean: float) -> np.ndarray:
+    """The part of terms in a BM25 score, given their frequencies in a rest of a size."""
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / max(mean, 1.0)))
+
+
 class Index:
     """A BM25 inverted index of one shard."""
 
@@ -155,7 +168,7 @@ class Index:
             self.terms.append(t)
             terms.append(t)
             docs.append(np.full(len(t), k))
-            weights.append(idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / max(mean, 1.0))))
+            weights.append(weight(idf[t], tf, len(ids), mean))
         term = np.concatenate(terms)
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = np.concatenate(docs)[order], np.concatenate(weights)[order]
@@ -200,48 +213,71 @@ def pack_shard(rests: list[np.ndarray], idf: np.ndarray, mean: float, window: in
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _packer(idf: np.ndarray, mean: float, window: int):
-    def pack(shard: int, rows: list[tuple]) -> pa.RecordBatch:
-        whole = [r for r in rows if r[5] is None]
-        rest = [r for r in rows if r[5] is not None]
-        out, sequence = [], shard << 24
-        for doc_id, start, length, check, tokens, _ in whole:
-            out.append((doc_id, start, length, check, tokens, sequence, 0))
-            sequence += 1
-        if rest:
-            ids = [np.frombuffer(r[5], "<u2") for r in rest]
-            for pieces in pack_shard(ids, idf, mean, window):
-                offset = 0
-                for k, start, length in pieces:
-                    doc_id, base, _, _, tokens, _ = rest[k]
-                    out.append((doc_id, base + start, length, crc(ids[k][start:start + length]), tokens, sequence, offset))
-                    offset += length
-                sequence += 1
+def waiting_times() -> np.ndarray:
+    """One exponential waiting time for each draw and term."""
+    return np.random.default_rng(42).exponential(size=(DRAWS, 65_536))
+
+
+def place(ids: np.ndarray, idf: np.ndarray, mean: float, times: np.ndarray) -> int:
+    """The terms that a rest draws, as one number; a term's time is divided by its weight, and the
+    shortest wins."""
+    terms, tf = np.unique(ids, return_counts=True)
+    drawn = terms[np.argmin(times[:, terms] / np.maximum(weight(idf[terms], tf, len(ids), mean), 1e-9), axis=1)]
+    return int.from_bytes(drawn.astype(">u2").tobytes(), "big") - 2**63
+
+
+def _placed(idf: np.ndarray, mean: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times = waiting_times()
+        for b in batches:
+            keys = [place(np.frombuffer(cell.as_buffer(), "<u2"), idf, mean, times) for cell in b.column(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *b.columns], names=["place", *b.schema.names])
+
+    return run
+
+
+def _packer(idf: np.ndarray, mean: float, window: int, shard_docs: int):
+    def pack(rest: list[tuple], sequence: int) -> pa.RecordBatch:
+        ids = [np.frombuffer(r[4], "<u2") for r in rest]
+        out = []
+        for at, pieces in enumerate(pack_shard(ids, idf, mean, window)):
+            offset = 0
+            for k, start, length in pieces:
+                doc_id, base, _, tokens, _ = rest[k]
+                out.append((doc_id, base + start, length, crc(ids[k][start:start + length]), tokens, sequence + at, offset))
+                offset += length
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)],
                                           names=[x.split()[0] for x in PIECES.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, current = [], None
+        held, sequence = [], TaskContext.get().partitionId() << 40
         for b in batches:
-            for shard, *row in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if shard != current and held:
-                    yield pack(current, held)
-                    held = []
-                current = shard
-                held.append(tuple(row))
+            held += zip(*[c.to_pylist() for c in b.columns], strict=True)
+            while len(held) > shard_docs + shard_docs // 2:
+                made = pack(sorted(held[:shard_docs], key=_order), sequence)
+                yield made
+                held, sequence = held[shard_docs:], sequence + made.num_rows
         if held:
-            yield pack(current, held)
+            yield pack(sorted(held, key=_order), sequence)
 
     return run
 
 
+def _order(row: tuple) -> tuple:
+    return row[0] is not None, row[0] or 0, row[1], row[4]
+
+
 def pack(df: DataFrame, window: int = WINDOW, shard_docs: int = SHARD_DOCS, ranks_path: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     blocks = settle(tokenize(df, window, ranks_path))
     docs, mean, df_by_id = frequencies(blocks)
     idf = np.log1p((docs - df_by_id + 0.5) / (df_by_id + 0.5))
-    shards = max(1, -(-docs // shard_docs))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shard = F.pmod(F.xxhash64("doc_id", "start", "ids"), F.lit(shards))
-    dealt = blocks.withColumn("shard", shard).repartition(parts, "shard").sortWithinPartitions("shard", "doc_id", "start", "ids")
-    return dealt.select("shard", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids").mapInArrow(_packer(idf, mean, window), PIECES)
+    whole = blocks.where("ids is null").select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens",
+        (F.monotonically_increasing_id() + WHOLE_SEQUENCES).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rests = blocks.where("ids is not null").select(F.monotonically_increasing_id().alias("row"), "doc_id", "start", "length", "doc_tokens", "ids")
+    placed = settle(rests.mapInArrow(_placed(idf, mean), "place long, row long, doc_id long, start long, length long, doc_tokens long, ids binary"))
+    parts = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(1, -(-docs // shard_docs)))
+    dealt = placed.repartitionByRange(parts, "place", "row").sortWithinPartitions("place", "row")
+    packed = dealt.select("doc_id", "start", "length", "doc_tokens", "ids").mapInArrow(_packer(idf, mean, window, shard_docs), PIECES)
+    return packed.union(whole)
