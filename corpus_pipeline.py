@@ -19,16 +19,22 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 ORACLE_SQL = None
 
+OWN = ("doc_id", "text")  # columns that operators read and give back as they are
+
 
 def _carried(docs: DataFrame) -> DataFrame:
-    """doc_id and text, with the whole row beside them, so that what an operator adds can't take
-    the place of a column of the documents."""
-    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("carried_row"))
+    """doc_id and text, with the other columns in a struct beside them, so that what an operator adds
+    can't take the place of a column of the documents."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in OWN]
+    return docs.select(*OWN, F.struct(*others or [F.lit(None).cast("boolean").alias("none")]).alias("carried_row"))
 
 
 def _unpacked(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
     """The documents' columns again, in their order; some with a new value."""
-    return rows.select(*[(changed[c] if c in changed else F.col(f"carried_row.`{c}`")).alias(c) for c in columns])
+    def kept(c: str) -> Column:
+        return changed[c] if c in changed else F.col(c if c in OWN else f"carried_row.`{c}`")
+
+    return rows.select(*[kept(c).alias(c) for c in columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
-from verisift.llm import lines
+from verisift.llm import bbit, components, lines
 
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -106,3 +106,40 @@ def test_odd_rows(odd, no_docs):
     assert rows[1, "x"]["n_removed"] == 0 and rows[None, "y"]["text"] == ""
     assert rows[4, "x"]["n_lines"] == 0 and rows[4, "x"]["h"] == 3
     assert lines.dedup_lines(no_docs).count() == 0
+
+
+def test_long_signatures_estimate_the_similarity():
+    rng = np.random.default_rng(5)
+    for common, own in ((90, 5), (80, 10), (40, 30), (400, 50)):
+        every = rng.integers(0, 2**64, common + 2 * own, np.uint64)
+        left, right = bbit.long_signature(every[:common + own]), bbit.long_signature(np.r_[every[:common], every[common + own:]])
+        apart = sum(int(x).bit_count() for x in (left ^ right).view(np.uint64))
+        share = 1 - apart / bbit.LONG_MINIMA
+        assert len(left) == bbit.LONG_MINIMA // 64
+        assert abs(2 * share - 1 - common / (common + 2 * own)) < bbit.LONG_MARGIN
+
+
+def test_white_space_of_all_kinds_and_lengths(spark):
+    texts = ["a  b\t c", "a b c", " a\x0b\x0cb\rc \n", "\ta b  \t  c\n\n\x0c", "a\n b c", "", "  ", "a\tb c\x0b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = sorted((r["_id"], r["line"], r["norm"]) for r in lines.lines_of(df).collect())
+    assert found == [(d, k, norm(x)) for d, t in enumerate(texts) for k, x in enumerate(t.split("\n")) if norm(x)]
+
+
+def test_documents_are_joined_with_one_copy_of_the_text(docs):
+    plan = lines.dedup_lines(docs.select("doc_id", "text"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS _text#" not in plan and "AS row#" in plan
+
+
+def test_finished_components_take_no_round(spark, monkeypatch):
+    edges = spark.createDataFrame([(k, k % 3) for k in range(3, 60)], "a long, b long").repartition(4)
+    want = {(k, k % 3) for k in range(3, 60)}
+
+    def never(_):
+        raise AssertionError("a round over stars")
+
+    monkeypatch.setattr(components, "_large_star", never)
+    assert {tuple(r) for r in components.components(edges).collect()} == want
+    monkeypatch.undo()
+    chain = spark.createDataFrame([(k, k + 1) for k in range(50)] + [(9, 9)], "a long, b long").repartition(7)
+    assert {tuple(r) for r in components.components(chain).collect()} == {(k, 0) for k in range(1, 51)}

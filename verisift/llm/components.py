@@ -68,15 +68,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(own).where("u <> v").distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge at most, to a node without edges to smaller ones.
+
+    Edges have u > v and are distinct.  Two edges of a node or a chain of them give a node that counts twice."""
+    ends = edges.groupBy("u").agg(F.count("*").alias("n")).union(
+        edges.select("v").distinct().select("v", F.lit(1).cast("long")))
+    return ends.groupBy("u").agg(F.sum("n").alias("n")).where("n > 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (two long columns) that isn't its component's
     smallest node.  Self-loops and repeated edges are allowed; no edges give no rows."""
     pairs = edges.toDF("u", "v").where("u <> v")
     current = settle(pairs.mapInArrow(_shrink, "u long, v long").distinct())
-    before = None
-    while True:
-        mark = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark[0] == 0 or mark == before:
-            return current.toDF("node", "root")
-        before = mark
+    while not _stars(current):
         current = settle(_small_star(_large_star(current)))
+    return current.toDF("node", "root")

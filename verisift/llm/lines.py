@@ -42,7 +42,8 @@ SIMILARITY = 0.8
 SMALL_BUCKET = 16
 PIVOTS = 3
 BROADCAST_LINES = 1_000_000  # line hashes (8 bytes each) that a semi-join may broadcast
-WHITE_BUT_BREAKS = r"[\x20\x09\x0B-\x0D]+"
+# white space within a line that isn't a single blank already
+RUNS_WITHIN_LINES = r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]"
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -220,7 +221,7 @@ def _signed(bands: int, rows: int, shingle: int):
             texts = b.column(1).to_pylist()
             hashed, owner = shingle_hashes(texts, shingle)
             sets = [np.unique(h) for h in np.split(hashed, np.flatnonzero(np.diff(owner)) + 1)] if texts else []
-            sigs = pa.array([bbit.packed(bbit.minima(h, bbit.LONG_MINIMA), bbit.LONG_BITS) for h in sets], pa.list_(pa.int64()))
+            sigs = pa.array([bbit.long_signature(h) for h in sets], pa.list_(pa.int64()))
             keys = band_keys(signatures(texts, bands * rows, shingle), bands, rows).view(np.int64) if texts else []
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(h) for h in sets], pa.int64()), sigs, pa.array(list(keys), pa.list_(pa.int64()))],
@@ -279,7 +280,7 @@ def lines_of(df: DataFrame) -> DataFrame:
     """_id, _th, line (number), norm (normalised text) and h (its hash) of all lines with a word.
 
     White space is collapsed and letters are folded once per text, before it is split."""
-    folded = F.lower(F.regexp_replace(text_of(), WHITE_BUT_BREAKS, " "))
+    folded = F.lower(F.regexp_replace(text_of(), RUNS_WITHIN_LINES, " "))
     split = df.select(F.col("doc_id").alias("_id"), F.xxhash64(text_of()).alias("_th"), F.posexplode(F.split(folded, "\n")).alias("line", "raw"))
     return split.select("_id", "_th", "line", F.trim("raw").alias("norm")).where("norm <> ''").withColumn("h", F.xxhash64("norm"))
 
@@ -301,7 +302,7 @@ def _texts(lines: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def links(lines: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
-    """Verified links (a, b) between hashes of distinct lines."""
+    """Links (a, b) between hashes of distinct lines that give the components of all verified ones."""
     long_enough = lines.where(F.char_length("norm") >= shingle).select("h", "norm")
     parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     banded = long_enough.mapInArrow(_banded(bands, rows, shingle), "key long, h long")
@@ -312,6 +313,7 @@ def links(lines: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     large = met.where("large").select(F.col("a").alias("key"), F.col("b").alias("sid"))
     if large.isEmpty():
         return found
+    found = components(found)
     open_ = bbit._open_rows(large, found)
     if open_.isEmpty():
         return found
@@ -346,9 +348,9 @@ def dedup_lines(df: DataFrame, similarity: float = SIMILARITY, bands: int = BAND
             out.append(("\n".join(left), sum(worded), len(parts) - len(left)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_removed"])
 
-    documents = wrapped(df, _id=F.col("doc_id"), _th=F.xxhash64(text_of()), _text=F.col("text"))
+    documents = wrapped(df, _id=F.col("doc_id"), _th=F.xxhash64(text_of()))
     same = documents["_id"].eqNullSafe(kept["_kid"]) & (documents["_th"] == kept["_kth"])
-    done = documents.join(kept, same, "left").withColumn("_new", rebuilt(text_of("_text"), F.col("_kept")))
+    done = documents.join(kept, same, "left").withColumn("_new", rebuilt(text_of("row.text"), F.col("_kept")))
     return done.select(*unwrapped(
-        df.columns, text=F.when(F.col("_text").isNotNull(), F.col("_new.text")),
+        df.columns, text=F.when(F.col("row.text").isNotNull(), F.col("_new.text")),
         n_lines=F.col("_new.n_lines"), n_removed=F.col("_new.n_removed")))
