@@ -78,3 +78,29 @@ def test_wide_table_is_profiled_in_chunks(spark):
     assert len(rows) == 130 and all(r["distinct_count"] == 3 and r["row_count"] == 3 for r in rows.values())
     assert rows["c129"]["max_value"] == "131"
     assert column_stats(df).count() == 130
+
+
+def test_discrete_quantiles_of_sorted_parts(spark):
+    from pyspark.sql import functions as F
+    from verisift.operators.skew import discrete_quantile
+    rows = [(f"g{k % 3}", None if k % 11 == 0 else float(k * 37 % 501 - 250), k % 7 + 1) for k in range(900)]
+    rows += [("few", 1.0, 1), ("few", 2.0, 1), ("hot", 5.0, 10**6), ("hot", 4.0, 1), ("none", None, 4), (None, 3.0, 2)]
+    df = spark.createDataFrame(rows, "of string, v double, n long")
+    counts = df.groupBy("of", "v").agg(F.sum("n").alias("__n"))
+    for q in (0.0, 0.1, 0.5, 0.99, 1.0):
+        want = {}
+        for name in {r[0] for r in rows}:
+            values = sorted((v, n) for of, v, n in rows if of == name and v is not None)
+            total, upto = sum(n for _, n in values), 0
+            for v, n in values:
+                upto += n
+                if upto >= max(1, q * total):
+                    want[name] = v
+                    break
+        assert {r["of"]: r["quantile"] for r in discrete_quantile(counts, "of", "v", q).collect()} == want
+
+
+def test_no_task_holds_all_values(spark, sf_dir):
+    from verisift.queries import catalog
+    states = catalog.QUERIES["metric_states"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in states

@@ -83,6 +83,26 @@ def slice_of(order: Column) -> Column:
     return F.shiftright(order, 63 - SLICE_BITS).cast("int")
 
 
+def discrete_quantile(counts: DataFrame, group: str, value: str, q: float) -> DataFrame:
+    """``group, quantile``: the first value at which a share of ``q`` of a group's rows is reached.
+
+    ``counts`` has a row per group and value with its number of rows ``__n``.  The values are sorted
+    over many tasks; sums per task tell which of them holds the quantile, and only its rows are
+    added up one by one."""
+    rows = settle(counts.filter(quoted(value).isNotNull()).orderBy(quoted(group), quoted(value)).withColumn(
+        "__row", F.monotonically_increasing_id()))
+    task = F.shiftright("__row", 33)
+    sums = rows.groupBy(quoted(group).alias("__group"), task.alias("__task")).agg(F.sum("__n").alias("__sum"))  # rows: tasks and groups
+    reached = F.sum("__sum").over(W.partitionBy("__group").orderBy("__task"))
+    wanted = F.greatest(F.lit(1), F.ceil(F.sum("__sum").over(W.partitionBy("__group")) * F.lit(float(q))))
+    placed = sums.select("__group", "__task", "__sum", reached.alias("__reached"), wanted.alias("__wanted"))
+    held = placed.filter((F.col("__reached") >= F.col("__wanted")) & (F.col("__reached") - F.col("__sum") < F.col("__wanted"))).select(
+        "__group", "__task", (F.col("__wanted") - F.col("__reached") + F.col("__sum")).alias("__left"))
+    near = rows.join(held, quoted(group).eqNullSafe(F.col("__group")) & (task == F.col("__task")))
+    upto = F.sum("__n").over(W.partitionBy(quoted(group)).orderBy(quoted(value)))
+    return near.withColumn("__upto", upto).filter("__upto >= __left").groupBy(quoted(group)).agg(F.min(quoted(value)).alias("quantile"))
+
+
 def sample_bounds(rows: DataFrame, group: str, slice_name: str, n: int) -> DataFrame:
     """``group, __bound``: the slice up to which a group's first ``n`` rows in hash order
     are certain to lie.

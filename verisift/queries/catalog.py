@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from verisift.functions.rules import Rule
 from verisift.operators import states
 from verisift.operators.rejects import rejects
+from verisift.operators.skew import discrete_quantile
 from verisift.operators.verification import ConstraintRule, verify
 from verisift.plans import transform
 from verisift.plans.batch import profile_rows
 from verisift.plans.ingest import ingest
 from verisift.plans.validation import get_report, quick_check, run_rules, store_report
-from verisift.session import scratch_path
+from verisift.session import scratch_path, settle
 from verisift.sources import files, manifest, sinks
 from verisift.sources.tables import list_tables, source_frame
 
@@ -210,8 +211,10 @@ def metric_states(spark, sf_dir):
         states.column_states(fresh, F.col("l_returnflag")).write.mode("append").parquet(path)
     found = states.state_metrics(spark.read.parquet(path).filter(F.col("column_name").isin(columns)), db_name="db", table_name="lineitem",
                                  as_of=AS_OF, quantiles=(0.5,))
-    exact = whole.unpivot([], [F.col(c).cast("double").alias(c) for c in columns], "of", "v").groupBy("of").agg(
-        F.count_distinct("v").alias("distinct"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY v)").alias("middle"))
+    counts = settle(whole.unpivot([], [F.col(c).cast("double").alias(c) for c in columns], "of", "v").groupBy("of", "v").agg(
+        F.count(F.lit(1)).alias("__n")))
+    middle = discrete_quantile(counts, "of", "v", 0.5).select(F.col("of").alias("of_middle"), F.col("quantile").alias("middle"))
+    exact = counts.groupBy("of").agg(F.count("v").alias("distinct")).join(middle, F.col("of") == F.col("of_middle"), "left")
     value = F.when(F.col("metric") == "ApproxCountDistinct", _within(F.col("value"), F.col("distinct"), 0.03)).when(
         F.col("metric") == "ApproxQuantile(0.5)", _within(F.col("value"), F.col("middle"), 0.03)).otherwise(F.col("value"))
     return found.join(exact, F.col("column_name") == F.col("of")).select("column_name", "metric", F.round(value, 4).alias("value"))
