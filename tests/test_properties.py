@@ -104,3 +104,10 @@ def test_no_task_holds_all_values(spark, sf_dir):
     from verisift.queries import catalog
     states = catalog.QUERIES["metric_states"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile" not in states
+
+
+def test_readers_sum_up_no_records(spark, sf_dir):
+    from verisift.queries import rules
+    for name in ("rejects_default", "rejects_without_keys"):
+        plan = rules.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression" in plan and "distinct" not in plan.lower()

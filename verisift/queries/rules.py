@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -387,12 +389,28 @@ def _shown(found: DataFrame) -> DataFrame:
     return found.withColumn("anomaly_id", F.substring_index("anomaly_id", "-", 1))
 
 
+RECORDS_TOGETHER = 200_000  # records that one task counts, about
+
+
+def _counted(found: DataFrame, group: list[str], **distinct: str) -> DataFrame:
+    """Records and exact numbers of distinct values per group.
+
+    Nearly all values differ, so summing them up before the shuffle would only fill the memory of
+    the tasks that read; they are dealt to as many tasks as their number needs."""
+    parts = -(-found.count() // RECORDS_TOGETHER) or 1
+    counted = []
+    for name, column in distinct.items():
+        once = found.select(*group, column).repartition(parts, *group, column).groupBy(*group, column).agg(F.count(F.lit(1)).alias("n"))
+        numbers = [F.count(column) if other == name else F.max(F.lit(None).cast("long")) for other in distinct]
+        counted.append(once.groupBy(*group).agg(F.sum("n").alias("records"), *[n.alias(other) for n, other in zip(numbers, distinct, strict=True)]))
+    return reduce(DataFrame.union, counted).groupBy(*group).agg(F.max("records").alias("records"), *[F.max(n).alias(n) for n in distinct])
+
+
 @_query("rejects_default", REJECTS_SQL + """
 SELECT rule_id, severity, count(*) AS records, count(*) AS ids, count(DISTINCT row_key) AS row_keys FROM ranked GROUP BY 1, 2""")
 def rejects_default(spark, sf_dir):
-    return customer_rejects(spark, sf_dir).groupBy("rule_id", "severity").agg(
-        F.count(F.lit(1)).alias("records"), F.count_distinct("anomaly_id").alias("ids"),
-        F.count_distinct("row_key").alias("row_keys"))
+    found = customer_rejects(spark, sf_dir)
+    return _counted(found, ["rule_id", "severity"], ids="anomaly_id", row_keys="row_key")
 
 
 @_query("rejects_by_rule", REJECTS_SQL + f"\nSELECT {REJECT_SQL_COLUMNS} FROM ranked")
@@ -422,7 +440,7 @@ WITH f AS (SELECT 'L01' AS rule_id FROM lineitem WHERE l_quantity < 5
 SELECT rule_id, count(*) AS records, count(*) AS ids FROM f GROUP BY rule_id""")
 def rejects_without_keys(spark, sf_dir):
     found = rejects(table(spark, sf_dir, "lineitem"), [r for r, _ in LINEITEM_RULES], dataset_id="lineitem", run_id=RUN_ID, as_of=AS_OF)
-    return found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("records"), F.count_distinct("anomaly_id").alias("ids"))
+    return _counted(found, ["rule_id"], ids="anomaly_id")
 
 
 @_query("audit_for_run", REJECTS_SQL + f"""
