@@ -87,3 +87,9 @@ def test_against_containment(tables):
 def test_no_python_in_the_plan(tables):
     plan = dec.decontaminate(*tables)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas|CartesianProduct|NestedLoop", plan)
+
+
+def test_texts_are_rewritten_once(docs):
+    for columns in (["canon"], ["canon", "raw"]):
+        plan = dec._tokens(docs, "doc_id").select(*columns)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("<unit>") == plan.count("<name>") == 1

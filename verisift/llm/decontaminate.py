@@ -93,9 +93,11 @@ def _windows(size: int) -> Column:
 
 
 def _tokens(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns, canon (template tokens) and raw (tokens as they stand)."""
-    return df.select(*names, spaced(text_of()).alias("spaced")).select(
-        *names, split_tokens(canonical(F.col("spaced"))).alias("canon"), split_tokens(F.col("spaced")).alias("raw"))
+    """The named columns, canon (template tokens) and raw (tokens as they stand).
+
+    Each text is a column of its own before it is split, as splitting names it twice and would rewrite it twice."""
+    texts = df.select(*names, spaced(text_of()).alias("spaced")).select(*names, "spaced", canonical(F.col("spaced")).alias("template"))
+    return texts.select(*names, split_tokens(F.col("template")).alias("canon"), split_tokens(F.col("spaced")).alias("raw"))
 
 
 def item_tokens(benchmark: DataFrame) -> DataFrame:
