@@ -121,3 +121,12 @@ def test_index_scores_and_neighbours():
     # the seed's likeliest neighbour comes first
     rests = [np.array([1, 2, 3, 4, 5], np.uint16), np.array([9, 8, 7], np.uint16), np.array([1, 2, 3], np.uint16), np.array([7, 7, 7], np.uint16)]
     assert packing.pack_shard(rests, np.ones(65_536), 3.5, 8)[0] == [(0, 0, 5), (2, 0, 3)]
+
+
+def test_a_text_is_encoded_at_once():
+    encode, texts = packing.Encoder(), ["one two  three", "a<|endoftext|>b c", "", " x" * 5_000]
+    calls, plain = [], encode.plain
+    encode.plain = lambda text: calls.append(text) or plain(text)
+    for text in texts:
+        encode.ids(text)
+    assert calls == [part for text in texts for part in text.split("<|endoftext|>")]

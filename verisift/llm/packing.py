@@ -23,7 +23,6 @@ by doc_id, then start, then ids; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -45,15 +44,9 @@ K1, B = 1.2, 0.75
 VOCABULARY = 50_257
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50_256
 
-_DOUBLE = re.compile(r"\s\s")
-_SINGLE = re.compile(r"(?<=\S) (?=\S)")
-
 
 class Encoder:
-    """Ids of the byte-level vocabulary as little-endian 16-bit bytes.
-
-    A blank between two other characters always begins a new piece of the pattern, so a text
-    can be encoded stretch by stretch and frequent stretches come from a cache."""
+    """Ids of the byte-level vocabulary as little-endian 16-bit bytes, of whole texts at once."""
 
     def __init__(self, ranks_path: str | None = None):
         import public_tokenizers
@@ -63,29 +56,9 @@ class Encoder:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.plain = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.cache: dict[str, bytes] = {}
-
-    def piece(self, text: str) -> bytes:
-        known = self.cache.get(text)
-        if known is None:
-            if len(text) > 2 and text[-1] in ",.;:!?" and text[1:-1].isalpha() and (text[0] == " " or text[0].isalpha()):
-                known = self.piece(text[:-1]) + self.piece(text[-1])
-            else:
-                known = array("H", self.plain(text)).tobytes()
-            if len(text) <= 64:
-                if len(self.cache) > 300_000:
-                    self.cache.clear()
-                self.cache[text] = known
-        return known
 
     def segment(self, text: str) -> bytes:
-        parts = _SINGLE.split(text) if _DOUBLE.search(text) else text.split(" ")
-        get, piece = self.cache.get, self.piece
-        out = [piece(parts[0])]
-        for p in parts[1:]:
-            p = " " + p
-            out.append(get(p) or piece(p))
-        return b"".join(out)
+        return array("H", self.plain(text)).tobytes()
 
     def ids(self, text: str) -> bytes:
         if SPECIAL not in text:
