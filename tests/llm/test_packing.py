@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import tiktoken
 from tokenizers import Tokenizer
 from verisift.llm import packing
 
@@ -130,3 +131,28 @@ def test_a_text_is_encoded_at_once():
     for text in texts:
         encode.ids(text)
     assert calls == [part for text in texts for part in text.split("<|endoftext|>")]
+
+
+def test_words_are_told_without_looking_ahead():
+    encoder = packing.Encoder()
+    assert packing.pieces("one two\nthree") == ["one two\nthree"] and packing.pieces("a \n\n b\t\tc  ") == ["a \n\n", " b\t", "\tc  "]
+    assert packing.pieces("é　 x") == ["é　", " x"]
+    slow = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=encoder.words.__self__._mergeable_ranks, special_tokens={})
+    rng = random.Random(8)
+    for _ in range(5_000):
+        text = "".join(rng.choices([*PARTS, "\r\n", "\x0b", "\x0c", "\x1f", "\x85", "\xa0", " ", " ", " ", " ", " "], k=rng.randint(0, 9)))
+        assert encoder.plain(text) == slow.encode_ordinary(text)
+
+
+def test_terms_are_counted_and_drawn_for_many_rests_at_once():
+    rng, times = np.random.default_rng(3), packing.waiting_times()
+    rests = [rng.integers(0, 300, rng.integers(1, 80)).astype(np.uint16) for _ in range(50)]
+    idf = rng.random(65_536)
+    term, owner, tf, sizes = packing.counted(rests)
+    assert sizes.tolist() == [len(r) for r in rests]
+    assert list(zip(owner, term, tf, strict=True)) == [(k, t, n) for k, r in enumerate(rests) for t, n in zip(*np.unique(r, return_counts=True), strict=True)]
+    for rest, found in zip(rests, packing.places(rests, idf, 40.0, times), strict=True):
+        t, n = np.unique(rest, return_counts=True)
+        drawn = t[np.argmin(times[:, t] / packing.weight(idf[t], n, len(rest), 40.0), axis=1)]
+        assert int(found) + 2**63 == int.from_bytes(drawn.astype(">u2").tobytes(), "big")
+    assert [len(x) for x in packing.counted([])] == [0, 0, 0, 0]

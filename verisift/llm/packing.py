@@ -23,6 +23,7 @@ by doc_id, then start, then ids; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -45,6 +46,23 @@ VOCABULARY = 50_257
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50_256
 
 
+# White space as the vocabulary's pattern knows it, and where the last of several before a word begins
+BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+TWO_BLANKS = re.compile(f"[{BLANK}][{BLANK}]")
+LAST_BLANK = re.compile(f"(?<=[{BLANK}])(?=[{BLANK}][^{BLANK}])")
+AHEAD = r"\s+(?!\S)|"
+AS_BLANKS = bytes.maketrans(b"\t\n\x0b\x0c\r", b" " * 5)
+
+
+def pieces(text: str) -> list[str]:
+    """A text cut before the last of several blanks in front of a word.
+
+    In pieces the pattern's only look-ahead (`AHEAD`) never matters, so the pattern without it, which is
+    matched much faster, tells the same words."""
+    doubled = b"  " in text.encode().translate(AS_BLANKS) if text.isascii() else TWO_BLANKS.search(text)
+    return LAST_BLANK.split(text) if doubled else [text]
+
+
 class Encoder:
     """Ids of the byte-level vocabulary as little-endian 16-bit bytes, of whole texts at once."""
 
@@ -55,7 +73,14 @@ class Encoder:
         path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.plain = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        pattern = public_tokenizers.PATTERN.replace(AHEAD, "")
+        if "(?" in pattern:
+            raise ValueError(f"the vocabulary's pattern has other look-arounds than {AHEAD}")
+        self.words = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def plain(self, text: str) -> list[int]:
+        found = [self.words(piece) for piece in pieces(text)]
+        return found[0] if len(found) == 1 else [x for ids in found for x in ids]
 
     def segment(self, text: str) -> bytes:
         return array("H", self.plain(text)).tobytes()
@@ -103,21 +128,31 @@ def tokenize(df: DataFrame, window: int = WINDOW, ranks_path: str | None = None)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, BLOCKS)
 
 
+def counted(rests: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(id, number of the rest, frequency there) for all distinct ids of rests in their order, and the rests' sizes."""
+    sizes = np.array([len(r) for r in rests], np.int64)
+    key = np.repeat(np.arange(len(rests)) << 16, sizes)
+    key |= np.concatenate([*rests, np.empty(0, np.uint16)])
+    key.sort()
+    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][:len(key)])
+    tf = np.diff(np.r_[at, len(key)])
+    return key[at] & 0xFFFF, key[at] >> 16, tf, sizes
+
+
 def frequencies(blocks: DataFrame) -> tuple[int, float, np.ndarray]:
     """(rests, their mean length, document frequency by id) over all rests."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, docs, size = np.zeros(65_536, np.int64), 0, 0
         for b in batches:
-            for cell in b.column(0):
-                ids = np.unique(np.frombuffer(cell.as_py(), "<u2"))
-                seen[ids] += 1
-                docs += 1
-                size += len(cell.as_py()) // 2
+            terms, _, _, sizes = counted(_ids(b.column(0)))
+            seen += np.bincount(terms, minlength=65_536)
+            docs += b.num_rows
+            size += int(sizes.sum())
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1, -2]), pa.array(np.r_[seen[at], docs, size])], names=["id", "n"])
 
-    counted = blocks.where("ids is not null").select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    found = {r["id"]: r["n"] for r in counted.collect()}
+    sums = blocks.where("ids is not null").select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    found = {r["id"]: r["n"] for r in sums.collect()}
     docs, size = found.pop(-1, 0), found.pop(-2, 0)
     df = np.zeros(65_536, np.int64)
     for k, n in found.items():
@@ -125,7 +160,11 @@ def frequencies(blocks: DataFrame) -> tuple[int, float, np.ndarray]:
     return docs, size / max(docs, 1), df
 
 
-def weight(idf: np.ndarray, tf: np.ndarray, size: int, mean: float) -> np.ndarray:
+def _ids(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(cell.as_buffer(), "<u2") for cell in column]
+
+
+def weight(idf: np.ndarray, tf: np.ndarray, size: int | np.ndarray, mean: float) -> np.ndarray:
     """The part of terms in a BM25 score, given their frequencies in a rest of a size."""
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / max(mean, 1.0)))
 
@@ -134,22 +173,16 @@ class Index:
     """A BM25 inverted index of one shard."""
 
     def __init__(self, rests: list[np.ndarray], idf: np.ndarray, mean: float):
-        terms, docs, weights = [], [], []
-        self.terms = []
-        for k, ids in enumerate(rests):
-            t, tf = np.unique(ids, return_counts=True)
-            self.terms.append(t)
-            terms.append(t)
-            docs.append(np.full(len(t), k))
-            weights.append(weight(idf[t], tf, len(ids), mean))
-        term = np.concatenate(terms)
-        order = np.argsort(term, kind="stable")
-        self.doc, self.weight = np.concatenate(docs)[order], np.concatenate(weights)[order]
-        self.bounds = np.searchsorted(term[order], np.arange(65_537))
+        term, doc, tf, sizes = counted(rests)
+        weights = weight(idf[term], tf, sizes[doc], mean)
+        self.terms = np.split(term, np.searchsorted(doc, np.arange(1, len(rests))))
+        order = np.argsort(term.astype(np.uint16), kind="stable")
+        self.doc, self.weight = doc[order], weights[order]
+        self.bounds = np.r_[0, np.bincount(term, minlength=65_536).cumsum()]
         self.size = len(rests)
 
     def scores(self, k: int) -> np.ndarray:
-        t = self.terms[k].astype(np.int64)
+        t = self.terms[k]
         lo, hi = self.bounds[t], self.bounds[t + 1]
         n = hi - lo
         at = np.arange(n.sum()) + np.repeat(lo - (n.cumsum() - n), n)
@@ -169,16 +202,14 @@ def pack_shard(rests: list[np.ndarray], idf: np.ndarray, mean: float, window: in
             begin[seed] += take
             left[seed] -= take
             if room:
-                unused = np.flatnonzero(left)
-                ranked = unused[np.argsort(-index.scores(seed)[unused], kind="stable")]
-                for k in ranked:
+                scores = np.where(left > 0, index.scores(seed), -1.0)
+                while room and scores[k := int(np.argmax(scores))] >= 0:  # few are needed; of equal ones the first
                     take = int(min(left[k], room))
-                    pieces.append((int(k), int(begin[k]), take))
+                    pieces.append((k, int(begin[k]), take))
                     begin[k] += take
                     left[k] -= take
                     room -= take
-                    if not room:
-                        break
+                    scores[k] = -1.0
             sequences.append(pieces)
     return sequences
 
@@ -191,19 +222,30 @@ def waiting_times() -> np.ndarray:
     return np.random.default_rng(42).exponential(size=(DRAWS, 65_536))
 
 
+def places(rests: list[np.ndarray], idf: np.ndarray, mean: float, times: np.ndarray) -> np.ndarray:
+    """The terms that each rest draws, as one number; a term's time is divided by its weight, and the
+    shortest wins (of equal ones the first)."""
+    terms, owner, tf, sizes = counted(rests)
+    weights = np.maximum(weight(idf[terms], tf, sizes[owner], mean), 1e-9)
+    starts = np.searchsorted(owner, np.arange(len(rests)))
+    out = np.zeros(len(rests), np.uint64)
+    for draw in times:
+        waits = draw[terms] / weights
+        first = np.flatnonzero(waits == np.minimum.reduceat(waits, starts)[owner])
+        drawn = terms[first[np.searchsorted(owner[first], np.arange(len(rests)))]]
+        out = (out << np.uint64(16)) | drawn.astype(np.uint64)
+    return (out ^ np.uint64(1 << 63)).view(np.int64)
+
+
 def place(ids: np.ndarray, idf: np.ndarray, mean: float, times: np.ndarray) -> int:
-    """The terms that a rest draws, as one number; a term's time is divided by its weight, and the
-    shortest wins."""
-    terms, tf = np.unique(ids, return_counts=True)
-    drawn = terms[np.argmin(times[:, terms] / np.maximum(weight(idf[terms], tf, len(ids), mean), 1e-9), axis=1)]
-    return int.from_bytes(drawn.astype(">u2").tobytes(), "big") - 2**63
+    return int(places([ids], idf, mean, times)[0])
 
 
 def _placed(idf: np.ndarray, mean: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times = waiting_times()
         for b in batches:
-            keys = [place(np.frombuffer(cell.as_buffer(), "<u2"), idf, mean, times) for cell in b.column(b.num_columns - 1)]
+            keys = places(_ids(b.column(b.num_columns - 1)), idf, mean, times) if b.num_rows else []
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *b.columns], names=["place", *b.schema.names])
 
     return run
