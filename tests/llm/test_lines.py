@@ -143,3 +143,24 @@ def test_finished_components_take_no_round(spark, monkeypatch):
     monkeypatch.undo()
     chain = spark.createDataFrame([(k, k + 1) for k in range(50)] + [(9, 9)], "a long, b long").repartition(7)
     assert {tuple(r) for r in components.components(chain).collect()} == {(k, 0) for k in range(1, 51)}
+
+
+def test_rows_of_buckets_of_one_line_are_dropped_and_others_ordered():
+    rng = np.random.default_rng(6)
+    key = np.sort(rng.integers(0, 400, 1_000))
+    h = rng.integers(0, 3, 1_000) + key % 2
+    want = sorted({(k, k ^ x, x) for k, x in zip(key.tolist(), h.tolist(), strict=True) if (key == k).sum() > 1})
+    for step in (1, 90, 1_000):
+        batches = [lines.pa.RecordBatch.from_pydict({"key": key[k:k + step], "h": h[k:k + step]}) for k in range(0, len(key), step)]
+        found = [r for x in lines._ordered(iter(batches)) for r in zip(*(c.to_pylist() for c in x.columns), strict=True)]
+        assert found == [(k, x) for k, _, x in want]
+    long = [lines.pa.RecordBatch.from_pydict({"key": np.zeros(300_000, np.int64), "h": np.arange(k, k + 300_000) % 7}) for k in range(8)]
+    found = {r for x in lines._ordered(iter(long)) for r in zip(*(c.to_pylist() for c in x.columns), strict=True)}
+    assert found == {(0, x) for x in range(7)}
+
+
+def test_pairs_of_open_buckets(spark):
+    rows = [(1, s, s % 3, 2, s % 3 == 0) for s in range(9)] + [(2, s, s // 4, 1, s < 4) for s in range(3, 6)]
+    df = spark.createDataFrame(rows, "key long, sid long, label long, salts long, in_top boolean")
+    found = {tuple(r) for r in lines._met_in(df).collect()}
+    assert found == {(min(x[1], y[1]), max(x[1], y[1])) for x in rows for y in rows if x[0] == y[0] and x[2] != y[2]}

@@ -285,13 +285,14 @@ def _labelled(df: DataFrame, links: DataFrame, columns: dict[str, str]) -> DataF
 
 
 def _open_rows(members: DataFrame, links: DataFrame) -> DataFrame:
-    """key, size, sid, label and salts of the members of buckets with several components, and whether
-    the label is that of most; stored."""
+    """key, size, others (members with another label than most), sid, label and salts of the members of
+    buckets with several components, and whether the label is that of most; stored."""
     now = settle(_labelled(members.select("key", "sid"), links, {"sid": "label"}))
     sizes = now.groupBy("key", "label").agg(F.count("*").alias("met"))
     several = settle(sizes.groupBy("key").agg(
         F.max(F.struct("met", "label")).alias("most"), F.count("*").alias("labels"), F.sum("met").alias("size")).where("labels > 1"))
-    known = several.select("key", "size", F.col("most.label").alias("top"), F.ceil(F.col("size") / 200).alias("salts"))
+    known = several.select("key", "size", (F.col("size") - F.col("most.met")).alias("others"), F.col("most.label").alias("top"),
+                           F.ceil(F.col("size") / 200).alias("salts"))
     rows = join_hot(now, ["key"], known, ["sid"])
     return settle(rows.withColumn("in_top", F.col("label") == F.col("top")).drop("top"))
 

@@ -11,8 +11,9 @@ With 12 bands of 4 bins a pair at similarity 0.8 is missed with probability 0.00
 3 in a million.  All pairs of a bucket are candidates if it holds up to 16 distinct lines; in a
 larger bucket every line is first compared with three pivots, which differ from band to band, so a
 family of near-copies is linked without all its pairs.  Lines of such a bucket that still lie in
-different components are then compared with each other by long one-bit MinHash signatures, in
-salted blocks, and verified where these agree (`bbit`), so no pair of a bucket is left out.
+different components are then compared with each other, in salted blocks: exactly if at most
+FEW_OTHERS lines of the bucket lie outside its largest component, else by long one-bit MinHash
+signatures first and exactly where these agree (`bbit`), so no pair of a bucket is left out.
 
 Defined results: lines without a word always stay and are not counted; lines shorter than a
 shingle only match equal ones; null text stays null; a null doc_id comes last; rows that repeat
@@ -22,6 +23,8 @@ doc_id and text keep the same lines; other columns pass through; an empty table
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verisift.llm import bbit
-from verisift.llm.common import WHITE, broadcast_if_small, join_hot, settle, text_of, unwrapped, wrapped
+from verisift.llm.common import WHITE, batches_of, broadcast_if_small, join_hot, settle, text_of, unwrapped, wrapped
 from verisift.llm.components import components
 from verisift.session import scratch_path
 
@@ -41,7 +44,10 @@ ROWS = 4
 SIMILARITY = 0.8
 SMALL_BUCKET = 16
 PIVOTS = 3
+FEW_OTHERS = 32  # a long signature costs as much as comparing a line with about so many others
+NARROW_BATCH = 20_000  # rows of two longs that a worker is given at a time
 BROADCAST_LINES = 1_000_000  # line hashes (8 bytes each) that a semi-join may broadcast
+PIECE = 50_000  # characters hashed at a time, so that arrays stay in a processor's cache
 WHITE_BUT_BREAKS = r"[\x20\x09\x0B-\x0D]+"
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -119,7 +125,7 @@ def _banded(bands: int, rows: int, shingle: int):
             at = 0
             while at < len(ids):  # a bounded number of characters at a time
                 stop, size = at, 0
-                while stop < len(ids) and (stop == at or size + len(texts[stop]) < 200_000):
+                while stop < len(ids) and (stop == at or size + len(texts[stop]) < PIECE):
                     size += len(texts[stop])
                     stop += 1
                 keys = band_keys(signatures(texts[at:stop], bands * rows, shingle), bands, rows)
@@ -176,6 +182,43 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield from out(key, h)
 
 
+def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of buckets of several distinct lines, once and by h XOR key in each bucket, from (key, h)
+    sorted by key; of a bucket that goes on and on, a million rows at a time."""
+    held: list[pa.RecordBatch] = []
+    size, going = 0, None
+
+    def out(key: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
+        met = key[1:] == key[:-1]
+        several = np.r_[met, False] | np.r_[False, met]
+        if going is not None:
+            several |= key == going
+        key, h = key[several], h[several]
+        order = np.lexsort((h ^ key, key))
+        key, h = key[order], h[order]
+        if len(key):
+            fresh = np.r_[True, (key[1:] != key[:-1]) | (h[1:] != h[:-1])]  # equal lines of several tasks are neighbours
+            yield pa.RecordBatch.from_arrays([pa.array(key[fresh]), pa.array(h[fresh])], names=["key", "h"])
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size < 200_000:
+            continue
+        key, h = (np.concatenate([x.column(k).to_numpy() for x in held]) for k in (0, 1))
+        cut = int(np.searchsorted(key, key[-1]))
+        if cut:
+            yield from out(key[:cut], h[:cut])
+            going = None
+        elif size > 1_000_000:
+            yield from out(key, h)
+            cut, going = len(key), key[-1]
+        held = [pa.RecordBatch.from_arrays([pa.array(key[cut:]), pa.array(h[cut:])], names=["key", "h"])]
+        size = len(key) - cut
+    if size:
+        yield from out(*(np.concatenate([x.column(k).to_numpy() for x in held]) for k in (0, 1)))
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs (large false, a, b) and the rows (large true, key, h) of buckets of more than
     SMALL_BUCKET rows, from (key, h) sorted by key, in one pass."""
@@ -189,7 +232,10 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             keys, values = [], []
             edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
-            for at, stop in zip(edges, np.r_[edges[1:], len(key)], strict=True):
+            ends = np.r_[edges[1:], len(key)]
+            seen = ends - edges > SMALL_BUCKET  # others matter only at the ends, where buckets go on in other batches
+            seen[:1] = seen[-1:] = True
+            for at, stop in zip(edges[seen], ends[seen], strict=True):
                 if key[at] != held:
                     held, count, start = key[at], 0, []
                 count += stop - at
@@ -266,7 +312,7 @@ def _verified(similarity: float, shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = pc.add(pc.utf8_length(batch.column(2)), pc.utf8_length(batch.column(3))).to_numpy()
-            part = (sizes.cumsum() - sizes) // 200_000  # about so many characters at a time
+            part = (sizes.cumsum() - sizes) // PIECE  # about so many characters at a time
             for at, stop in zip(bounds := np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), np.r_[bounds[1:], len(part)], strict=True):
                 rows = batch.slice(at, stop - at)
                 found = pa.array(similar(rows.column(2).to_pylist(), rows.column(3).to_pylist(), similarity, shingle))
@@ -278,8 +324,11 @@ def _verified(similarity: float, shingle: int):
 def lines_of(df: DataFrame) -> DataFrame:
     """_id, _th, line (number), norm (normalised text) and h (its hash) of all lines with a word.
 
-    White space is collapsed and letters are folded once per text, before it is split."""
-    folded = F.lower(F.regexp_replace(text_of(), WHITE_BUT_BREAKS, " "))
+    White space is collapsed and letters are folded once per text, before it is split; texts in which
+    no blank is doubled and no other white space than breaks occurs have nothing to collapse."""
+    text = text_of()
+    uneven = reduce(or_, [F.contains(text, F.lit(c)) for c in ("  ", *WHITE.replace(" ", "").replace("\n", ""))])
+    folded = F.lower(F.when(uneven, F.regexp_replace(text, WHITE_BUT_BREAKS, " ")).otherwise(text))
     split = df.select(F.col("doc_id").alias("_id"), F.xxhash64(text_of()).alias("_th"), F.posexplode(F.split(folded, "\n")).alias("line", "raw"))
     return split.select("_id", "_th", "line", F.trim("raw").alias("norm")).where("norm <> ''").withColumn("h", F.xxhash64("norm"))
 
@@ -300,15 +349,28 @@ def _texts(lines: DataFrame, nodes: DataFrame) -> DataFrame:
     return settle(found.groupBy(F.col("h").alias("sid")).agg(F.min("norm").alias("norm")))
 
 
+def _met_in(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of lines that share a bucket and lie in different components, from the rows of open buckets."""
+    # of two lines with different labels one has another label than most lines of the bucket
+    left = rows.where("not in_top").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"),
+                                           F.col("sid").alias("x"), F.col("label").alias("x_label"))
+    right = rows.select("key", F.pmod(F.xxhash64("sid"), F.col("salts")).alias("salt"), "sid", "label", "in_top")
+    met = left.join(right, ["key", "salt"]).where((F.col("x_label") != F.col("label")) & (F.col("in_top") | (F.col("x") < F.col("sid"))))
+    return met.select(F.least("x", "sid").alias("a"), F.greatest("x", "sid").alias("b"))
+
+
 def links(lines: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
     """Links (a, b) between hashes of distinct lines that give the components of all verified ones."""
     long_enough = lines.where(F.char_length("norm") >= shingle).select("h", "norm")
     parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     banded = long_enough.mapInArrow(_banded(bands, rows, shingle), "key long, h long")
-    dealt = banded.repartition(parts, "key").sortWithinPartitions("key", F.col("h").bitwiseXOR(F.col("key")))
-    met = settle(dealt.mapInArrow(_candidates, "large boolean, a long, b long").where("large or a <> b").distinct())
+    dealt = banded.repartition(parts, "key").sortWithinPartitions("key")
+    found = dealt.mapInArrow(lambda rows: _candidates(_ordered(rows)), "large boolean, a long, b long").where("large or a <> b")
+    with batches_of(lines.sparkSession, NARROW_BATCH):
+        met = settle(found.distinct())
     pairs = met.where("not large").select("a", "b")
-    found = _compared(pairs, _texts(long_enough, pairs.select(F.col("a").alias("node")).union(pairs.select("b"))), similarity, shingle)
+    texts = _texts(long_enough, pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
+    found = _compared(pairs, texts, similarity, shingle)
     large = met.where("large").select(F.col("a").alias("key"), F.col("b").alias("sid"))
     if large.isEmpty():
         return found
@@ -316,10 +378,15 @@ def links(lines: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     open_ = bbit._open_rows(large, found)
     if open_.isEmpty():
         return found
-    texts = _texts(long_enough, open_.select(F.col("sid").alias("node")))
-    signed = settle(texts.mapInArrow(_signed(bands, rows, shingle), "sid long, n long, sig array<long>, bands array<long>"))
-    near = bbit._open_pairs(open_, signed, round(100 * similarity)).select("a", "b")
-    rest = settle(near.join(pairs, ["a", "b"], "left_anti"))
+    near = _met_in(open_.where(F.col("others") <= FEW_OTHERS))
+    many = open_.where(F.col("others") > FEW_OTHERS)
+    if not many.isEmpty():
+        # a line of a large bucket has been compared with a pivot or is one, so its text is there
+        wanted = broadcast_if_small(settle(many.select(F.col("sid").alias("node")).distinct()), BROADCAST_LINES)
+        own = texts.join(wanted, F.col("sid") == F.col("node"), "left_semi")
+        signed = settle(own.mapInArrow(_signed(bands, rows, shingle), "sid long, n long, sig array<long>, bands array<long>"))
+        near = near.union(bbit._open_pairs(many, signed, round(100 * similarity)).select("a", "b"))
+    rest = settle(near.distinct().join(pairs, ["a", "b"], "left_anti"))
     return found if rest.isEmpty() else found.union(_compared(rest, texts, similarity, shingle))
 
 
