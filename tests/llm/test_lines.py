@@ -164,3 +164,19 @@ def test_pairs_of_open_buckets(spark):
     df = spark.createDataFrame(rows, "key long, sid long, label long, salts long, in_top boolean")
     found = {tuple(r) for r in lines._met_in(df).collect()}
     assert found == {(min(x[1], y[1]), max(x[1], y[1])) for x in rows for y in rows if x[0] == y[0] and x[2] != y[2]}
+
+
+def test_few_edges_are_finished_at_once(spark, monkeypatch):
+    rng = random.Random(9)
+    edges = [(rng.randrange(3_000), rng.randrange(3_000)) for _ in range(2_000)] + [(k, k + 1) for k in range(5_000, 5_200)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(8)
+    monkeypatch.setattr(components, "FEW_EDGES", 0)
+    want = {tuple(r) for r in components.components(df).collect()}
+    monkeypatch.undo()
+
+    def never(_):
+        raise AssertionError("a round over stars")
+
+    monkeypatch.setattr(components, "_large_star", never)
+    found = components.components(df)
+    assert found.columns == ["node", "root"] and {tuple(r) for r in found.collect()} == want and len(want) > 1_000

@@ -4,7 +4,8 @@ Alternating large-star and small-star steps (Kiveris et al., "Connected Componen
 MapReduce and Beyond", 2014) as DataFrame joins and aggregates.  Each round stores its edges,
 so a lost executor repeats one round at most.  Before the first round every task replaces its
 edges by a spanning forest, which leaves the components as they are and takes away most edges
-of dense groups.
+of dense groups.  What is left goes through rounds, unless it is so little (FEW_EDGES) that one
+more forest finishes it.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ from pyspark.sql import functions as F
 from verisift.llm.common import join_hot, settle
 
 
+FEW_EDGES = 200_000  # edges (16 bytes each) that are finished at once, fewer than a task's forest may hold
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, smallest node of its component) for all nodes of the edges a-b that aren't smallest."""
     nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -82,6 +86,8 @@ def components(edges: DataFrame) -> DataFrame:
     smallest node.  Self-loops and repeated edges are allowed; no edges give no rows."""
     pairs = edges.toDF("u", "v").where("u <> v")
     current = settle(pairs.mapInArrow(_shrink, "u long, v long").distinct())
+    if current.limit(FEW_EDGES + 1).count() <= FEW_EDGES:
+        return settle(current.coalesce(1).mapInArrow(_shrink, "u long, v long")).toDF("node", "root")
     while not _stars(current):
         current = settle(_small_star(_large_star(current)))
     return current.toDF("node", "root")
