@@ -180,3 +180,59 @@ def test_few_edges_are_finished_at_once(spark, monkeypatch):
     monkeypatch.setattr(components, "_large_star", never)
     found = components.components(df)
     assert found.columns == ["node", "root"] and {tuple(r) for r in found.collect()} == want and len(want) > 1_000
+
+
+def test_keys_are_dealt_out_packed_by_range():
+    """A task hands on a row for each range of keys, not one for each band of each line, and nothing is lost."""
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("ab cd efg hij klm nop".split()) + str(rng.randint(0, 9)) for _ in range(12)) for _ in range(500)]
+    batch = lines.pa.RecordBatch.from_pydict({"h": np.arange(500), "norm": texts})
+    keys = lines.band_keys(lines.signatures(texts, lines.BANDS * lines.ROWS), lines.BANDS, lines.ROWS).view(np.int64)
+    want = {(int(k), h) for h, row in enumerate(keys) for k in row}
+    for ranges in (1, 8, 70_000):
+        packed = list(lines._banded(lines.BANDS, lines.ROWS, lines.SHINGLE, ranges)(iter([batch, batch])))
+        part = np.concatenate([x.column(0).to_numpy() for x in packed])
+        assert len(packed) == 1 and len(part) <= min(ranges, len(want)) and (np.diff(part) > 0).all()
+        pairs = [np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 2) for x in packed[0].column(1)]
+        assert sorted(map(tuple, np.concatenate(pairs).tolist())) == sorted(want)
+        bounds = [((p.view(np.uint64)[:, 0] >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32) for p in pairs]
+        assert all((b == k).all() for b, k in zip(bounds, part, strict=True))
+
+
+def test_ranges_of_keys_of_any_size_give_the_same_candidates(monkeypatch):
+    """Every pair of a small bucket meets, all rows of a large one go on and its lines are linked, however little a task holds."""
+    rng = np.random.default_rng(8)
+    sizes = [1, 2, 5, 16, 17, 40, 300] * 3
+    rows = np.array([(k, k * 1_000 + s) for k, size in enumerate(sizes) for s in range(size)] * 2)
+    rng.shuffle(rows)
+    part = rows[:, 0] // 7
+    batches = []
+    for step in np.array_split(np.argsort(part, kind="stable"), 60):
+        cuts = np.split(step, np.flatnonzero(np.diff(part[step])) + 1)
+        batches.append(lines.pa.RecordBatch.from_pydict({"part": [int(part[c[0]]) for c in cuts], "rows": [rows[c].tobytes() for c in cuts]}))
+    for held in (1_000_000, 100, 1):
+        monkeypatch.setattr(lines, "PACKED", held)
+        found = {r for x in lines._met(iter(batches)) for r in zip(*(c.to_pylist() for c in x.columns), strict=True)}
+        for k, size in enumerate(sizes):
+            own = {k * 1_000 + s for s in range(size)}
+            pairs = {(a, b) for large, a, b in found if not large and a != b and a in own}
+            assert all(b in own for _, b in pairs)
+            if size <= lines.SMALL_BUCKET:
+                assert pairs == {(a, b) for a in own for b in own if a < b}
+                assert not any(large and a == k for large, a, _ in found)
+            else:
+                assert {b for large, a, b in found if large and a == k} == own
+                nodes, roots = components.forest(*map(np.array, zip(*pairs, strict=True)))
+                assert set(nodes.tolist()) == own - {k * 1_000} and set(roots.tolist()) == {k * 1_000}
+
+
+def test_similar_counts_repeated_shingles_once():
+    texts = ["abcdefg", "abcdefg" * 40, "a" * 300, "a" * 7, "xyz abcdefg" * 3, "gfedcba hij klm", "abcdefgh"]
+    left, right = [a for a in texts for _ in texts], texts * len(texts)
+    for bound in (0.1, 0.5, 0.8, 1.0):
+        assert lines.similar(left, right, bound, 7).tolist() == [lines._alike(a, b, bound, 7) for a, b in zip(left, right, strict=True)]
+
+
+def test_texts_are_hashed_once_and_not_for_every_line(docs):
+    plan = lines.lines_of(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.index("AS _th#")

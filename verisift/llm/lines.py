@@ -45,7 +45,9 @@ SIMILARITY = 0.8
 SMALL_BUCKET = 16
 PIVOTS = 3
 FEW_OTHERS = 32  # a long signature costs as much as comparing a line with about so many others
-NARROW_BATCH = 20_000  # rows of two longs that a worker is given at a time
+PACKED_BATCH = 2_000  # lines, or packed rows of a range of keys, that a worker is given at a time
+PACKED = 1_000_000  # keys (16 bytes with their line) that a task gathers before it packs them, and most of a range that are held
+RANGE = 200_000  # keys that a range has on average, at most
 BROADCAST_LINES = 1_000_000  # line hashes (8 bytes each) that a semi-join may broadcast
 PIECE = 50_000  # characters hashed at a time, so that arrays stay in a processor's cache
 WHITE_BUT_BREAKS = r"[\x20\x09\x0B-\x0D]+"
@@ -59,8 +61,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_hashes(texts: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text number) of all shingles of texts that are at least one shingle long."""
+def _hashed(texts: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all shingles of texts that are at least one shingle long, and how many each text has."""
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.array([len(t) for t in texts])
     ends = sizes.cumsum()
@@ -72,10 +74,13 @@ def shingle_hashes(texts: list[str], shingle: int) -> tuple[np.ndarray, np.ndarr
                 rolled, width = built, step
             else:
                 n = len(points) - width - step + 1
-                rolled = rolled[:n] * power + built[width:width + n]
+                rolled = rolled[:n] * power
+                rolled += built[width:width + n]
                 width += step
         if 2 * step <= shingle:
-            built = built[:-step] * power + built[step:] if len(built) > step else built[:0]
+            longer = built[:-step] * power if len(built) > step else built[:0]
+            longer += built[step:]
+            built = longer
         step, power = 2 * step, np.uint64(int(power) ** 2 % 2**64)
     rolled = rolled ^ (rolled >> np.uint64(32))
     rolled *= _M1
@@ -83,16 +88,27 @@ def shingle_hashes(texts: list[str], shingle: int) -> tuple[np.ndarray, np.ndarr
     for k in range(1, shingle):  # shingles that would reach into the next text
         at = ends[:-1] - k
         kept[at[at >= 0]] = False
-    return rolled[kept], np.repeat(np.arange(len(texts), dtype=np.int32), sizes - shingle + 1)
+    return rolled[kept], sizes - shingle + 1
+
+
+def shingle_hashes(texts: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text number) of all shingles of texts that are at least one shingle long."""
+    hashed, counts = _hashed(texts, shingle)
+    return hashed, np.repeat(np.arange(len(texts), dtype=np.int32), counts)
 
 
 def signatures(texts: list[str], bins: int, shingle: int = SHINGLE) -> np.ndarray:
     """One row of smallest shingle hashes per text (each at least one shingle long)."""
-    hashed, owner = shingle_hashes(texts, shingle)
-    slot = (((hashed >> np.uint64(44)) * np.uint64(bins)) >> np.uint64(20)).astype(np.int32)
+    hashed, counts = _hashed(texts, shingle)
+    slot = hashed >> np.uint64(44)
+    slot *= np.uint64(bins)
+    slot >>= np.uint64(20)
+    at = np.repeat(np.arange(len(texts)) * bins, counts)
+    at += slot.view(np.int64)
+    hashed &= np.uint64((1 << 40) - 1)
     empty = np.uint64(1 << 40)
     out = np.full(len(texts) * bins, empty, np.uint64)
-    np.minimum.at(out, owner * np.int32(bins) + slot, hashed & np.uint64((1 << 40) - 1))
+    np.minimum.at(out, at, hashed)
     out = out.reshape(len(texts), bins)
     for step in range(1, bins):  # empty bins take the next filled one, marked by the distance
         holes = out == empty
@@ -110,9 +126,25 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return _mix(keys + np.arange(bands, dtype=np.uint64)[None, :])
 
 
-def _banded(bands: int, rows: int, shingle: int):
+def _packed(key: np.ndarray, h: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """A row (number, bytes) for each range of keys that occurs; the bytes are its pairs of key and h, as longs."""
+    part = (((key >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.uint16 if ranges <= 1 << 16 else np.uint32)
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    pairs = np.empty((len(key), 2), np.int64)
+    pairs[:, 0], pairs[:, 1] = key.view(np.int64)[order], h[order]
+    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    ends = (np.r_[starts, len(key)] * 16).astype(np.int32)
+    rows = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(pairs)])
+    return pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int32)), rows], names=["part", "rows"])
+
+
+def _banded(bands: int, rows: int, shingle: int, ranges: int):
+    """The keys of lines (h, norm) with their h, packed by range of keys, so that Spark deals out few rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # repeated lines of a task go out once
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
         for b in batches:
             ids, texts = [], []
             for h, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -124,14 +156,19 @@ def _banded(bands: int, rows: int, shingle: int):
                 seen.clear()
             at = 0
             while at < len(ids):  # a bounded number of characters at a time
-                stop, size = at, 0
-                while stop < len(ids) and (stop == at or size + len(texts[stop]) < PIECE):
-                    size += len(texts[stop])
+                stop, chars = at, 0
+                while stop < len(ids) and (stop == at or chars + len(texts[stop]) < PIECE):
+                    chars += len(texts[stop])
                     stop += 1
                 keys = band_keys(signatures(texts[at:stop], bands * rows, shingle), bands, rows)
-                h = np.repeat(np.array(ids[at:stop], np.int64), bands)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(h)], names=["key", "h"])
+                held.append((keys.ravel(), np.repeat(np.array(ids[at:stop], np.int64), bands)))
+                size += keys.size
                 at = stop
+                if size >= PACKED:
+                    yield _packed(*map(np.concatenate, zip(*held, strict=True)), ranges)
+                    held, size = [], 0
+        if held:
+            yield _packed(*map(np.concatenate, zip(*held, strict=True)), ranges)
 
     return run
 
@@ -259,6 +296,44 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What _candidates finds, from packed rows (part, rows) sorted by part; a range of keys at a time.
+
+    Of a range with more than PACKED keys, which only large buckets make, the candidates so far go out, and the
+    first SMALL_BUCKET + 1 lines of each bucket stay to meet the lines that follow."""
+    held: list[np.ndarray] = []
+    size, most, now = 0, PACKED, None
+
+    def by_key(key: np.ndarray, h: np.ndarray, order: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key[order]), pa.array(h[order])], names=["key", "h"])
+
+    def out() -> Iterator[pa.RecordBatch]:
+        if held:
+            key, h = np.concatenate(held).T.copy()
+            yield from _candidates(_ordered(iter([by_key(key, h, np.argsort(key))])))
+
+    for batch in batches:
+        for part, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if part != now:
+                yield from out()
+                held, size, most, now = [], 0, PACKED, part
+            held.append(np.frombuffer(packed.as_buffer(), np.int64).reshape(-1, 2))
+            size += len(held[-1])
+            if size > most:
+                key, h = np.concatenate(held).T.copy()
+                order = np.lexsort((h ^ key, key))
+                key, h = key[order], h[order]
+                fresh = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (h[1:] != h[:-1])])
+                key, h = key[fresh], h[fresh]
+                yield from _candidates(iter([by_key(key, h, np.arange(len(key)))]))
+                starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                rank = np.arange(len(key)) - np.repeat(starts, np.diff(np.r_[starts, len(key)]))
+                held = [np.stack([key, h], axis=1)[rank <= SMALL_BUCKET]]
+                size = len(held[0])
+                most = max(PACKED, 2 * size)
+    yield from out()
+
+
 def _signed(bands: int, rows: int, shingle: int):
     """sid, n, the long signature and the keys of lines, from (sid, norm)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,16 +366,19 @@ def similar(left: list[str], right: list[str], similarity: float, shingle: int)
     Sets are compared as sorted hashes, all pairs at once; a pair so close to the bound that a
     collision of hashes could decide it is compared again, by its shingles."""
     n = len(left)
-    hashed, owner = shingle_hashes(left + right, shingle)
-    pair = np.where(owner >= n, owner - n, owner).astype(np.uint64)
+    key, counts = _hashed(left + right, shingle)
     bits = np.uint64(max(1, int(n).bit_length()))
-    side = (owner >= n).astype(np.uint64)
-    key = np.sort((pair << (np.uint64(64) - bits)) | ((hashed >> (bits + np.uint64(1))) << np.uint64(1)) | side)
-    key = key[np.r_[True, key[1:] != key[:-1]]]  # each shingle once on each side
-    of = (key >> (np.uint64(64) - bits)).astype(np.int64)
-    both = np.r_[(key[1:] ^ key[:-1]) == np.uint64(1), False]
-    total = np.bincount(of, minlength=n)
-    common = np.bincount(of[both], minlength=n)
+    pair = np.arange(n, dtype=np.uint64) << (np.uint64(64) - bits)
+    key >>= bits + np.uint64(1)
+    key <<= np.uint64(1)
+    key |= np.repeat(np.r_[pair, pair | np.uint64(1)], counts)  # the lowest bit is the side
+    key.sort()
+    step = key[1:] ^ key[:-1]
+    sizes = counts[:n] + counts[n:]
+    ends = np.r_[0, sizes.cumsum()] - 1
+    # each shingle counts once on each side; of one on both sides the right ones follow the left ones
+    total = sizes - np.diff(np.searchsorted(np.flatnonzero(step == 0), ends))
+    common = np.diff(np.searchsorted(np.flatnonzero(step == 1), ends))
     gap = common - similarity * (total - common)
     found = gap >= 0
     for k in np.flatnonzero(np.abs(gap) <= 2):
@@ -326,10 +404,12 @@ def lines_of(df: DataFrame) -> DataFrame:
 
     White space is collapsed and letters are folded once per text, before it is split; texts in which
     no blank is doubled and no other white space than breaks occurs have nothing to collapse."""
-    text = text_of()
+    # what stands beside posexplode is computed for every line, so texts are hashed before
+    texts = df.select(F.col("doc_id").alias("_id"), F.xxhash64(text_of()).alias("_th"), text_of().alias("_text"))
+    text = F.col("_text")
     uneven = reduce(or_, [F.contains(text, F.lit(c)) for c in ("  ", *WHITE.replace(" ", "").replace("\n", ""))])
     folded = F.lower(F.when(uneven, F.regexp_replace(text, WHITE_BUT_BREAKS, " ")).otherwise(text))
-    split = df.select(F.col("doc_id").alias("_id"), F.xxhash64(text_of()).alias("_th"), F.posexplode(F.split(folded, "\n")).alias("line", "raw"))
+    split = texts.select("_id", "_th", F.posexplode(F.split(folded, "\n")).alias("line", "raw"))
     return split.select("_id", "_th", "line", F.trim("raw").alias("norm")).where("norm <> ''").withColumn("h", F.xxhash64("norm"))
 
 
@@ -363,10 +443,11 @@ def links(lines: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     """Links (a, b) between hashes of distinct lines that give the components of all verified ones."""
     long_enough = lines.where(F.char_length("norm") >= shingle).select("h", "norm")
     parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    banded = long_enough.mapInArrow(_banded(bands, rows, shingle), "key long, h long")
-    dealt = banded.repartition(parts, "key").sortWithinPartitions("key")
-    found = dealt.mapInArrow(lambda rows: _candidates(_ordered(rows)), "large boolean, a long, b long").where("large or a <> b")
-    with batches_of(lines.sparkSession, NARROW_BATCH):
+    ranges = max(8 * parts, -(-lines.count() * bands // RANGE))
+    banded = long_enough.mapInArrow(_banded(bands, rows, shingle, ranges), "part int, rows binary")
+    dealt = banded.repartition(parts, "part").sortWithinPartitions("part")
+    found = dealt.mapInArrow(_met, "large boolean, a long, b long").where("large or a <> b")
+    with batches_of(lines.sparkSession, PACKED_BATCH):
         met = settle(found.distinct())
     pairs = met.where("not large").select("a", "b")
     texts = _texts(long_enough, pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
@@ -394,7 +475,8 @@ def dedup_lines(df: DataFrame, similarity: float = SIMILARITY, bands: int = BAND
     """The documents with every column, text without the lines that repeat another, and the
     counts n_lines and n_removed."""
     path = scratch_path(df.sparkSession, "lines")
-    lines_of(df).write.option("compression", "zstd").parquet(path)
+    # lines hardly repeat within a file, so a dictionary of them is built and given up
+    lines_of(df).write.options(**{"compression": "zstd", "parquet.enable.dictionary": "false"}).parquet(path)
     lines = df.sparkSession.read.parquet(path)
     roots = components(links(lines, similarity, bands, rows, shingle))
     place = F.struct(F.col("_id").isNull().alias("none"), "_id", "_th", "line")
