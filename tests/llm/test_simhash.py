@@ -87,6 +87,42 @@ def test_components_of_chains_stars_and_nothing(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def tasks_of(spark, run):
+    """What run() gives, and the tasks that its jobs ran."""
+    context, group = spark.sparkContext, f"tasks-{random.getrandbits(64)}"
+    names = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    context.setJobGroup(group, group)
+    try:
+        done = run()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    seen = context.statusTracker()
+    stages = {s for j in seen.getJobIdsForGroup(group) for s in seen.getJobInfo(j).stageIds}
+    return done, sum(info.numCompletedTasks for info in map(seen.getStageInfo, stages) if info)
+
+
+def test_few_edges_need_few_tasks(spark):
+    edges = spark.createDataFrame([(k % 30, k % 30 + 1) for k in range(900)], "a long, b long").repartition(3)
+    found, tasks = tasks_of(spark, lambda: components(edges).collect())
+    assert {r["node"]: r["root"] for r in found} == {k: 0 for k in range(1, 31)}
+    assert tasks < 64
+
+
+def test_similar_texts_of_a_small_table_need_few_shuffles(spark):
+    words = [" ".join(f"w{k}_{j}" for j in range(300)) for k in range(8)]
+    rows = [(k, w) for k, w in enumerate([*words, *[w + " more" for w in words]])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    kept, tasks = tasks_of(spark, lambda: simhash.keep_one(df).collect())
+    assert sorted(r["doc_id"] for r in kept) == list(range(8))
+    assert tasks < 64 * 19
+
+
 def test_keep_one_against_all_pairs(docs):
     rows = sorted((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect())
     sets, holders, parent = [simhash.shingles(t, 5) for _, t in rows], {}, list(range(len(rows)))

@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verisift.llm.common import join_hot, settle
+from verisift.llm.common import broadcast_if_small, join_hot, settle
+from verisift.session import release
 
 
 FEW_EDGES = 200_000  # edges (16 bytes each) that are finished at once, fewer than a task's forest may hold
@@ -83,11 +84,16 @@ def _stars(edges: DataFrame) -> bool:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (two long columns) that isn't its component's
-    smallest node.  Self-loops and repeated edges are allowed; no edges give no rows."""
+    smallest node.  Self-loops and repeated edges are allowed; no edges give no rows.
+
+    Few edges are finished without a shuffle, and few nodes are marked for broadcast: each shuffle costs
+    the driver as many tasks as it has partitions, however little there is to deal out."""
+    release(edges.sparkSession)
     pairs = edges.toDF("u", "v").where("u <> v")
-    current = settle(pairs.mapInArrow(_shrink, "u long, v long").distinct())
+    current = settle(pairs.mapInArrow(_shrink, "u long, v long"))
     if current.limit(FEW_EDGES + 1).count() <= FEW_EDGES:
-        return settle(current.coalesce(1).mapInArrow(_shrink, "u long, v long")).toDF("node", "root")
+        return broadcast_if_small(settle(current.coalesce(1).mapInArrow(_shrink, "u long, v long")).toDF("node", "root"))
+    current = settle(current.distinct())
     while not _stars(current):
         current = settle(_small_star(_large_star(current)))
     return current.toDF("node", "root")

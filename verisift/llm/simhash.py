@@ -173,11 +173,15 @@ def _linker(radius: int, block: int):
 def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """Links (u, v) between distinct fingerprints (column fp) that span the same components as
     all pairs within the radius."""
+    return _links_of(prints.select("fp").distinct(), radius, block)
+
+
+def _links_of(distinct: DataFrame, radius: int, block: int) -> DataFrame:
+    """The links between fingerprints (column fp) that occur once."""
     if radius > 5:
         raise ValueError("half the radius must be two bits at most")
-    distinct = prints.select("fp").distinct()
     sent = distinct.select(F.explode(blocks_of(F.col("fp"), radius // 2, block)).alias("lead"), "fp")
-    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = sent.repartition(parts, "lead").sortWithinPartitions("lead")
     return dealt.mapInArrow(_linker(radius, block), "u long, v long").distinct()
 
@@ -263,9 +267,10 @@ def similar_texts(texts: DataFrame, prints: DataFrame, words: int, similarity: f
     for k in (0, 1):
         own = prints.select(F.get("fps", F.lit(k)).alias("fp"), "th")
         least, most = F.min("th").alias("least"), F.max("th").alias("most")
-        shown = settle(own.groupBy("fp").agg(least, most).withColumn("shown", F.array_distinct(F.array("least", "most"))))
+        stored = settle(own.groupBy("fp").agg(least, most).withColumn("shown", F.array_distinct(F.array("least", "most"))))
+        shown = broadcast_if_small(stored)
         pairs.append(own.join(shown, "fp").select(F.explode("shown").alias("a"), F.col("th").alias("b")))
-        near = links(own, radius, block)
+        near = _links_of(stored.select("fp"), radius, block)
         ends = [shown.select(F.col("fp").alias(e), F.explode("shown").alias(n)) for e, n in (("u", "a"), ("v", "b"))]
         pairs.append(near.join(ends[0], "u").join(ends[1], "v").select("a", "b"))
     found = pairs[0]
